@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvia.llm import bpe, fingerprints, langid, simhash
 from pluvia.llm.chat_format import format_chats, learned_text, read_back
 from pluvia.llm.exact_dedup import exact_dedup
 from pluvia.llm.mixing import mix
@@ -14,6 +15,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out():
+    """True for the quarter of documents that nothing is learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def word_bpe_spec() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), word_bpe_spec())
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
@@ -35,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("copies").cast("long").alias("copies"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_simhash": op3_simhash, "op7_language_id": op7_language_id, "op9_bpe": op9_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing}
 
 ORACLES = {
     "op2_exact_dedup": r"""
