@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import bpe, fingerprints, langid, simhash
+from pluvia.llm import bpe, fingerprints, langid, recompression, simhash, suffix_arrays
 from pluvia.llm.chat_format import format_chats, learned_text, read_back
 from pluvia.llm.exact_dedup import exact_dedup
 from pluvia.llm.mixing import mix
@@ -36,6 +36,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup(documents(spark, sf_dir)).drop("kept")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
@@ -67,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("copies").cast("long").alias("copies"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_simhash": op3_simhash, "op7_language_id": op7_language_id, "op9_bpe": op9_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_simhash": op3_simhash, "op4_substring_dedup": op4_substring_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op7_language_id": op7_language_id, "op9_bpe": op9_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing}
 
 ORACLES = {
     "op2_exact_dedup": r"""
