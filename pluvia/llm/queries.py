@@ -5,28 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import bpe, fingerprints, langid, recompression, simhash, suffix_arrays
+from pluvia.llm import bpe, fingerprints, langid, recompression, simhash, suffix_arrays, toxicity
 from pluvia.llm.chat_format import format_chats, learned_text, read_back
 from pluvia.llm.exact_dedup import exact_dedup
 from pluvia.llm.mixing import mix
+from pluvia.llm.stages import held_out, word_bpe_spec
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def held_out():
-    """True for the quarter of documents that nothing is learned from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-
-
-def word_bpe_spec() -> str:
-    import public_tokenizers
-
-    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        return f.read()
-
-
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
@@ -40,14 +29,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.dedup(documents(spark, sf_dir)).drop("kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out()
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
+    return toxicity.score(docs, net).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.dedup(documents(spark, sf_dir)).drop("kept")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    return langid.identify(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
+    model = langid.fit(docs.where(~held_out()))
+    return langid.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "coverage")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("copies").cast("long").alias("copies"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_simhash": op3_simhash, "op4_substring_dedup": op4_substring_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op7_language_id": op7_language_id, "op9_bpe": op9_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_simhash": op3_simhash, "op4_substring_dedup": op4_substring_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_bpe": op9_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing}
 
 ORACLES = {
     "op2_exact_dedup": r"""
