@@ -82,8 +82,8 @@ class Filters:
         fill = [float(np.mean(self.table[:, i // 64] >> np.uint64(i % 64) & np.uint64(1))) for i in range(len(self.langs))]
         self.false = np.array(fill) ** self.hashes
 
-    def shares(self, text: str | None) -> np.ndarray | None:
-        """The part of the text's n-grams that each language holds, corrected for false positives; None: no letter."""
+    def shares(self, text: str | None) -> tuple[np.ndarray | None, int]:
+        """The part of the text's n-grams that each language holds, corrected for false positives (None: no letter), and their number."""
         hits, n = np.zeros(len(self.langs)), 0
         for keys in grams(text or ""):
             n += len(keys)
@@ -96,16 +96,16 @@ class Filters:
                 for i in range(64 * w, min(len(self.langs), 64 * w + 64)):
                     hits[i] += np.count_nonzero(held & np.uint64(1 << (i % 64)))
         if not n:
-            return None
-        return np.maximum(0.0, (hits / n - self.false) / np.maximum(1e-9, 1 - self.false))
+            return None, 0
+        return np.maximum(0.0, (hits / n - self.false) / np.maximum(1e-9, 1 - self.false)), n
 
-    def decide(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score (the best share's part of all shares) and coverage (the best share)."""
-        s = self.shares(text)
+    def decide(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, score (the best share's part of all shares), coverage (the best share) and number of n-grams."""
+        s, n = self.shares(text)
         if s is None or not len(s):
-            return "und", 0.0, 0.0
+            return "und", 0.0, 0.0, n
         best = int(np.argmax(s))
-        return self.langs[best], float(s[best] / s.sum()) if s.sum() > 0 else 0.0, float(s[best])
+        return self.langs[best], float(s[best] / s.sum()) if s.sum() > 0 else 0.0, float(s[best]), n
 
 
 def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, rows: int = ROWS, hashes: int = HASHES, ratio: float = RATIO, min_count: int = MIN_COUNT) -> Filters:
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: Filters, keep: tuple[str, ...] = ()) -> Dat
         m = Filters(*shared.value)
         for b in batches:
             found = [m.decide(t) for t in b.column("__text").to_pylist()]
-            cols = list(zip(*found)) if found else [(), (), ()]
+            cols = list(zip(*found)) if found else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in kept), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], [*kept, "lang_pred", "score", "coverage"]
             )

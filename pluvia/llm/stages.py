@@ -13,8 +13,8 @@ from pluvia.llm.common import ascii_lower, shared_folder, small_batches
 from pluvia.llm.exact_dedup import exact_dedup
 from pluvia.llm.mixing import mix
 
-#: Documents of whose trigrams a smaller part is known in any learned language are rejected as being in none of them.
-LEAST_COVERAGE = 0.2
+#: Documents of whose trigrams a smaller part is known in any learned language are rejected as being in none of them, if they have enough trigrams to tell.
+LEAST_COVERAGE, LEAST_GRAMS = 0.2, 20
 
 
 def written(docs: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def word_bpe_spec() -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose n-grams no learned language knows. Rows that stay are unchanged.
+    """Rejects documents without a letter, and those of LEAST_GRAMS n-grams or more that no learned language knows. Rows that stay are unchanged.
 
     Filters are fitted on the input's own labelled documents; where none has a language, only documents without a letter go.
     """
@@ -51,8 +51,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         def stays(text):
             if not m.langs:
                 return any(True for _ in langid.grams(text or ""))
-            lang, _, coverage = m.decide(text)
-            return lang != "und" and coverage >= LEAST_COVERAGE
+            lang, _, coverage, n = m.decide(text)
+            return lang != "und" and (coverage >= LEAST_COVERAGE or n < LEAST_GRAMS)
 
         for b in batches:
             yield b.filter(pa.array([stays(t) for t in b.column("text").to_pylist()], pa.bool_()))
