@@ -69,7 +69,7 @@ class Words:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """uint32 as three or four byte planes, which compress better than the numbers do."""
+    """uint32 as byte planes, which compress better than the numbers do."""
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
@@ -77,6 +77,23 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _ranked(x: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """Ranks of words, small ones being frequent: the bit length of each (compresses well), and the bits below the highest, by length."""
+    size = np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+    return size.tobytes(), [np.packbits(x[size == k][:, None] >> np.arange(k - 1, dtype=np.uint32) & 1).tobytes() for k in range(2, 33)]
+
+
+def _unranked(packed: tuple[bytes, list[bytes]]) -> np.ndarray:
+    size = np.frombuffer(packed[0], np.uint8)
+    out = (size == 1).astype(np.uint32)
+    for k, raw in enumerate(packed[1], 2):
+        own = np.flatnonzero(size == k)
+        if len(own):
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(own) * (k - 1)).reshape(-1, k - 1)
+            out[own] = (1 << k - 1) + (bits.astype(np.uint32) << np.arange(k - 1, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    return out
+
+
 _ROW = "kind int, chunk long, bucket int, blob binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 _BODY, _ASK = 1, 0
@@ -103,7 +120,7 @@ def _coded(docs: DataFrame, spec: str, buckets: int, chunk_chars: int) -> DataFr
             at = np.concatenate(where) if where else np.empty(0, np.uint32)
             rank = np.empty(len(names), np.uint32)
             rank[np.argsort(-np.bincount(at, minlength=len(names)), kind="stable")] = np.arange(len(names), dtype=np.uint32)
-            yield _rows([(_BODY, chunk, -1, press.compress(pickle.dumps((ids, np.array(counts, np.int64), len(names), _planes(rank[at])))))])
+            yield _rows([(_BODY, chunk, -1, press.compress(pickle.dumps((ids, np.array(counts, np.int64), len(names), _ranked(rank[at])))))])
             home = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in names), np.int64, len(names)) % buckets
             order = np.argsort(home, kind="stable")
             edges = np.searchsorted(home[order], np.arange(buckets + 1))
@@ -147,7 +164,7 @@ def _coded(docs: DataFrame, spec: str, buckets: int, chunk_chars: int) -> DataFr
                         if (x := known.get(w)) is None:
                             x = known[w] = words.ids(w)
                         got.append(x)
-                    blob = press.compress(pickle.dumps((ranks, np.fromiter(map(len, got), np.uint32, len(got)), np.array([i for x in got for i in x], np.uint32))))
+                    blob = press.compress(pickle.dumps((ranks, _planes(np.fromiter(map(len, got), np.uint32, len(got))), _planes(np.array([i for x in got for i in x], np.uint32)))))
                 out.append((kind, chunk, bucket, blob))
                 if len(out) == 64:
                     yield _rows(out)
@@ -173,16 +190,16 @@ def _chunks(batches):
             if kind == _ASK:
                 held.append(got)
                 continue
-            doc_ids, counts, n, planes = got
+            doc_ids, counts, n, packed = got
             table: list = [None] * n
             for ranks, lengths, ids in held:
-                upto = np.cumsum(lengths).tolist()
-                listed, lo = ids.tolist(), 0
+                upto = np.cumsum(_unplanes(lengths)).tolist()
+                listed, lo = _unplanes(ids).tolist(), 0
                 for r, hi in zip(_unplanes(ranks).tolist(), upto):
                     table[r] = listed[lo:hi]
                     lo = hi
             held = []
-            yield doc_ids, counts, _unplanes(planes), table
+            yield doc_ids, counts, _unranked(packed), table
 
 
 def _buckets(docs: DataFrame) -> int:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of words: space and U+0009 to U+000D (the same set as bytes.split()).
@@ -63,3 +63,15 @@ def n_words(text: Column) -> Column:
     """Number of words; null counts as empty."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
+
+
+def first_by_digest(df: DataFrame, group: str, ident: str, most: Column, salts: int = 256) -> DataFrame:
+    """At most `most` (an expression of the group) rows of each group, in the order of a digest of their identifier; columns: group, ident.
+
+    In two steps, so that a group with most of the rows is spread over `salts` windows first; what those leave is bounded.
+    """
+    key = F.md5(F.col(ident).cast("string"))
+    rows = df.select(group, ident).where(F.col(ident).isNotNull()).distinct().withColumn("__key", key).withColumn("__salt", F.pmod(F.xxhash64(ident), F.lit(salts)))
+    for by in ([group, "__salt"], [group]):
+        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy("__key", ident))).where(F.col("__nth") <= most)
+    return rows.select(group, ident)

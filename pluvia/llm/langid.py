@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import small_batches
+from pluvia.llm.common import first_by_digest, small_batches
 
 #: Labelled documents of a language that a model is fitted on, at most.
 TRAIN_DOCS = 2000
@@ -111,13 +111,13 @@ class Filters:
 def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, rows: int = ROWS, hashes: int = HASHES, ratio: float = RATIO, min_count: int = MIN_COUNT) -> Filters:
     """Filters from rows of (doc_id, text, lang), of which max_docs a language (in the order of a digest of doc_id) are used whole.
 
-    Rows without text or language are left out. Counting, choice of n-grams and filling run on Spark; what
+    Rows without text, language or identifier are left out. Counting, choice of n-grams and filling run on Spark; what
     comes to the driver are the languages and the filter's rows, of which there are `rows` times (languages / 64) at most.
     """
     small_batches(labelled.sparkSession)
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", F.md5("text"))
     known = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = known.select("doc_id", "lang", "text").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_docs).select("lang", "text")
+    chosen = first_by_digest(known, "lang", "doc_id", F.lit(max_docs))
+    picked = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")  # max_docs rows a language at most
 
     def count(batches):
         for b in batches:

@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import small_batches
+from pluvia.llm.common import first_by_digest, small_batches
 
 #: Bounds of the training sample: toxic and clean documents, and characters of one (longer ones aren't drawn).
 TRAIN_DOCS, TRAIN_CHARS = (800, 2000), 10_000
@@ -20,6 +20,8 @@ WIDTH, STEP = 32, 24
 WORD_ROWS, CHAR_ROWS, EMBED, HIDDEN, ATTEND = 1 << 14, 1 << 15, 8, 8, 8
 #: Lengths of the character n-grams of a word (with its bounds marked).
 GRAMS = (3, 5)
+#: Steps of training, about, for a small sample.
+STEPS = 450
 #: Words whose input is kept ready in a task, at most.
 _READY = 150_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -93,7 +95,7 @@ class Network:
         H, D = HIDDEN, 2 * EMBED
         draw = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
         self.p = {
-            "words": draw(WORD_ROWS, EMBED, scale=0.1), "chars": draw(CHAR_ROWS, EMBED, scale=0.1),
+            "words": np.zeros((WORD_ROWS, EMBED), np.float32), "chars": np.zeros((CHAR_ROWS, EMBED), np.float32),  # what training hasn't seen adds nothing
             "in": draw(D, 6 * H, scale=D**-0.5), "bias": np.zeros(6 * H, np.float32), "uf": draw(H, 3 * H, scale=H**-0.5), "ub": draw(H, 3 * H, scale=H**-0.5),
             "att": draw(2 * H, ATTEND, scale=(2 * H) ** -0.5), "att_b": np.zeros(ATTEND, np.float32), "att_v": draw(ATTEND, scale=1.0),
             "out": draw(2 * H, scale=(2 * H) ** -0.5), "out_b": np.zeros(1, np.float32),
@@ -220,9 +222,9 @@ class Network:
         return np.concatenate(out)
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = 11, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network | None:
+def train(texts: list[str], toxic: list[int], epochs: int | None = None, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network | None:
     """Multiple-instance learning: a text is toxic if a window is. First random windows stand for their texts, then the highest-scored one
-    (and a random one of each clean text). None if the labels are all alike. Deterministic for a seed and an order of rows."""
+    (and a random one of each clean text). A small sample is gone over more often, for about STEPS steps in all. None if the labels are all alike."""
     y = np.array(toxic, np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -242,12 +244,14 @@ def train(texts: list[str], toxic: list[int], epochs: int = 11, batch: int = 128
     number = np.diff(np.append(first, len(owner)))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
+    epochs = epochs or min(60, max(11, STEPS * batch // (2 * len(first))))
+    warm = max(1, 3 * epochs // 11)
     for epoch in range(epochs):
         random = first + (r.random(len(first)) * number).astype(np.int64)
-        if epoch < 3:
+        if epoch < warm:
             chosen = np.concatenate([random, first + (r.random(len(first)) * number).astype(np.int64)])
         else:
-            if epoch % 2:  # choose anew every other time
+            if epoch == warm or epoch % 2:  # choose anew every other time
                 table = np.concatenate([net.project(words[i : i + 20_000]) for i in range(0, len(words), 20_000)])
                 logit = net.logits(table, flat, at, size)
                 top = np.array([f + int(np.argmax(logit[f : f + n])) for f, n in zip(first, number)])
@@ -281,8 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: tuple[int, int] = TRAIN_DO
     Labels choose first, so that only the chosen rows of documents move. A doc_id with both labels counts as toxic.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    picked = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.when(F.col("toxic") == 1, max_docs[0]).otherwise(max_docs[1])).where(F.col("nth") <= max(max_docs)).drop("nth")
+    picked = first_by_digest(known, "toxic", "doc_id", F.when(F.col("toxic") == 1, max_docs[0]).otherwise(max_docs[1]))
     rows = docs.select("doc_id", "text").where(F.char_length("text") <= max_chars).join(F.broadcast(picked), "doc_id").toArrow()
     got = sorted(set(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), rows.column("toxic").to_pylist())))
     return train([t for _, t, _ in got], [k for _, _, k in got], **how)
