@@ -25,3 +25,37 @@ def test_symbolic_search_finds_the_form(spark):
     df = spark.range(400).select(((F.col("id") - 200) / 40).alias("x")).withColumn("y", 3 * F.col("x") * F.col("x") + 1)
     best = discover.symbolic_search(df, "y", ["x"], ["sin", "exp", "square"], ["+", "*"]).orderBy("loss", "complexity").first()
     assert best.loss < 1e-6 and ("square(x)" in best.equation or "(x * x)" in best.equation)
+
+
+def test_physics_gradients():
+    from pluvia.operators.physics import Net
+
+    net, r = Net((5, 4), 1), np.random.default_rng(2)
+    t, c, d = r.random(7), r.standard_normal(7), r.standard_normal(7)
+    _, _, kept = net.forward(t)
+    grads = net.backward(kept, c, d)
+
+    def value():
+        y, dy, _ = net.forward(t)
+        return float(c @ y + d @ dy)
+
+    for k, (w, b) in enumerate(zip(net.w, net.b)):
+        for p, got in ((w, grads[k][0]), (b, grads[k][1])):
+            i = tuple(int(r.integers(0, s)) for s in p.shape)
+            kept_p = p[i]
+            p[i] = kept_p + 1e-6
+            up = value()
+            p[i] = kept_p - 1e-6
+            down = value()
+            p[i] = kept_p
+            assert abs((up - down) / 2e-6 - got[i]) < 1e-6
+
+
+def test_the_law_of_motion_helps(spark):
+    from pluvia.operators import evaluate, physics
+    from pluvia.sources.generate import noisy_projectile
+
+    history = physics.sweep(noisy_projectile(spark, 20, sd=0.75, seed=3), [0.0, 1.5], epochs=1200).cache()
+    assert history.count() == 24
+    last = {r.lambda_ode: r for r in evaluate.last_losses(history, ["lambda_ode"], "epoch", ["rmse", "ode"]).collect()}
+    assert last[1.5].rmse < last[0.0].rmse and last[1.5].ode < last[0.0].ode
