@@ -85,3 +85,13 @@ def sindy_normal_equations(spark, d):
     e = derivative(e, ["user_id"], "h", ["x"], ("event_id",)).where("d_x IS NOT NULL").withColumn("d_x", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("d_x"))))
     got = discover.normal_equations(e, ["x"], ["d_x"], degree=2)
     return got.select(*[r(c, 6).alias(c) for c in got.columns])
+
+
+@query("""WITH p AS (SELECT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 8.64e10 / 15 AS t, value / 10 AS h FROM events)
+SELECT user_id, round(avg(pow(h - (1 + 10 * t - 4.9 * t * t), 2)), 5) AS data, round(avg(pow(h - (10 - 9.8 * t), 2)), 5) AS ode, round(pow(arg_min(h, t) - 1, 2), 6) AS start FROM p GROUP BY user_id""")
+def physics_losses(spark, d):
+    from pluvia.functions.expressions import projectile
+
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 8.64e10 / 15
+    p = events(spark, d).select("user_id", t.alias("t"), (F.col("value") / 10).alias("h")).withColumn("truth", projectile(F.col("t"), 1.0, 10.0, 9.8))
+    return evaluate.physics_losses(p, ["user_id"], "t", "h", "h", "truth", 1.0, 10.0, 9.8).select("user_id", r("data", 5).alias("data"), r("ode", 5).alias("ode"), r("start", 6).alias("start"))

@@ -171,3 +171,24 @@ def slice_whole_days(spark, d):
 @query("""SELECT event_id, ts, round(value, 4) AS value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'""")
 def between_instants(spark, d):
     return ts.between_instants(events(spark, d), "ts", "2024-01-05 00:00:00", "2024-01-10 00:00:00").select("event_id", "ts", r("value").alias("value"))
+
+
+@query("""WITH m AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(sin(radians(value * 3.6))) AS y, avg(cos(radians(value * 3.6))) AS x FROM events GROUP BY ALL),
+a AS (SELECT *, degrees(atan2(y, x)) AS d FROM m WHERE abs(x) + abs(y) > 1e-6) SELECT user_id, day::VARCHAR AS day, round(CASE WHEN d < 0 THEN d + 360 ELSE d END, 3) AS direction FROM a""")
+def mean_direction(spark, d):
+    e = events(spark, d).withColumn("deg", F.col("value") * 3.6)
+    x, y = F.avg(F.cos(F.radians("deg"))), F.avg(F.sin(F.radians("deg")))
+    got = e.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(ts.mean_direction(F.col("deg")).alias("direction"), (F.abs(x) + F.abs(y)).alias("size"))
+    return got.where("size > 1e-6").select("user_id", "day", r("direction", 3).alias("direction"))
+
+
+@query("""WITH l AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 - epoch_us(ts) / 1e6 AS s FROM events)
+SELECT user_id, round(sum(value * least(coalesce(s, 0), 3600) / 3600), 3) AS amount FROM l GROUP BY user_id""")
+def time_weighted_total(spark, d):
+    return ts.integrate_rate(events(spark, d), ["user_id"], "ts", "value", tie=TIE).groupBy("user_id").agg(r(F.sum("amount"), 3).alias("amount"))
+
+
+@query("""SELECT 'value' AS value, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events
+UNION ALL SELECT 'user_id', round(avg(user_id), 6), round(stddev_pop(user_id), 6) FROM events""")
+def normalization_stats(spark, d):
+    return ts.normalization(events(spark, d), ["value", "user_id"]).select("value", r("mean", 6).alias("mean"), r("deviation", 6).alias("deviation"))

@@ -47,9 +47,9 @@ def cross_entropy(probability: Column, label: Column) -> Column:
     return F.avg(-(label * log(probability) + (1 - label) * log(1 - probability)))
 
 
-def physics_losses(df: DataFrame, t: str, h: str, rate: str, truth: str, h0: float, v0: float, g: float) -> DataFrame:
-    """data, ode and start losses of a predicted trajectory against h' = v0 - g t and h(0) = h0."""
-    return df.agg(
+def physics_losses(df: DataFrame, keys: list[str], t: str, h: str, rate: str, truth: str, h0: float, v0: float, g: float) -> DataFrame:
+    """data, ode and start losses of predicted trajectories against h' = v0 - g t and h(0) = h0."""
+    return df.groupBy(*keys).agg(
         F.avg(F.pow(F.col(h) - F.col(truth), 2)).alias("data"), F.avg(F.pow(F.col(rate) - (F.lit(v0) - F.lit(g) * F.col(t)), 2)).alias("ode"), F.pow(F.min_by(h, t) - F.lit(h0), 2).alias("start")
     )
 

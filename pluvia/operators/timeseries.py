@@ -25,11 +25,17 @@ def so_far(keys: list[str], ts: str, *tie: str) -> WindowSpec:
     return series(keys, ts, *tie).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def mean_direction(degrees: Column) -> Column:
+    """Direction of the mean vector, 0 to 360: what "mean" of directions is not across north."""
+    a = F.degrees(F.atan2(F.avg(F.sin(F.radians(degrees))), F.avg(F.cos(F.radians(degrees)))))
+    return F.when(a < 0, a + 360).otherwise(a)
+
+
 def aggregate(rule: str, c: str) -> Column:
     """sum of nothing is 0; mean, max and min of nothing are null; mode ignores nulls and takes the smallest of ties."""
     return {
         "sum": lambda: F.coalesce(F.sum(c), F.lit(0.0)), "mean": lambda: F.avg(c), "max": lambda: F.max(c), "min": lambda: F.min(c),
-        "mode": lambda: F.mode(c, True), "count": lambda: F.count(c), "first": lambda: F.first(c, True),
+        "mode": lambda: F.mode(c, True), "count": lambda: F.count(c), "first": lambda: F.first(c, True), "direction": lambda: mean_direction(F.col(c)),
     }[rule]()
 
 
@@ -182,3 +188,15 @@ def derivative(df: DataFrame, keys: list[str], ts: str, values: list[str], tie:
         return F.try_divide(hi - lo, span)
 
     return df.withColumns({f"d_{v}": diff(v) for v in values})
+
+
+def integrate_rate(df: DataFrame, keys: list[str], ts: str, rate: str, longest: float = 3600, tie: tuple[str, ...] = (), out: str = "amount") -> DataFrame:
+    """Amount of a rate per hour until the next row, at most `longest` seconds; a sum of rates is no amount, a sum of these is."""
+    span = seconds(F.lead(ts).over(series(keys, ts, *tie))) - seconds(F.col(ts))
+    return df.withColumn(out, F.col(rate) * F.least(F.coalesce(span, F.lit(0.0)), F.lit(float(longest))) / 3600)
+
+
+def normalization(df: DataFrame, values: list[str]) -> DataFrame:
+    """One row a value: mean and population deviation, from one pass."""
+    row = df.agg(*[f(v).alias(f"{n}_{i}") for i, v in enumerate(values) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(v).alias("value"), F.col(f"m_{i}").alias("mean"), F.col(f"s_{i}").alias("deviation")) for i, v in enumerate(values)])))
