@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import SPACE
-from pluvia.llm.repeats import Kind, hashed, repeats, union
+from pluvia.llm.repeats import Kind, hashed, repeats, union, unpacked
 
-#: Words of a window; rounds of recompression.
-WINDOW, ROUNDS = 50, 4
+#: Words of a window; rounds of recompression; neighbouring symbols of the highest level that are an anchor together.
+WINDOW, ROUNDS, CHAIN = 50, 4, 3
 _PIECE = 1 << 18
 
 
@@ -50,14 +50,22 @@ def rounds(names: np.ndarray, n_rounds: int):
 
 
 def anchors(words: list[bytes], window: int = WINDOW, n_rounds: int = ROUNDS):
-    """Blocks of (first window, number of windows, anchor): the smallest name among the symbols of the highest level that the
-    window's own words determine. Single words are the lowest level, so every window has one."""
+    """Blocks of (first window, number of windows, anchor): the smallest name among the chains of symbols of the highest level
+    that the window's own words determine; where it determines no chain, among its symbols of the highest level that it does.
+    Single words are the lowest level, so every window has one. Chains are long enough to be rarely shared by chance."""
     for at in range(0, len(words) - window + 1, _PIECE):
         part = words[at : at + _PIECE + window - 1]
         n = len(part) - window + 1
         names = np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part))
         found, left = np.zeros(n, np.uint64), np.ones(n, bool)
-        for level, (s, lo, hi) in reversed(list(enumerate(rounds(names, n_rounds)))):
+        levels = list(rounds(names, n_rounds))
+        s, lo, hi = levels[-1]
+        if len(s) >= CHAIN:
+            chain = s[: len(s) - CHAIN + 1].copy()
+            for j in range(1, CHAIN):
+                chain = _mix(chain) + s[j : len(s) - CHAIN + 1 + j]
+            levels.append((_mix(chain), lo[: len(chain)], hi[CHAIN - 1 :]))
+        for level, (s, lo, hi) in reversed(list(enumerate(levels))):
             # windows are [p, p + window): the first symbol determined from p on, the last determined by p + window
             first = np.cumsum(np.bincount(np.clip(lo + 1, 0, len(part) + 1), minlength=len(part) + 2))[:n]
             last = np.cumsum(np.bincount(np.clip(hi, 0, len(part) + 1), minlength=len(part) + 2))[window : window + n]
@@ -91,7 +99,7 @@ def kind(window: int = WINDOW, n_rounds: int = ROUNDS) -> Kind:
         ends = np.append(np.flatnonzero(np.frombuffer(seg, np.uint8) == 32), len(seg)).tolist()
         return [(ends[i - 1] + 1 if i else 0, ends[i + window - 1]) for i in range(len(ends) - window + 1)]
 
-    return Kind(window, _units, lambda words: anchors(words, window, n_rounds), lambda words, a, b: b" ".join(words[a:b]), windows, hashed(windows, window))
+    return Kind(window, _units, lambda words: anchors(words, window, n_rounds), lambda words, a, b: b" ".join(words[a:b]), lambda seg: seg.count(b" ") + 1, windows, hashed(windows, window))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS, **limits) -> DataFrame:
@@ -110,7 +118,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS, **limit
         for b in batches:
             out = []
             for doc_id, text, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "parts"))):
-                words = _units(text)
+                words = unpacked(text).split()
                 gone = union(parts, len(words), window)
                 stays, at = [], 0
                 for x, y in gone:

@@ -5,8 +5,9 @@ every window an anchor, a hash that depends on the window's own units alone, and
 
 1. An anchor that only one text has can have no repeated window; a grouping tells which anchors several texts have.
 2. For those, segments go out: the units under a stretch of windows with the same anchor. Equal windows have equal
-   anchors, so they meet, and equal segments are one row from then on, with the smallest identifier that has them.
-3. Shards of whole anchors compare windows unit by unit and tell which parts of a segment an earlier document has.
+   anchors, so they meet.
+3. Shards of whole anchors compare windows unit by unit (equal segments once) and tell which parts of a segment an earlier
+   document has. An anchor with very many segments is no shard: its windows are grouped a row each.
 4. The parts go back to the documents, where their union is removed.
 
 Exact copies need no windows: all but the copy with the smallest identifier lose everything, if a window fits in.
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from pluvia.llm.common import checkpoint, small_batches
 
 #: Bits of the filter of shared anchors that tasks get (32 MB); with more than MOST_ANCHORS, anchors are joined to their documents instead.
 MOST_BITS, MOST_ANCHORS = 1 << 28, 1 << 25
-#: Distinct segments of one anchor that a shard's task takes. Those of an anchor with more are compared a window a row.
+#: Segments of one anchor that a shard's task takes. Those of an anchor with more are compared a window a row.
 MOST_SEGMENTS = 50_000
 #: Bytes of segments that a shard's task compares at a time, about.
 SHARD_BYTES = 1 << 20
@@ -37,12 +39,13 @@ _END = 1 << 60
 @dataclass
 class Kind:
     """units: text -> sequence; anchors: sequence -> blocks of (first window, number of windows, anchor), all windows covered;
-    cut: sequence, from, to -> bytes; windows: segment bytes -> the byte range of each window; compare: see hashed()."""
+    cut: sequence, from, to -> bytes; size: segment bytes -> units; windows: segment bytes -> the byte range of each window; compare: see hashed()."""
 
     window: int
     units: Callable
     anchors: Callable
     cut: Callable
+    size: Callable
     windows: Callable
     compare: Callable
 
@@ -85,7 +88,7 @@ def _segments(docs: DataFrame, kind: Kind, shared: DataFrame, n_shared: int, mos
         source = docs.withColumn("shared", F.lit(None).cast("array<long>"))
     else:
         filled = None
-        own = _anchors(docs, kind).join(shared, "anchor").groupBy("tkey").agg(F.collect_set("anchor").alias("shared"))
+        own = _anchors(docs, kind, every=True).join(shared, "anchor").groupBy("tkey").agg(F.collect_set("anchor").alias("shared"))
         source = docs.join(own, "tkey")
 
     def run(batches):
@@ -105,31 +108,53 @@ def _segments(docs: DataFrame, kind: Kind, shared: DataFrame, n_shared: int, mos
                         at, n = int(first[i]), int(count[i]) + window - 1
                         seg = kind.cut(seq, at, at + n)
                         size += len(seg)
-                        out.append((oid, tkey, int(anchor[i : i + 1].view(np.int64)[0]), at, n, xxhash.xxh3_128_digest(seg), seg))
+                        out.append((oid, tkey, int(anchor[i : i + 1].view(np.int64)[0]), at, seg))
                     if size > 1 << 22:
                         yield _batch(out, _SEGMENT)
                         out, size = [], 0
             if out:
                 yield _batch(out, _SEGMENT)
 
-    return source.select("oid", "tkey", "text", "shared").mapInArrow(run, "oid long, tkey long, anchor long, at long, n long, segkey binary, seg binary")
+    return source.select("oid", "tkey", "text", "shared").mapInArrow(run, "oid long, tkey long, anchor long, at long, seg binary")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
-_PART = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_SEGMENT = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("anchor", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("segkey", pa.binary()), ("seg", pa.binary())])
-_VERDICT = pa.schema([("anchor", pa.int64()), ("segkey", pa.binary()), ("least", pa.int64()), ("parts", _PART)])
+_SEGMENT = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("anchor", pa.int64()), ("at", pa.int64()), ("seg", pa.binary())])
+_SPAN = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_SPANS = "oid long, tkey long, a long, b long"
 
 
-def _anchors(docs: DataFrame, kind: Kind) -> DataFrame:
-    """anchor, tkey: once a text."""
+def _anchors(docs: DataFrame, kind: Kind, every: bool = False) -> DataFrame:
+    """bucket, anchor, tkey, k. Of a stretch of texts an anchor's smallest and largest tkey go out alone (all of them: every); k adds up to its texts.
+
+    They travel as arrays by bucket, a few bytes an anchor, and are dealt by bucket, so grouping by (bucket, anchor) moves nothing more.
+    """
+    buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def packed(anchor: np.ndarray, tkey: np.ndarray):
+        k = np.ones(len(anchor), np.int32)
+        if not every:
+            order = np.lexsort((tkey, anchor))
+            anchor, tkey = anchor[order], tkey[order]
+            new = np.append(True, anchor[1:] != anchor[:-1])
+            start = np.flatnonzero(new)
+            k[start] = np.diff(np.append(start, len(anchor)))
+            last = np.append(new[1:], True)
+            k[last & ~new] = 0
+            edge = new | last
+            anchor, tkey, k = anchor[edge], tkey[edge], k[edge]
+        home = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((tkey, home))
+        home = home[order]
+        cuts = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(home[cuts[:-1]]), *[pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[order])) for x in (anchor, tkey, k)]], ["bucket", "anchors", "tkeys", "ks"])
 
     def run(batches):
+        keys, texts, size = [], [], 0
         for b in batches:
-            keys, texts, size = [], [], 0
             for tkey, text in zip(b.column("tkey").to_pylist(), b.column("text").to_pylist()):
                 for _, _, anchor in kind.anchors(kind.units(text)):
                     a = np.unique(anchor)
@@ -137,12 +162,13 @@ def _anchors(docs: DataFrame, kind: Kind) -> DataFrame:
                     texts.append(np.full(len(a), tkey, np.int64))
                     size += len(a)
                     if size > 1 << 18:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(texts))], ["anchor", "tkey"])
+                        yield packed(np.concatenate(keys), np.concatenate(texts))
                         keys, texts, size = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(texts))], ["anchor", "tkey"])
+        if size:
+            yield packed(np.concatenate(keys), np.concatenate(texts))
 
-    return docs.select("tkey", "text").mapInArrow(run, "anchor long, tkey long")
+    rows = docs.select("tkey", "text").mapInArrow(run, "bucket int, anchors array<long>, tkeys array<long>, ks array<int>").repartition("bucket")
+    return rows.select("bucket", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("tkeys").alias("tkey"), F.col("ks").alias("k"))))
 
 
 def hashed(kind_windows: Callable, window: int):
@@ -176,95 +202,107 @@ def hashed(kind_windows: Callable, window: int):
     return compare
 
 
-def _verdicts(segments: DataFrame, kind: Kind, most_segments: int) -> DataFrame:
-    """anchor, segkey, least, parts of each distinct segment."""
-    distinct = checkpoint(segments.groupBy("anchor", "segkey").agg(F.min("oid").alias("least"), F.first("seg").alias("seg")))
-    hot = checkpoint(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most_segments).select("anchor"))
+def _spans(segments: DataFrame, kind: Kind, hot: DataFrame) -> DataFrame:
+    """oid, tkey, a, b: units of a document that a document with a smaller identifier has too, segment by segment. hot: anchors that are no shards."""
     any_hot = bool(hot.take(1))
-    cold = distinct.join(hot, "anchor", "left_anti") if any_hot else distinct
+    cold = segments.join(hot, "anchor", "left_anti") if any_hot else segments
 
     def shard(batches):
-        groups, keys, size = [], [], 0
-        anchor, group, own = None, [], []
+        rows: list[tuple] = []  # of the anchor at hand, ordered by segment
+        waiting: list[tuple[list, list, list]] = []  # groups to compare: segments with their least identifiers, rows, each row's segment
+        anchor, size = None, 0
 
         def close():
             nonlocal size
+            group: list[tuple[int, bytes]] = []
+            which = []
+            for row in rows:
+                if not group or group[-1][1] != row[3]:
+                    group.append((row[0], row[3]))
+                elif row[0] < group[-1][0]:
+                    group[-1] = (row[0], row[3])
+                which.append(len(group) - 1)
             if len(group) > 1:
-                groups.append(list(group))
-                keys.append((anchor, list(own)))
+                waiting.append((group, list(rows), which))
                 size += sum(len(s) + 1 for _, s in group)
                 return []
-            return [(anchor, k, x[0], []) for k, x in zip(own, group)]
+            return whole(group, rows, which)
+
+        def whole(group, rows, which):
+            return [(oid, tkey, at, at + kind.size(seg)) for (oid, tkey, at, seg), k in zip(rows, which) if oid > group[k][0]]
 
         def flush():
-            out = [(a, k, least, [{"a": x, "b": y} for x, y in p]) for (a, ks), g, parts in zip(keys, groups, kind.compare(groups)) for k, (least, _), p in zip(ks, g, parts)]
-            groups.clear()
-            keys.clear()
+            out = []
+            for (group, own, which), parts in zip(waiting, kind.compare([g for g, _, _ in waiting])):
+                out += whole(group, own, which)
+                out += [(oid, tkey, at + a, at + b) for (oid, tkey, at, _), k in zip(own, which) if oid == group[k][0] for a, b in parts[k]]
+            waiting.clear()
             return out
 
         for b in batches:
             out = []
-            for a, k, least, seg in zip(*(b.column(c).to_pylist() for c in ("anchor", "segkey", "least", "seg"))):
+            for a, *row in zip(*(b.column(c).to_pylist() for c in ("anchor", "oid", "tkey", "at", "seg"))):
                 if a != anchor:
                     out += close()
-                    anchor, group, own = a, [], []
+                    anchor, rows = a, []
                     if size > SHARD_BYTES:
                         out += flush()
                         size = 0
-                group.append((least, seg))
-                own.append(k)
+                rows.append(tuple(row))
             if out:
-                yield _batch(out, _VERDICT)
+                yield _batch(out, _SPAN)
         out = close() + flush()
         if out:
-            yield _batch(out, _VERDICT)
+            yield _batch(out, _SPAN)
 
-    kinds = "anchor long, segkey binary, least long, parts array<struct<a: long, b: long>>"
-    found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, kinds)
+    found = cold.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(shard, _SPANS)
     if not any_hot:
         return found
 
     def explode(batches):
-        names = ["anchor", "segkey", "least", "i", "w"]
         for b in batches:
-            for a, k, least, seg in zip(*(b.column(c).to_pylist() for c in ("anchor", "segkey", "least", "seg"))):
+            for oid, tkey, at, seg in zip(*(b.column(c).to_pylist() for c in ("oid", "tkey", "at", "seg"))):
                 w = [xxhash.xxh3_128_digest(seg[x:y]) for x, y in kind.windows(seg)]
                 n = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array([a] * n, pa.int64()), pa.array([k] * n, pa.binary()), pa.array([least] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(w, pa.binary())], names)
-
-    def joined(batches):
-        for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("anchor", "segkey", "least", "starts")))
-            yield _batch([(a, k, least, [{"a": x, "b": y} for x, y in spans_of(np.array(sorted(s), np.int64), kind.window)]) for a, k, least, s in rows], _VERDICT)
+                yield pa.RecordBatch.from_arrays([pa.array([oid] * n, pa.int64()), pa.array([tkey] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(w, pa.binary())], ["oid", "tkey", "a", "w"])
 
-    each = distinct.join(hot, "anchor", "left_semi").mapInArrow(explode, "anchor long, segkey binary, least long, i long, w binary")
-    first = each.groupBy("w").agg(F.min("least").alias("first"))
-    late = each.join(first, "w").groupBy("anchor", "segkey", "least").agg(F.collect_list(F.when(F.col("first") < F.col("least"), F.col("i"))).alias("starts"))
-    return found.unionByName(late.mapInArrow(joined, kinds))
+    each = segments.join(hot, "anchor", "left_semi").mapInArrow(explode, "oid long, tkey long, a long, w binary")
+    first = each.groupBy("w").agg(F.min("oid").alias("first"))
+    return found.unionByName(each.join(first, "w").where("first < oid").select("oid", "tkey", "a", (F.col("a") + kind.window).alias("b")))
 
 
 def repeats(docs: DataFrame, kind: Kind, same: Column, most_anchors: int = MOST_ANCHORS, most_segments: int = MOST_SEGMENTS) -> DataFrame:
-    """doc_id, text -> doc_id, text, parts (array of (a, b), units to remove, unsorted and overlapping; null: none).
+    """doc_id, text -> doc_id, text (compressed: unpacked()), parts (array of (a, b), units to remove, unsorted and overlapping; null: none).
 
     same: a digest of the text as a Column; texts with equal digests are copies. A null text is an empty one. A null
     identifier counts as larger than any other. Rows with the same identifier don't repeat each other.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_END)).alias("oid"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    shared = checkpoint(_anchors(rows, kind).groupBy("anchor").agg(F.min("tkey").alias("x"), F.max("tkey").alias("y")).where("x != y").select("anchor"))
-    segments = checkpoint(_segments(rows, kind, shared, shared.count(), most_anchors))
-    verdicts = _verdicts(segments, kind, most_segments)
-    part = F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b"))
-    moved = F.transform("parts", lambda p: F.struct((F.col("at") + p["a"]).alias("a"), (F.col("at") + p["b"]).alias("b")))
-    found = (
-        segments.drop("seg").join(verdicts, ["anchor", "segkey"])
-        .select("oid", "tkey", F.explode(F.when(F.col("oid") > F.col("least"), F.array(part)).otherwise(moved)).alias("part"))
-    )
+    grouped = _anchors(rows, kind).groupBy("bucket", "anchor").agg(F.min("tkey").alias("x"), F.max("tkey").alias("y"), F.sum("k").alias("k"))
+    shared = checkpoint(grouped.where("x != y").select("anchor", "k"))
+    hot = shared.where(F.col("k") > most_segments).select("anchor")
+    segments = _segments(rows, kind, shared.select("anchor"), shared.count(), most_anchors)
+    found = _spans(segments, kind, hot).select("oid", "tkey", F.struct("a", "b").alias("part"))
     digests = checkpoint(rows.select("oid", "tkey", same.alias("digest")).distinct())
     first = digests.groupBy("digest").agg(F.min("oid").alias("first"))
     copies = digests.join(first, "digest").where("oid > first").select("oid", "tkey", F.struct(F.lit(0).cast("long").alias("a"), F.lit(_END).cast("long").alias("b")).alias("part"))
     parts = found.unionByName(copies).groupBy("oid", "tkey").agg(F.collect_list("part").alias("parts"))
-    return rows.join(parts, ["oid", "tkey"], "left").select("doc_id", "text", "parts")
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            packed = pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("oid"), b.column("tkey"), packed], ["doc_id", "oid", "tkey", "packed"])
+
+    # whole texts move once, to meet their parts, and move compressed
+    texts = rows.select("doc_id", "oid", "tkey", "text").mapInArrow(pack, "doc_id long, oid long, tkey long, packed binary")
+    return texts.join(parts, ["oid", "tkey"], "left").select("doc_id", F.col("packed").alias("text"), "parts")
+
+
+def unpacked(text: bytes) -> bytes:
+    """UTF-8 of a text that repeats() returned."""
+    return zstandard.ZstdDecompressor().decompress(text)
 
 
 def union(parts: Iterable[dict] | None, n: int, window: int) -> list[tuple[int, int]]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.repeats import Kind, repeats, spans_of, union
+from pluvia.llm.repeats import Kind, repeats, spans_of, union, unpacked
 
 #: Bytes of a window, and of the strings whose smallest hash in a window is its anchor.
 WINDOW, GRAM = 50, 16
@@ -182,15 +182,21 @@ def _spread() -> np.ndarray:
 
 
 def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM):
-    """Blocks of (first window, number of windows, anchor): the smallest hash of the window's strings of `gram` bytes (a power of two)."""
+    """Blocks of (first window, number of windows, anchor): the smallest hash of the window's strings of `gram` bytes."""
     table, wide = _spread(), window - gram + 1
     for at in range(0, len(data) - window + 1, _PIECE):
         h = table[np.frombuffer(data[at : at + _PIECE + window - 1], np.uint8)]
-        size, factor = 1, 0x9E3779B97F4A7C15
-        while size < gram:
-            h = h[:-size] * np.uint64(factor) + h[size:]
+        # hashes of 1, 2, 4, ... bytes; those whose sizes add up to gram are strung together
+        size, factor, done, whole = 1, 0x9E3779B97F4A7C15, 0, None
+        while size <= gram:
+            if gram & size:
+                whole = h if whole is None else whole[: len(h) - done] * np.uint64(factor) + h[done:]
+                done += size
+            if 2 * size <= gram:
+                h = h[:-size] * np.uint64(factor) + h[size:]
             factor = factor * factor % (1 << 64)
             size *= 2
+        h = whole.copy()
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
@@ -206,7 +212,7 @@ def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM):
 
 def kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
     return Kind(
-        window, lambda text: text.encode("utf-8", "surrogatepass"), lambda data: anchors(data, window, gram), lambda data, a, b: data[a:b],
+        window, lambda text: text.encode("utf-8", "surrogatepass"), lambda data: anchors(data, window, gram), lambda data, a, b: data[a:b], len,
         lambda seg: [(i, i + window) for i in range(len(seg) - window + 1)], lambda groups: compare(groups, window),
     )
 
@@ -225,7 +231,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **limits) ->
         for b in batches:
             out = []
             for doc_id, text, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "parts"))):
-                data = text.encode("utf-8", "surrogatepass")
+                data = unpacked(text)
                 gone = union(parts, len(data), window)
                 ends = [0, *(y for _, y in gone)]
                 kept = b"".join([data[a:x] for a, (x, _) in zip(ends, gone)] + [data[ends[-1] :]])
