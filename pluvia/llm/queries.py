@@ -113,4 +113,13 @@ z AS (SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source, key, do
 y AS (SELECT *, CASE WHEN 2 * ends - size <= 3 * (SELECT sum(size) FROM d) THEN 1 ELSE 0 END AS inn FROM z)
 SELECT doc_id, size, source_size, target, (sum(inn) * size)::BIGINT AS taken, source, sum(inn)::BIGINT AS copies
 FROM y GROUP BY doc_id, source, size, source_size, target""",
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS u FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(u) - 48)) AS i, unnest(list_transform(range(1, len(u) - 48), lambda j: md5_number(array_to_string(u[j:j + 49], ' ')))) AS k FROM d),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM p),
+w AS (SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS x FROM d),
+c AS (SELECT w.doc_id, w.i, w.x, coalesce(max(CASE WHEN f.first < f.doc_id THEN f.i END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS UNBOUNDED PRECEDING) > w.i - 50, false) AS gone FROM w LEFT JOIN f ON f.doc_id = w.doc_id AND f.i = w.i),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, sha256(coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM r GROUP BY 1)
+SELECT d.doc_id, len(u)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)""",
 }
