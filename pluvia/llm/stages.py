@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvia.llm import bpe, langid, simhash
-from pluvia.llm.common import ascii_lower, shared_folder, small_batches
+from pluvia.llm.common import ascii_lower, small_batches
 from pluvia.llm.exact_dedup import exact_dedup
 from pluvia.llm.mixing import mix
 
@@ -17,13 +15,6 @@ from pluvia.llm.mixing import mix
 LEAST_COVERAGE, LEAST_GRAMS = 0.2, 20
 
 
-def written(docs: DataFrame) -> DataFrame:
-    """Written as Parquet to a folder of its own in the shared checkpoint folder, and read again."""
-    path = f"{shared_folder(docs.sparkSession)}/stage-{uuid.uuid4().hex}"
-    docs.write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
-
-
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -60,41 +51,43 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _keep(docs: DataFrame, key: dict[str, Column], kept: DataFrame) -> DataFrame:
-    """Rows of docs whose key is in kept, repeated rows (same key, same text) once."""
+def _named(c: Column) -> Column:
+    """A value as a string that is never null, so that joins and windows on it share one dealing of the rows."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+
+
+def _keep(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose key (never null) is in kept's column __key, repeated rows (same key, same text) once. Texts move once."""
     columns = docs.columns
-    keyed = docs.withColumns(key).withColumn("__text", F.xxhash64("text"))
-    held = kept
-    for k in key:
-        held = held.withColumnRenamed(k, f"{k}r")
-    on = None
-    for k in key:
-        same = F.col(k).eqNullSafe(F.col(f"{k}r"))
-        on = same if on is None else on & same
-    order = Window.partitionBy(*key, "__text").orderBy(*key)
-    return keyed.join(held, on, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*columns)
+    keyed = docs.withColumn("__key", key).withColumn("__text", F.xxhash64("text"))
+    order = Window.partitionBy("__key", "__text").orderBy("__key")
+    return keyed.join(kept, "__key", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (after lower-casing A-Z) the row with the largest doc_id stays."""
-    kept = exact_dedup(docs, keep="largest").where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    return _keep(docs, {"__id": F.col("doc_id"), "__sha": F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)}, kept)
+
+    def key(sha: Column) -> Column:
+        return F.concat_ws("/", _named(F.col("doc_id")), sha)
+
+    kept = exact_dedup(docs, keep="largest").where("kept").select(key(F.col("text_sha256")).alias("__key")).distinct()
+    return _keep(docs, key(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)), kept)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that SimHash links join, the one with the smallest doc_id stays. A null doc_id ranks behind all others."""
     rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 61) + F.shiftrightunsigned(F.xxhash64("text"), 4))
     found = simhash.near_duplicates(docs.select(rid.alias("doc_id"), "text"))
-    return _keep(docs, {"__id": rid}, found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct())
+    return _keep(docs, rid, found.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct())
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that it doesn't take go."""
+    """Each document as often as the mix takes it; documents that it doesn't take go. Texts move once."""
     columns = docs.columns
-    taken = mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("doc_id"))  # apart from 1 for repeated rows only
-    times = docs.join(taken, same).withColumn("__nth", nth).withColumn("__times", F.element_at("__copies", F.col("__nth")).cast("int"))
+    key = F.concat_ws("/", _named(F.col("doc_id")), _named(F.col("source")))
+    taken = mix(docs).groupBy(key.alias("__key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))  # apart from 1 for repeated rows only
+    times = docs.withColumn("__key", key).join(taken, "__key").withColumn("__nth", nth).withColumn("__times", F.element_at("__copies", F.col("__nth")).cast("int"))
     return times.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
 
 
