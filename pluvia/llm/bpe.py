@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pluvia.llm.common import small_batches
 
 #: Characters of text in a chunk, about; a longer document is a chunk of its own.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 12_000_000
 #: The tokenizer's own split of lower-cased text (a fixed value of its file).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT = regex.compile(PATTERN)
