@@ -30,8 +30,8 @@ CHUNK_CHARS = 12_000_000
 #: The tokenizer's own split of lower-cased text (a fixed value of its file).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT = regex.compile(PATTERN)
-#: The same over ASCII.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The same over ASCII. Spaces are listed, since re's \s has U+001C to U+001F too, which the tokenizer's hasn't.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+")
 
 
 class Words:

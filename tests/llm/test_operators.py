@@ -251,6 +251,16 @@ def test_bpe_splits_as_the_library_does():
         assert [i for x in w.split(t) for i in w.ids(x)] == tk.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_bpe_splits_every_ascii_character_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    spec = stages.word_bpe_spec()
+    tk, w = Tokenizer.from_str(spec), bpe.Words(spec)
+    for c in map(chr, range(128)):
+        for t in (c, f"a{c}b", f"ab{c}cd x{c} {c}y{c}{c}"):
+            assert [i for x in w.split(t) for i in w.ids(x)] == tk.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_mixing(docs):
     rows, df = docs
     got = mixing.mix(df).collect()
