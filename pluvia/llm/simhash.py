@@ -23,22 +23,38 @@ TREE = 20_000
 _NULLS = 1 << 62
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64 bits; a bit is set if it is set in over half of the XXH64 (seed 42) of the shingles, repeats included."""
+def shingles(text: str | None, words: int = WORDS):
+    """Blocks of the XXH64 (seed 42) of the text's shingles, repeats included; nothing without words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() changes A-Z alone
     if not w:
-        return 0
+        return
     n, step = max(1, len(w) - words + 1), 1 << 15
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, step):
         upto = min(n, at + step)
         part = w[at : upto + words - 1]
         columns = [part[j : j + upto - at] for j in range(min(words, len(w)))]
-        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*columns))), "<u8", upto - at)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*columns))), "<u8", upto - at)
+
+
+def set_bits(h: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of n."""
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """64 bits; a bit is set if it is set in over half of the shingles' hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingles(text, words):
+        n += len(h)
+        ones += set_bits(h)
+    return majority(ones, n)
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (long: the 64 bits as signed) of every whole text; null: as empty, zero."""
     small_batches(docs.sparkSession)

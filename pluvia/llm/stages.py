@@ -6,10 +6,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pluvia.llm import bpe, langid, simhash
+from pluvia.llm import bpe, langid
 from pluvia.llm.common import ascii_lower, small_batches
 from pluvia.llm.exact_dedup import exact_dedup
 from pluvia.llm.mixing import mix
+from pluvia.llm.near import digest, near_copies
 
 #: Documents of whose trigrams a smaller part is known in any learned language are rejected as being in none of them, if they have enough trigrams to tell.
 LEAST_COVERAGE, LEAST_GRAMS = 0.2, 20
@@ -75,10 +76,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links join, the one with the smallest doc_id stays. A null doc_id ranks behind all others."""
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 61) + F.shiftrightunsigned(F.xxhash64("text"), 4))
-    found = simhash.near_duplicates(docs.select(rid.alias("doc_id"), "text"))
-    return _keep(docs, rid, found.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct())
+    """Of documents that near copies join (five-word shingles, likeness of 0.8 or more, verified) one stays: that with the smallest doc_id.
+
+    A row is known by its doc_id and its text's digest, and ranks by both, a null doc_id behind all others; so rows that share a doc_id are judged each by its own text.
+    """
+
+    def key(t: Column) -> Column:
+        return F.concat_ws("/", _named(F.col("doc_id")), t.cast("string"))
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("first")
+    kept = near_copies(docs).groupBy("component").agg(first).select("first.*").select(key(F.col("t")).alias("__key"))
+    return _keep(docs, key(digest()), kept)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pluvia.llm import bpe, chat_format, components, exact_dedup, fingerprints, langid, mixing, recompression, repeats, simhash, stages, suffix_arrays, toxicity
+from pluvia.llm import bpe, chat_format, components, exact_dedup, fingerprints, langid, mixing, near, recompression, repeats, simhash, stages, suffix_arrays, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, run int, digest string, key string, bucket int, oid long, tkey long, score double, target double, fp long, kept boolean, copies int"
 WORDS = "the of and rain falls on links gauge level storm weather field sensor tower north south wind snow melt river".split()
@@ -402,6 +402,76 @@ def test_stages_keep_what_they_should(spark, docs):
     assert stages.encoding(spark, df, "").count() == len(rows)
 
 
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        w = words(lower(t))
+        out.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def brute_likeness(sets):
+    """Pairs of sets whose Jaccard likeness is 0.8 or more, through the sets that share an element."""
+    by = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(k)
+    pairs = {(a, b) for ks in by.values() for n, a in enumerate(ks) for b in ks[n + 1 :]}
+    return {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def check_near(spark, rows):
+    """Near copies against brute force; every row's text differs, so rows are known by it."""
+    sets = shingle_sets([t for _, t in rows])
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    pairs = brute_likeness(sets)
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    least = {}
+    for k, row in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), row), row)
+    assert sorted((r.doc_id, r.text) for r in stages.near(spark, frame(spark, rows).repartition(4), "").collect()) == sorted(least.values())
+    return pairs, sets
+
+
+def test_near_joins_all_pairs_of_four_fifths(spark):
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for size in (8, 30, 60, 200, 900):
+        for _ in range(12):
+            base = r.choices(vocabulary, k=size)
+            rows.append((len(rows), " ".join(base)))
+            for _ in range(9):
+                other = list(base)
+                for _ in range(r.randint(0, max(1, size // 50))):
+                    other[r.randrange(size)] = r.choice(vocabulary)
+                rows.append((len(rows), " ".join(other) + " " + r.choice(vocabulary)))
+    # a chain, and many variants of one text that aren't all alike
+    chain = r.choices(vocabulary, k=260)
+    rows += [(len(rows) + i, " ".join(chain[4 * i : 4 * i + 100])) for i in range(40)]
+    rows += [(len(rows) + i, " ".join(w if r.random() < 0.985 else r.choice(vocabulary) for w in chain)) for i in range(150)]
+    pairs, sets = check_near(spark, rows)
+    assert sum(len(sets[a] & sets[b]) < 0.9 * len(sets[a] | sets[b]) for a, b in pairs) > 300
+    for a, b in pairs:
+        (fa, ka), (fb, kb) = near.signature(rows[a][1]), near.signature(rows[b][1])
+        assert (ka == kb).any() and (fa ^ fb).bit_count() <= near.RADIUS
+
+
+def test_near_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    once = {lower(t): (i, t) for i, t in docs}
+    pairs, _ = check_near(spark, sorted(once.values()))
+    assert pairs
+
+
 def test_pipeline_runs_its_stages_in_order(spark):
     import corpus_pipeline
 
