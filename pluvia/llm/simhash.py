@@ -19,8 +19,6 @@ WORDS, RADIUS = 3, 2
 BLOCKS = 4
 #: Fingerprints of a tree, about. Larger groups are dealt to several trees, each of which goes to all of the group's queries.
 TREE = 20_000
-#: Stand-ins of documents whose identifier is null begin here.
-_NULLS = 1 << 62
 
 
 def shingles(text: str | None, words: int = WORDS):
@@ -185,7 +183,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     other. A document with a null doc_id keeps it and takes the component of the others; component_id is null where no document of it has an identifier.
     """
     fps = checkpoint(fingerprints(docs, words))
-    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce("least", F.lit(_NULLS) + F.shiftrightunsigned("fp", 2))).select("fp", "node"))
-    found = components(links(nodes, radius))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-    return fps.join(named, "fp").select("doc_id", "fp", F.when(F.col("c") < _NULLS, F.col("c")).alias("component_id"))
+    # a fingerprint is its own node, since one doc_id may have several
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    least = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    return fps.join(named.join(least, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -58,15 +58,14 @@ def _named(c: Column) -> Column:
 
 
 def _keep(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose key (never null) is in kept's column __key, repeated rows (same key, same text) once. Texts move once."""
+    """Rows of docs whose key (never null, and with a digest of what makes texts equal) is in kept's column __key, one row a key. Texts move once."""
     columns = docs.columns
-    keyed = docs.withColumn("__key", key).withColumn("__text", F.xxhash64("text"))
-    order = Window.partitionBy("__key", "__text").orderBy("__key")
-    return keyed.join(kept, "__key", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*columns)
+    order = Window.partitionBy("__key").orderBy(F.xxhash64("text"))
+    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (after lower-casing A-Z) the row with the largest doc_id stays."""
+    """Of equal texts (after lower-casing A-Z) the row with the largest doc_id stays; of rows that share that doc_id too, or have none, one."""
 
     def key(sha: Column) -> Column:
         return F.concat_ws("/", _named(F.col("doc_id")), sha)

@@ -472,6 +472,18 @@ def test_near_on_the_given_documents(spark):
     assert pairs
 
 
+def test_rows_that_share_a_doc_id_are_judged_by_their_texts(spark):
+    base, other = [f"w{i}" for i in range(60)], " ".join(f"x{i}" for i in range(60))
+    a, b = " ".join(base), " ".join([*base[:-1], "end"])
+    kept = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, frame(spark, rows).repartition(3), "").collect()), key=str)
+    assert [i for i, _ in kept(stages.exact, [(7, "Hello"), (7, "hello")])] == [7]
+    assert [i for i, _ in kept(stages.exact, [(None, "Hello"), (None, "hello")])] == [None]
+    assert [i for i, _ in kept(stages.near, [(7, a), (7, b)])] == [7]
+    assert kept(stages.near, [(3, a), (7, b), (7, other)]) == [(3, a), (7, other)]
+    got = simhash.near_duplicates(frame(spark, [(3, a), (7, a), (7, other)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (7, 3), (7, 7)]
+
+
 def test_pipeline_runs_its_stages_in_order(spark):
     import corpus_pipeline
 
