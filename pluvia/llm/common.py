@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +65,29 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_key(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key as a table, from a task's batches in the order of the key; one key is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows - 1, bool)
+        for c in key:
+            x = np.asarray(b.column(c))
+            new |= x[1:] != x[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        if held and any(held[-1].column(c)[-1] != b.column(c)[0] for c in key):
+            yield pa.Table.from_batches(held)
+            held = []
+        for at, upto in zip(cuts, cuts[1:]):
+            if at:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(at, upto - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; all-ASCII texts take the JVM's quick way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

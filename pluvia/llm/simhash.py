@@ -10,14 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import checkpoint, small_batches
+from pluvia.llm.common import by_key, checkpoint, small_batches
 from pluvia.llm.components import components
 
 #: Words of a shingle, and the differing bits at which fingerprints still link.
 WORDS, RADIUS = 3, 2
-#: A fingerprint has so many blocks of bits. Two within the radius agree on at least BLOCKS - RADIUS of them.
-BLOCKS = 4
-#: Fingerprints of a tree, about. Larger groups are dealt to several trees, each of which goes to all of the group's queries.
+#: Fingerprints of a shard's tree, about; larger shards are split.
 TREE = 20_000
 
 
@@ -66,114 +64,111 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 class BKTree:
-    """Children hang on edges named by their whole Hamming distance to the parent."""
-
-    def __init__(self):
-        self.values: list[int] = []
-        self.edges: list[dict[int, int]] = []
-
-    def add(self, x: int) -> int:
-        self.values.append(x)
-        self.edges.append({})
-        new = len(self.values) - 1
-        at = 0
-        while new:
-            d = (self.values[at] ^ x).bit_count()
-            if d not in self.edges[at]:
-                self.edges[at][d] = new
-                break
-            at = self.edges[at][d]
-        return new
-
-    def near(self, x: int, radius: int) -> list[int]:
-        """Places of the values within the radius; only edges within it of the parent's distance are followed."""
-        found, open_ = [], [0] if self.values else []
-        while open_:
-            at = open_.pop()
-            d = (self.values[at] ^ x).bit_count()
-            if d <= radius:
-                found.append(at)
-            edges = self.edges[at]
-            if len(edges) <= 2 * radius + 1:
-                open_ += [to for e, to in edges.items() if d - radius <= e <= d + radius]
-            else:
-                open_ += [edges[e] for e in range(d - radius, d + radius + 1) if e in edges]
-        return found
-
-
-def _forest(fps: list[int], nodes: list[int], radius: int):
-    """(node, smallest node of its tree) for nodes that links of this group join."""
-    root = list(range(len(fps)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    tree = BKTree()
-    for i, fp in enumerate(fps):
-        for j in tree.near(fp, radius):
-            a, b = find(i), find(j)
-            if a != b:
-                if nodes[a] < nodes[b]:
-                    a, b = b, a
-                root[a] = b
-        tree.add(fp)
-    for i in range(len(fps)):
-        if (r := find(i)) != i:
-            yield nodes[i], nodes[r]
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
+    """Distinct fingerprints; children hang on edges named by their whole Hamming distance to the parent. Built and searched level by level."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.asarray(values, np.uint64)
+        edges, to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        left = np.arange(1, len(self.values))
+        at = np.zeros(len(left), np.int64)
+        while len(left):
+            edge = at * 65 + np.bitwise_count(self.values[at] ^ self.values[left])
+            found, first, own = np.unique(edge, return_index=True, return_inverse=True)
+            edges.append(found)
+            to.append(left[first])
+            at, child = left[first][own], np.zeros(len(left), bool)
+            child[first] = True
+            left, at = left[~child], at[~child]
+        edge, to = np.concatenate(edges), np.concatenate(to)
+        order = np.argsort(edge)
+        #: parent * 65 + distance, ascending, and the child there
+        self.edge, self.to = edge[order], to[order]
+
+    def near(self, queries: np.ndarray, radius: int):
+        """Blocks of (place of a query, place of a value within the radius of it); only edges within it of the parent's distance are followed."""
+        step = max(1, (1 << 20) // max(1, len(self.values)))
+        for begin in range(0, len(queries) if len(self.values) else 0, step):
+            q = np.arange(begin, min(len(queries), begin + step))
+            at = np.zeros(len(q), np.int64)
+            while len(q):
+                d = np.bitwise_count(queries[q] ^ self.values[at]).astype(np.int64)
+                hit = d <= radius
+                if hit.any():
+                    yield q[hit], at[hit]
+                lo = np.searchsorted(self.edge, at * 65 + np.maximum(d - radius, 0))
+                n = np.searchsorted(self.edge, at * 65 + np.minimum(d + radius, 64), "right") - lo
+                ramp = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                q, at = np.repeat(q, n), self.to[np.repeat(lo, n) + ramp]
+
+
+def join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots of a forest (each the smallest place of its tree) after links a-b."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, a smaller node of its tree) for nodes that links of this group join."""
+    order = np.argsort(nodes, kind="stable")
+    fps, nodes = fps[order], nodes[order]
+    root = np.arange(len(fps))
+    for q, v in BKTree(fps).near(fps, radius):
+        root = join(root, q, v)
+    own = np.flatnonzero(root != np.arange(len(fps)))
+    return nodes[own], nodes[root[own]]
+
+
+def masks(bits: list[int], radius: int) -> list[int]:
+    """Choices of these bits: two fingerprints within the radius agree on all bits of one choice at least.
+
+    The bits are dealt to radius + 2 blocks; at most `radius` blocks differ, so two agree, and each pair of blocks is a choice.
+    """
+    blocks = [bits[i * len(bits) // (radius + 2) : (i + 1) * len(bits) // (radius + 2)] for i in range(radius + 2)]
+    return [sum(1 << b for block in pair for b in block) for pair in combinations(blocks, 2)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _keys(choices: list[int], under) -> F.Column:
+    return F.array(*[F.xxhash64(under, F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(choices)])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """Distinct fp with its node -> u, v: links that join the same nodes as all pairs within the radius do.
 
-    Shards: fingerprints that agree on some `blocks - radius` of their blocks (any two within the radius do, on at least one
-    choice of blocks). A shard's task builds its BK-tree and queries it; of the pairs found, a spanning forest goes on.
-    A shard with more than `tree` fingerprints is dealt to c parts by hash; each pair of parts (a part with itself among them) meets
-    in a task, so every part's tree reaches all queries of the shard, and no task holds more than about twice `tree`.
+    Shards: fingerprints that agree on one of the masks() of all bits; a shard's task builds its BK-tree and queries it, and of the
+    pairs found a spanning forest goes on. A shard of more than `tree` fingerprints is split by the masks() of the bits that its own mask leaves free. With
+    radius 2 that fixes 48 bits, so a split shard has 65,536 distinct fingerprints at most, whatever the input.
     """
     spark = distinct.sparkSession
     small_batches(spark, 10_000)
-    width = 64 // blocks
-    names = []
-    for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        bits = F.lit(k).cast("long")
-        for b in chosen:
-            size = width if b < blocks - 1 else 64 - width * (blocks - 1)
-            bits = F.xxhash64(bits, F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << size) - 1)))
-        names.append(bits)
-    keyed = distinct.select("fp", "node", F.explode(F.array(*names)).alias("shard"))
-    large = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    parts = F.ceil(F.col("n") / F.lit(tree)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = (
-        keyed.join(large, "shard").withColumn("parts", parts).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("shard", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "node")
-    )
+    first = masks(list(range(64)), radius)
+    second = [[m | x for x in masks([b for b in range(64) if not m >> b & 1], radius)] for m in first]
+    keyed = distinct.select("fp", "node", F.posexplode(_keys(first, F.lit(0))).alias("nth", "shard"))
+    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    split = F.when(F.col("n") <= tree, F.array("shard"))
+    for k, choices in enumerate(second):
+        split = split.when(F.col("nth") == k, _keys(choices, F.col("shard")))
+    dealt = keyed.join(sizes, "shard").select("fp", "node", F.explode(split).alias("shard"))
 
     def run(batches):
-        held, fps, nodes = None, [], []
-        out: list[tuple[int, int]] = []
-        for b in batches:
-            keys = zip(b.column("shard").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist())
-            for key, fp, node in zip(keys, np.asarray(b.column("fp")).view(np.uint64).tolist(), b.column("node").to_pylist()):
-                if key != held:
-                    if len(fps) > 1:
-                        out += _forest(fps, nodes, radius)
-                    held, fps, nodes = key, [], []
-                fps.append(fp)
-                nodes.append(node)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
-                out = []
-        if len(fps) > 1:
-            out += _forest(fps, nodes, radius)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
-
-    return dealt.repartition("shard", "a", "b").sortWithinPartitions("shard", "a", "b").mapInArrow(run, "u long, v long")
+        for shard in by_key(batches, ["shard"]):
+            fps, nodes = (np.asarray(shard.column(c)) for c in ("fp", "node"))
+            if len(fps) > 1:
+                u, v = _forest(fps.view(np.uint64), nodes, radius)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

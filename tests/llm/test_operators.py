@@ -171,17 +171,32 @@ def test_bk_trees_find_all_within_the_radius():
     r = random.Random(5)
     centre = r.getrandbits(64)
     values = list({centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 6))) for _ in range(400)} | {r.getrandbits(64) for _ in range(400)})
-    tree = simhash.BKTree()
-    for v in values:
-        tree.add(v)
-    for q in values[:100]:
-        assert sorted(tree.values[i] for i in tree.near(q, 2)) == sorted(v for v in values if (v ^ q).bit_count() <= 2)
+    whole = np.array(values, np.uint64)
+    for radius in (0, 2, 24):
+        found = sorted((int(a), int(b)) for q, v in simhash.BKTree(whole).near(whole[:100], radius) for a, b in zip(q, v))
+        assert found == [(a, b) for a in range(100) for b in range(len(values)) if (values[a] ^ values[b]).bit_count() <= radius]
+    assert not list(simhash.BKTree(whole[:0]).near(whole, 2))
 
 
-def test_large_shards_are_dealt_to_several_trees(spark):
+def test_near_blocks_of_one_text_find_the_same(spark, monkeypatch):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w if r.random() < 0.985 else r.choice(base) for w in base)) for i in range(60)]
+    monkeypatch.setattr(near, "BLOCK", 600)
+    monkeypatch.setattr(near.unjoined, "__defaults__", (near.RADIUS, 7))
+    pairs, _ = check_near(spark, rows)
+    assert len(pairs) > 20
+
+
+def test_large_shards_are_split(spark):
     r = random.Random(6)
     centre = r.getrandbits(63)
     values = sorted({centre ^ sum(1 << b for b in r.sample(range(63), 2)) for _ in range(300)})
+    for radius in (1, 2, 3):
+        choices = simhash.masks(list(range(64)), radius)
+        for _ in range(300):
+            x = sum(1 << b for b in r.sample(range(64), radius))
+            assert any(not x & m for m in choices)
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "fp long, node long")
     whole = {tuple(x) for x in components.components(simhash.links(df)).collect()}
     parts = {tuple(x) for x in components.components(simhash.links(df, tree=20)).collect()}
@@ -461,8 +476,8 @@ def test_near_joins_all_pairs_of_four_fifths(spark):
     pairs, sets = check_near(spark, rows)
     assert sum(len(sets[a] & sets[b]) < 0.9 * len(sets[a] | sets[b]) for a, b in pairs) > 300
     for a, b in pairs:
-        (fa, ka), (fb, kb) = near.signature(rows[a][1]), near.signature(rows[b][1])
-        assert (ka == kb).any() and (fa ^ fb).bit_count() <= near.RADIUS
+        (fa, ka, ma), (fb, kb, mb) = near.signature(rows[a][1]), near.signature(rows[b][1])
+        assert (ka == kb).any() and (fa ^ fb).bit_count() <= near.RADIUS and (ma == mb).sum() >= near.EQUAL
 
 
 def test_near_on_the_given_documents(spark):
