@@ -63,7 +63,7 @@ def test_exact_dedup(docs, keep, pick):
     groups = {}
     for i, t in rows:
         groups.setdefault(lower(t), []).append(i)
-    got = exact_dedup.exact_dedup(df, keep=keep, runs=8, fan_in=2).collect()
+    got = exact_dedup.exact_dedup(df, keep=keep, runs=8, slice_entries=5).collect()
     assert len(got) == len(rows)
     want = {sha(t): (pick((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
     assert {(r.text_sha256, r.keep_id, r.group_size) for r in got} == {(s, *v) for s, v in want.items()}
