@@ -15,6 +15,7 @@ Exact copies need no windows: all but the copy with the smallest identifier lose
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -33,7 +34,8 @@ MOST_BITS, MOST_ANCHORS = 1 << 28, 1 << 25
 MOST_SEGMENTS = 50_000
 #: Bytes of segments that a shard's task compares at a time, about.
 SHARD_BYTES = 1 << 20
-_END = 1 << 60
+#: Stands for a null identifier, and for the end of a text.
+_NULL, _END = (1 << 63) - 1, 1 << 60
 
 
 @dataclass
@@ -128,22 +130,21 @@ _SPANS = "oid long, tkey long, a long, b long"
 
 
 def _anchors(docs: DataFrame, kind: Kind, every: bool = False) -> DataFrame:
-    """bucket, anchor, tkey, k. Of a stretch of texts an anchor's smallest and largest tkey go out alone (all of them: every); k adds up to its texts.
+    """bucket, anchor, tkey, k. Of a stretch of texts an anchor's smallest and largest tkey go out alone (all of them: every); k adds up to its segments.
 
     They travel as arrays by bucket, a few bytes an anchor, and are dealt by bucket, so grouping by (bucket, anchor) moves nothing more.
     """
     buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def packed(anchor: np.ndarray, tkey: np.ndarray):
-        k = np.ones(len(anchor), np.int32)
+    def packed(anchor: np.ndarray, tkey: np.ndarray, k: np.ndarray):
         if not every:
             order = np.lexsort((tkey, anchor))
-            anchor, tkey = anchor[order], tkey[order]
+            anchor, tkey, k = anchor[order], tkey[order], k[order]
             new = np.append(True, anchor[1:] != anchor[:-1])
             start = np.flatnonzero(new)
-            k[start] = np.diff(np.append(start, len(anchor)))
+            total, k = np.add.reduceat(k, start), np.zeros(len(k), np.int32)
+            k[start] = total
             last = np.append(new[1:], True)
-            k[last & ~new] = 0
             edge = new | last
             anchor, tkey, k = anchor[edge], tkey[edge], k[edge]
         home = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
@@ -153,19 +154,18 @@ def _anchors(docs: DataFrame, kind: Kind, every: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(home[cuts[:-1]]), *[pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[order])) for x in (anchor, tkey, k)]], ["bucket", "anchors", "tkeys", "ks"])
 
     def run(batches):
-        keys, texts, size = [], [], 0
+        held, size = [], 0
         for b in batches:
             for tkey, text in zip(b.column("tkey").to_pylist(), b.column("text").to_pylist()):
                 for _, _, anchor in kind.anchors(kind.units(text)):
-                    a = np.unique(anchor)
-                    keys.append(a.view(np.int64))
-                    texts.append(np.full(len(a), tkey, np.int64))
+                    a, k = np.unique(anchor, return_counts=True)
+                    held.append((a.view(np.int64), np.full(len(a), tkey, np.int64), k.astype(np.int32)))
                     size += len(a)
                     if size > 1 << 18:
-                        yield packed(np.concatenate(keys), np.concatenate(texts))
-                        keys, texts, size = [], [], 0
-        if size:
-            yield packed(np.concatenate(keys), np.concatenate(texts))
+                        yield packed(*map(np.concatenate, zip(*held)))
+                        held, size = [], 0
+        if held:
+            yield packed(*map(np.concatenate, zip(*held)))
 
     rows = docs.select("tkey", "text").mapInArrow(run, "bucket int, anchors array<long>, tkeys array<long>, ks array<int>").repartition("bucket")
     return rows.select("bucket", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("tkeys").alias("tkey"), F.col("ks").alias("k"))))
@@ -262,31 +262,34 @@ def _spans(segments: DataFrame, kind: Kind, hot: DataFrame) -> DataFrame:
     def explode(batches):
         for b in batches:
             for oid, tkey, at, seg in zip(*(b.column(c).to_pylist() for c in ("oid", "tkey", "at", "seg"))):
-                w = [xxhash.xxh3_128_digest(seg[x:y]) for x, y in kind.windows(seg)]
+                w = [hashlib.sha256(seg[x:y]).digest() for x, y in kind.windows(seg)]
                 n = len(w)
                 yield pa.RecordBatch.from_arrays([pa.array([oid] * n, pa.int64()), pa.array([tkey] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(w, pa.binary())], ["oid", "tkey", "a", "w"])
 
     each = segments.join(hot, "anchor", "left_semi").mapInArrow(explode, "oid long, tkey long, a long, w binary")
-    first = each.groupBy("w").agg(F.min("oid").alias("first"))
-    return found.unionByName(each.join(first, "w").where("first < oid").select("oid", "tkey", "a", (F.col("a") + kind.window).alias("b")))
+    return found.unionByName(_not_first(each, "w").select("oid", "tkey", "a", (F.col("a") + kind.window).alias("b")))
+
+
+def _not_first(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose oid isn't the smallest of their name. A name and its smallest oid are one key of the join, so the rows of a frequent name are spread by oid."""
+    return rows.join(rows.groupBy(name).agg(F.min("oid").alias("oid")), [name, "oid"], "left_anti")
 
 
 def repeats(docs: DataFrame, kind: Kind, same: Column, most_anchors: int = MOST_ANCHORS, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """doc_id, text -> doc_id, text (compressed: unpacked()), parts (array of (a, b), units to remove, unsorted and overlapping; null: none).
 
     same: a digest of the text as a Column; texts with equal digests are copies. A null text is an empty one. A null
-    identifier counts as larger than any other. Rows with the same identifier don't repeat each other.
+    identifier counts as larger than any other (and as equal to 2 ** 63 - 1). Rows with the same identifier don't repeat each other.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_END)).alias("oid"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("oid"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
     grouped = _anchors(rows, kind).groupBy("bucket", "anchor").agg(F.min("tkey").alias("x"), F.max("tkey").alias("y"), F.sum("k").alias("k"))
     shared = checkpoint(grouped.where("x != y").select("anchor", "k"))
     hot = shared.where(F.col("k") > most_segments).select("anchor")
     segments = _segments(rows, kind, shared.select("anchor"), shared.count(), most_anchors)
     found = _spans(segments, kind, hot).select("oid", "tkey", F.struct("a", "b").alias("part"))
     digests = checkpoint(rows.select("oid", "tkey", same.alias("digest")).distinct())
-    first = digests.groupBy("digest").agg(F.min("oid").alias("first"))
-    copies = digests.join(first, "digest").where("oid > first").select("oid", "tkey", F.struct(F.lit(0).cast("long").alias("a"), F.lit(_END).cast("long").alias("b")).alias("part"))
+    copies = _not_first(digests, "digest").select("oid", "tkey", F.struct(F.lit(0).cast("long").alias("a"), F.lit(_END).cast("long").alias("b")).alias("part"))
     parts = found.unionByName(copies).groupBy("oid", "tkey").agg(F.collect_list("part").alias("parts"))
 
     def pack(batches):

@@ -27,7 +27,8 @@ def _fit_s(t: np.ndarray) -> np.ndarray:
 def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, letters: int) -> np.ndarray:
     """The order of all suffixes induced from that of the leftmost S suffixes: L suffixes from left to right, S from right to left.
 
-    A bucket is taken in waves: what it holds on arrival, then what those put into the bucket itself.
+    What a bucket puts into itself are the runs of its letter that lead to the suffixes it holds: they are laid out at once, the
+    suffixes one letter back first, then those two back, and so on. Then the whole bucket puts into others, so each is passed once.
     """
     n = len(t)
     sizes = np.bincount(t, minlength=letters)
@@ -37,43 +38,55 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, letters: int) ->
     seeds = lms[np.argsort(t[lms], kind="stable")]
     cuts = np.searchsorted(t[seeds], np.arange(letters + 1))
     here, present = head.copy(), np.flatnonzero(sizes)
+    opens = np.append(True, t[1:] != t[:-1])
+    run = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))  # equal symbols just before
 
-    def put(wave: np.ndarray, kind: bool, back: bool) -> None:
-        j = wave - 1
+    def back(held: np.ndarray) -> np.ndarray:
+        """held, then its suffixes' runs, one letter back at a time."""
+        long = run[held]
+        if not long.any():
+            return held
+        total = int(long.sum())
+        steps = np.arange(total) - np.repeat(np.cumsum(long) - long, long) + 1
+        made = np.repeat(held, long) - steps
+        return np.concatenate([held, made[np.argsort(steps, kind="stable")]])
+
+    def put(held: np.ndarray, kind: bool, c: int) -> None:
+        j = held - 1
         j = j[j >= 0]
-        j = j[s_type[j] == kind]
+        j = j[(s_type[j] == kind) & (t[j] != c)]
         if not len(j):
             return
-        c = t[j]
-        order = np.argsort(c, kind="stable")
-        j, c = j[order], c[order]
-        counts = np.bincount(c, minlength=letters)
-        nth = np.arange(len(c)) - np.repeat(np.cumsum(counts) - counts, counts)
-        if back:
-            sa[there[c] - 1 - nth] = j
+        to = t[j]
+        order = np.argsort(to, kind="stable")
+        j, to = j[order], to[order]
+        counts = np.bincount(to, minlength=letters)
+        nth = np.arange(len(to)) - np.repeat(np.cumsum(counts) - counts, counts)
+        if kind:
+            sa[there[to] - 1 - nth] = j
             there[:] -= counts
         else:
-            sa[here[c] + nth] = j
+            sa[here[to] + nth] = j
             here[:] += counts
 
-    put(np.array([n]), False, False)
+    put(np.array([n]), False, -1)
     for c in present.tolist():
-        at = head[c]
-        while at < here[c]:
-            upto = here[c]
-            put(sa[at:upto], False, False)
-            at = upto
+        if head[c] < here[c]:
+            held = back(sa[head[c] : here[c]])
+            sa[head[c] : head[c] + len(held)] = held
+            here[c] = head[c] + len(held)
+            put(held, False, c)
         if cuts[c] < cuts[c + 1]:
-            put(seeds[cuts[c] : cuts[c + 1]], False, False)
+            put(seeds[cuts[c] : cuts[c + 1]], False, c)
     there = tail.copy()
     for c in present[::-1].tolist():
-        at = tail[c]
-        while at > there[c]:
-            down = there[c]
-            put(sa[down:at][::-1], True, True)
-            at = down
+        if there[c] < tail[c]:
+            held = back(sa[there[c] : tail[c]][::-1])
+            sa[tail[c] - len(held) : tail[c]] = held[::-1]
+            there[c] = tail[c] - len(held)
+            put(held, True, c)
         if head[c] < here[c]:
-            put(sa[head[c] : here[c]][::-1], True, True)
+            put(sa[head[c] : here[c]][::-1], True, c)
     return sa
 
 
@@ -127,20 +140,24 @@ def suffix_array(t: np.ndarray, depth: int, letters: int = 257) -> np.ndarray:
     return _induce(t, s_type, lms[np.argsort(rank, kind="stable")], letters)
 
 
-def capped_plcp(t: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """By text position (permuted): True where at least `cap` symbols are common with the suffix before it in sa. t: uint8."""
-    n = len(t)
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([t, np.zeros(cap + 8, np.uint8)])
-    words = np.ndarray((n + cap,), "<u8", padded, 0, (1,))
-    p = np.flatnonzero((before >= 0) & (np.arange(n) + cap <= n))
-    p = p[before[p] + cap <= n]
-    for off in [*range(0, cap - 7, 8), cap - 8]:
-        p = p[words[p + off] == words[before[p] + off]]
-    out = np.zeros(n, bool)
-    out[p] = True
-    return out
+def capped_plcp(raw: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+    """By text position (permuted): the length, `cap` at most, of the prefix in common with the suffix before it in order.
+
+    order holds whole windows alone (positions followed by `cap` bytes of their segment), so no separator is ever compared. Elsewhere 0.
+    """
+    found = np.zeros(len(raw), np.uint8)
+    words = np.ndarray((len(raw),), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+    before = np.empty(len(raw), np.int64)
+    before[order[1:]] = order[:-1]
+    p = np.sort(order[1:])
+    for off in [*range(0, cap - 7, 8), cap - 8] if cap % 8 else range(0, cap, 8):
+        differs = words[p + off] ^ words[before[p] + off]
+        same = differs == 0
+        gone, low = p[~same], differs[~same]
+        found[gone] = off + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8
+        p = p[same]
+    found[p] = cap
+    return found
 
 
 def compare(groups: list[list[tuple[int, bytes]]], window: int = WINDOW) -> list[list[list[tuple[int, int]]]]:
@@ -157,14 +174,10 @@ def compare(groups: list[list[tuple[int, bytes]]], window: int = WINDOW) -> list
     home = np.repeat(np.arange(len(flat)), sizes + 1)
     full = np.arange(len(t)) + window <= (starts + sizes)[home]
     sa = suffix_array(t, window)
-    same = capped_plcp(raw, sa, window)
-    valid = sa[full[sa]]
+    valid = sa[full[sa]]  # equal windows stand together: what is between two of them begins with the same window
     ident = np.array([least for least, _ in flat], np.int64)
-    starts_class = ~same[valid]
-    # a window's predecessor among all suffixes must be a whole window too
     if len(valid):
-        starts_class[0] = True
-        first = np.flatnonzero(starts_class)
+        first = np.flatnonzero(capped_plcp(raw, valid, window)[valid] < window)
         low = np.minimum.reduceat(ident[home[valid]], first)
         late = np.sort(valid[np.repeat(low, np.diff(np.append(first, len(valid)))) < ident[home[valid]]])
     else:
