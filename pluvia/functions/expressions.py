@@ -85,6 +85,29 @@ def rain_power_law(attenuation: Column, length_km: Column, a: Column, b: Column,
     return F.when(attenuation.isNull() | (r < r_min), 0.0).otherwise(F.coalesce(r, F.lit(0.0)))
 
 
+#: Fixed values of the public recommendation on specific attenuation of rain: (a, b, c) of each bell, then slope and offset in log10 of GHz.
+ATTENUATION = {
+    ("a", "h"): ([(-5.33980, -0.10008, 1.13098), (-0.35351, 1.26970, 0.45400), (-0.23789, 0.86036, 0.15354), (-0.94158, 0.64552, 0.16817)], -0.18961, 0.71147),
+    ("a", "v"): ([(-3.80595, 0.56934, 0.81061), (-3.44965, -0.22911, 0.51059), (-0.39902, 0.73042, 0.11899), (0.50167, 1.07319, 0.27195)], -0.16398, 0.63297),
+    ("b", "h"): ([(-0.14318, 1.82442, -0.55187), (0.29591, 0.77564, 0.19822), (0.32177, 0.63773, 0.13164), (-5.37610, -0.96230, 1.47828), (16.1721, -3.29980, 3.43990)], 0.67849, -1.95537),
+    ("b", "v"): ([(-0.07771, 2.33840, -0.76284), (0.56727, 0.95545, 0.54039), (-0.20238, 1.14520, 0.26809), (-48.2991, 0.791669, 0.116226), (48.5833, 0.791459, 0.116479)], -0.053739, 0.83433),
+}
+
+
+def power_law_coefficients(frequency_ghz: Column, polarization: Column) -> tuple[Column, Column]:
+    """a and b of the power law A = a R ** b L for a frequency of 1 to 1000 GHz and a polarization (h..., v...; else null)."""
+    x = F.log10(frequency_ghz)
+
+    def curve(which: str, side: str) -> Column:
+        bells, slope, offset = ATTENUATION[which, side]
+        return sum((a * F.exp(-F.pow((x - b) / c, F.lit(2.0))) for a, b, c in bells), slope * x + offset)
+
+    side = F.lower(F.substring(polarization, 1, 1))
+    known = frequency_ghz.between(1, 1000)
+    a, b = (F.when(known & (side == "h"), curve(w, "h")).when(known & (side == "v"), curve(w, "v")) for w in ("a", "b"))
+    return F.pow(F.lit(10.0), a), b
+
+
 def idw_weight(distance: Column, power: float = 2.0) -> Column:
     return F.try_divide(F.lit(1.0), F.pow(distance, F.lit(power)))
 
@@ -112,6 +135,50 @@ def unit_label(quantity: str, system: Column) -> Column:
     return F.when(system == "m", metric).otherwise(imperial)
 
 
+def file_name(name: Column, station: Column, first: Column, last: Column, kind: str = "csv") -> Column:
+    """<name>_<station>_<first>_<last>.<kind>, days as yyyyMMdd."""
+    return F.concat(F.concat_ws("_", name, station, F.date_format(first, "yyyyMMdd"), F.date_format(last, "yyyyMMdd")), F.lit(f".{kind}"))
+
+
+def parse_time(text: Column) -> Column:
+    """Timestamp of ISO text (its first 19 characters, T or a blank between) or of whole seconds since the epoch; null of anything else."""
+    iso = F.try_to_timestamp(F.replace(F.substring(text, 1, 19), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.when(text.rlike(r"^[+-]?[0-9]{1,11}$"), F.timestamp_seconds(text.try_cast("long"))).otherwise(iso)
+
+
+def nested(payload: Column, path: str, default=None) -> Column:
+    """A value within JSON text as string, by its path of names with dots between; the default where a part of it is missing."""
+    return F.coalesce(F.get_json_object(payload, f"$.{path}"), F.lit(default).cast("string"))
+
+
+def first_n(x: Column, n: int) -> Column:
+    return F.slice(x, 1, n)
+
+
+def features(*arrays: Column) -> Column:
+    """Arrays of numbers of one row as one array of features."""
+    return F.flatten(F.array(*arrays))
+
+
+def boundaries(peak: Column, n: int = 10) -> Column:
+    """Bounds of colour classes: 0, peak / n, ... below the peak; none if the peak isn't positive."""
+    return F.when(peak > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * peak / n)).otherwise(F.array().cast("array<double>"))
+
+
+def boundary_class(x: Column, peak: Column, n: int = 10) -> Column:
+    """The class (1 to n) of boundaries() that a value lies in, the last one open; null below 0."""
+    return F.when((x >= 0) & (peak > 0), F.least(F.lit(n), F.floor(x * n / peak).cast("int") + 1))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def detected(probability: Column) -> Column:
+    """0 or 1: rounded, a half to the even number."""
+    return F.bround(probability).cast("int")
+
+
 def whole_days(seconds: Column) -> Column:
     return F.floor(seconds / 86400)
 

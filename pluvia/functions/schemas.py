@@ -48,8 +48,6 @@ OBSERVATION = T.StructType(
     [T.StructField(raw, _SQL[kind]) for _, raw, _, _, kind in STATION_COLUMNS if "." not in raw]
     + [T.StructField("metric", T.StructType([T.StructField(raw.split(".")[1], _SQL[kind]) for _, raw, _, _, kind in STATION_COLUMNS if "." in raw]))]
 )
-OBSERVATIONS = T.StructType([T.StructField("observations", T.ArrayType(OBSERVATION))])
-SUMMARIES = T.StructType([T.StructField("summaries", T.ArrayType(OBSERVATION))])
 
 #: 1-minute airport CSV as landed: all strings.
 ASOS_RAW = T.StructType([T.StructField(c, T.StringType()) for c in ("station", "valid(UTC)", "tmpf", "dwpf", "sknt", "drct", "gust_sknt", "gust_drct", "ptype", "precip")])

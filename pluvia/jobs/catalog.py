@@ -46,4 +46,4 @@ def ntz(c):
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp_ntz")
 
 
-from pluvia.jobs import evaluation, ingest, links, series, spatial, stations  # noqa: E402, F401
+from pluvia.jobs import datasets, evaluation, ingest, landed, links, series, spatial, stations, streams  # noqa: E402, F401

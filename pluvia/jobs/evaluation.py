@@ -95,3 +95,34 @@ def physics_losses(spark, d):
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 8.64e10 / 15
     p = events(spark, d).select("user_id", t.alias("t"), (F.col("value") / 10).alias("h")).withColumn("truth", projectile(F.col("t"), 1.0, 10.0, 9.8))
     return evaluate.physics_losses(p, ["user_id"], "t", "h", "h", "truth", 1.0, 10.0, 9.8).select("user_id", r("data", 5).alias("data"), r("ode", 5).alias("ode"), r("start", 6).alias("start"))
+
+
+_LOSS = "SELECT {c}::INT AS complexity, greatest(0, var_pop(y) - pow(covar_pop({x}, y), 2) / var_pop({x})) AS loss FROM e"
+
+
+@query("""WITH e AS (SELECT value / 100 AS x, value * value / 5000 + user_id / 100.0::DOUBLE AS y FROM events WHERE value BETWEEN 0 AND 100), a AS (SELECT 1 AS complexity, var_pop(y) AS loss FROM e
+UNION ALL """ + " UNION ALL ".join(_LOSS.format(c=c, x=x) for c, x in ((3, "x"), (4, "x * x"), (4, "sin(x)"), (5, "x * x"), (5, "x + x"))) + ") SELECT complexity, round(loss, 6) AS loss FROM a")
+def symbolic_search(spark, d):
+    e = events(spark, d).where("value BETWEEN 0 AND 100").select((F.col("value") / 100).alias("x"), (F.col("value") * F.col("value") / 5000 + F.col("user_id") / 100).alias("y"))
+    return discover.symbolic_search(e, "y", ["x"], ["square", "sin"], ["*", "+"]).select("complexity", r("loss", 6).alias("loss"))
+
+
+@query()
+def sindy_equations(spark, d):
+    """Coefficients that sparse regression keeps for the change of a series, by term; solving is no SQL."""
+    from pluvia.operators.timeseries import derivative
+
+    e = events(spark, d).select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("h"), (F.col("value") / 100).alias("x"))
+    e = derivative(e, ["user_id"], "h", ["x"], ("event_id",)).where("d_x IS NOT NULL").withColumn("d_x", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("d_x"))))
+    return discover.sparse_regression(e, ["x"], ["d_x"], degree=2, threshold=0.01)
+
+
+@query()
+def physics_sweep(spark, d):
+    """A small network fitted to heights along a path for three weights of the law of motion; fitting is no SQL."""
+    from pluvia.functions.expressions import projectile
+    from pluvia.operators import physics
+
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 8.64e10 / 15
+    seen = events(spark, d).select(t.alias("t"), (projectile(t, 1.0, 10.0, 9.8) + (F.col("value") - 50) / 100).alias("h"))
+    return physics.sweep(seen, [0.0, 1.0, 10.0], epochs=200)

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from pluvia.functions import expressions as x
 from pluvia.jobs.catalog import events, query, r, table
 from pluvia.operators import timeseries as ts
+from pluvia.operators.joins import union_all
+from pluvia.operators.stations import to_long
+from pluvia.sources.readers import flatten
 
 _CODE = "CASE user_id % 12 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'NP' WHEN 3 THEN 'R+' WHEN 4 THEN 'S-' WHEN 5 THEN 'P?' WHEN 6 THEN '?2' WHEN 7 THEN 'np' WHEN 8 THEN 'RX' WHEN 9 THEN 'PL' WHEN 10 THEN 'Z' ELSE ' M ' END"
 
@@ -31,13 +34,14 @@ def tolerant_parse(spark, d):
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def json_flatten(spark, d):
-    return events(spark, d).select("event_id", F.from_json("props", "k BIGINT").alias("p")).select("event_id", "p.*").where("k IS NOT NULL")
+    flat = flatten(events(spark, d).select("event_id", F.from_json("props", "k BIGINT").alias("p")))
+    return flat.select("event_id", F.col("`p.k`").alias("k")).where("k IS NOT NULL")
 
 
 @query("""SELECT user_id, ts, event_id, product FROM (SELECT user_id, ts, event_id, 'click' AS product FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, ts, event_id, NULL FROM events WHERE event_type = 'view')""")
 def union_chunks(spark, d):
     e = events(spark, d)
-    return e.where("event_type = 'click'").select("user_id", "ts", "event_id", F.lit("click").alias("product")).unionByName(e.where("event_type = 'view'").select("user_id", "ts", "event_id"), allowMissingColumns=True)
+    return union_all(e.where("event_type = 'click'").select("user_id", "ts", "event_id", F.lit("click").alias("product")), e.where("event_type = 'view'").select("user_id", "ts", "event_id"))
 
 
 @query("""WITH m AS (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 END) AS best FROM events WHERE event_type IN ('purchase', 'signup', 'view') GROUP BY 1)
@@ -69,8 +73,8 @@ def sentinel_to_null(spark, d):
 
 @query("SELECT l_suppkey, l_shipdate AS ts, measure, round(amount, 4) AS amount FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_quantity AS quantity, l_tax AS tax FROM lineitem) UNPIVOT (amount FOR measure IN (quantity, tax))")
 def wide_to_long(spark, d):
-    rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_shipdate").alias("ts"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_tax").cast("double").alias("tax"))
-    return rows.unpivot(["l_suppkey", "ts"], ["quantity", "tax"], "measure", "amount").select("l_suppkey", "ts", "measure", r("amount").alias("amount"))
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax"))
+    return to_long(rows, ["l_suppkey", "ts"], ["quantity", "tax"]).select("l_suppkey", "ts", "measure", r("amount").alias("amount"))
 
 
 @query("SELECT event_id, ts - INTERVAL '15 minutes' AS starts, CAST(ts AS DATE)::VARCHAR AS day, strftime(ts, '%Y%m%d') AS stamp, ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 86400000000)::BIGINT AS days FROM events")

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pluvia.functions.expressions import BINARY, UNARY
 
 
+#: Candidates of a search that one plan takes.
+BATCH = 100
+
+
 def library(names: list[str], degree: int = 2, bias: bool = True) -> list[tuple[str, ...]]:
     """Monomials up to the degree, each as the names that it multiplies; () is 1."""
     return [m for k in range(0 if bias else 1, degree + 1) for m in combinations_with_replacement(names, k)]
@@ -29,6 +33,14 @@ def _value(term: tuple[str, ...]) -> Column:
     return out
 
 
+def features(names: list[str], degree: int = 2, bias: bool = True, fourier: int = 0, custom: dict[str, Column] | None = None) -> dict[str, Column]:
+    """A general library by name: monomials, sines and cosines of the first `fourier` multiples of each variable, and one's own columns."""
+    out = {term_name(t): _value(t) for t in library(names, degree, bias)}
+    for k in range(1, fourier + 1):
+        out |= {f"{f}({k} {n})": g(F.lit(float(k)) * F.col(n)) for n in names for f, g in (("sin", F.sin), ("cos", F.cos))}
+    return out | (custom or {})
+
+
 def normal_equations(df: DataFrame, names: list[str], targets: list[str], degree: int = 2, bias: bool = True) -> DataFrame:
     """One row: g_i_j, the mean of term i times term j, and b_i_k, the mean of term i times target k. One pass, whatever the number of rows."""
     terms = library(names, degree, bias)
@@ -128,16 +140,18 @@ def candidates(names: list[str], unary: list[str], binary: list[str], depth: int
 
 
 def symbolic_search(df: DataFrame, target: str, names: list[str], unary: list[str], binary: list[str], depth: int = 1) -> DataFrame:
-    """complexity, loss, equation: for each candidate f the least squares a + b f of the target, in one pass over the data.
+    """complexity, loss, equation: for each candidate f the least squares a + b f of the target, in a pass over the data for each BATCH candidates.
 
     Another search than an evolutionary one: candidates are enumerated, and only offset and scale are fitted.
     """
     found = list(candidates(names, unary, binary, depth).items())
     y = F.col(target).cast("double")
-    stats = []
-    for i, (_, (_, x)) in enumerate(found):
-        stats += [F.avg(x).alias(f"m{i}"), F.avg(x * x).alias(f"s{i}"), F.avg(x * y).alias(f"c{i}"), F.count(x).alias(f"n{i}")]
-    row = df.agg(F.avg(y).alias("my"), F.avg(y * y).alias("sy"), F.count(y).alias("n"), *stats).first()
+    row = df.agg(F.avg(y).alias("my"), F.avg(y * y).alias("sy"), F.count(y).alias("n")).first().asDict()
+    for at in range(0, len(found), BATCH):
+        stats = []
+        for i, (_, (_, x)) in list(enumerate(found))[at : at + BATCH]:
+            stats += [F.avg(x).alias(f"m{i}"), F.avg(x * x).alias(f"s{i}"), F.avg(x * y).alias(f"c{i}"), F.count(x).alias(f"n{i}")]
+        row |= df.agg(*stats).first().asDict()
     total = row["sy"] - row["my"] ** 2
     out = [(1, float(total), f"{row['my']:.6g}")]
     for i, (text, (complexity, _)) in enumerate(found):

@@ -54,6 +54,16 @@ def physics_losses(df: DataFrame, keys: list[str], t: str, h: str, rate: str, tr
     )
 
 
+def epoch_means(history: DataFrame, keys: list[str], epoch: str, metrics: list[str]) -> DataFrame:
+    """Mean of each metric over an epoch's steps, and their number."""
+    return history.groupBy(*keys, epoch).agg(*[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("steps"))
+
+
+def expression_loss(df: DataFrame, keys: list[str], loss: str) -> DataFrame:
+    """Mean of a loss that is given as a SQL expression of the row's columns."""
+    return df.groupBy(*keys).agg(F.avg(F.expr(loss)).alias("loss"))
+
+
 def last_losses(history: DataFrame, keys: list[str], epoch: str, losses: list[str]) -> DataFrame:
     """Losses of each model's last epoch."""
     return history.groupBy(*keys).agg(*[F.max_by(c, epoch).alias(c) for c in losses])
@@ -65,6 +75,11 @@ def best(models: DataFrame, model: str, score: str, base: str) -> DataFrame:
     return models.agg(F.min_by(model, F.struct(score, model)).alias("best"), F.min(score).alias("score"), F.try_divide(100 * (base_score - F.min(score)), base_score).alias("improvement_percent"))
 
 
+def predict(df: DataFrame, equations: dict[str, str]) -> DataFrame:
+    """A column for each equation (several outputs at once), given as SQL expressions of the row's columns."""
+    return df.withColumns({name: F.expr(text).cast("double") for name, text in equations.items()})
+
+
 def pareto(equations: DataFrame, complexity: str, loss: str, tie: list[str]) -> DataFrame:
     """Equations with a smaller loss than all simpler ones. Only the best of each complexity is compared, so the window is over a few rows."""
     rest = [c for c in equations.columns if c != complexity]

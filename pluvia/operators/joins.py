@@ -11,6 +11,41 @@ from pyspark.sql import functions as F
 from pluvia.functions.expressions import EARTH_KM
 
 
+def join_back(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of rows to a summary of their own keys; a null key is a key like any other, so no row is lost."""
+    there = summary.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    return rows.join(there, same, "left").drop(*[f"__key_{k}" for k in keys]) if keys else rows.crossJoin(F.broadcast(summary))  # one row
+
+
+def union_all(*parts: DataFrame, **tags: str) -> DataFrame:
+    """Chunks one after the other, by name; a column that a part lacks is null there. tags: constant columns put on every row."""
+    got = parts[0]
+    for p in parts[1:]:
+        got = got.unionByName(p, allowMissingColumns=True)
+    return got.withColumns({c: F.lit(v) for c, v in tags.items()})
+
+
+def align(estimate: DataFrame, truth: DataFrame, keys: list[str], ts: str, trim: int = 0) -> DataFrame:
+    """Rows of both series at the same key and time (columns apart from those must differ); trim: so many of a key's last rows are left out."""
+    got = estimate.join(truth, [*keys, ts])
+    if not trim:
+        return got
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).desc()))
+    return got.withColumn("__back", back).where(F.col("__back") > trim).drop("__back")
+
+
+def in_box(lon: Column, lat: Column, xy_min: tuple[float, float], xy_max: tuple[float, float]) -> Column:
+    """Within a bounding box of longitudes and latitudes, bounds included."""
+    return lon.between(xy_min[0], xy_max[0]) & lat.between(xy_min[1], xy_max[1])
+
+
+def near_gauges(links: DataFrame, gauges: DataFrame, link: str, lat_lon: tuple[str, str], gauge_lat_lon: tuple[str, str], km: float) -> DataFrame:
+    """Links with a gauge within km of their (mid)point."""
+    found = within_km(links.select(link, *lat_lon), gauges.select(*gauge_lat_lon), lat_lon, gauge_lat_lon, km)
+    return links.join(found.select(link).distinct(), link, "left_semi")
+
+
 def lookup(facts: DataFrame, dim: DataFrame, on: list[str], defaults: dict | None = None) -> DataFrame:
     """Left join to a dimension. Whether it is broadcast is left to Spark, which knows its size."""
     got = facts.join(dim, on, "left")
@@ -33,9 +68,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: l
 
     Union and a running last value: linear, no pairs. In two levels by chunk of time, so a key with very many rows is no single
     window: the last right row of earlier chunks comes from a summary with one row a key and chunk.
-    tolerance: seconds beyond which an older right row doesn't count.
+    tolerance: seconds beyond which an older right row doesn't count. Rows with a null key match those with a null key; a left row without a time
+    stays and matches nothing; a right row without a time is never matched.
     """
     ident = [c for c in left.columns if c not in keys]
+    right = right.where(F.col(ts).isNotNull())
     at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (chunk * 1_000_000))
     point = F.struct(F.col(ts).alias("at"), *[F.col(v) for v in values])
     r = right.select(*keys, F.col(ts), point.alias("__r"), F.lit(None).cast(left.select(F.struct(*ident)).schema[0].dataType).alias("__l"), F.lit(0).alias("__side"))
@@ -45,7 +82,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: l
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("__before", F.last("__last", True).over(earlier)).drop("__last")
     inside = Window.partitionBy(*keys, "__chunk").orderBy(ts, "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
-    got = rows.withColumn("__in", F.last("__r", True).over(inside)).join(last, [*keys, "__chunk"]).where("__side = 1")
+    got = join_back(rows.withColumn("__in", F.last("__r", True).over(inside)), last, [*keys, "__chunk"]).where("__side = 1")
     found = F.coalesce(F.col("__in"), F.col("__before"))
     if tolerance is not None:
         age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(found["at"].cast("timestamp"))

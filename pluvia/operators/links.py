@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.functions.expressions import non_negative, rain_power_law
-from pluvia.operators.timeseries import bins, rolling, so_far
+from pluvia.operators.joins import in_box, join_back, lookup, near_gauges
+from pluvia.operators.timeseries import between_instants, bins, rolling, so_far
 
 
 def _with_key_stats(df: DataFrame, keys: list[str], **stats) -> DataFrame:
     """Statistics by key joined to the rows: aggregated in parts first, so a key with very many rows is no single window."""
-    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
+    return join_back(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
 
 
 def mask_outliers(df: DataFrame, keys: list[str], value: str, threshold: float = 3.0, out: str = "clean") -> DataFrame:
-    """Null where |z| > threshold, by population standard deviation of the key's values; a deviation of 0 masks nothing."""
-    got = _with_key_stats(df, keys, __m=F.avg(value), __s=F.stddev_pop(value))
-    z = F.try_divide(F.abs(F.col(value) - F.col("__m")), F.nullif(F.col("__s"), F.lit(0.0)))
-    return got.withColumn(out, F.when(F.coalesce(z > threshold, F.lit(False)), None).otherwise(F.col(value))).drop("__m", "__s")
+    """Null where |z| > threshold, by population standard deviation of the key's values; a deviation of 0 masks nothing. NaN counts as null."""
+    known = F.when(~F.isnan(value), F.col(value))
+    got = _with_key_stats(df, keys, __m=F.avg(known), __s=F.stddev_pop(known))
+    z = F.try_divide(F.abs(known - F.col("__m")), F.nullif(F.col("__s"), F.lit(0.0)))
+    return got.withColumn(out, F.when(F.coalesce(z > threshold, F.lit(False)), None).otherwise(known)).drop("__m", "__s")
 
 
 def attenuation(df: DataFrame, keys: list[str], level: str, method: str = "dynamic", baseline: str | None = None, out: str = "attenuation") -> DataFrame:
@@ -79,3 +81,24 @@ def global_stats(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"))
 
 
+def dataset(facts: DataFrame, metadata: DataFrame, link: str, ts: str, values: list[str], start=None, end=None, step: int | None = None, xy_min: tuple | None = None, xy_max: tuple | None = None,
+            gauges: DataFrame | None = None, gauge_lat_lon: tuple[str, str] = ("gauge_lat", "gauge_lon"), gauge_km: float | None = None) -> DataFrame:
+    """Link series with their metadata: the loader of a link data set.
+
+    metadata: link, site_0_lat, site_0_lon, site_1_lat, site_1_lon and what else it has; lat and lon (midpoints) are added. start, end: instants,
+    both included. step: largest and smallest of each value by so many seconds (<value>_max, <value>_min at bin) instead of the rows.
+    xy_min, xy_max: (longitude, latitude) of a box that midpoints lie in. gauges with gauge_km: links with a gauge that near alone.
+    Links without metadata stay, unless a box or gauges choose; then links are chosen first, so that the series are read for those alone.
+    """
+    about = metadata.withColumns({"lat": (F.col("site_0_lat") + F.col("site_1_lat")) / 2, "lon": (F.col("site_0_lon") + F.col("site_1_lon")) / 2})
+    chosen = about
+    if xy_min is not None and xy_max is not None:
+        chosen = chosen.where(in_box(F.col("lon"), F.col("lat"), xy_min, xy_max))
+    if gauges is not None and gauge_km is not None:
+        chosen = near_gauges(chosen, gauges, link, ("lat", "lon"), gauge_lat_lon, gauge_km)
+    rows = between_instants(facts.select(link, ts, *values), ts, start, end)
+    if chosen is not about:
+        rows = rows.join(chosen.select(link), link, "left_semi")
+    if step is not None:
+        rows = bins(rows, [link], ts, step).groupBy(link, "bin").agg(*[f(v).alias(f"{v}_{n}") for v in values for n, f in (("max", F.max), ("min", F.min))])
+    return lookup(rows, about, [link])

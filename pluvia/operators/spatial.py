@@ -47,7 +47,10 @@ def refine(rain: DataFrame, points: DataFrame, time: list[str], b: float, roi: f
     rain: time, link, rain (a link's mean). Each round gives a point the weighted mean of other links' points nearby (its own value where
     there are none), then scales a link's points so that the mean of their rain ** b is the link's rain ** b again. The loss is
     the mean square change. An interpretation of the published method: its iteration isn't specified further.
+    Rounds are cut by checkpoints, so the session needs a folder for them (spark.checkpoint.dir).
     """
+    if points.sparkSession.sparkContext.getCheckpointDir() is None:
+        raise ValueError("refine() needs a checkpoint folder: set spark.checkpoint.dir")
     other = points.select(F.col("link").alias("link2"), F.col("point").alias("point2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     near = within(points, other, [("x", "x2"), ("y", "y2")], roi).where("link != link2").select("point", "point2", idw_weight(F.greatest("distance", F.lit(1e-6)), power).alias("w")).checkpoint()
     now = points.select("link", "point").join(rain, "link").withColumnRenamed("rain", "link_rain").withColumn("rain", F.col("link_rain")).checkpoint()

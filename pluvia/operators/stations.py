@@ -6,11 +6,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pluvia.functions.expressions import NO_VALUE, PRECIP_ORDER
+from pluvia.functions.expressions import NO_VALUE, PRECIP_ORDER, precip_category
 from pluvia.functions.schemas import STATION_COLUMNS
 from pluvia.operators.timeseries import seconds
 
 
+def with_category(df: DataFrame, kind: str = "precip_type", out: str = "precip_category") -> DataFrame:
+    """The category of each row, derived from its code where there is none; a frame that has neither has no category (null)."""
+    if out in df.columns:
+        return df if kind not in df.columns else df.withColumn(out, F.coalesce(F.col(out), precip_category(F.col(kind))))
+    return df.withColumn(out, precip_category(F.col(kind)) if kind in df.columns else F.lit(None).cast("string"))
+
+
+def of_types(df: DataFrame, wanted: list[str], kind: str = "precip_type") -> DataFrame:
+    """Rows whose code is one of those wanted; null is none."""
+    return df.where(F.col(kind).isin(wanted))
+
+
+def distinct_values(df: DataFrame, value: str) -> DataFrame:
+    """Each value once, in order, null left out."""
+    return df.select(value).where(F.col(value).isNotNull()).distinct().orderBy(value)
+
+
+def bundle_totals(rows: DataFrame, product: str, key: str) -> DataFrame:
+    """Observations and stations of each product, and of all (product null)."""
+    return rows.rollup(product).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("stations"))
+
+
+def to_long(df: DataFrame, ids: list[str], values: list[str], name: str = "measure", out: str = "amount") -> DataFrame:
+    return df.select(*ids, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(ids, values, name, out)
+
+
+def to_wide(df: DataFrame, ids: list[str], name: str, value: str, names: list) -> DataFrame:
+    """A column for each of names, the mean of repeated cells."""
+    return df.groupBy(*ids).pivot(name, names).agg(F.avg(value))
+
+
+def present(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted columns that there are, in the wanted order."""
+    return df.select(*[F.col(f"`{c}`") for c in wanted if c in df.columns])
+
+
+def named_like(df: DataFrame, part: str, *first: str) -> DataFrame:
+    """The columns `first`, then those whose names hold part, in any case."""
+    return df.select(*first, *[F.col(f"`{c}`") for c in df.columns if part.lower() in c.lower() and c not in first])
+
+
+def wet(rain: Column, least: float = 0.1) -> Column:
+    """More rain than `least`; dry is exactly 0."""
+    return rain > least
+
+
+def with_rain(df: DataFrame, rain: str) -> DataFrame:
+    return df.where(F.col(rain) > 0)
+
+
+def nth_stations(df: DataFrame, key: str, nth: list[int]) -> DataFrame:
+    """Rows of the stations at these places (0: the first) in the order of keys; the keys are ranked as a summary."""
+    ranked = df.select(key).distinct().withColumn("__n", F.row_number().over(Window.orderBy(key)) - 1)
+    return df.join(ranked.where(F.col("__n").isin(nth)).select(key), key, "left_semi")
+
+
 def type_counts(df: DataFrame, key: str, kind: str) -> DataFrame:
     """key, kind, n; nulls and strings that stand for no value are left out."""
     return df.where(F.col(kind).isNotNull() & ~F.col(kind).isin(NO_VALUE)).groupBy(key, kind).agg(F.count(F.lit(1)).alias("n"))
@@ -32,7 +88,7 @@ def type_table(counts: DataFrame, key: str, kind: str, keys: list | None = None,
 
 
 def summary(df: DataFrame, key: str, rain: str, temp: str | None = None, wind: str | None = None) -> DataFrame:
-    """Total, rows with rain, and mean temperature and wind by station."""
+    """Total (also the per-station total of a conversion over all stations), rows with rain, and mean temperature and wind by station."""
     return df.groupBy(key).agg(F.coalesce(F.sum(rain), F.lit(0.0)).alias("total"), F.count_if(F.col(rain) > 0).alias("rainy"), *[F.avg(c).alias(f"mean_{c}") for c in (temp, wind) if c])
 
 

@@ -6,9 +6,15 @@ key is ordered by time and then by `tie`, so results don't depend on the order o
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from pluvia.operators.joins import join_back
+
+#: The largest finite double.
+LARGEST = sys.float_info.max
 _EMPTY = {"sum": 0.0, "count": 0}
 
 
@@ -45,7 +51,7 @@ def bins(df: DataFrame, keys: list[str], ts: str, step: int, out: str = "bin") -
     if 86400 % step == 0:
         return df.withColumn(out, F.timestamp_seconds(s - F.pmod(s, F.lit(step))))
     origin = df.groupBy(*keys).agg((F.floor(F.min(seconds(F.col(ts))) / 86400) * 86400).cast("long").alias("__origin"))
-    return df.join(origin, keys).withColumn(out, F.timestamp_seconds(s - F.pmod(s - F.col("__origin"), F.lit(step)))).drop("__origin")
+    return join_back(df, origin, keys).withColumn(out, F.timestamp_seconds(s - F.pmod(s - F.col("__origin"), F.lit(step)))).drop("__origin")
 
 
 def resample(df: DataFrame, keys: list[str], ts: str, step: int, rules: dict[str, tuple[str, str]], spine: bool = True, out: str = "bin") -> DataFrame:
@@ -71,9 +77,12 @@ def resample(df: DataFrame, keys: list[str], ts: str, step: int, rules: dict[str
 def running_total(df: DataFrame, keys: list[str], ts: str, value: str, out: str = "total", nulls: str = "zero", tie: tuple[str, ...] = (), chunk: int = 86400) -> DataFrame:
     """Cumulative sum by key. nulls: 'zero' (a null adds nothing), 'skip' (null stays null, the sum goes on), 'clip' (negatives add nothing either).
 
+    NaN counts as null. Every row stays: null keys are a key, and rows without a time come first in their series.
+
     In two levels, so that a key with very many rows is no single window: sums by (key, chunk of time) first, then within a chunk.
     """
-    x = F.coalesce(F.col(value), F.lit(0.0))
+    known = F.when(~F.isnan(value), F.col(value))
+    x = F.coalesce(known, F.lit(0.0))
     if nulls == "clip":
         x = F.greatest(x, F.lit(0.0))
     rows = df.withColumn("__x", x).withColumn("__chunk", F.floor(seconds(F.col(ts)) / chunk))
@@ -81,15 +90,16 @@ def running_total(df: DataFrame, keys: list[str], ts: str, value: str, out: str
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0))).drop("__sum")
     total = F.col("__before") + F.sum("__x").over(so_far([*keys, "__chunk"], ts, *tie))
-    done = rows.join(part, [*keys, "__chunk"]).withColumn(out, total).drop("__x", "__chunk", "__before")
-    return done.withColumn(out, F.when(F.col(value).isNotNull(), F.col(out))) if nulls == "skip" else done
+    done = join_back(rows, part, [*keys, "__chunk"]).withColumn(out, total).drop("__x", "__chunk", "__before")
+    return done.withColumn(out, F.when(known.isNotNull(), F.col(out))) if nulls == "skip" else done
 
 
 def fill(df: DataFrame, keys: list[str], ts: str, value: str, how: str, out: str = "filled", tie: tuple[str, ...] = ()) -> DataFrame:
-    """how: 'zero'; 'forward' (then backward at the start); 'linear' (by position: leading nulls stay, trailing ones take the last value)."""
-    v = F.col(value)
+    """how: 'zero' (infinities become the largest finite numbers); 'forward' (then backward at the start); 'linear' (by position: leading nulls
+    stay, trailing ones take the last value). NaN counts as null."""
+    v = F.when(~F.isnan(value), F.col(value))
     if how == "zero":
-        return df.withColumn(out, F.coalesce(v, F.lit(0.0)))
+        return df.withColumn(out, F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.coalesce(v, F.lit(0.0)))))
     w = series(keys, ts, *tie)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     if how == "forward":
@@ -124,6 +134,18 @@ def rolling(keys: list[str], ts: str, ahead: int, *tie: str) -> WindowSpec:
     return series(keys, ts, *tie).rowsBetween(0, ahead - 1)
 
 
+def at_instant(df: DataFrame, ts: str, instant) -> DataFrame:
+    """Rows of exactly that time; none if there is none (not the first step, as a search for the largest match would give)."""
+    return df.where(F.col(ts) == F.lit(instant).cast(df.schema[ts].dataType))
+
+
+def last_days(df: DataFrame, ts: str, end: str, days: int) -> DataFrame:
+    """Rows of the `days` days up to the instant end, both ends included."""
+    kind = df.schema[ts].dataType
+    until = F.lit(end).cast(kind)
+    return df.where((F.col(ts) >= until - F.make_dt_interval(F.lit(days))) & (F.col(ts) <= until))
+
+
 def between_instants(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     """start <= ts <= end; either may be missing. A day as end means its midnight."""
     for bound, op in ((start, ">="), (end, "<=")):
@@ -164,8 +186,9 @@ def temporal_split(df: DataFrame, keys: list[str], ts: str, part: float = 0.7, t
 
 
 def hash_split(df: DataFrame, ident: str, part: float = 0.8, seed: int = 0) -> DataFrame:
-    """train: a deterministic random share of rows, by a hash of their identifier."""
-    return df.withColumn("train", F.pmod(F.xxhash64(F.lit(seed), F.col(ident)), F.lit(1_000_000)) < F.lit(int(part * 1_000_000)))
+    """train: a deterministic random share of rows, by the first 32 bits of an MD5 of seed and identifier."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.withColumn("train", drawn < F.lit(int(part * (1 << 32))))
 
 
 def blocks(df: DataFrame, keys: list[str], ts: str, values: list[str], width: int = 32, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -178,6 +201,13 @@ def blocks(df: DataFrame, keys: list[str], ts: str, values: list[str], width: in
     return rows.where(F.size("__r") == width).select(*keys, "block", "start", *map(column, values))
 
 
+def training_dataset(df: DataFrame, keys: list[str], ts: str, values: list[str], width: int = 32, part: float = 0.7, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of `width` rows with values brought to mean 0 and deviation 1 over all rows; train: the first `part` of each key's blocks."""
+    stats = df.agg(*[f(v).alias(f"__{n}_{v}") for v in values for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = df.crossJoin(F.broadcast(stats)).withColumns({v: F.try_divide(F.col(v) - F.col(f"__m_{v}"), F.col(f"__s_{v}")) for v in values})  # one row
+    return temporal_split(blocks(scaled.select(*df.columns), keys, ts, values, width, tie), keys, "block", part)
+
+
 def derivative(df: DataFrame, keys: list[str], ts: str, values: list[str], tie: tuple[str, ...] = ()) -> DataFrame:
     """d_<value>: central differences over a numeric time, one-sided at both ends."""
     w = series(keys, ts, *tie)

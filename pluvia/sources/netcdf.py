@@ -1,34 +1,79 @@
-"""A Python data source for NetCDF files of links, station groups and radar; the library netCDF4 is needed only where it is read."""
+"""A Python data source for NetCDF files of links, station groups and radar; the library netCDF4 is needed only where a file is opened."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
+
+import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
+
 
 class Slice(InputPartition):
-    """A range of time steps of a variable, or a group."""
+    """A range of time steps of a variable, or of a group's."""
 
     def __init__(self, path: str, group: str | None, first: int, last: int):
         super().__init__((path, group, first, last))
         self.path, self.group, self.first, self.last = path, group, first, last
 
 
-def slices(n: int, size: int) -> list[tuple[int, int]]:
+def slices(n: int, size: int, first: int = 0) -> list[tuple[int, int]]:
     """Ranges of at most `size` steps."""
-    return [(a, min(n, a + size)) for a in range(0, n, size)]
+    return [(a, min(n, a + size)) for a in range(first, n, size)]
+
+
+def instants(values: np.ndarray, units: str | None) -> list[datetime]:
+    """Times of numbers in units such as "minutes since 2015-06-01 00:00:00"; without units, seconds since 1970."""
+    found = re.match(r"\s*(sec|s|min|m|hour|h|day|d)\w*\s+since\s+([0-9-]+)(?:[T ]([0-9:.]+))?", units or "seconds since 1970-01-01", re.IGNORECASE)
+    if not found:
+        raise ValueError(f"unknown units of time: {units}")
+    start = datetime.fromisoformat(f"{found[2]} {(found[3] or '00:00:00').split('.')[0]}").replace(tzinfo=timezone.utc)
+    each = _UNITS[found[1][0].lower()]
+    return [start + timedelta(seconds=float(v) * each) for v in np.asarray(values, float)]
+
+
+def rows(times: np.ndarray, units: str | None, data: list[np.ndarray], group: str | None = None, sentinel: float | None = None, at: int | None = None) -> Iterator[tuple]:
+    """A row a cell: (group or place or (y, x), time, values). Masked cells, NaN and the sentinel are null. at: one place of the second dimension alone."""
+    flat = [np.ma.filled(np.ma.asarray(d, float), np.nan) for d in data]
+    for i, ts in enumerate(instants(times, units)):
+        cells = [np.atleast_1d(d[i]) for d in flat]
+        for place in np.ndindex(cells[0].shape):
+            if at is None or place[0] == at:
+                values = [float(c[place]) for c in cells]
+                key = (group,) if group is not None else place
+                yield (*map(lambda k: k if isinstance(k, str) else int(k), key), ts, *[None if v != v or v == sentinel else v for v in values])
+
+
+def attributes(file) -> Iterator[tuple[str, str, str]]:
+    """(object, key, value) of a file's own attributes (object: empty), and of its variables' and groups'."""
+    for name, thing in [("", file), *file.variables.items(), *file.groups.items()]:
+        for key in thing.ncattrs():
+            yield name, key, str(thing.getncattr(key))
+
+
+def readable(groups: dict, variables: list[str]) -> list[str]:
+    """Names of the groups that have a time and all variables; others are skipped."""
+    return [name for name, g in groups.items() if all(v in getattr(g, "variables", {}) for v in ("time", *variables))]
 
 
 class NetCDF(DataSource):
-    """options: path, variables (comma-separated), dimension (second dimension's name), steps (time steps of a partition), groups ("true": each group a station)."""
+    """options: path; variables (comma-separated); dimension (second dimension's name), or y_x ("true": rasters, y and x);
+    groups ("true": each group a station, bad ones skipped); first, last (time steps) and at (place of the second dimension): a part alone;
+    sentinel (a number that means null); steps (time steps of a partition); attributes ("true": object, key, value instead)."""
 
     @classmethod
     def name(cls) -> str:
         return "netcdf_long"
 
     def schema(self) -> str:
+        if self.options.get("attributes") == "true":
+            return "object string, key string, value string"
         dim = self.options.get("dimension", "sublink")
-        key = "station_id string" if self.options.get("groups") == "true" else f"{dim} int"
+        key = "station_id string" if self.options.get("groups") == "true" else "y int, x int" if self.options.get("y_x") == "true" else f"{dim} int"
         return f"{key}, ts timestamp, " + ", ".join(f"{v} double" for v in self.options["variables"].split(","))
 
     def reader(self, schema: StructType) -> DataSourceReader:
@@ -38,9 +83,9 @@ class NetCDF(DataSource):
 class NetCDFReader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
-        self.variables = self.options["variables"].split(",")
+        self.variables = self.options.get("variables", "").split(",")
 
-    def _open(self):
+    def open(self):
         try:
             import netCDF4
         except ImportError as e:
@@ -48,20 +93,22 @@ class NetCDFReader(DataSourceReader):
         return netCDF4.Dataset(self.options["path"])
 
     def partitions(self):
-        size = int(self.options.get("steps", 50_000))
-        with self._open() as f:
-            groups = list(f.groups) if self.options.get("groups") == "true" else [None]
-            return [Slice(self.options["path"], g, a, b) for g in groups for a, b in slices(len((f[g] if g else f).variables["time"]), size)]
+        o = self.options
+        if o.get("attributes") == "true":
+            return [Slice(o["path"], None, 0, 0)]
+        size, first = int(o.get("steps", 50_000)), int(o.get("first", 0))
+        with self.open() as f:
+            names = readable(f.groups, self.variables) if o.get("groups") == "true" else [None]
+            return [Slice(o["path"], g, a, b) for g in names for a, b in slices(min(len((f.groups[g] if g else f).variables["time"]), int(o.get("last", 1 << 62))), size, first)]
 
     def read(self, part: Slice):
-        from datetime import datetime, timezone
-
-        with self._open() as f:
-            at = f[part.group] if part.group else f
-            times = at.variables["time"][part.first : part.last]
+        o = self.options
+        with self.open() as f:
+            if o.get("attributes") == "true":
+                yield from attributes(f)
+                return
+            at = f.groups[part.group] if part.group else f
+            time = at.variables["time"]
             data = [at.variables[v][part.first : part.last] for v in self.variables]
-            for i, t in enumerate(times):
-                ts = datetime.fromtimestamp(float(t), timezone.utc)
-                rows = [[float(x) if x == x else None for x in (d[i : i + 1].ravel() if d.ndim == 1 else d[i].ravel())] for d in data]
-                for k, values in enumerate(zip(*rows)):
-                    yield (part.group if part.group else k, ts, *values)
+            sentinel, place = (float(o["sentinel"]) if "sentinel" in o else None), (int(o["at"]) if "at" in o else None)
+            yield from rows(time[part.first : part.last], getattr(time, "units", None), data, part.group, sentinel, place)

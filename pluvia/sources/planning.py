@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 def month_chunks(spark: SparkSession, stations: list[str], start: str, end: str) -> DataFrame:
     """station, month, first, last: whole months from that of start on; a month that begins at end is left out."""
-    first = F.trunc(F.lit(start).cast("date"), "MM")
-    months = spark.createDataFrame([(s,) for s in stations], "station string").withColumn("first", F.explode(F.sequence(first, F.lit(end).cast("date"), F.expr("INTERVAL 1 MONTH"))))
-    months = months.where(F.col("first") < F.lit(end).cast("date"))
-    return months.select("station", F.date_format("first", "yyyy-MM").alias("month"), "first", F.least(F.last_day("first"), F.lit(end).cast("date")).alias("last"))
+    return month_plan(spark.createDataFrame([(s, start, end) for s in stations], "station string, start string, end string"))
+
+
+def month_plan(ranges: DataFrame) -> DataFrame:
+    """month_chunks() of each row of station, start, end."""
+    r = ranges.select("station", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
+    months = F.sequence(F.trunc("start", "MM"), F.greatest("end", F.trunc("start", "MM")), F.expr("INTERVAL 1 MONTH"))
+    found = r.withColumn("first", F.explode(months)).where(F.col("first") < F.col("end"))
+    return found.select("station", F.date_format("first", "yyyy-MM").alias("month"), "first", F.least(F.last_day("first"), "end").alias("last"))
 
 
 def day_chunks(spark: SparkSession, start: str, end: str, days: int = 31) -> DataFrame:
@@ -22,12 +27,18 @@ def day_chunks(spark: SparkSession, start: str, end: str, days: int = 31) -> Dat
 
     A last single day that falls on end is left out, as in the rule that this follows.
     """
-    s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    one = spark.range(1)
+    one = spark.createDataFrame([("", start, end)], "station string, start string, end string")
+    return day_plan(one, days).drop("station")
+
+
+def day_plan(ranges: DataFrame, days: int = 31) -> DataFrame:
+    """day_chunks() of each row of station, start, end."""
+    s, e = F.col("s"), F.col("e")
     short = F.datediff(e, s) <= days
     many = F.filter(F.sequence(s, F.greatest(s, e), F.expr(f"INTERVAL {days + 1} DAYS")), lambda x: x < e)
-    got = one.select(F.explode(F.when(short, F.array(s)).otherwise(many)).alias("first")).select("first", F.least(F.date_add("first", days), e).alias("last"))
-    return got.select("first", "last", F.date_format("first", "yyyyMMdd").alias("first_stamp"), F.date_format("last", "yyyyMMdd").alias("last_stamp"))
+    days_of = ranges.select("station", F.col("start").cast("date").alias("s"), F.col("end").cast("date").alias("e"))
+    got = days_of.withColumn("first", F.explode(F.when(short, F.array(s)).otherwise(many))).select("station", "first", F.least(F.date_add("first", days), e).alias("last"))
+    return got.select("station", "first", "last", F.date_format("first", "yyyyMMdd").alias("first_stamp"), F.date_format("last", "yyyyMMdd").alias("last_stamp"))
 
 
 @dataclass
@@ -45,6 +56,14 @@ def valid_range(start: datetime, end: datetime, now: datetime) -> ValidRange:
     return ValidRange(start, end, (end - start).days > 31)
 
 
+def valid_ranges(ranges: DataFrame, now: str) -> DataFrame:
+    """valid_range() of each row: start and end as timestamps put right, and long."""
+    end = F.least(F.col("end"), F.lit(now).cast(ranges.schema["end"].dataType))
+    start = F.when(F.col("start") >= F.col("__end"), F.col("__end") - F.make_dt_interval(F.lit(7))).otherwise(F.col("start"))
+    got = ranges.withColumn("__end", end).withColumn("start", start).withColumn("end", F.col("__end")).drop("__end")
+    return got.withColumn("long", F.floor((F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 86_400_000_000) > 31)
+
+
 #: Parameters of current conditions, and of their unit block in either system.
 CURRENT = {
     "stationID": "Station ID", "obsTimeUtc": "Observation Time (UTC)", "obsTimeLocal": "Observation Time (Local)", "neighborhood": "Neighborhood", "softwareType": "Software Type",

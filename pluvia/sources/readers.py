@@ -7,37 +7,94 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvia.functions import expressions as x
-from pluvia.functions.schemas import ASOS_METRIC, ASOS_RAW, OBSERVATION, OBSERVATIONS, RAW_NAMES, SIMPLE_NAMES, STATION_ORDER, SUMMARIES, conform
-from pluvia.operators.timeseries import dedupe_first
+from pluvia.functions.schemas import ASOS_METRIC, ASOS_RAW, OBSERVATION, RAW_NAMES, SIMPLE_NAMES, STATION_ORDER, conform
+from pluvia.operators.joins import union_all
+from pluvia.operators.timeseries import dedupe_first, last_days
+
+
+#: Where a landed row stood: what "first" means among repeated rows, however files are packed into tasks.
+_PLACE = [T.StructField("__file", T.StringType()), T.StructField("__part", T.LongType())]
 
 
 def asos_csv(spark: SparkSession, path: str) -> DataFrame:
-    """1-minute CSV as strings, whatever columns a file has; then asos_metric()."""
-    return conform(spark.read.option("header", True).csv(path), ASOS_RAW)
+    """1-minute CSV as strings, whatever columns a file has, with each row's place (file name, offset of the part, row); then asos_metric()."""
+    got = spark.read.option("header", True).csv(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__part"))
+    return conform(got, T.StructType([*ASOS_RAW.fields, *_PLACE])).withColumn("__row", F.monotonically_increasing_id())
 
 
 def asos_metric(raw: DataFrame, station: str | None = None) -> DataFrame:
-    """Metric columns: °C, m/s, mm; unreadable numbers null; the first row of repeated (station, time) stays.
+    """Metric columns: °C, m/s, mm; unreadable numbers null; of repeated (station, time) the first row stays, by place in the files (else by content).
 
     One projection and one partial aggregation, all stations at once. station: its id where the file has none.
     """
     n = lambda c: x.parse_number(F.col(c))
-    raw = conform(raw, ASOS_RAW)
+    place = [c for c in ("__file", "__part", "__row") if c in raw.columns]
+    raw = raw if place else conform(raw, ASOS_RAW)
     got = raw.select(
+        F.struct(*(place or [F.col(f"`{f.name}`") for f in ASOS_RAW.fields])).alias("__n"),
         F.try_to_timestamp(F.col("`valid(UTC)`")).alias("datetime"), (F.col("station") if station is None else F.lit(station)).alias("station_id"),
         x.fahrenheit_to_celsius(n("tmpf")).alias("temp_c"), x.fahrenheit_to_celsius(n("dwpf")).alias("dewpoint_c"), x.knots_to_ms(n("sknt")).alias("wind_speed_ms"), n("drct").alias("wind_dir_deg"),
         x.knots_to_ms(n("gust_sknt")).alias("wind_gust_ms"), n("gust_drct").alias("wind_gust_dir_deg"), x.null_text(F.col("ptype")).alias("precip_type"), x.precip_category(F.col("ptype")).alias("precip_category"), x.inches_to_mm(n("precip")).alias("precip_mm"),
     ).where("datetime IS NOT NULL")
-    got = got.withColumn("__n", F.monotonically_increasing_id())
     return dedupe_first(got, ["station_id", "datetime"], ["__n"]).select(*[f.name for f in ASOS_METRIC.fields])
 
 
-def observations_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row an observation of payloads with `observations` or `summaries`; names as the service has them, metric values as metric.<name>."""
-    schema = T.StructType([*OBSERVATIONS.fields, *SUMMARIES.fields])
-    rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode(F.coalesce("observations", "summaries")).alias("o"))
-    flat = [F.col(f"o.{f.name}").alias(f.name) for f in OBSERVATION.fields if f.name != "metric"]
-    return rows.select(*flat, *[F.col(f"o.metric.{f.name}").alias(f"metric.{f.name}") for f in OBSERVATION["metric"].dataType.fields])
+def observations_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row an observation of payloads with `observations` or `summaries`: every field that they have, structs as dotted names (metric.<name>).
+
+    Known fields that no payload has are null. Names and types come from a first pass over the payloads, so current conditions, whose
+    fields differ from those of a history, lose nothing.
+    """
+    return observations(payloads(spark, path, lines))
+
+
+def payloads(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed payloads as they are, a row each: a file each, or (lines) a line each, which Spark can split."""
+    return spark.read.option("multiLine", not lines).json(path)
+
+
+def observations(payloads: DataFrame, first: int | None = None) -> DataFrame:
+    """See observations_json(). first: so many of a payload's observations or (daily) summaries alone. A payload without any has no rows."""
+    lists = [F.col(c) for c in ("observations", "summaries") if c in payloads.columns and isinstance(payloads.schema[c].dataType, T.ArrayType)]
+    known = [(f"metric.{g.name}", g.dataType) for g in OBSERVATION["metric"].dataType.fields]
+    known = [(f.name, f.dataType) for f in OBSERVATION.fields if f.name != "metric"] + known
+    if not lists:
+        return payloads.sparkSession.createDataFrame([], T.StructType([T.StructField(n, t) for n, t in known]))
+    lists = [F.to_json(x) for x in lists] if len(lists) > 1 else lists
+    if len(lists) > 1:  # their fields differ: read as one kind
+        both = [payloads.schema[c].dataType.elementType for c in ("observations", "summaries")]
+        kind = T.ArrayType(T.StructType([*both[0].fields, *[f for f in both[1].fields if f.name not in both[0].names]]))
+        rows = F.from_json(F.coalesce(F.when(lists[0] != "[]", lists[0]), lists[1]), kind)
+    else:
+        rows = lists[0]
+    flat = flatten(payloads.select(F.explode(rows if first is None else x.first_n(rows, first)).alias("o")).select("o.*"))
+    kinds = dict(known)
+    return flat.select(
+        *[(F.col(f"`{n}`").try_cast(t) if n in flat.columns else F.lit(None).cast(t)).alias(n) for n, t in known], *[F.col(f"`{c}`") for c in flat.columns if c not in kinds]
+    )
+
+
+def has_observations(payloads: DataFrame) -> DataFrame:
+    """found: whether a payload has any observation."""
+    there = [F.coalesce(F.size(c) > 0, F.lit(False)) for c in ("observations", "summaries") if c in payloads.columns]
+    return payloads.withColumn("found", F.greatest(F.lit(False), F.lit(False), *there))
+
+
+def flatten(df: DataFrame) -> DataFrame:
+    """Fields of structs as columns with dotted names, at any depth; arrays stay."""
+
+    def leaves(c: F.Column, kind: T.DataType, name: str) -> list:
+        if isinstance(kind, T.StructType):
+            return [x for f in kind.fields for x in leaves(c.getField(f.name), f.dataType, f"{name}.{f.name}")]
+        return [c.alias(name)]
+
+    return df.select(*[x for f in df.schema.fields for x in leaves(F.col(f"`{f.name}`"), f.dataType, f.name)])
+
+
+def product_bundle(products: dict[str, DataFrame], end: str, hourly: str = "hourly", ts: str = "ts", days: int = 7) -> DataFrame:
+    """All products as rows with a product column; the hourly one is clipped to the `days` days before end."""
+    parts = [(last_days(df, ts, end, days) if name == hourly else df).withColumn("product", F.lit(name)) for name, df in products.items()]
+    return union_all(*parts)
 
 
 def simple_names(df: DataFrame, keep_original: bool = False) -> DataFrame:

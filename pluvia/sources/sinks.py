@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from pluvia.operators.stations import profile
+from pluvia.operators.stations import named_like, profile
 
 
 def by_station(df: DataFrame, path: str, key: str, *order: str) -> str:
@@ -25,13 +24,19 @@ def json(df: DataFrame, path: str) -> bool:
     return True
 
 
-def export(df: DataFrame, path: str, key: str, ts: str, everything: bool = False) -> dict[str, str]:
-    """clean, precipitation (key, time and columns named for it) and profile; nothing unless `everything`."""
+def export(df: DataFrame, path: str, key: str, ts: str, raw: DataFrame | None = None, everything: bool = False) -> dict[str, str]:
+    """clean, precipitation (key, time and columns named for it), profile, and the raw payloads as JSON; nothing unless `everything`.
+
+    df is computed once: what follows the clean series is read back from it.
+    """
     if not everything:
         return {}
-    rain = [c for c in df.columns if "precip" in c.lower()]
     combined(df, f"{path}/clean", key, ts)
-    combined(df.select(key, ts, *[c for c in rain if c not in (key, ts)]), f"{path}/precipitation", key, ts)
-    profile(df).write.mode("overwrite").option("header", True).csv(f"{path}/profile")
-    json(df.withColumn("exported_rows", F.lit(1)).groupBy(key).agg(F.sum("exported_rows").alias("rows")), f"{path}/rows")
-    return {k: f"{path}/{k}" for k in ("clean", "precipitation", "profile", "rows")}
+    done = df.sparkSession.read.option("header", True).schema(df.schema).csv(f"{path}/clean")
+    combined(named_like(done, "precip", key, ts), f"{path}/precipitation", key, ts)
+    profile(done).write.mode("overwrite").option("header", True).csv(f"{path}/profile")
+    kinds = ["clean", "precipitation", "profile"]
+    if raw is not None:
+        json(raw, f"{path}/raw")
+        kinds.append("raw")
+    return {k: f"{path}/{k}" for k in kinds}

@@ -33,27 +33,38 @@ def sessions(stream: DataFrame, keys: list[str], ts: str, gap: str = "2 hours",
 
 
 def rolling_deviation(stream: DataFrame, key: str, ts: str, value: str, rows: int = 8, late: str = LATE) -> DataFrame:
-    """key, ts, value, sigma: population deviation of a row and the ones before it, `rows` in all, row by row as a key's series grows.
+    """key, ts, value, sigma: population deviation of a row and the ones before it, `rows` in all, in the order of (time, value).
 
-    State is the last rows - 1 values of a key. Rows of a trigger are taken in order of time; a row older than the state's last one is
-    left out, since its window is past. The batch operator looks ahead instead: its sigma of a row is this one's rows - 1 rows later.
+    A row waits until the watermark has passed it, so rows that come late (within `late`) and rows of equal times take their places; what is
+    later still is left out. State is a key's waiting rows and the last rows - 1 values before them; it goes when the watermark has passed a key's last row by
+    another `late`, and a series that goes on after that starts anew. Rows still waiting when the query stops are emitted when it goes on.
+    The batch operator looks ahead instead: its sigma of a row is this one's rows - 1 rows later.
     """
     kind = dict(stream.dtypes)[key]
     schema = f"`{key}` {kind}, `{ts}` timestamp, `{value}` double, sigma double"
+    keep = int(pd.Timedelta(late).total_seconds() * 1000)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (None, [])
-        held = list(held)
-        got = pd.concat(list(frames)).sort_values(ts)
-        if last is not None:
-            got = got[got[ts] > pd.Timestamp(last)]
+        waiting, values, past = state.get if state.exists else ([], [], [])
+        waiting, past = list(zip(waiting, values)), list(past)
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for frame in frames:
+                at = frame[ts].astype("datetime64[us]").astype("int64") // 1000
+                waiting += [(int(t), float(v)) for t, v in zip(at, frame[value]) if t > mark]
+        waiting.sort()
+        done = [x for x in waiting if x[0] <= mark]
         out = []
-        for t, v in zip(got[ts], got[value]):
-            held = [*held[-(rows - 1) :], float(v)]
-            out.append((k[0], t, float(v), float(pd.Series(held).std(ddof=0))))
-            last = t.to_pydatetime()
-        if last is not None:
-            state.update((last, held[-(rows - 1) :]))
+        for t, v in done:
+            past = [*past[-(rows - 1) :], v] if rows > 1 else [v]
+            out.append((k[0], pd.Timestamp(t, unit="ms"), v, float(pd.Series(past).std(ddof=0))))
+        rest = waiting[len(done) :]
+        if state.hasTimedOut and not rest and not done:
+            state.remove()
+        else:
+            state.update(([t for t, _ in rest], [v for _, v in rest], past[-(rows - 1) :] if rows > 1 else []))
+            state.setTimeoutTimestamp(max(mark, 0) + 1 + (rest[0][0] - max(mark, 0) if rest else keep))
         yield pd.DataFrame(out, columns=[key, ts, value, "sigma"])
 
-    return stream.withWatermark(ts, late).select(key, ts, value).groupBy(key).applyInPandasWithState(step, schema, "last timestamp, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    held = "waiting array<long>, values array<double>, past array<double>"
+    return stream.withWatermark(ts, late).select(key, ts, value).groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)

@@ -54,17 +54,94 @@ def test_chunks(spark):
 
 
 def test_netcdf_slices_and_schema():
-    assert netcdf.slices(10, 4) == [(0, 4), (4, 8), (8, 10)]
+    assert netcdf.slices(10, 4) == [(0, 4), (4, 8), (8, 10)] and netcdf.slices(10, 4, 7) == [(7, 10)]
+    assert netcdf.NetCDF({"attributes": "true", "path": "x"}).schema() == "object string, key string, value string"
+    assert netcdf.NetCDF({"variables": "data", "y_x": "true", "path": "x"}).schema() == "y int, x int, ts timestamp, data double"
     assert netcdf.NetCDF({"variables": "rsl,tsl", "path": "x"}).schema() == "sublink int, ts timestamp, rsl double, tsl double"
 
 
+class Thing:
+    """What netCDF4 has of a file, a group or a variable, over an array."""
+
+    def __init__(self, data=None, variables=None, groups=None, **attrs):
+        self.data, self.variables, self.groups, self.attrs = data, variables or {}, groups or {}, attrs
+        self.__dict__.update(attrs)
+
+    def __getitem__(self, at):
+        return self.data[at]
+
+    def __len__(self):
+        return len(self.data)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def ncattrs(self):
+        return list(self.attrs)
+
+    def getncattr(self, key):
+        return self.attrs[key]
+
+
+def test_netcdf_reads(monkeypatch):
+    import numpy as np
+
+    utc = lambda *x: datetime(*x, tzinfo=netcdf.timezone.utc)
+    time = Thing(np.array([0, 1, 2]), units="minutes since 2015-06-01 00:00:00")
+    rsl = Thing(np.ma.masked_equal(np.array([[1.0, 2.0], [3.0, 1e10], [-1.0, np.nan]]), -1.0), units="dBm")
+    group = lambda *names: Thing(variables={n: Thing(np.array([0.5, 0.6, 0.7]) if n != "time" else np.array([0, 3600, 7200])) for n in names})
+    file = Thing(variables={"time": time, "rsl": rsl}, groups={"S1": group("time", "rain"), "bad": group("rain")}, contact="nobody")
+    monkeypatch.setattr(netcdf.NetCDFReader, "open", lambda self: file)
+
+    def read(**options):
+        reader = netcdf.NetCDFReader({"path": "x", "variables": "rsl", **options})
+        return [r for p in reader.partitions() for r in reader.read(p)]
+
+    t = [utc(2015, 6, 1, 0, m) for m in range(3)]
+    assert read(sentinel="1e10", steps="2") == [(0, t[0], 1.0), (1, t[0], 2.0), (0, t[1], 3.0), (1, t[1], None), (0, t[2], None), (1, t[2], None)]
+    assert read(first="1", last="2", at="0") == [(0, t[1], 3.0)]
+    assert read(groups="true", variables="rain") == [("S1", utc(1970, 1, 1, h), v) for h, v in enumerate((0.5, 0.6, 0.7))]
+    assert read(attributes="true") == [("", "contact", "nobody"), ("time", "units", "minutes since 2015-06-01 00:00:00"), ("rsl", "units", "dBm")]
+    raster = list(netcdf.rows(np.array([0]), "hours since 2020-01-01", [np.arange(6).reshape(1, 2, 3)]))
+    assert raster[4] == (1, 1, utc(2020, 1, 1), 4.0) and len(raster) == 6
+
+
+def test_current_conditions_lose_nothing(spark, tmp_path):
+    history = {"observations": [{"stationID": "S", "epoch": 1, "metric": {"tempAvg": 2}}]}
+    current = {"observations": [{"stationID": "S", "epoch": 2, "humidity": 71.0, "neighborhood": "Pier", "metric": {"temp": 3.5, "windSpeed": 4}}]}
+    (tmp_path / "a.json").write_text(json.dumps(history))
+    (tmp_path / "b.json").write_text(json.dumps(current))
+    (tmp_path / "c.json").write_text(json.dumps({"summaries": [{"stationID": "S", "epoch": 3}, {"stationID": "S", "epoch": 4}]}))
+    (tmp_path / "d.json").write_text(json.dumps({"error": "none"}))
+    got = {r.epoch: r for r in readers.observations_json(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert (got[2]["humidity"], got[2]["neighborhood"], got[2]["metric.temp"], got[2]["metric.windSpeed"], got[2]["metric.tempAvg"]) == (71.0, "Pier", 3.5, 4, None)
+    assert got[1]["metric.tempAvg"] == 2.0 and got[1]["humidity"] is None
+    assert readers.has_observations(readers.payloads(spark, str(tmp_path))).where("found").count() == 3
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "x.json").write_text(json.dumps({"error": "none"}))
+    assert readers.observations_json(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_first_rows_stay_whatever_the_files_sizes(spark, tmp_path):
+    head = "station,valid(UTC),tmpf,ptype,precip\n"
+    (tmp_path / "a.csv").write_text(head + "JFK,2024-01-01 00:00,32,NP,0.1\n")
+    (tmp_path / "b.csv").write_text(head + "".join(f"JFK,2024-01-01 {h:02}:{m:02},50,NP,0.2\n" for h in range(24) for m in range(60)))
+    got = readers.asos_metric(readers.asos_csv(spark, str(tmp_path))).where("datetime = '2024-01-01'").collect()
+    assert [r.temp_c for r in got] == [0.0]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 2, 1.0), ("b", 1, 2.0), ("a", 1, 3.0)], "st string, t int, precip_rate double")
     p = sinks.by_station(df, str(tmp_path / "s"), "st", "t")
     assert spark.read.option("header", True).csv(p).count() == 3
     assert [r.t for r in spark.read.option("header", True).csv(sinks.combined(df, str(tmp_path / "c"), "st", "t")).collect()] == ["1", "2", "1"]
     assert sinks.export(df, str(tmp_path / "e"), "st", "t") == {}
-    out = sinks.export(df, str(tmp_path / "e"), "st", "t", everything=True)
+    out = sinks.export(df, str(tmp_path / "e"), "st", "t", raw=df, everything=True)
+    assert spark.read.json(out["raw"]).count() == 3
     assert spark.read.option("header", True).csv(out["precipitation"]).columns == ["st", "t", "precip_rate"]
 
 
@@ -94,5 +171,12 @@ def test_streams(spark, tmp_path):
     assert [r.s for r in got] == [4.0, 4.0]
     got = ran(series.sessions(src, ["k"], "t", "2 hours", "10 minutes"), "sessions").orderBy("start").collect()
     assert [(r.n, r.end.minute) for r in got] == [(4, 7), (1, 0)]
-    got = ran(series.rolling_deviation(src, "k", "t", "v", 2, "10 minutes"), "rolling").collect()
-    assert len(got) == 6 and max(r.sigma for r in got) == 2.5
+    got = ran(series.rolling_deviation(src, "k", "t", "v", 2, "10 minutes"), "rolling").orderBy("t", "sigma").collect()
+    # the watermark ends at 19:50, so the last row waits; ties stay
+    assert [(r.v, r.sigma) for r in got] == [(1.0, 0.0), (1.0, 0.0), (2.0, 0.5), (4.0, 1.0), (5.0, 0.5)]
+
+
+def test_rolling_takes_late_rows_at_their_place(spark, tmp_path):
+    src = stream(spark, tmp_path, [[("a", 1, 0, 1.0), ("a", 1, 20, 5.0)], [("a", 1, 10, 3.0), ("b", 1, 20, 7.0)], [("b", 9, 0, 0.0)], [("b", 9, 1, 0.0)]])
+    got = ran(series.rolling_deviation(src, "k", "t", "v", 2, "1 hour"), "rolling_late").orderBy("k", "t").collect()
+    assert [(r.k, r.v, r.sigma) for r in got] == [("a", 1.0, 0.0), ("a", 3.0, 1.0), ("a", 5.0, 1.0), ("b", 7.0, 0.0)]
