@@ -27,6 +27,8 @@ from pluvia.llm.common import small_batches
 
 #: Characters of text in a chunk, about; a longer document is a chunk of its own.
 CHUNK_CHARS = 12_000_000
+#: Buckets of words, at most.
+MOST_BUCKETS = 4096
 #: The tokenizer's own split of lower-cased text (a fixed value of its file).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT = regex.compile(PATTERN)
@@ -34,12 +36,20 @@ _SPLIT = regex.compile(PATTERN)
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+")
 
 
+def _parts(step: dict | None) -> list[dict]:
+    """The steps of a (sequence of) pre-tokenizer(s) in a tokenizer's file."""
+    return [] if step is None else step["pretokenizers"] if step["type"] == "Sequence" else [step]
+
+
 class Words:
     """The words of a text, as the tokenizer in spec (the text of its JSON file) splits them, and their ids."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        splits = [x["pattern"].get("Regex") for x in _parts(json.loads(spec).get("pre_tokenizer")) if x["type"] == "Split"]
+        if splits != [PATTERN]:
+            raise ValueError(f"this tokenizer splits words by {splits}; only {PATTERN} is known here")
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -203,7 +213,8 @@ def _chunks(batches):
 
 
 def _buckets(docs: DataFrame) -> int:
-    return max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """As many as shuffle partitions, MOST_BUCKETS at most: a chunk sends a row a bucket, so rows must not grow with the cluster."""
+    return min(MOST_BUCKETS, max(256, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def encode(docs: DataFrame, spec: str, buckets: int | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
