@@ -280,19 +280,22 @@ def train(texts: list[str], toxic: list[int], epochs: int | None = None, batch:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: tuple[int, int] = TRAIN_DOCS, max_chars: int = TRAIN_CHARS, **how) -> Network | None:
-    """A network from documents with a label: at most max_docs toxic and clean ones, drawn by a digest of doc_id, none over max_chars.
+    """A network from documents with a label: at most max_docs toxic and clean ones, drawn by a digest of doc_id among those of max_chars or less.
 
-    Labels choose first, so that only the chosen rows of documents move. A doc_id with both labels counts as toxic.
+    Labels choose first, so that only the chosen rows of documents move. A doc_id with both labels counts as toxic. Rows without
+    identifier, text or label are left out; empty tables, or labels that are all alike, give None. Columns besides those named are ignored.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = first_by_digest(known, "toxic", "doc_id", F.when(F.col("toxic") == 1, max_docs[0]).otherwise(max_docs[1]))
+    short = docs.where(F.char_length("text") <= max_chars).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    picked = first_by_digest(known.join(short, "doc_id", "left_semi"), "toxic", "doc_id", F.when(F.col("toxic") == 1, max_docs[0]).otherwise(max_docs[1]))
     rows = docs.select("doc_id", "text").where(F.char_length("text") <= max_chars).join(F.broadcast(picked), "doc_id").toArrow()
     got = sorted(set(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), rows.column("toxic").to_pylist())))
     return train([t for _, t, _ in got], [k for _, _, k in got], **how)
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, score of every whole text: the largest probability over its overlapping windows; 0 for texts without words or without a network."""
+    """doc_id, score of every whole text: the largest probability over its overlapping windows; 0 for texts without words (null ones too) or without
+    a network. One row for each input row, repeated rows and null identifiers included; no rows for an empty table; other columns are ignored."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(net.p if net else None)
