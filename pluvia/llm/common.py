@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,15 +40,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, since a row may hold a very long text."""
+    """Arrow batches of few rows, since a row may hold a very long text. The setting is the session's and plans read it when they run, so it is only ever
+    lowered; Spark bounds a batch's bytes besides (spark.sql.execution.arrow.maxBytesPerBatch)."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine's own only where that is unset."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a session of this machine alone gets a temporary one; a cluster has to name one."""
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("executors need a folder that all of them share: set spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp())
     return sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
 
@@ -65,6 +72,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of what written() made, once nothing will read it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {os.path.dirname(f) for f in df.inputFiles()}:
+            if os.path.basename(name).startswith("table-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def by_key(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """The rows of each key as a table, from a task's batches in the order of the key; one key is held at a time."""
     held: list[pa.RecordBatch] = []

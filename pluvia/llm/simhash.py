@@ -15,6 +15,7 @@ from pluvia.llm.components import components
 
 #: Words of a shingle, and the differing bits at which fingerprints still link.
 WORDS, RADIUS = 3, 2
+_BLOCK = 1 << 15
 #: Fingerprints of a shard's tree, about; larger shards are split.
 TREE = 20_000
 
@@ -24,7 +25,7 @@ def shingles(text: str | None, words: int = WORDS):
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() changes A-Z alone
     if not w:
         return
-    n, step = max(1, len(w) - words + 1), 1 << 15
+    n, step = max(1, len(w) - words + 1), _BLOCK
     for at in range(0, n, step):
         upto = min(n, at + step)
         part = w[at : upto + words - 1]
