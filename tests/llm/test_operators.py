@@ -117,6 +117,79 @@ def test_suffix_array_orders_all_suffixes():
         assert suffix_arrays.suffix_array(t, 1000).tolist() == sorted(range(len(t)), key=lambda i: b[i:])
 
 
+def brute_classes(group, window):
+    best = {}
+    for least, s in group:
+        for i in range(len(s) - window + 1):
+            best[s[i : i + window]] = min(best.get(s[i : i + window], 1 << 62), least)
+    return [repeats.spans_of(np.array([i for i in range(len(s) - window + 1) if best[s[i : i + window]] < least], np.int64), window) for least, s in group]
+
+
+def test_separators_are_no_bytes():
+    group = [(1, b"P" * 9 + b"A" * 51), (2, b"Q" * 45 + b"P" * 10), (3, b"Y" * 60), (4, b"P" * 10 + b"\0" + b"Y" * 39)]
+    assert suffix_arrays.compare([group]) == [brute_classes(group, 50)]
+    r = random.Random(1)
+    for _ in range(150):
+        letters = r.choice([b"\0a", b"\0ab", b"ab", b"\0\1\xff"])
+        base = bytes(r.choices(letters, k=200))
+        group = []
+        for i in range(r.randint(2, 6)):
+            a = r.randint(0, 120)
+            group.append((i, base[a : a + r.randint(64, 80)] + bytes([r.choice(letters)]) * r.randint(0, 60)))
+        for window in (8, 13, 50, 64):
+            assert suffix_arrays.compare([group], window) == [brute_classes(group, window)]
+
+
+def test_suffix_dedup_keeps_what_only_holds_nul_bytes(spark):
+    n = "\0"
+    texts = ["abb" + n * 72 + "abab" + n * 5, "aba" + n * 55 + "a" + n * 14 + "ab" + n * 10, "a" + n * 19 + "bb", "ab" + n * 60 + "ab" + n * 19 + "bb", "aaaabb" + n * 8, "abbaba" + n * 36]
+    rows = list(enumerate(texts))
+    got = suffix_arrays.dedup(frame(spark, rows).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows, lambda t: t.encode(), bytes, 50)
+
+
+def test_runs_of_one_byte_take_no_longer():
+    import time
+
+    began = time.time()
+    suffix_arrays.suffix_array(np.full(1_000_000, 98, np.int16), 50)
+    assert time.time() - began < 5
+
+
+def test_long_texts_cross_blocks(monkeypatch):
+    """Whatever is done block by block gives the same for blocks of a few units."""
+    r = random.Random(4)
+    text = " ".join(r.choices(WORDS, k=900)) + " é ß " + "go " * 300
+    units = text.encode().split()
+
+    def all_of():
+        by_window = lambda blocks: [int(a) for _, count, anchor in blocks for c, a in zip(count, anchor) for _ in range(c)]
+        return (
+            by_window(suffix_arrays.anchors(text.encode())), simhash.fingerprint(text), fingerprints.as_string(fingerprints.sketch(text)), np.concatenate(list(langid.grams(text))).tolist(),
+            near.shingle_set(text).tolist(), len(by_window(recompression.anchors(units))),
+        )
+
+    whole = all_of()
+    monkeypatch.setattr(suffix_arrays, "_PIECE", 101)
+    monkeypatch.setattr(recompression, "_PIECE", 97)
+    monkeypatch.setattr(simhash, "_BLOCK", 13)
+    monkeypatch.setattr(fingerprints, "_BLOCK", 7)
+    monkeypatch.setattr(langid, "_PIECE", 11)
+    assert all_of() == whole
+
+
+def test_repeats_across_blocks(spark, monkeypatch):
+    r = random.Random(14)
+    passage = r.choices(WORDS, k=700)
+    rows = [(1, " ".join(passage)), (2, " ".join(r.choices(WORDS, k=333) + passage[50:600] + ["end"])), (3, " ".join(passage[100:180] * 8))]
+    monkeypatch.setattr(recompression, "_PIECE", 64)
+    monkeypatch.setattr(suffix_arrays, "_PIECE", 128)
+    got = recompression.dedup(frame(spark, rows)).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got) == brute_repeats(rows, lambda t: t.encode().split(), b" ".join, 50)
+    got = suffix_arrays.dedup(frame(spark, rows)).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in got) == brute_repeats(rows, lambda t: t.encode(), bytes, 50)
+
+
 def test_anchors_cover_all_windows_and_depend_on_them_alone():
     r = random.Random(3)
     passage = [r.choice(WORDS).encode() for _ in range(90)]
@@ -183,7 +256,8 @@ def test_near_blocks_of_one_text_find_the_same(spark, monkeypatch):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(w if r.random() < 0.985 else r.choice(base) for w in base)) for i in range(60)]
     monkeypatch.setattr(near, "BLOCK", 600)
-    monkeypatch.setattr(near.unjoined, "__defaults__", (near.RADIUS, 7))
+    monkeypatch.setattr(near.hopeful, "__defaults__", (near.RADIUS, 7))
+    monkeypatch.setattr(near.linked, "__defaults__", (near.RADIUS, 600))
     pairs, _ = check_near(spark, rows)
     assert len(pairs) > 20
 
@@ -223,6 +297,24 @@ def test_fingerprints(docs):
     plain = fingerprints.sketches(df).collect()
     assert len(plain) == len(rows)
 
+    def brute(t):
+        w = t.encode().split()
+        h = {xxhash.xxh64_intdigest(b" ".join(w[j : j + 5])) for j in range(max(1, len(w) - 4))} if w else set()
+        return {x for x in h if x < 2**62}, min(h, default=-1)
+
+    def like(a, b):
+        return len(a[0] & b[0]) / len(a[0] | b[0]) if a[0] | b[0] else float(a[1] == b[1])
+
+    def shown(a):
+        return "" if a[1] < 0 else "".join(f"{x >> 16:012x}" for x in sorted(a[0])) + f".{a[1]:016x}"
+
+    want = []
+    for k, (i, t) in enumerate(order):
+        n, nxt = len(t), order[(k + 1) % len(order)][1]
+        own, edited = brute(t), brute(t[: n - n // 2] + nxt[: n // 2])
+        want.append((-1 if i is None else i, shown(own), shown(edited), like(own, edited), like(own, brute(nxt))))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == sorted(want)
+
 
 def test_sketches_estimate_and_merge():
     r = random.Random(2)
@@ -325,6 +417,41 @@ def test_chat_format(spark, rows):
         assert r.valid == (r.conv_id in (1, 2))
 
 
+def test_chat_format_takes_other_templates(spark):
+    template = chat_format.TEMPLATE | {"head": "[INST:", "open": "] ", "close": "[/INST]", "loss_roles": ["user"]}
+    texts = ["", "[/INST]", "[INST:user] x", "\\b\\c[", "a] [/INST", None]
+    df = spark.createDataFrame([(1, i, "us] er" if i % 2 else "user", t, "s", 1) for i, t in enumerate(texts)], CHAT)
+    r = chat_format.format_chats(df, template).select(chat_format.read_back(F.col("formatted"), template).alias("back"), chat_format.learned_text(F.col("segments"), template).alias("learned"), "formatted").first()
+    assert [(t.role, t.text) for t in r.back] == [("us] er" if i % 2 else "user", t or "") for i, t in enumerate(texts)]
+    assert r.formatted.count("[/INST]") == len(texts) and r.learned == "".join(t or "" for t in texts[::2])
+    for bad in ({"close": ""}, {"close": "#x"} | {"head": "a#"}, {"head": "\\a"}):
+        with pytest.raises(ValueError):
+            chat_format.format_chats(df, chat_format.TEMPLATE | bad)
+
+
+def test_language_shares_are_those_of_exact_sets(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").collect()]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {}
+    for _, t, lang in rows:
+        c = "".join(x.lower()[0] if x.isalpha() else " " for x in " " + t + " ")
+        c = re.sub(" +", " ", c)
+        for j in range(len(c) - 2):
+            if c[j + 1] != " ":
+                own = counts.setdefault(lang, {})
+                own[c[j : j + 3]] = own.get(c[j : j + 3], 0) + 1
+    part = {lang: {g: n / sum(own.values()) for g, n in own.items()} for lang, own in counts.items()}
+    sets = {lang: {g for g, n in own.items() if n >= langid.MIN_COUNT and part[lang][g] * langid.RATIO >= max(p.get(g, 0) for p in part.values())} for lang, own in counts.items()}
+    assert model.langs == sorted(sets)
+    for _, t, _ in rows[:60]:
+        c = re.sub(" +", " ", "".join(x.lower()[0] if x.isalpha() else " " for x in " " + t + " "))
+        g = [c[j : j + 3] for j in range(len(c) - 2) if c[j + 1] != " "]
+        shares, n = model.shares(t)
+        assert n == len(g)
+        for lang, share in zip(model.langs, shares):
+            assert abs(share - sum(x in sets[lang] for x in g) / len(g)) < 0.01
+
+
 def test_language_id(spark, docs):
     rows, df = docs
     model = langid.fit(df.withColumn("lang", F.lit("en")))
@@ -361,6 +488,35 @@ def test_toxicity(spark, docs):
     assert toxicity.fit(df, labels.limit(0)) is None
 
 
+def test_toxicity_scores_every_window():
+    r = random.Random(3)
+    net = toxicity.Network(3)
+    net.p = {k: v + np.random.default_rng(5).standard_normal(v.shape).astype(v.dtype) * 0.3 for k, v in net.p.items()}
+    texts = [" ".join(r.choices(WORDS, k=n)) for n in (1, 5, 31, 32, 33, 57, 80, 200, 1000)] + [""]
+    got = net.score_texts(texts, {})
+    for t, score in zip(texts, got):
+        w = t.split()
+        each = [net.score_texts([" ".join(w[s : s + toxicity.WIDTH])], {})[0] for s in toxicity.windows(len(w))]
+        assert abs(score - max(each, default=0.0)) < 1e-4
+        covered = {i for s in toxicity.windows(len(w)) for i in range(s, min(len(w), s + toxicity.WIDTH))}
+        assert covered == set(range(len(w)))
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    from pluvia.llm import common
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session())
+
+
 def test_toxicity_gradients():
     net = toxicity.Network(3)
     for k in ("words", "chars"):
@@ -402,7 +558,7 @@ def test_stages_keep_what_they_should(spark, docs):
     columns = df.columns
     out = stages.language_id(spark, df, "")
     model = langid.fit(df.where(~stages.held_out()))
-    unknown = lambda t: bool(model.langs) and sum(map(len, langid.grams(t))) >= 20 and model.decide(t)[2] < 0.2
+    unknown = lambda t: bool(model.langs) and model.decide(t)[2] < (stages.LEAST_COVERAGE if sum(map(len, langid.grams(t))) >= stages.FEW else 1e-12)
     assert out.columns == columns and {r.text for r in out.collect()} == {t for _, t in rows if any(c.isalpha() for c in t or "") and not unknown(t)}
     out = stages.exact(spark, df, "")
     assert out.columns == columns
