@@ -221,7 +221,8 @@ def encode(docs: DataFrame, spec: str, buckets: int | None = None, chunk_chars:
     """doc_id, ids (array of int) of every whole text, one row for each input row; null text: no ids.
 
     spec: text of a tokenizer's JSON file (word-level split as in PATTERN, BPE with word ends). Strings of its added tokens
-    are those tokens; no others are added.
+    are those tokens; no others are added. Rows stay apart: repeated ones, and ones that share a doc_id or have none, give a row each. An empty
+    table gives no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession, 128)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -262,7 +263,8 @@ def round_trip(docs: DataFrame, spec: str, buckets: int | None = None, chunk_cha
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by a space), decoded_sha256 of every whole text.
 
     As encode(), and decoded where ids meet positions: an id-to-piece table (broadcast: a vocabulary has a fixed size) gives each
-    distinct word's decoded form, and a text's are joined. Null text: empty. Repeated rows give repeated results.
+    distinct word's decoded form, and a text's are joined. Null text: empty. Repeated rows give repeated results, an empty table none; a null doc_id
+    stays null; other columns are ignored.
     """
     from tokenizers import Tokenizer
 

@@ -66,7 +66,7 @@ def as_string(s: tuple[np.ndarray, int]) -> str:
 
 
 def sketches(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:
-    """doc_id, text -> doc_id, hashes (array of long, as signed), least (long, signed; null: no words). Null text: empty."""
+    """doc_id, text -> doc_id, hashes (array of long, as signed), least (long, signed; null: no words). Null text: empty. A row for each row, other columns ignored."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -117,7 +117,7 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = F
 
     The edited text ends with the first floor(n / 2) code points (or all) of the next document, by descending doc_id, in
     place of its own last floor(n / 2). Null text: empty. The text after the only row is its own; where all
-    identifiers are null, the text after the last is empty. Repeated rows give repeated results.
+    identifiers are null, the text after the last is empty. Repeated rows give repeated results, an empty table none. Other columns are ignored.
     """
 
     def run(batches):

@@ -111,7 +111,8 @@ class Filters:
 def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, rows: int = ROWS, hashes: int = HASHES, ratio: float = RATIO, min_count: int = MIN_COUNT) -> Filters:
     """Filters from rows of (doc_id, text, lang), of which max_docs a language (in the order of a digest of doc_id) are used whole.
 
-    Rows without text, language or identifier are left out. Counting, choice of n-grams and filling run on Spark; what
+    Rows without text, language or identifier are left out; rows that share a doc_id are used together. Languages of equal share keep an n-gram both. An
+    empty table gives filters of no language, which call every text `und`. Counting, choice of n-grams and filling run on Spark; what
     comes to the driver are the languages and the filter's rows, of which there are `rows` times (languages / 64) at most.
     """
     small_batches(labelled.sparkSession)
@@ -160,7 +161,7 @@ def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, rows: int = ROWS, hashe
 def identify(docs: DataFrame, model: Filters, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id (and the columns in keep), lang_pred, score, coverage of every whole text; `und` without a letter.
 
-    Ties go to the smaller language name. Rows stay as they are, repeated ones included.
+    Ties go to the smaller language name. Rows stay as they are, repeated ones and null identifiers included; null texts are `und`; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -43,7 +43,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget_share: f
     single window. The cut is found on sums of 1/4096 steps of the virtual time; only rows in that step are ordered.
 
     A null text has size 0; a null source is a source of its own, the last. Repeated rows count as documents of
-    their own. Documents of size 0 enter as often as the time at which they stand says, with 0 words.
+    their own; an empty table gives no rows; other columns are ignored. Documents of size 0 enter as often as the time at which they stand says, with 0 words.
     Returns doc_id, source, size, source_size, target, copies, taken, with as many rows as documents.
     """
     read = docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"))

@@ -106,9 +106,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS, **limit
     """Removes each word that a window covers whose words also start in a document with a smaller identifier.
 
     Words are runs of characters other than space and U+0009 to U+000D, unchanged; windows are judged on the input. Symbols
-    name tokens' runs and pairs round by round (see rounds()); a window's anchor is one of its interior symbols of the highest
+    name tokens' runs and pairs round by round (see rounds()): by hashes, since naming through an exchange a round would move three times the
+    input (README). A window's anchor is one of its interior symbols of the highest
     level, symbols that several texts share reveal candidates, and windows are verified word by word (see repeats.py).
-    A null text has no words; a null identifier counts as larger than any other; repeated rows don't repeat each other.
+    A null text has no words; a null identifier counts as larger than any other; rows with one identifier don't repeat each other.
+    An empty table gives no rows; other columns are ignored.
     Returns doc_id, n_words, n_removed, n_spans, kept (the words that stay, joined by a space), kept_sha256.
     """
     same = F.sha2(F.trim(F.regexp_replace("text", SPACE, " ")), 256)

@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
     Equal fingerprints are one node, so copies are never paired. Texts without words have fingerprint zero and link like any
     other. A document with a null doc_id keeps it and takes the component of the others; component_id is null where no document of it has an identifier.
+    Rows that share a doc_id are judged each by its own text. An empty table gives no rows; other columns are ignored.
     """
     fps = checkpoint(fingerprints(docs, words))
     # a fingerprint is its own node, since one doc_id may have several

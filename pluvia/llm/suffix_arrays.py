@@ -94,8 +94,8 @@ def suffix_array(t: np.ndarray, depth: int, letters: int = 257) -> np.ndarray:
     """Suffixes of t (small whole numbers) in the order of their first `depth` symbols at least.
 
     Leftmost S suffixes are sorted by their substrings up to the next one, by one inducing pass; their names make a string a
-    third as long, whose suffixes are ranked by names of two, four, ... of its symbols, recursively, until all differ or the
-    names cover `depth` symbols of t; a second pass induces the rest.
+    third as long, whose suffixes are ranked by names of two, four, ... of its symbols, until all differ or the
+    names cover `depth` symbols of t; a second pass induces the rest. Prefix doubling stands for the recursion, which needs a step a name here (README).
     """
     n = len(t)
     if n < 2:
@@ -235,7 +235,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **limits) ->
 
     Matches never cross documents; overlaps count; strings are judged on the input. Candidates go to shards, where suffix arrays by induced
     sorting and common prefixes in text order find the classes of equal strings (see repeats.py for the way there and back).
-    A null text is empty; a null identifier counts as larger than any other; repeated rows don't repeat each other.
+    A null text is empty; a null identifier counts as larger than any other; rows with one identifier don't repeat each other.
+    An empty table gives no rows; other columns are ignored.
     Returns doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
