@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from pluvia.functions.expressions import clean_number
 
-#: (simple name, name in a station's observation, description, unit, kind), in canonical order.
+#: Fixed values, in canonical order: simple name, name in a station's observation, description, unit, kind.
 STATION_COLUMNS = [
     ("precip_rate", "metric.precipRate", "Precipitation Rate", "mm/h or in/h", "float"),
     ("precip_total", "metric.precipTotal", "Precipitation Total", "mm or in", "float"),
@@ -19,17 +19,27 @@ STATION_COLUMNS = [
     ("latitude", "lat", "Latitude", "degrees", "float"),
     ("longitude", "lon", "Longitude", "degrees", "float"),
     ("timezone", "tz", "Time Zone", "string", "object"),
-    *[
-        (f"{simple}_{s}", f"metric.{raw}{s.title()}", f"{said} {long}", "°C or °F", "float")
-        for simple, raw, said in (("temp", "temp", "Temperature"), ("dewpoint", "dewpt", "Dew Point"), ("heat_index", "heatindex", "Heat Index"), ("wind_chill", "windchill", "Wind Chill"))
-        for s, long in (("avg", "Average"), ("high", "High"), ("low", "Low"))
-    ],
-    *[(f"humidity_{s}", f"humidity{s.title()}", f"Humidity {long}", "%", "float") for s, long in (("avg", "Average"), ("high", "High"), ("low", "Low"))],
-    *[
-        (f"{simple}_{s}", f"metric.{raw}{s.title()}", f"{said} {long}", "km/h or mph", "float")
-        for simple, raw, said in (("wind_speed", "windspeed", "Wind Speed"), ("wind_gust", "windgust", "Wind Gust"))
-        for s, long in (("avg", "Average"), ("high", "High"), ("low", "Low"))
-    ],
+    ("temp_avg", "metric.tempAvg", "Temperature Average", "°C or °F", "float"),
+    ("temp_high", "metric.tempHigh", "Temperature High", "°C or °F", "float"),
+    ("temp_low", "metric.tempLow", "Temperature Low", "°C or °F", "float"),
+    ("dewpoint_avg", "metric.dewptAvg", "Dew Point Average", "°C or °F", "float"),
+    ("dewpoint_high", "metric.dewptHigh", "Dew Point High", "°C or °F", "float"),
+    ("dewpoint_low", "metric.dewptLow", "Dew Point Low", "°C or °F", "float"),
+    ("heat_index_avg", "metric.heatindexAvg", "Heat Index Average", "°C or °F", "float"),
+    ("heat_index_high", "metric.heatindexHigh", "Heat Index High", "°C or °F", "float"),
+    ("heat_index_low", "metric.heatindexLow", "Heat Index Low", "°C or °F", "float"),
+    ("wind_chill_avg", "metric.windchillAvg", "Wind Chill Average", "°C or °F", "float"),
+    ("wind_chill_high", "metric.windchillHigh", "Wind Chill High", "°C or °F", "float"),
+    ("wind_chill_low", "metric.windchillLow", "Wind Chill Low", "°C or °F", "float"),
+    ("humidity_avg", "humidityAvg", "Humidity Average", "%", "float"),
+    ("humidity_high", "humidityHigh", "Humidity High", "%", "float"),
+    ("humidity_low", "humidityLow", "Humidity Low", "%", "float"),
+    ("wind_speed_avg", "metric.windspeedAvg", "Wind Speed Average", "km/h or mph", "float"),
+    ("wind_speed_high", "metric.windspeedHigh", "Wind Speed High", "km/h or mph", "float"),
+    ("wind_speed_low", "metric.windspeedLow", "Wind Speed Low", "km/h or mph", "float"),
+    ("wind_gust_avg", "metric.windgustAvg", "Wind Gust Average", "km/h or mph", "float"),
+    ("wind_gust_high", "metric.windgustHigh", "Wind Gust High", "km/h or mph", "float"),
+    ("wind_gust_low", "metric.windgustLow", "Wind Gust Low", "km/h or mph", "float"),
     ("wind_direction_avg", "winddirAvg", "Wind Direction Average", "degrees (0-360)", "float"),
     ("pressure_max", "metric.pressureMax", "Pressure Maximum", "mb or inHg", "float"),
     ("pressure_min", "metric.pressureMin", "Pressure Minimum", "mb or inHg", "float"),
