@@ -15,6 +15,8 @@ from pluvia.operators.joins import join_back
 
 #: The largest finite double.
 LARGEST = sys.float_info.max
+#: Steps of a gap that are made from one row at a time.
+SPINE = 4096
 _EMPTY = {"sum": 0.0, "count": 0}
 
 
@@ -57,14 +59,17 @@ def bins(df: DataFrame, keys: list[str], ts: str, step: int, out: str = "bin") -
 def resample(df: DataFrame, keys: list[str], ts: str, step: int, rules: dict[str, tuple[str, str]], spine: bool = True, out: str = "bin") -> DataFrame:
     """rules: new column -> (rule, column). With spine, every step between a key's first and last is there, empty ones included.
 
-    Binned rows are aggregated in parts before the shuffle. The spine needs no join: each bin fills the gap up to the next one.
+    Binned rows are aggregated in parts before the shuffle. The spine needs no join: each bin fills the gap up to the next one, in stretches of SPINE
+    steps, so that a stray time decades away makes many rows but no array of them. Rows without a time are left out.
     """
-    got = bins(df, keys, ts, step, out).groupBy(*keys, out).agg(*[aggregate(r, c).alias(n) for n, (r, c) in rules.items()])
+    got = bins(df.where(F.col(ts).isNotNull()), keys, ts, step, out).groupBy(*keys, out).agg(*[aggregate(r, c).alias(n) for n, (r, c) in rules.items()])
     if not spine:
         return got
-    after = F.lead(out).over(Window.partitionBy(*keys).orderBy(out))
-    width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(step))
-    filled = got.withColumn("__next", F.coalesce(after - width, F.col(out))).withColumn("__at", F.explode(F.sequence(F.col(out), F.col("__next"), width)))
+    after, here = F.unix_seconds(F.lead(out).over(Window.partitionBy(*keys).orderBy(out))), F.unix_seconds(out)
+    steps = got.withColumn("__n", F.coalesce(F.floor((after - here) / step).cast("long") - 1, F.lit(0).cast("long")))  # that follow in the gap
+    parts = steps.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__n") / SPINE))))
+    filled = parts.withColumn("__i", F.explode(F.sequence(F.col("__part") * SPINE, F.least(F.col("__n"), F.col("__part") * SPINE + SPINE - 1))))
+    filled = filled.withColumn("__at", F.timestamp_seconds(here + F.col("__i") * step))
     real = F.col("__at") == F.col(out)
 
     def value(n: str, rule: str) -> Column:

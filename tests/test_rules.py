@@ -11,6 +11,14 @@ from pluvia.operators import evaluate, joins, links, spatial, stations
 from pluvia.operators import timeseries as ts
 
 
+def test_a_stray_time_fills_a_long_gap_in_stretches(spark):
+    import datetime as dt
+
+    rows = [("a", dt.datetime(2020, 1, 1), 1.0), ("a", dt.datetime(2020, 3, 1), 2.0), ("a", None, 9.0)]
+    got = ts.resample(spark.createDataFrame(rows, "k string, t timestamp, v double"), ["k"], "t", 300, {"s": ("sum", "v"), "m": ("mean", "v")})
+    assert got.count() == 60 * 288 + 1 and got.agg({"s": "sum"}).first()[0] == 3.0 and got.select("bin").distinct().count() == 60 * 288 + 1
+
+
 def at(s):
     return datetime.fromisoformat(s)
 
