@@ -93,3 +93,18 @@ def idw_grid(spark, d):
 @query(_MAP + " SELECT step, round(stddev_pop(rain), 4) AS deviation FROM m GROUP BY step ORDER BY stddev_pop(rain) DESC, step LIMIT 1")
 def most_variable_step(spark, d):
     return spatial.most_variable(_map(spark, d), "step", "rain").select("step", r("deviation").alias("deviation"))
+
+
+@query("""SELECT user_id % 10 AS link, event_id % 6 AS step, round(avg(value), 3) AS rain, 2::BIGINT AS points FROM events WHERE value > 0 GROUP BY ALL""")
+def virtual_points_keep_link_rain(spark, d):
+    """Whatever points take from other links nearby, the mean of their rain ** b gives the link's rain again."""
+    from pluvia.jobs.landed import landing
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(landing(spark))
+    e = events(spark, d).where("value > 0")
+    rain = e.groupBy((F.col("user_id") % 10).alias("link"), (F.col("event_id") % 6).alias("step")).agg(F.avg("value").alias("rain"))
+    k = F.col("link")
+    ends = rain.select("link").distinct().select("link", (k % 4).cast("double").alias("x0"), (k % 3).cast("double").alias("y0"), (k % 4 + 1.5).alias("x1"), (k % 5).cast("double").alias("y1"))
+    points, _ = spatial.refine(rain, spatial.virtual_points(ends, 2), ["step"], 1.1, 3.0, rounds=3)
+    return points.groupBy("link", "step").agg(r(F.pow(F.avg(F.pow("rain", F.lit(1.1))), F.lit(1 / 1.1)), 3).alias("rain"), F.count(F.lit(1)).alias("points"))
