@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import bpe, conversations, fingerprints, langid, recompression, simhash, suffix_arrays, toxicity
+from pluvia.llm import bpe, conversations, fingerprints, langid, line_dedup, recompression, simhash, suffix_arrays, toxicity
 from pluvia.llm.chat_format import format_chats, learned_text, read_back
 from pluvia.llm.exact_dedup import exact_dedup
 from pluvia.llm.mixing import mix
@@ -70,12 +70,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("copies").cast("long").alias("copies"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return conversations.repair(conversations.damaged(rows), also=rows)
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_simhash": op3_simhash, "op4_substring_dedup": op4_substring_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_bpe": op9_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing, "op13_conversation_repair": op13_conversation_repair}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_simhash": op3_simhash, "op4_substring_dedup": op4_substring_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_bpe": op9_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing, "op11_line_dedup": op11_line_dedup, "op13_conversation_repair": op13_conversation_repair}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -118,6 +122,12 @@ z AS (SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source, key, do
 y AS (SELECT *, CASE WHEN 2 * ends - size <= 3 * (SELECT sum(size) FROM d) THEN 1 ELSE 0 END AS inn FROM z)
 SELECT doc_id, size, source_size, target, (sum(inn) * size)::BIGINT AS taken, source, sum(inn)::BIGINT AS copies
 FROM y GROUP BY doc_id, source, size, source_size, target""",
+    "op11_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id""",
     "op4_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS u FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(u) - 48)) AS i, unnest(list_transform(range(1, len(u) - 48), lambda j: md5_number(array_to_string(u[j:j + 49], ' ')))) AS k FROM d),
