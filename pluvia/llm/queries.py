@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import bpe, conversations, fingerprints, langid, line_dedup, recompression, simhash, suffix_arrays, toxicity
+from pluvia.llm import bpe, collocations, conversations, fingerprints, langid, line_dedup, recompression, simhash, suffix_arrays, toxicity
 from pluvia.llm.chat_format import format_chats, learned_text, read_back
 from pluvia.llm.exact_dedup import exact_dedup
 from pluvia.llm.mixing import mix
@@ -74,12 +74,16 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, sf_dir)).drop("kept")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return conversations.repair(conversations.damaged(rows), also=rows)
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_simhash": op3_simhash, "op4_substring_dedup": op4_substring_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_bpe": op9_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing, "op11_line_dedup": op11_line_dedup, "op13_conversation_repair": op13_conversation_repair}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_simhash": op3_simhash, "op4_substring_dedup": op4_substring_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_bpe": op9_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_chat_format": op5_chat_format, "op10_mixing": op10_mixing, "op11_line_dedup": op11_line_dedup, "op12_collocations": op12_collocations, "op13_conversation_repair": op13_conversation_repair}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -128,6 +132,25 @@ l AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM d
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 f AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id""",
+    "op12_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS x FROM t),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS u FROM p),
+g AS (
+  SELECT lang, 1 AS k, unnest(u) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(u) - 1), lambda i: u[i] || ' ' || u[i + 1] || ' ' || u[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY 1),
+s AS (SELECT *, string_split(phrase, ' ') AS u FROM f WHERE k > 1),
+c AS (SELECT lang, k, phrase, f AS a, 1 AS cut, u[1] AS head, array_to_string(u[2:], ' ') AS tail FROM s UNION ALL SELECT lang, k, phrase, f, 2, u[1] || ' ' || u[2], u[3] FROM s WHERE k = 3),
+v AS (SELECT c.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score FROM c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, unnest([u[1] || ' ' || u[2], u[2] || ' ' || u[3]]) AS phrase, f FROM s WHERE k = 3),
+m AS (SELECT lang, phrase, max(f) AS f FROM o GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN m ON b.k = 2 AND m.lang = b.lang AND m.phrase = b.phrase WHERE m.f IS NULL OR 100 * m.f < 50 * b.a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000""",
     "op4_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS u FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(u) - 48)) AS i, unnest(list_transform(range(1, len(u) - 48), lambda j: md5_number(array_to_string(u[j:j + 49], ' ')))) AS k FROM d),
