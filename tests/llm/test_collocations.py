@@ -82,7 +82,7 @@ def test_counts_with_all_bounds_small(spark, monkeypatch):
 def test_tries_burst_and_spill_whole_subtrees(monkeypatch):
     monkeypatch.setattr(co, "BURST", 20_000)
     r = np.random.default_rng(0)
-    codes = (r.zipf(1.3, 300_000) % 1000 + 1) << 42 | (r.zipf(1.3, 300_000) % 1000 + 1) << 21 | (r.integers(0, 400, 300_000))
+    codes = (r.zipf(1.3, 300_000) % 1000 + 1) << 42 | (r.zipf(1.3, 300_000) % 1000 + 1) << 21 | r.integers(0, 40_000, 300_000)
     trie = co.Trie()
     for part in np.split(codes, 10):
         trie.add(part)
