@@ -100,10 +100,10 @@ def physics_losses(spark, d):
 _LOSS = "SELECT {c}::INT AS complexity, greatest(0, var_pop(y) - pow(covar_pop({x}, y), 2) / var_pop({x})) AS loss FROM e"
 
 
-@query("""WITH e AS (SELECT value / 100 AS x, value * value / 5000 + user_id / 100.0::DOUBLE AS y FROM events WHERE value BETWEEN 0 AND 100), a AS (SELECT 1 AS complexity, var_pop(y) AS loss FROM e
+@query("""WITH e AS (SELECT value / 100 AS x, value * value / 5000 + user_id / 100.0::DOUBLE AS y FROM events), a AS (SELECT 1 AS complexity, var_pop(y) AS loss FROM e
 UNION ALL """ + " UNION ALL ".join(_LOSS.format(c=c, x=x) for c, x in ((3, "x"), (4, "x * x"), (4, "sin(x)"), (5, "x * x"), (5, "x + x"))) + ") SELECT complexity, round(loss, 6) AS loss FROM a")
 def symbolic_search(spark, d):
-    e = events(spark, d).where("value BETWEEN 0 AND 100").select((F.col("value") / 100).alias("x"), (F.col("value") * F.col("value") / 5000 + F.col("user_id") / 100).alias("y"))
+    e = events(spark, d).select((F.col("value") / 100).alias("x"), (F.col("value") * F.col("value") / 5000 + F.col("user_id") / 100).alias("y"))
     return discover.symbolic_search(e, "y", ["x"], ["square", "sin"], ["*", "+"]).select("complexity", r("loss", 6).alias("loss"))
 
 

@@ -38,10 +38,10 @@ def json_flatten(spark, d):
     return flat.select("event_id", F.col("`p.k`").alias("k")).where("k IS NOT NULL")
 
 
-@query("""SELECT user_id, ts, event_id, product FROM (SELECT user_id, ts, event_id, 'click' AS product FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, ts, event_id, NULL FROM events WHERE event_type = 'view')""")
+@query("""SELECT user_id, ts, event_id, product FROM (SELECT user_id, ts, event_id, 'click' AS product FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, ts, event_id, NULL FROM events WHERE event_type IS DISTINCT FROM 'click')""")
 def union_chunks(spark, d):
     e = events(spark, d)
-    return union_all(e.where("event_type = 'click'").select("user_id", "ts", "event_id", F.lit("click").alias("product")), e.where("event_type = 'view'").select("user_id", "ts", "event_id"))
+    return union_all(e.where("event_type = 'click'").select("user_id", "ts", "event_id", F.lit("click").alias("product")), e.where("NOT event_type <=> 'click'").select("user_id", "ts", "event_id"))
 
 
 @query("""WITH m AS (SELECT user_id, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 END) AS best FROM events WHERE event_type IN ('purchase', 'signup', 'view') GROUP BY 1)

@@ -1,6 +1,4 @@
-"""Queries over landed files: they write files of the driver's tables to a folder of the warehouse, and read them by the readers."""
-
-import uuid
+"""Queries over landed files: they write files of the driver's tables to a shared folder, and read them by the readers."""
 
 from pyspark.sql import functions as F
 
@@ -9,11 +7,7 @@ from pluvia.jobs.catalog import events, ntz, query, r, table
 from pluvia.operators import stations as st
 from pluvia.operators.timeseries import slice_days
 from pluvia.sources import planning, readers, sinks
-
-
-def landing(spark) -> str:
-    """A new folder that driver and executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/landed-{uuid.uuid4().hex}"
+from pluvia.sources.scratch import shared_folder as landing
 
 
 _CODES = "CASE event_id % 6 WHEN 0 THEN 'NP' WHEN 1 THEN 'R+' WHEN 2 THEN 'S' WHEN 3 THEN 'P?' WHEN 4 THEN 'M' ELSE 'nan' END"
@@ -26,15 +20,14 @@ def _airport(spark, d):
     e = events(spark, d).select(
         F.concat(F.lit("K"), F.col("user_id") % 40).alias("station"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("valid(UTC)"), "event_id", F.expr(_TEXT).alias("tmpf"), F.expr(_TEXT).alias("sknt"), F.expr(_CODES).alias("ptype"), F.expr(_TEXT).alias("precip")
     )
-    e = e.where("event_id % 2 = 0")
-    later = e.where("event_id % 6 = 0").withColumns({"tmpf": F.lit("1"), "precip": F.lit("9")})
+    later = e.where("event_id % 3 = 0").withColumns({"tmpf": F.lit("1"), "precip": F.lit("9")})
     for name, rows in (("a", e), ("b", later)):
         rows.drop("event_id").write.option("header", True).csv(f"{path}/{name}")
     return readers.asos_metric(readers.asos_csv(spark, f"{path}/*"))
 
 
 _AIRPORT = f"""
-c AS (SELECT 'K' || (user_id % 40) AS station_id, ts, event_id, {_TEXT.replace('CAST(value AS INT)', 'CAST(trunc(value) AS INT)')} AS n, {_CODES} AS ptype FROM events WHERE event_id % 2 = 0),
+c AS (SELECT 'K' || (user_id % 40) AS station_id, ts, event_id, {_TEXT.replace('CAST(value AS INT)', 'CAST(trunc(value) AS INT)')} AS n, {_CODES} AS ptype FROM events),
 p AS (SELECT *, CASE WHEN n IN ('M', 'T') THEN NULL ELSE n::DOUBLE END AS v FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY station_id, ts ORDER BY event_id) AS nth FROM p),
 m AS (SELECT station_id, ts, (v - 32) * 5 / 9 AS temp_c, v * 0.51444 AS wind_speed_ms, CASE WHEN ptype = 'nan' THEN NULL ELSE ptype END AS precip_type,
@@ -71,38 +64,38 @@ def _payloads(spark, d, key="observations"):
         F.concat(F.lit("S"), F.col("user_id")).alias("stationID"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("obsTimeUtc"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("obsTimeLocal"), F.col("event_id").alias("epoch"),
         F.when(F.col("user_id") % 3 == 0, F.col("event_id") % 360).alias("winddir"), F.struct(F.col("value").alias("precipRate"), F.when(F.col("user_id") % 2 == 0, F.col("value") * 2).alias("windSpeed")).alias("metric"),
     )
-    day = events(spark, d).where("value IS NOT NULL").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("event_id", obs.alias("o")))).alias("all"))
+    day = events(spark, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("event_id", obs.alias("o")))).alias("all"))
     day.select(F.transform("all", lambda y: y["o"]).alias(key)).write.json(path)
     return path
 
 
 @query("""SELECT 'S' || user_id AS station_id, event_id AS timestamp_unix, strftime(ts, '%Y-%m-%d %H:%M:%S')::TIMESTAMP AS time_utc, round(value, 6) AS precip_rate,
- CASE WHEN user_id % 3 = 0 THEN event_id % 360 END AS winddir, CASE WHEN user_id % 2 = 0 THEN round(value * 2, 6) END AS wind_speed, NULL::DOUBLE AS temp_avg FROM events WHERE value IS NOT NULL""")
+ CASE WHEN user_id % 3 = 0 THEN event_id % 360 END AS winddir, CASE WHEN user_id % 2 = 0 THEN round(value * 2, 6) END AS wind_speed, NULL::DOUBLE AS temp_avg FROM events""")
 def station_json(spark, d):
     got = readers.station_times(readers.simple_names(readers.observations_json(spark, _payloads(spark, d), lines=True)))
     return got.select("station_id", "timestamp_unix", ntz("time_utc").alias("time_utc"), r("precip_rate", 6).alias("precip_rate"), "winddir", r("`metric.windSpeed`", 6).alias("wind_speed"), "temp_avg")
 
 
-@query("SELECT 'S' || user_id AS station_id, event_id AS epoch, round(value, 6) AS rate FROM events WHERE value IS NOT NULL")
+@query("SELECT 'S' || user_id AS station_id, event_id AS epoch, round(value, 6) AS rate FROM events")
 def station_names_and_back(spark, d):
     raw = readers.observations_json(spark, _payloads(spark, d), lines=True)
     back = readers.original_names(readers.simple_names(raw))
     return back.select(F.col("stationID").alias("station_id"), "epoch", r("`metric.precipRate`", 6).alias("rate"))
 
 
-@query("""SELECT 'S' || user_id AS station_id, event_id AS timestamp_unix FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS n FROM events WHERE value IS NOT NULL) WHERE n <= 2""")
+@query("""SELECT 'S' || user_id AS station_id, event_id AS timestamp_unix FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS n FROM events) WHERE n <= 2""")
 def daily_first_n(spark, d):
     payloads = readers.payloads(spark, _payloads(spark, d, "summaries"), lines=True)
     return readers.simple_names(readers.observations(payloads.select("summaries"), first=2)).select("station_id", "timestamp_unix")
 
 
-@query("SELECT 'S' || user_id AS station_id, event_id AS epoch FROM events WHERE value IS NOT NULL AND date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-08 00:00:00'")
+@query("SELECT 'S' || user_id AS station_id, event_id AS epoch FROM events WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-08 00:00:00'")
 def hourly_between(spark, d):
     got = readers.hourly_between(readers.observations_json(spark, _payloads(spark, d), lines=True), "2024-01-05 06:00:00", "2024-01-08 00:00:00")
     return got.select(F.col("stationID").alias("station_id"), "epoch")
 
 
-@query("SELECT count(DISTINCT (user_id, CAST(ts AS DATE))) AS n, count(DISTINCT (user_id, CAST(ts AS DATE))) AS found FROM events WHERE value IS NOT NULL")
+@query("SELECT count(DISTINCT (user_id, CAST(ts AS DATE))) AS n, count(DISTINCT (user_id, CAST(ts AS DATE))) AS found FROM events")
 def payloads_with_observations(spark, d):
     return readers.has_observations(readers.payloads(spark, _payloads(spark, d), lines=True)).agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("found"))
 
@@ -151,32 +144,44 @@ def found_files(spark, d):
 
 
 def _series(spark, d):
-    return events(spark, d).select("event_id", (F.col("user_id") % 7).alias("station"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"), r("value", 6).alias("precip_rate"), F.col("event_type").alias("kind"))
+    return events(spark, d).select("event_id", (F.col("user_id") % 7).alias("station"), "ts", r("value", 6).alias("precip_rate"), F.col("event_type").alias("kind"))
+
 
+_SERIES = "event_id long, ts timestamp_ntz, precip_rate double, kind string, station int"
 
-@query("SELECT event_id, (user_id % 7)::INT AS station, round(value, 4) AS precip_rate FROM events")
+
+@query("SELECT event_id, (user_id % 7)::INT AS station, ts, round(value, 4) AS precip_rate FROM events")
 def written_by_station(spark, d):
-    path = sinks.by_station(_series(spark, d), landing(spark), "station", "t")
-    return spark.read.option("header", True).csv(path).select(F.col("event_id").cast("long").alias("event_id"), F.col("station").cast("int").alias("station"), r(F.col("precip_rate").cast("double")).alias("precip_rate"))
+    path = sinks.by_station(_series(spark, d), landing(spark), "station", "ts")
+    return sinks.written(spark, path, _SERIES).select("event_id", "station", "ts", r("precip_rate").alias("precip_rate"))
+
+
+@query("SELECT event_id, (user_id % 7)::INT AS station, ts, round(value, 4) AS precip_rate FROM events")
+def written_combined(spark, d):
+    rows = _series(spark, d)
+    return sinks.written(spark, sinks.combined(rows, landing(spark), "ts", "event_id"), rows.schema).select("event_id", F.col("station").cast("int").alias("station"), "ts", r("precip_rate").alias("precip_rate"))
 
 
-@query("SELECT event_id, (user_id % 7)::INT AS station, round(value, 4) AS precip_rate FROM events")
+@query("SELECT event_id, (user_id % 7)::INT AS station, ts, round(value, 4) AS precip_rate FROM events")
 def written_json(spark, d):
     path = landing(spark)
     sinks.json(_series(spark, d), path)
-    return spark.read.schema("event_id long, station int, precip_rate double").json(path).withColumn("precip_rate", r("precip_rate"))
+    return sinks.written(spark, path, _SERIES, "json").select("event_id", "station", "ts", r("precip_rate").alias("precip_rate"))
 
 
-@query("""WITH x AS (SELECT 'clean' AS product, (user_id % 7)::INT AS station, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM x
-UNION ALL SELECT 'precipitation', station, n FROM x UNION ALL SELECT 'raw', station, n FROM x UNION ALL SELECT 'profile', NULL, 5""")
+@query("""WITH x AS (SELECT 'clean' AS product, (user_id % 7)::INT AS station, count(*) AS n, min(ts) AS first, max(ts) AS last, sum(epoch_us(ts) % 1000000)::BIGINT AS micros FROM events GROUP BY ALL) SELECT * FROM x
+UNION ALL SELECT 'precipitation', station, n, first, last, micros FROM x UNION ALL SELECT 'raw', station, n, first, last, micros FROM x UNION ALL SELECT 'profile', NULL, 5, NULL, NULL, NULL""")
 def exported(spark, d):
+    """The sum of all rows' microseconds tells whether each instant is whole."""
     rows = _series(spark, d)
-    paths = sinks.export(rows, landing(spark), "station", "t", raw=rows, everything=True)
-    csv = lambda k: spark.read.option("header", True).csv(paths[k])
-    station = F.col("station").cast("int").alias("station")
-    parts = [csv(k).select(F.lit(k).alias("product"), station) for k in ("clean", "precipitation")] + [spark.read.json(paths["raw"]).select(F.lit("raw").alias("product"), station)]
-    parts.append(csv("profile").select(F.lit("profile").alias("product"), F.lit(None).cast("int").alias("station")))
-    return readers.union_all(*parts).groupBy("product", "station").agg(F.count(F.lit(1)).alias("n"))
+    paths = sinks.export(rows, landing(spark), "station", "ts", raw=rows, everything=True)
+    there = {"clean": sinks.written(spark, paths["clean"], rows.schema), "raw": sinks.written(spark, paths["raw"], rows.schema, "json")}
+    there["precipitation"] = sinks.written(spark, paths["precipitation"], "station long, ts timestamp_ntz, precip_rate double")
+    parts = [rows.select(F.lit(k).alias("product"), F.col("station").cast("int").alias("station"), "ts") for k, rows in there.items()]
+    profile = spark.read.option("header", True).csv(paths["profile"])
+    parts.append(profile.select(F.lit("profile").alias("product"), F.lit(None).cast("int").alias("station"), F.lit(None).cast("timestamp_ntz").alias("ts")))
+    micros = F.sum(F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1000000))).alias("micros")
+    return readers.union_all(*parts).groupBy("product", "station").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), micros)
 
 
 _RANGES = "g AS (SELECT 'U' || user_id AS station, date_trunc('day', min(ts)) - INTERVAL '1 day' * (user_id % 70) AS s, date_trunc('day', max(ts)) AS e FROM events GROUP BY user_id)"
@@ -219,4 +224,4 @@ def parsed_times_and_names(spark, d):
 def rapid_day_from_json(spark, d):
     path = landing(spark)
     sinks.json(events(spark, d).select("event_id", "ts"), path)
-    return slice_days(spark.read.schema("event_id long, ts timestamp_ntz").json(path), "ts", "2024-01-02", "2024-01-03")
+    return slice_days(sinks.written(spark, path, "event_id long, ts timestamp_ntz", "json"), "ts", "2024-01-02", "2024-01-03")

@@ -145,6 +145,17 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(out["precipitation"]).columns == ["st", "t", "precip_rate"]
 
 
+def test_sinks_keep_instants(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.timestamp_micros(F.col("id") * 1_234_567_891).alias("at"), F.timestamp_micros(F.col("id") * 7_777_777).cast("timestamp_ntz").alias("local"), (F.col("id") % 3).cast("int").alias("st"))
+    want = sorted(map(tuple, rows.collect()))
+    for kind, path in (("csv", sinks.by_station(rows, str(tmp_path / "s"), "st", "at")), ("csv", sinks.combined(rows, str(tmp_path / "c"), "at")), ("json", str(tmp_path / "j"))):
+        if kind == "json":
+            sinks.json(rows, path)
+        assert sorted(map(tuple, sinks.written(spark, path, rows.schema, kind).select(*rows.columns).collect())) == want
+    out = sinks.export(rows, str(tmp_path / "e"), "st", "at", everything=True)
+    assert sorted(map(tuple, sinks.written(spark, out["clean"], rows.schema).collect())) == want
+
+
 def test_generators(spark):
     assert [round(r.t, 3) for r in generate.linspace(spark, 0, 2, 5).collect()] == [0, 0.5, 1, 1.5, 2]
     assert generate.noisy_projectile(spark, 20).count() == 20
