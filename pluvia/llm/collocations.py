@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 
 from pluvia.llm.common import LOWER, UPPER, by_key, small_batches, written
 
-#: Words of a phrase at most.
-LONGEST = 3
 #: Bits of a word's id within a task; ids are given out anew once MOST_WORDS are in use.
 _BITS = 21
 MOST_WORDS = 400_000
 #: Entries of a container before it bursts, of one of its prefixes to get a container of its own, and of a task's tries before subtrees are spilled.
-BURST, CHILD, MOST_ENTRIES = 100_000, 2_000, 1_500_000
+BURST, CHILD, MOST_ENTRIES = 200_000, 2_000, 1_200_000
 #: Words counted at a time, and bytes of text for each prefix partition.
 CHUNK, PARTITION_BYTES = 300_000, 512 << 10
 #: A-Z, what ends a piece (as a full stop), and a tab (as a space). No word has a full stop or a tab.
@@ -38,21 +36,18 @@ class Words(dict):
         return n
 
 
-def phrases_of(ids: np.ndarray, starts: int) -> np.ndarray:
-    """Codes of all phrases of 1 to LONGEST words that begin at the first `starts` places and that no end of a piece interrupts. A code has the ids of its words from the left."""
-    out = []
-    code, whole = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-    for k in range(LONGEST):
-        there = ids[k : k + starts]
-        n = len(there)
-        code = code[:n] | there << (_BITS * (LONGEST - 1 - k))
-        whole = whole[:n] & (there > 0)
-        out.append(code[whole])
-    return np.concatenate(out)
+def leaves_of(ids: np.ndarray, starts: int) -> np.ndarray:
+    """Codes of what begins at the first `starts` places: each word by itself, and each pair with the word after it (0: the piece ends). A code has the ids from the left.
+    The count of a pair is the sum of its leaves', as that of any inner node of a trie."""
+    one = ids[:starts]
+    two, three = (np.concatenate([ids[k : k + starts], np.zeros(max(0, len(one) + k - len(ids)), np.int64)])[: len(one)] for k in (1, 2))
+    first = one << (2 * _BITS)
+    pair = (one > 0) & (two > 0)
+    return np.concatenate([first[one > 0], (first | two << _BITS | three)[pair]])
 
 
 class Trie:
-    """Counts of phrases below a root of one language. A container is a hash table of codes; one that has grown over BURST bursts: beginnings with many
+    """Counts of leaves (see leaves_of()) below a root of one language. A container is a hash table of codes; one that has grown over BURST bursts: beginnings with many
     phrases get a node of their own, and what is left stays together. Nodes are keyed by the first word; a node that grows too large bursts by the second."""
 
     def __init__(self, depth: int = 0) -> None:
@@ -60,7 +55,7 @@ class Trie:
         self.bursts_at = BURST
 
     def shift(self) -> int:
-        return _BITS * (LONGEST - 1 - self.depth)
+        return _BITS * (2 - self.depth)
 
     def add(self, codes: np.ndarray, counts: np.ndarray | None = None) -> None:
         if self.nodes:
@@ -76,10 +71,9 @@ class Trie:
                 codes, counts = codes[~own], None if counts is None else counts[~own]
         if counts is None:
             self.rest.update(codes.tolist())
-        else:
-            for c, n in zip(codes.tolist(), counts.tolist()):
-                self.rest[c] += n
-        if len(self.rest) > self.bursts_at and self.depth < LONGEST - 1:
+        else:  # of a container that bursts: each code once, and nothing here yet
+            dict.update(self.rest, zip(codes.tolist(), counts.tolist()))
+        if len(self.rest) > self.bursts_at and self.depth < 2:
             self.burst()
 
     def burst(self) -> None:
@@ -141,7 +135,7 @@ class Counting:
         else:  # in stretches; phrases that begin in one go on into the next
             yield from self.count()
             for at in range(0, len(words), CHUNK):
-                part = words[at : at + CHUNK + LONGEST - 1]
+                part = words[at : at + CHUNK + 2]
                 yield from self.add(lang, np.fromiter(map(self.words.__getitem__, part), np.int64, len(part)), CHUNK)
                 yield from self.forget()
 
@@ -153,7 +147,7 @@ class Counting:
         yield from self.forget()
 
     def add(self, lang: str, ids: np.ndarray, starts: int) -> Iterator[tuple]:
-        self.tries.setdefault(lang, Trie()).add(phrases_of(ids, starts))
+        self.tries.setdefault(lang, Trie()).add(leaves_of(ids, starts))
         if sum(map(len, self.tries.values())) > MOST_ENTRIES:
             yield from self.spill(MOST_ENTRIES // 2)
 
@@ -165,8 +159,8 @@ class Counting:
 
     def spill(self, least: int | None = None) -> Iterator[tuple]:
         """Runs of whole subtrees, or of everything."""
-        words = list(self.words)  # in the order of their ids
-        words[0] = b""
+        words = list(self.words)  # in the order of their ids; the first is a piece's end
+        ends = [x + b"\t" for x in words]
         marks = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
         taken = 0
         for lang in sorted(self.tries, key=lambda x: -len(self.tries[x])):
@@ -180,21 +174,23 @@ class Counting:
                 parts = trie.largest(least - taken)
             codes, counts = (np.concatenate(x) for x in zip(*parts))
             taken += len(codes)
-            yield from self.run(lang, codes, counts, words, marks)
+            yield from self.run(lang, codes, counts, words, ends, marks)
 
-    def run(self, lang: str, codes: np.ndarray, counts: np.ndarray, words: list[bytes], marks: np.ndarray) -> Iterator[tuple]:
+    def run(self, lang: str, codes: np.ndarray, counts: np.ndarray, words: list[bytes], ends: list[bytes], marks: np.ndarray) -> Iterator[tuple]:
         """partition, lang, blob: the phrases of a prefix partition (phrases with the same first two words are in one), sorted, each with a tab and its count (if it isn't 1)."""
-        mask = (1 << _BITS) - 1
-        w = [codes >> (_BITS * (LONGEST - 1 - k)) & mask for k in range(LONGEST)]
+        first = np.argsort(codes)  # neighbours share words, which then are at hand
+        codes, counts, mask = codes[first], counts[first], (1 << _BITS) - 1
+        w = [codes >> (_BITS * (2 - k)) & mask for k in range(3)]
         prefix = marks[w[0]] * np.uint64(0x9E3779B97F4A7C15) + marks[w[1]] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(zlib.crc32(lang.encode("utf-8", "surrogatepass")))
         partition = ((prefix >> np.uint64(32)) % np.uint64(self.partitions)).astype(np.int64)
+        made = np.empty(len(codes), object)
+        for k, own in ((0, np.flatnonzero(w[1] == 0)), (2, np.flatnonzero(w[1]))):
+            ids = [x[own].tolist() for x in w[: k + 1]]
+            made[own] = list(map(b" ".join, zip(*(map(words.__getitem__, x) for x in ids[:-1]), map(ends.__getitem__, ids[-1]))))
+        many = np.flatnonzero(counts > 1)
+        made[many] += np.array([b"%d" % n for n in counts[many].tolist()], object)
         order = np.argsort(partition, kind="stable")
-        partition, counts = partition[order], counts[order]
-        kinds = ((w[1] > 0).astype(np.int8) + (w[2] > 0))[order].tolist()
-        one, two, three = (map(words.__getitem__, x[order].tolist()) for x in w)
-        lines = [b"%b\t" % a if not n else b"%b %b\t" % (a, b) if n == 1 else b"%b %b %b\t" % (a, b, c) for a, b, c, n in zip(one, two, three, kinds)]
-        for i in np.flatnonzero(counts > 1).tolist():
-            lines[i] += b"%d" % counts[i]
+        partition, lines = partition[order], made[order].tolist()
         cuts = [0, *(np.flatnonzero(np.diff(partition)) + 1).tolist(), len(lines)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
@@ -210,20 +206,26 @@ def merged(runs: Iterable[bytes], least: int) -> tuple[int, list[tuple[bytes, in
     press = zstandard.ZstdDecompressor()
     lines = [x for blob in runs for x in press.decompress(blob).split(b"\n")]
     lines.sort()
-    words, out, now, n = 0, [], None, 0
+    lines.append(b"\t0")
+    words, out, now, n, pair, both = 0, [], b"", 0, b"", 0
     for line in lines:
-        phrase, _, k = line.partition(b"\t")  # no phrase has a tab, so its entries are neighbours
+        phrase, _, k = line.partition(b"\t")  # no word has a tab or a space, so entries of a phrase are neighbours, and leaves of a pair
         if phrase != now:
-            if n >= least:
-                out.append((now, n))
-            if n and b" " not in now:
+            front, _, last = now.rpartition(b" ")
+            if front:
+                if front != pair:
+                    if both >= least:
+                        out.append((pair, both))
+                    pair, both = front, 0
+                both += n
+            else:
                 words += n
+            if n >= least and last != b".":
+                out.append((now, n))
             now, n = phrase, 0
         n += int(k) if k else 1
-    if n >= least:
-        out.append((now, n))
-    if n and b" " not in now:
-        words += n
+    if both >= least:
+        out.append((pair, both))
     return words, out
 
 
@@ -320,8 +322,8 @@ def scored(found: DataFrame, top: int | None) -> DataFrame:
     alone = pairs.join(around, ["lang", "phrase"], "left").where("longer IS NULL OR 100 * longer < 50 * a").drop("longer")
     rows = alone.unionByName(triples)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    if top is not None:  # a language may have most of the rows: the first of each of 64 parts, then of those
-        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
+    if top is not None:  # a language may have most of the rows: the first of each of 16 parts, then of those
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(16))).orderBy(*order)
         rows = rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
