@@ -8,10 +8,12 @@ What moves is the chunks' distinct words and packed positions, never a row an oc
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import pickle
 import re
+import sys
 import unicodedata
 import zlib
 
@@ -36,6 +38,32 @@ _SPLIT = regex.compile(PATTERN)
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+")
 
 
+def _unassigned() -> str:
+    """Code points that Python's tables don't know, as ranges of a pattern. Python, the regex module and the tokenizer follow different versions of Unicode, so on these they may disagree."""
+    at = np.flatnonzero(np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]))
+    runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+
+
+_MARKS = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)]
+#: The first (oldest) mark of each combining class.
+_CLASSES = list({unicodedata.combining(c): c for c in reversed(_MARKS)}.values())
+
+
+@functools.lru_cache
+def unsure(spec: str) -> re.Pattern:
+    """Characters on which this module's splitting and the tokenizer's may differ: unassigned ones, and marks that the two put in another order."""
+    from tokenizers import Tokenizer
+
+    pairs = [f"a{x}{y}" for x in _MARKS for y in _CLASSES]
+    theirs, ours = Tokenizer.from_str(spec).normalizer.normalize_str(" ".join(pairs)).split(" "), unicodedata.normalize("NFC", " ".join(pairs)).lower().split(" ")
+    other = np.array([x != y for x, y in zip(theirs, ours)]).reshape(len(_MARKS), len(_CLASSES))
+    odd = other.sum(axis=0) > len(_MARKS) // 8  # a mark that comes in another order with very many others has moved itself
+    moved = {c for c, x in zip(_MARKS, other[:, ~odd].any(axis=1)) if x} | {c for c, x in zip(_CLASSES, odd) if x}
+    return re.compile(f"[{_unassigned()}{re.escape(''.join(sorted(moved)))}]")
+
+
+
 def _parts(step: dict | None) -> list[dict]:
     """The steps of a (sequence of) pre-tokenizer(s) in a tokenizer's file."""
     return [] if step is None else step["pretokenizers"] if step["type"] == "Sequence" else [step]
@@ -45,7 +73,7 @@ class Words:
     """The words of a text, as the tokenizer in spec (the text of its JSON file) splits them, and their ids."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         splits = [x["pattern"].get("Regex") for x in _parts(json.loads(spec).get("pre_tokenizer")) if x["type"] == "Split"]
         if splits != [PATTERN]:
@@ -55,6 +83,8 @@ class Words:
         self.tokenizer.no_padding()
         # pre-tokenized words: bytes become the model's characters, nothing more is split
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.unsure = unsure(spec)
+        self.pieces = pre_tokenizers.Split(Regex(PATTERN), behavior="removed", invert=True)
         added = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self.added = {t: self.tokenizer.token_to_id(t) for t in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -67,6 +97,8 @@ class Words:
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             return _ASCII.findall(text.lower())
+        if self.unsure.search(text):  # the tokenizer's own tables decide
+            return [w for w, _ in self.pieces.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
         if "Σ" in text:  # str.lower() knows a final sigma, the tokenizer doesn't
             return _SPLIT.findall(self.tokenizer.normalizer.normalize_str(text))
         return _SPLIT.findall(unicodedata.normalize("NFC", text).lower())

@@ -368,6 +368,23 @@ def test_bpe_splits_every_ascii_character_as_the_library_does():
             assert [i for x in w.split(t) for i in w.ids(x)] == tk.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_bpe_splits_every_code_point_as_the_library_does():
+    """Of all planes, unassigned ones too: between letters, between signs, before a digit and with a combining mark. Planes that hold none but private or unassigned ones are met by every 64th."""
+    from tokenizers import Tokenizer
+
+    spec = stages.word_bpe_spec()
+    tk, w = Tokenizer.from_str(spec), bpe.Words(spec)
+    tk.no_truncation()
+    tk.no_padding()
+    for at in range(0, 0x110000, 512):
+        step = 64 if 0x40000 <= at < 0xE0000 or at >= 0xE1000 else 1
+        texts = [f"a{c}b !{c}! {c}1{c}\u0307{c}\u0323 X{c}" for c in map(chr, range(at, at + 512, step)) if not 0xD800 <= ord(c) < 0xE000]
+        norm = [tk.pre_tokenizer.pre_tokenize_str(tk.normalizer.normalize_str(t)) for t in texts]
+        for t, pieces in zip(texts, norm):
+            assert [p for x in w.split(t) for p, _ in w.bytes.pre_tokenize_str(x)] == [p for p, _ in pieces], repr(t)
+    assert len(bpe.unsure(spec).findall("plain ascii, éàüß Σ 日本語 \u0301\u0327 ÀÉ")) == 0
+
+
 def test_mixing(docs):
     rows, df = docs
     got = mixing.mix(df).collect()
