@@ -9,7 +9,7 @@ from pluvia.llm.common import checkpoint
 
 
 def components(links: DataFrame) -> DataFrame:
-    """u, v (long, not null) -> node, component: the smallest node reachable, for each node that has a link.
+    """u, v (long or binary, not null) -> node, component: the smallest node reachable, for each node that has a link.
 
     Each round sends every node's larger neighbours to its smallest one, then its smaller neighbours likewise; links become
     stars in a few rounds (logarithmic in the length of a chain). A round ends in a checkpoint; nothing is collected but a count and a sum.

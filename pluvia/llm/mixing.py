@@ -31,7 +31,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget_share: f
     return found.withColumn("target", F.when(fits.isNull(), F.col("cap")).otherwise(F.least("cap", fits * F.col("weight")))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget_share: float = 1.5, max_repeats: int = 2, seed: str = "mix", size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget_share: float = 1.5, max_repeats: int = 2, seed: str = "mix", size: Column | None = None, apart: Column | None = None) -> DataFrame:
     """How often each document enters a mix that comes near its sources' targets.
 
     Documents of a source are shuffled by a digest of seed and identifier, so reruns agree. The n-th pass over a source
@@ -44,11 +44,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget_share: f
 
     A null text has size 0; a null source is a source of its own, the last. Repeated rows count as documents of
     their own; an empty table gives no rows; other columns are ignored. Documents of size 0 enter as often as the time at which they stand says, with 0 words.
-    Returns doc_id, source, size, source_size, target, copies, taken, with as many rows as documents.
+    apart: tells rows of one identifier apart (a digest of their text); without it rows of equal identifier, source and size are one another's like.
+    Returns doc_id, source, size, source_size, target, copies, taken, with as many rows as documents; with apart, that and nth too: 1, 2, ... of rows that are alike in all of these.
     """
-    read = docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"))
-    same = read.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
-    rows = same.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    told = F.lit("") if apart is None else apart
+    read = docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"), told.alias("apart"))
+    same = read.groupBy("doc_id", "source", "size", "apart").agg(F.count(F.lit(1)).alias("n"))
+    rows = same.select("doc_id", "source", "size", "apart", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     rows = rows.withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % BUCKETS))
     rows = checkpoint(rows)
@@ -59,11 +61,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget_share: f
     per = per.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0))).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "before")
     targets = targets.withColumnRenamed("source", "t_source")
     per = per.join(targets, F.col("b_source").eqNullSafe(F.col("t_source"))).drop("t_source", "weight")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "apart", "copy").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         rows.withColumn("inside", F.sum("size").over(within))
         .join(per, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-        .select("doc_id", "source", "size", "copy", "key", "source_size", "target", (F.col("before") + F.col("inside")).alias("sum"))
+        .select("doc_id", "source", "size", "apart", "copy", "key", "source_size", "target", (F.col("before") + F.col("inside")).alias("sum"))
     )
     rounds = placed.withColumn("round", F.explode(F.array(*[F.lit(i) for i in range(max_repeats)]))).withColumn(
         "finish", F.when(F.col("target") > 0, (F.col("sum") + F.col("round") * F.col("source_size")) / F.col("target"))
@@ -78,12 +80,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget_share: f
     cut = steps.where(2 * F.col("through") >= F.col("budget2")).agg(F.min(F.struct(F.col("step").alias("cut_step"), "ahead", "budget2")).alias("cut")).select(F.lit(1).alias("one"), "cut.*")
     cut = F.broadcast(cut)  # one row
     marked = rounds.withColumn("one", F.lit(1)).join(cut, "one", "left")
-    order = Window.partitionBy("step").orderBy("finish", F.col("source").isNull(), "source", "key", "doc_id", "copy", "round").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("step").orderBy("finish", F.col("source").isNull(), "source", "key", "doc_id", "apart", "copy", "round").rowsBetween(Window.unboundedPreceding, 0)
     in_step = marked.where(F.col("step") == F.col("cut_step")).withColumn("end", F.col("ahead") + F.sum("size").over(order)).withColumn("taken", (2 * F.col("end") - F.col("size") <= F.col("budget2")).cast("int"))
     rest = marked.where(~F.col("step").eqNullSafe(F.col("cut_step"))).withColumn("taken", F.coalesce((F.col("step") < F.col("cut_step")).cast("int"), F.lit(0)))
-    kinds = ["doc_id", "source", "size", "source_size", "target", "copy"]
-    return (
+    kinds = ["doc_id", "source", "size", "source_size", "target", "apart", "copy"]
+    got = (
         in_step.select(*kinds, "taken").unionByName(rest.select(*kinds, "taken"))
         .groupBy(*kinds).agg(F.sum("taken").alias("copies"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .withColumn("taken", F.col("copies") * F.col("size"))
     )
+    more = [] if apart is None else ["apart", F.col("copy").alias("nth")]
+    return got.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *more)

@@ -61,8 +61,8 @@ def _named(c: Column) -> Column:
 
 def _keep(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     """Rows of docs whose key (never null, and with a digest of what makes texts equal) is in kept's column __key, one row a key. Texts move once.
-    A row travels as a struct, so its columns may have any names."""
-    order = Window.partitionBy("__key").orderBy(F.xxhash64("row.text"))
+    Of several that differ in other columns alone, a digest of all columns decides. A row travels as a struct, so its columns may have any names."""
+    order = Window.partitionBy("__key").orderBy(F.xxhash64("row"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("__key"))
     return rows.join(kept, "__key", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select("row.*")
 
@@ -86,7 +86,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
 
     def key(t: Column) -> Column:
-        return F.concat_ws("/", _named(F.col("doc_id")), t.cast("string"))
+        return F.concat_ws("/", _named(F.col("doc_id")), F.hex(t))
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("first")
     kept = near_copies(docs).groupBy("component").agg(first).select("first.*").select(key(F.col("t")).alias("__key"))
@@ -94,13 +94,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that it doesn't take go. Texts move once, rows as structs. An empty table stays one."""
-    key = F.concat_ws("/", _named(F.col("doc_id")), _named(F.col("source")))
-    taken = mix(docs).groupBy(key.alias("__key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))  # apart from 1 for repeated rows only
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("__key"))
-    times = rows.join(taken, "__key").withColumn("__nth", nth).withColumn("__times", F.element_at("__copies", F.col("__nth")).cast("int"))
-    return times.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")
+    """Each document as often as the mix takes it; documents that it doesn't take go. Texts move once, rows as structs. An empty table stays one.
+
+    A row is known by its doc_id, source and text (by digest), so rows that share a doc_id, or have none, get each its own copies; rows that are alike in all three are told apart by a digest of all their columns."""
+
+    def key(sha: Column) -> Column:
+        return F.concat_ws("/", _named(F.col("doc_id")), _named(F.col("source")), sha)
+
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    taken = mix(docs, apart=sha).where("copies > 0").select(key(F.col("apart")).alias("__key"), F.col("nth").cast("int").alias("__nth"), F.col("copies").cast("int").alias("__copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(sha).alias("__key"))
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("row"))))
+    return rows.join(taken, ["__key", "__nth"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -262,6 +262,32 @@ def test_near_blocks_of_one_text_find_the_same(spark, monkeypatch):
     assert len(pairs) > 20
 
 
+def test_near_hot_shards_are_divided(spark, monkeypatch):
+    """With nearly every shard counted as hot, all pairs of 0.8 are joined still."""
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w if r.random() < 0.985 else r.choice(base) for w in base)) for i in range(80)]
+    sizes = []
+    plain = near.cooled
+    monkeypatch.setattr(near, "cooled", lambda members: sizes.append((members.count(), (got := plain(members, 4)).where("hot != 0").count())) or got)
+    pairs, _ = check_near(spark, rows)
+    assert len(pairs) > 20 and sizes[0][1] > 100
+
+
+def test_near_rows_of_a_hot_shard_grow_with_its_size(spark):
+    """Texts with a passage in common share shards by it, and no others; in how many rows they go to the shards."""
+    made = []
+    for n in (400, 800):
+        r = np.random.default_rng(n)
+        # four bands that many have by the passage: each text has each of them with probability 1/2; nodes are components of their own
+        rows = [(int(band + 1), int(band), int(r.integers(-(1 << 62), 1 << 62)), i.to_bytes(16, "big"), i.to_bytes(16, "big"), bytes(360)) for i in range(n) for band in range(4) if r.random() < 0.5]
+        members = spark.createDataFrame(rows, "key long, band int, fp long, node binary, component binary, minima binary")
+        plain = near._dealt(members.withColumn("hot", F.lit(0)), F.lit(1), 20).count()
+        made.append((plain, near._dealt(near.cooled(members, 50), F.lit(1), 10**6).count()))
+    (plain, few), (plain2, more) = made
+    assert plain2 > 3.5 * plain and more < 2.3 * few and more < plain2 / 3
+
+
 def test_large_shards_are_split(spark):
     r = random.Random(6)
     centre = r.getrandbits(63)
@@ -402,6 +428,26 @@ def test_mixing(docs):
             assert abs(sum(r.taken for r in got if r.source == source) - target) <= 2 * max(r.size for r in got)
 
 
+def test_mixing_stage_by_row(spark):
+    """Rows that share a doc_id, or have none, get the copies that the mix gives each of them, however rows are dealt."""
+    rows = [(7, " ".join(f"b{i}" for i in range(n)), "b") for n in (1, 3, 9, 20, 33, 50, 77, 101, 140, 177, 200)] + [(100 + i, " ".join(["a"] * (10 + i)), "a") for i in range(10)]
+    rows += [(None, "x y z " * k, "c") for k in range(1, 12)] + [(None, "x y z", "c")] * 3 + [(5, "x y z", None), (5, "x y z w", None)]
+    df = spark.createDataFrame([(i, t, s, k) for k, (i, t, s) in enumerate(rows)], "doc_id long, text string, source string, copies int")
+    want = None
+    for n in (1, 4, 7):
+        got = sorted(map(str, stages.mixing(spark, df.repartition(n), "").select("doc_id", "text", "source", "copies").collect()))
+        assert want in (None, got)
+        want = got
+    by = {}
+    for r in mixing.mix(df, apart=F.sha2("text", 256)).collect():
+        by.setdefault((r.doc_id, r.source, r.apart), []).append(r.copies)
+    out = {}
+    for r in stages.mixing(spark, df, "").collect():
+        out.setdefault((r.doc_id, r.source, sha(r.text)), []).append(r.copies)
+    assert {k: len(v) for k, v in out.items()} == {k: sum(v) for k, v in by.items() if sum(v)}
+    assert sum(r.taken for r in mixing.mix(df, apart=F.sha2("text", 256)).collect()) == sum(len(words(r.text)) for r in stages.mixing(spark, df, "").collect())
+
+
 def test_targets_are_filled_by_weight(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 900)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes, (5, 2, 1), 1.5, 2).collect()}
