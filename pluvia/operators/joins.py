@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.expressions import EARTH_KM
+from pluvia.operators import segments
 
 
 def join_back(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,16 +74,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: l
     """
     ident = [c for c in left.columns if c not in keys]
     right = right.where(F.col(ts).isNotNull())
-    at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (chunk * 1_000_000))
     point = F.struct(F.col(ts).alias("at"), *[F.col(v) for v in values])
     r = right.select(*keys, F.col(ts), point.alias("__r"), F.lit(None).cast(left.select(F.struct(*ident)).schema[0].dataType).alias("__l"), F.lit(0).alias("__side"))
     li = left.select(*keys, F.col(ts), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.struct(*ident).alias("__l"), F.lit(1).alias("__side"))
-    rows = li.unionByName(r).withColumn("__chunk", at)
-    last = rows.groupBy(*keys, "__chunk").agg(F.max("__r").alias("__last"))
-    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("__before", F.last("__last", True).over(earlier)).drop("__last")
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(ts, "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
-    got = join_back(rows.withColumn("__in", F.last("__r", True).over(inside)), last, [*keys, "__chunk"]).where("__side = 1")
+    rows, w = segments.chunked(li.unionByName(r), keys, ts, ("__side", "__r"), {"__before": (F.max("__r"), segments.last_before)}, chunk)
+    got = rows.withColumn("__in", F.last("__r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__side = 1")
     found = F.coalesce(F.col("__in"), F.col("__before"))
     if tolerance is not None:
         age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(found["at"].cast("timestamp"))

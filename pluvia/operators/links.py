@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.expressions import non_negative, rain_power_law
+from pluvia.operators import segments
 from pluvia.operators.joins import in_box, join_back, lookup, near_gauges
-from pluvia.operators.timeseries import between_instants, bins, rolling, so_far
+from pluvia.operators.timeseries import between_instants, bins
 
 
 def _with_key_stats(df: DataFrame, keys: list[str], **stats) -> DataFrame:
@@ -42,19 +43,21 @@ def min_max(df: DataFrame, keys: list[str], ts: str, value: str, step: int = 900
 
 def wet_dry(df: DataFrame, keys: list[str], ts: str, value: str, window: int = 8, threshold: float = 0.1, tie: tuple[str, ...] = (), min_periods: int = 1) -> DataFrame:
     """sigma: population deviation of a row and the ones that follow, `window` in all (at least min_periods, else null); wet: sigma > threshold."""
-    w = rolling(keys, ts, window, *tie)
-    sigma = F.when(F.count(value).over(w) >= min_periods, F.stddev_pop(value).over(w))
-    return df.withColumn("sigma", sigma).withColumn("wet", F.col("sigma") > threshold)
+    got = segments.rolled(df, keys, ts, tie, window, lambda w: {"sigma": F.when(F.count(value).over(w) >= min_periods, F.stddev_pop(value).over(w))})
+    return got.withColumn("wet", F.col("sigma") > threshold)
 
 
 def dynamic_baseline(df: DataFrame, keys: list[str], ts: str, value: str, window: int = 4, tie: tuple[str, ...] = ()) -> DataFrame:
     """Moving minimum over a row and the ones that follow."""
-    return df.withColumn("baseline", F.min(value).over(rolling(keys, ts, window, *tie)))
+    return segments.rolled(df, keys, ts, tie, window, lambda w: {"baseline": F.min(value).over(w)})
 
 
 def constant_baseline(df: DataFrame, keys: list[str], ts: str, value: str, wet: str = "wet", tie: tuple[str, ...] = ()) -> DataFrame:
     """The value at the last dry row so far."""
-    return df.withColumn("baseline", F.last(F.when(~F.col(wet), F.col(value)), True).over(so_far(keys, ts, *tie)))
+    dry = F.when(~F.col(wet), F.col(value))
+    edge = {"__past": (F.max_by(dry, F.when(dry.isNotNull(), segments.order_of(ts, tie))), segments.last_before)}
+    rows, w = segments.chunked(df, keys, ts, tie, edge)
+    return segments.without(rows.withColumn("baseline", F.coalesce(F.last(dry, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__past")), "__past")
 
 
 def above_baseline(df: DataFrame, value: str, baseline: str = "baseline", wet_antenna: float = 0.0, out: str = "normalized") -> DataFrame:
@@ -63,7 +66,7 @@ def above_baseline(df: DataFrame, value: str, baseline: str = "baseline", wet_an
 
 
 def two_step_rain(df: DataFrame, keys: list[str], ts: str, value: str, length_km: str, a: str, b: str, window: int = 8, threshold: float = 0.1, wet_antenna: float = 1.6, r_min: float = 0.3, tie: tuple[str, ...] = ()) -> DataFrame:
-    """Wet or dry, constant baseline, then the power law; dry rows have no rain. One sort by (key, time) serves all windows.
+    """Wet or dry, constant baseline, then the power law; dry rows have no rain.
 
     The wet-antenna part and r_min are read as a loss that is taken off and a least rate that is reported; both are parameters.
     """

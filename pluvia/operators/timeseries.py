@@ -1,7 +1,7 @@
 """Irregular series keyed by station or link: resampling, filling, running totals, gaps, runs, rolling windows.
 
-All take a DataFrame with key columns and a time column and are one shuffle on the key, or on (key, bin). A series of one
-key is ordered by time and then by `tie`, so results don't depend on the order of rows.
+All take a DataFrame with key columns and a time column. A series of one key is ordered by time and then by `tie`, so results don't depend on the order of
+rows; it is cut into chunks of time (see segments.py), so that one key may have all rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import sys
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from pluvia.operators import segments
 from pluvia.operators.joins import join_back
 
 #: The largest finite double.
@@ -90,48 +91,62 @@ def running_total(df: DataFrame, keys: list[str], ts: str, value: str, out: str
     x = F.coalesce(known, F.lit(0.0))
     if nulls == "clip":
         x = F.greatest(x, F.lit(0.0))
-    rows = df.withColumn("__x", x).withColumn("__chunk", F.floor(seconds(F.col(ts)) / chunk))
-    part = rows.groupBy(*keys, "__chunk").agg(F.sum("__x").alias("__sum"))
-    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0))).drop("__sum")
-    total = F.col("__before") + F.sum("__x").over(so_far([*keys, "__chunk"], ts, *tie))
-    done = join_back(rows, part, [*keys, "__chunk"]).withColumn(out, total).drop("__x", "__chunk", "__before")
+    rows, w = segments.chunked(df.withColumn("__x", x), keys, ts, tie, {"__before": (F.sum("__x"), segments.before)}, chunk)
+    total = F.col("__before") + F.sum("__x").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    done = segments.without(rows.withColumn(out, total), "__x", "__before")
     return done.withColumn(out, F.when(known.isNotNull(), F.col(out))) if nulls == "skip" else done
 
 
-def fill(df: DataFrame, keys: list[str], ts: str, value: str, how: str, out: str = "filled", tie: tuple[str, ...] = ()) -> DataFrame:
+def fill(df: DataFrame, keys: list[str], ts: str, value: str, how: str, out: str = "filled", tie: tuple[str, ...] = (), chunk: float = segments.CHUNK) -> DataFrame:
     """how: 'zero' (infinities become the largest finite numbers); 'forward' (then backward at the start); 'linear' (by position: leading nulls
     stay, trailing ones take the last value). NaN counts as null."""
     v = F.when(~F.isnan(value), F.col(value))
     if how == "zero":
         return df.withColumn(out, F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.coalesce(v, F.lit(0.0)))))
-    w = series(keys, ts, *tie)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    order = segments.order_of(ts, tie)
+    known = F.when(v.isNotNull(), order)
+    edges = {"__p": (F.max_by(v, known), segments.last_before), "__q": (F.min_by(v, known), segments.first_after)}
     if how == "forward":
-        return df.withColumn(out, F.coalesce(F.last(v, True).over(back), F.first(v, True).over(ahead)))
-    here = df.withColumn("__n", F.row_number().over(w))
+        rows, w = segments.chunked(df, keys, ts, tie, edges, chunk)
+        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        return segments.without(rows.withColumn(out, F.coalesce(F.last(v, True).over(back), "__p", F.first(v, True).over(ahead), "__q")), "__p", "__q")
+    here = segments.numbered(df, keys, ts, tie, "__n", chunk, keep=True)
     point = F.when(v.isNotNull(), F.struct(F.col("__n").alias("n"), v.alias("v")))
-    here = here.withColumn("__p", F.last(point, True).over(back)).withColumn("__q", F.first(point, True).over(ahead))
+    rows, w = segments.chunked(here.withColumn("__point", point), keys, ts, tie, {"__p": (F.max_by("__point", known), segments.last_before), "__q": (F.min_by("__point", known), segments.first_after)}, chunk, dealt=True)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("__p", F.coalesce(F.last("__point", True).over(back), "__p")).withColumn("__q", F.coalesce(F.first("__point", True).over(ahead), "__q"))
     p, q = F.col("__p"), F.col("__q")
     slope = F.try_divide(q["v"] - p["v"], q["n"] - p["n"])
     line = F.when(p.isNull(), None).when(q.isNull() | (q["n"] == p["n"]), p["v"]).otherwise(p["v"] + slope * (F.col("__n") - p["n"]))
-    return here.withColumn(out, line).drop("__n", "__p", "__q")
+    return segments.without(rows.withColumn(out, line), "__n", "__p", "__q", "__point")
 
 
-def gaps(df: DataFrame, keys: list[str], ts: str, longest: float = 7200, tie: tuple[str, ...] = ()) -> DataFrame:
+def gaps(df: DataFrame, keys: list[str], ts: str, longest: float = 7200, tie: tuple[str, ...] = (), chunk: float = segments.CHUNK) -> DataFrame:
     """Rows that follow the one before by more than `longest` seconds, with previous_ts and gap_s."""
-    before = F.lag(ts).over(series(keys, ts, *tie))
-    return df.withColumn("previous_ts", before).withColumn("gap_s", seconds(F.col(ts)) - seconds(F.col("previous_ts"))).where(F.col("gap_s") > longest)
+    return segments.neighbour(df, keys, ts, tie, {"previous_ts": F.col(ts)}, chunk).withColumn("gap_s", seconds(F.col(ts)) - seconds(F.col("previous_ts"))).where(F.col("gap_s") > longest)
+
+
+def runs(df: DataFrame, keys: list[str], ts: str, value: str, tie: tuple[str, ...] = (), each_null: bool = True, chunk: float = segments.CHUNK) -> DataFrame:
+    """Stretches of equal values: keys, run (1, 2, ...), value, start, end, n. each_null: every null is a run of its own; else nulls are equal.
+
+    Runs are found in each chunk; one that goes on over a border is joined to the chunk before by the values on both sides of it."""
+    rows = df.withColumn("__k", segments.key_of(keys)).withColumn("__chunk", segments.chunk_of(df, ts, chunk))
+    w = Window.partitionBy("__k", "__chunk").orderBy(ts, *tie)
 
+    def goes_on(here: Column, past: Column) -> Column:
+        same = here.eqNullSafe(past)
+        return same & here.isNotNull() if each_null else same
 
-def runs(df: DataFrame, keys: list[str], ts: str, value: str, tie: tuple[str, ...] = (), each_null: bool = True) -> DataFrame:
-    """Stretches of equal values: keys, run (1, 2, ...), value, start, end, n. each_null: every null is a run of its own; else nulls are equal."""
-    w = series(keys, ts, *tie)
-    same = F.col(value).eqNullSafe(F.lag(value).over(w)) & F.lag(F.lit(True)).over(w).isNotNull()
-    if each_null:
-        same = same & F.col(value).isNotNull()
-    marked = df.withColumn("__new", (~same).cast("long")).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "run").agg(F.first(value).alias(value), F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
+    same = goes_on(F.col(value), F.lag(value).over(w)) & F.lag(F.lit(True)).over(w).isNotNull()
+    marked = rows.withColumn("__new", (~same).cast("long")).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = marked.groupBy("__k", "__chunk", "__run").agg(F.first(value).alias("__value"), F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
+    edges = parts.groupBy("__k", "__chunk").agg(F.max("__run").alias("runs"), F.min_by(F.struct("__value"), "__run").alias("first"), F.max_by(F.struct("__value"), "__run").alias("last"))
+    over = Window.partitionBy("__k").orderBy("__chunk")
+    past = F.lag("last").over(over)
+    edges = edges.withColumn("on", (past.isNotNull() & goes_on(F.col("first")["__value"], past["__value"])).cast("long"))
+    edges = edges.withColumn("ahead", segments.before("runs", over) - F.sum("on").over(over.rowsBetween(Window.unboundedPreceding, 0))).select("__k", "__chunk", "ahead")
+    whole = parts.join(edges, ["__k", "__chunk"]).groupBy("__k", (F.col("ahead") + F.col("__run")).alias("run")).agg(F.first("__value").alias(value), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return whole.select(*[F.col("__k")[k].alias(k) for k in keys], "run", value, "start", "end", "n")
 
 
 def rolling(keys: list[str], ts: str, ahead: int, *tie: str) -> WindowSpec:
@@ -180,14 +195,15 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def resolution(df: DataFrame, keys: list[str], ts: str, *tie: str) -> DataFrame:
     """Median of the seconds between neighbours, by key."""
-    step = seconds(F.col(ts)) - seconds(F.lag(ts).over(series(keys, ts, *tie)))
-    return df.withColumn("__s", step).groupBy(*keys).agg(F.percentile("__s", 0.5).alias("resolution_s"))
+    step = seconds(F.col(ts)) - seconds(F.col("__past"))
+    return segments.neighbour(df, keys, ts, tie, {"__past": F.col(ts)}).withColumn("__s", step).groupBy(*keys).agg(F.percentile("__s", 0.5).alias("resolution_s"))
 
 
 def temporal_split(df: DataFrame, keys: list[str], ts: str, part: float = 0.7, tie: tuple[str, ...] = ()) -> DataFrame:
     """train: the first floor(part * n) rows of each key."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn("train", F.row_number().over(series(keys, ts, *tie)) <= F.floor(F.lit(part) * n))
+    whole = lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows, w = segments.chunked(df, keys, ts, tie, {"__ahead": (F.count(F.lit(1)), segments.before), "__all": (F.count(F.lit(1)), whole)})
+    return segments.without(rows.withColumn("train", F.col("__ahead") + F.row_number().over(w) <= F.floor(F.lit(part) * F.col("__all"))), "__ahead", "__all")
 
 
 def hash_split(df: DataFrame, ident: str, part: float = 0.8, seed: int = 0) -> DataFrame:
@@ -198,8 +214,7 @@ def hash_split(df: DataFrame, ident: str, part: float = 0.8, seed: int = 0) -> D
 
 def blocks(df: DataFrame, keys: list[str], ts: str, values: list[str], width: int = 32, tie: tuple[str, ...] = ()) -> DataFrame:
     """Non-overlapping blocks of `width` rows as arrays; a shorter rest is left out. Columns: keys, block, start, values..."""
-    n = F.row_number().over(series(keys, ts, *tie)) - 1
-    rows = df.withColumn("block", F.floor(n / width)).groupBy(*keys, "block").agg(F.min(ts).alias("start"), F.array_sort(F.collect_list(F.struct(ts, *tie, *values))).alias("__r"))
+    rows = segments.numbered(df, keys, ts, tie, "__n").withColumn("block", F.floor((F.col("__n") - 1) / width)).groupBy(*keys, "block").agg(F.min(ts).alias("start"), F.array_sort(F.collect_list(F.struct(ts, *tie, *values))).alias("__r"))
     def column(v: str) -> Column:
         return F.transform("__r", lambda row: row[v]).alias(v)
 
@@ -213,22 +228,24 @@ def training_dataset(df: DataFrame, keys: list[str], ts: str, values: list[str],
     return temporal_split(blocks(scaled.select(*df.columns), keys, ts, values, width, tie), keys, "block", part)
 
 
-def derivative(df: DataFrame, keys: list[str], ts: str, values: list[str], tie: tuple[str, ...] = ()) -> DataFrame:
-    """d_<value>: central differences over a numeric time, one-sided at both ends."""
-    w = series(keys, ts, *tie)
+def derivative(df: DataFrame, keys: list[str], ts: str, values: list[str], tie: tuple[str, ...] = (), chunk: float = segments.CHUNK) -> DataFrame:
+    """d_<value>: central differences over a numeric time, one-sided at both ends. chunk: in units of that time."""
+    row, order = F.struct(ts, *values), segments.order_of(ts, tie)
+    rows, w = segments.chunked(df, keys, ts, tie, {"__past": (F.max_by(row, order), segments.last_before), "__next": (F.min_by(row, order), segments.first_after)}, chunk)
+    rows = rows.withColumns({"__past": F.coalesce(F.lag(row).over(w), "__past"), "__next": F.coalesce(F.lead(row).over(w), "__next")})
 
     def diff(v: str) -> Column:
-        lo, hi = F.coalesce(F.lag(v).over(w), F.col(v)), F.coalesce(F.lead(v).over(w), F.col(v))
-        span = F.coalesce(F.lead(ts).over(w), F.col(ts)) - F.coalesce(F.lag(ts).over(w), F.col(ts))
-        return F.try_divide(hi - lo, span)
+        lo, hi = (F.coalesce(F.col(n)[v], F.col(v)) for n in ("__past", "__next"))
+        return F.try_divide(hi - lo, F.coalesce(F.col("__next")[ts], F.col(ts)) - F.coalesce(F.col("__past")[ts], F.col(ts)))
 
-    return df.withColumns({f"d_{v}": diff(v) for v in values})
+    return segments.without(rows.withColumns({f"d_{v}": diff(v) for v in values}), "__past", "__next")
 
 
 def integrate_rate(df: DataFrame, keys: list[str], ts: str, rate: str, longest: float = 3600, tie: tuple[str, ...] = (), out: str = "amount") -> DataFrame:
     """Amount of a rate per hour until the next row, at most `longest` seconds; a sum of rates is no amount, a sum of these is."""
-    span = seconds(F.lead(ts).over(series(keys, ts, *tie))) - seconds(F.col(ts))
-    return df.withColumn(out, F.col(rate) * F.least(F.coalesce(span, F.lit(0.0)), F.lit(float(longest))) / 3600)
+    rows = segments.neighbour(df, keys, ts, tie, {"__next": F.col(ts)}, ahead=True)
+    span = seconds(F.col("__next")) - seconds(F.col(ts))
+    return rows.withColumn(out, F.col(rate) * F.least(F.coalesce(span, F.lit(0.0)), F.lit(float(longest))) / 3600).drop("__next")
 
 
 def normalization(df: DataFrame, values: list[str]) -> DataFrame:
