@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvia.jobs.catalog import ntz, query, r, table
 from pluvia.jobs.landed import landing
+from pluvia.sources.polling import polled
 from pluvia.streaming import series
 
 LATE = "1 hour"
@@ -45,8 +46,23 @@ def streamed_sessions(spark, d):
     return got.select("user_id", ntz("start").alias("start"), ntz("end").alias("end"), "n")
 
 
-@query(f"""WITH {_MARK}, s AS (SELECT user_id, value, stddev_pop(value) OVER (PARTITION BY user_id ORDER BY date_trunc('milliseconds', ts), value ROWS 7 PRECEDING) AS sigma, date_trunc('milliseconds', ts) <= mark AS past FROM events, m)
-SELECT user_id, round(value, 4) AS value, round(sigma, 4) AS sigma FROM s WHERE past""")
+@query(f"""WITH {_MARK}, s AS (SELECT user_id, ts, value, stddev_pop(value) OVER (PARTITION BY user_id ORDER BY ts, value ROWS 7 PRECEDING) AS sigma, ts <= mark AS past FROM events, m)
+SELECT user_id, ts, round(value, 4) AS value, round(sigma, 4) AS sigma FROM s WHERE past""")
 def streamed_rolling_deviation(spark, d):
-    got = _streamed(spark, d, lambda rows: series.rolling_deviation(rows, "user_id", "ts", "value", 8, LATE))
-    return got.select("user_id", r("value").alias("value"), r("sigma").alias("sigma"))
+    with series.rocksdb(spark):
+        got = _streamed(spark, d, lambda rows: series.rolling_deviation(rows, "user_id", "ts", "value", 8, LATE))
+    return got.select("user_id", ntz("ts").alias("ts"), r("value").alias("value"), r("sigma").alias("sigma"))
+
+
+@query("SELECT DISTINCT user_id, ts, round(value, 4) AS value FROM events")
+def polled_and_resumed(spark, d):
+    """Payloads of two polls, the second of which repeats much of the first. The query stops after the first one, and another goes on from what was committed."""
+    path = landing(spark)
+    time = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    obs = table(spark, d, "events").select("event_id", F.struct("user_id", time.alias("ts"), "value").alias("o"))
+    for poll, rows in (("poll-1", obs.where("event_id % 3 < 2")), ("poll-2", obs.where("event_id % 3 > 0"))):
+        rows.groupBy(F.floor(F.col("event_id") / 100)).agg(F.collect_list("o").alias("observations")).select("observations").write.json(f"{path}/landed/{poll}")
+        stream = series.deduped(polled(spark, f"{path}/landed", "user_id bigint, ts timestamp, value double"), ["user_id"], "ts", "60 days")
+        run = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select("user_id", ntz("ts").alias("ts"), r("value").alias("value"))

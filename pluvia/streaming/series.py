@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pluvia.operators.timeseries import aggregate
 
@@ -32,39 +34,91 @@ def sessions(stream: DataFrame, keys: list[str], ts: str, gap: str = "2 hours",
     return got.select(*keys, F.col("w.start").alias("start"), "end", "n")
 
 
+class RollingDeviation(StatefulProcessor):
+    """State of a key: the rows that wait for the watermark, and the values of the last ones that it has passed. A timer stands at the first waiting row, or where the state is to go."""
+
+    def __init__(self, columns: list[str], rows: int, keep_ms: int) -> None:
+        self.columns, self.rows, self.keep_ms = columns, rows, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, value double")
+        self.past = handle.getListState("past", "value double")
+        self.until = handle.getValueState("until", "ms long")  # of a key without waiting rows: when its past goes
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            at = frame[self.columns[1]].astype("datetime64[us]").astype("int64").to_numpy()
+            value = frame[self.columns[2]].astype(float).to_numpy()
+            self.waiting.appendList(list(zip(at.tolist(), value.tolist())))
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+        if first is not None:
+            self._wake(first // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = np.array(list(self.waiting.get()) if self.waiting.exists() else [], [("at", np.int64), ("value", float)])
+        done = np.sort(waiting[waiting["at"] <= mark * 1000], order=["at", "value"])
+        rest = waiting[waiting["at"] > mark * 1000]
+        if len(done):
+            past = np.array([v for (v,) in self.past.get()] if self.past.exists() else [], float)
+            values = np.concatenate([past, done["value"]])
+            padded = np.concatenate([np.full(self.rows - 1, np.nan), values])
+            frames = np.lib.stride_tricks.sliding_window_view(padded, self.rows)[len(past) :]
+            known = ~np.isnan(frames)
+            n = known.sum(axis=1)
+            mean = np.where(known, frames, 0.0).sum(axis=1) / np.maximum(n, 1)
+            spread = (np.where(known, frames - mean[:, None], 0.0) ** 2).sum(axis=1) / np.maximum(n, 1)
+            sigma = np.where(n > 0, np.sqrt(spread), np.nan)
+            if self.rows > 1:
+                self.past.put([(v,) for v in values[-(self.rows - 1) :].tolist()])
+            if len(rest):
+                self.waiting.put(rest.tolist())
+            else:
+                self.waiting.clear()
+            columns = zip(self.columns, ([key[0]] * len(done), pd.to_datetime(done["at"], unit="us"), done["value"], sigma))
+            yield pd.DataFrame(dict(columns))
+        if len(rest):
+            self._wake(int(rest["at"].min()) // 1000)
+        elif len(done):
+            self.until.update((mark + self.keep_ms,))
+            self._wake(mark + self.keep_ms)
+        elif self.until.exists() and self.until.get()[0] <= mark:
+            self.past.clear()
+            self.until.clear()
+
+    def _wake(self, at_ms: int) -> None:
+        if at_ms not in set(self.handle.listTimers()):
+            self.handle.registerTimer(at_ms)
+
+    def close(self) -> None:
+        pass
+
+
 def rolling_deviation(stream: DataFrame, key: str, ts: str, value: str, rows: int = 8, late: str = LATE) -> DataFrame:
-    """key, ts, value, sigma: population deviation of a row and the ones before it, `rows` in all, in the order of (time, value).
+    """key, ts, value, sigma: population deviation of a row and the ones before it, `rows` in all, in the order of (time, value); null and NaN count as missing.
 
     A row waits until the watermark has passed it, so rows that come late (within `late`) and rows of equal times take their places; what is
     later still is left out. State is a key's waiting rows and the last rows - 1 values before them; it goes when the watermark has passed a key's last row by
     another `late`, and a series that goes on after that starts anew. Rows still waiting when the query stops are emitted when it goes on.
-    The batch operator looks ahead instead: its sigma of a row is this one's rows - 1 rows later.
+    The batch operator looks ahead instead: its sigma of a row is this one's rows - 1 rows later. Needs the state store of RocksDB (see rocksdb()).
     """
     kind = dict(stream.dtypes)[key]
     schema = f"`{key}` {kind}, `{ts}` timestamp, `{value}` double, sigma double"
     keep = int(pd.Timedelta(late).total_seconds() * 1000)
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, values, past = state.get if state.exists else ([], [], [])
-        waiting, past = list(zip(waiting, values)), list(past)
-        mark = state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            for frame in frames:
-                at = frame[ts].astype("datetime64[us]").astype("int64") // 1000
-                waiting += [(int(t), float(v)) for t, v in zip(at, frame[value]) if t > mark]
-        waiting.sort()
-        done = [x for x in waiting if x[0] <= mark]
-        out = []
-        for t, v in done:
-            past = [*past[-(rows - 1) :], v] if rows > 1 else [v]
-            out.append((k[0], pd.Timestamp(t, unit="ms"), v, float(pd.Series(past).std(ddof=0))))
-        rest = waiting[len(done) :]
-        if state.hasTimedOut and not rest and not done:
-            state.remove()
-        else:
-            state.update(([t for t, _ in rest], [v for _, v in rest], past[-(rows - 1) :] if rows > 1 else []))
-            state.setTimeoutTimestamp(max(mark, 0) + 1 + (rest[0][0] - max(mark, 0) if rest else keep))
-        yield pd.DataFrame(out, columns=[key, ts, value, "sigma"])
-
-    held = "waiting array<long>, values array<double>, past array<double>"
-    return stream.withWatermark(ts, late).select(key, ts, value).groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+    rows_of = stream.withWatermark(ts, late).where(F.col(ts).isNotNull()).select(key, ts, F.col(value).cast("double").alias(value))
+    return rows_of.groupBy(key).transformWithStateInPandas(RollingDeviation([key, ts, value, "sigma"], rows, keep), schema, "append", "EventTime")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that rolling_deviation() needs, for queries started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from pluvia.sources import generate, netcdf, planning, readers, sinks
+from pluvia.sources import generate, netcdf, planning, polling, readers, sinks
 from pluvia.streaming import series
 
 
@@ -182,12 +182,49 @@ def test_streams(spark, tmp_path):
     assert [r.s for r in got] == [4.0, 4.0]
     got = ran(series.sessions(src, ["k"], "t", "2 hours", "10 minutes"), "sessions").orderBy("start").collect()
     assert [(r.n, r.end.minute) for r in got] == [(4, 7), (1, 0)]
-    got = ran(series.rolling_deviation(src, "k", "t", "v", 2, "10 minutes"), "rolling").orderBy("t", "sigma").collect()
+    with series.rocksdb(spark):
+        got = ran(series.rolling_deviation(src, "k", "t", "v", 2, "10 minutes"), "rolling").orderBy("t", "sigma").collect()
     # the watermark ends at 19:50, so the last row waits; ties stay
     assert [(r.v, r.sigma) for r in got] == [(1.0, 0.0), (1.0, 0.0), (2.0, 0.5), (4.0, 1.0), (5.0, 0.5)]
 
 
 def test_rolling_takes_late_rows_at_their_place(spark, tmp_path):
     src = stream(spark, tmp_path, [[("a", 1, 0, 1.0), ("a", 1, 20, 5.0)], [("a", 1, 10, 3.0), ("b", 1, 20, 7.0)], [("b", 9, 0, 0.0)], [("b", 9, 1, 0.0)]])
-    got = ran(series.rolling_deviation(src, "k", "t", "v", 2, "1 hour"), "rolling_late").orderBy("k", "t").collect()
+    with series.rocksdb(spark):
+        got = ran(series.rolling_deviation(src, "k", "t", "v", 2, "1 hour"), "rolling_late").orderBy("k", "t").collect()
     assert [(r.k, r.v, r.sigma) for r in got] == [("a", 1.0, 0.0), ("a", 3.0, 1.0), ("a", 5.0, 1.0), ("b", 7.0, 0.0)]
+
+
+def test_rolling_keeps_microseconds_and_forgets_old_series(spark, tmp_path):
+    """Rows within one millisecond keep their order; a series that goes on long after its state has gone starts anew."""
+    src = stream(spark, tmp_path, [[("a", 1, 0, 1.0)], [("b", 5, 0, 0.0)], [("b", 9, 0, 0.0)], [("b", 10, 0, 0.0)], [("a", 15, 0, 9.0)], [("b", 23, 0, 0.0)]])
+    micros = src.withColumn("t", F.when(F.col("k") == "a", F.col("t") + F.make_dt_interval(secs=F.lit(0.000007))).otherwise(F.col("t")))
+    twice = micros.unionByName(micros.where("k = 'a'").select("k", (F.col("t") - F.make_dt_interval(secs=F.lit(0.000005))).alias("t"), (F.col("v") + 1).alias("v")))
+    with series.rocksdb(spark):
+        got = ran(series.rolling_deviation(twice.select("k", "t", "v"), "k", "t", "v", 2, "1 hour"), "rolling_micros").where("k = 'a'").orderBy("t").collect()
+    assert [(r.t.hour, r.t.microsecond, r.v, r.sigma) for r in got] == [(1, 2, 2.0, 0.0), (1, 7, 1.0, 0.5), (15, 2, 10.0, 0.0), (15, 7, 9.0, 0.5)]
+
+
+def test_polls_are_resumed_from_their_offsets(spark, tmp_path):
+    """Each file is read once, over three runs of a query with one checkpoint; lines without payloads and files that aren't any are left alone."""
+    landed, out = tmp_path / "landed", str(tmp_path / "out")
+    landed.mkdir()
+
+    def run():
+        q = polling.polled(spark, str(landed), "station string, v double").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.station, r.v) for r in spark.read.schema("station string, v double").parquet(out).collect())
+
+    (landed / "2024-01-01.json").write_text('{"observations": [{"station": "a", "v": 1}, {"station": "b", "v": 2}]}\n{"error": "none"}\n\n')
+    (landed / "_SUCCESS").write_text("")
+    assert run() == [("a", 1.0), ("b", 2.0)]
+    assert run() == [("a", 1.0), ("b", 2.0)]
+    (landed / "2024-01-02.json").write_text("\n".join(json.dumps({"observations": [{"station": "a", "v": i}]}) for i in range(3000)))
+    assert len(run()) == 3002
+    source = polling.PayloadStream(str(landed))
+    old = polling.TASK_BYTES
+    polling.TASK_BYTES = 10
+    try:
+        assert len(source.partitions({"file": ""}, source.latestOffset())) == 2 and source.partitions(source.latestOffset(), source.latestOffset()) == []
+    finally:
+        polling.TASK_BYTES = old
