@@ -1,12 +1,14 @@
 """Queries over landed files: they write files of the driver's tables to a shared folder, and read them by the readers."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from pluvia.functions import expressions as x
 from pluvia.jobs.catalog import events, ntz, query, r, table
 from pluvia.operators import stations as st
 from pluvia.operators.timeseries import slice_days
-from pluvia.sources import planning, readers, sinks
+from pluvia.sources import classic, netcdf, planning, readers, sinks
 from pluvia.sources.scratch import shared_folder as landing
 
 
@@ -225,3 +227,59 @@ def rapid_day_from_json(spark, d):
     path = landing(spark)
     sinks.json(events(spark, d).select("event_id", "ts"), path)
     return slice_days(sinks.written(spark, path, "event_id long, ts timestamp_ntz", "json"), "ts", "2024-01-02", "2024-01-03")
+
+
+def _link_files(spark, d):
+    """A NetCDF file a day of events: hourly largest value of 20 links, a fill value where an hour has none. Tasks write them."""
+    path = landing(spark)
+    hours = events(spark, d).groupBy(F.to_date("ts").cast("string").alias("day"), F.hour("ts").alias("h"), (F.col("user_id") % 20).cast("int").alias("link")).agg(F.max("value").alias("v"))
+
+    def write(key, rows):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        day = key[0].as_py()
+        where, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        level = np.full((24, 20), -999.0)
+        level[rows.column("h").to_numpy(), rows.column("link").to_numpy()] = rows.column("v").to_numpy()
+        raw = classic.encoded({"time": None, "sublink": 20}, {"time": (("time",), np.arange(24, dtype=np.int32), {"units": f"hours since {day} 00:00:00"}), "rsl": (("time", "sublink"), level, {"_FillValue": -999.0, "units": "dBm"})}, {"day": day})
+        where.create_dir(root, recursive=True)
+        with where.open_output_stream(f"{root}/{day}.nc") as out:
+            out.write(raw)
+        return pa.table({"n": pa.array([len(raw)], pa.int64())})
+
+    hours.groupBy("day").applyInArrow(write, "n long").collect()  # a row a day
+    return path
+
+
+@contextmanager
+def _pushdown(spark):
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    yield
+    spark.conf.set(name, before)
+
+
+_HOURS = "h AS (SELECT date_trunc('hour', ts) AS t, (user_id % 20)::INT AS sublink, max(value) AS v FROM events GROUP BY ALL)"
+
+
+@query(f"""WITH {_HOURS}, days AS (SELECT DISTINCT date_trunc('day', t) AS day FROM h), g AS (SELECT day + INTERVAL '1 hour' * i AS t, s::INT AS sublink FROM days, range(24) r(i), range(20) q(s))
+SELECT g.sublink, g.t AS ts, round(v, 4) AS rsl FROM g LEFT JOIN h ON h.t = g.t AND h.sublink = g.sublink""")
+def netcdf_links(spark, d):
+    got = netcdf.load(spark, _link_files(spark, d), variables="rsl", steps="6")
+    return got.select("sublink", ntz("ts").alias("ts"), r("rsl").alias("rsl"))
+
+
+@query(f"WITH {_HOURS} SELECT sublink, t AS ts, round(v, 4) AS rsl FROM h WHERE sublink = 7 AND t >= TIMESTAMP '2024-01-03 05:00:00' AND t < TIMESTAMP '2024-01-06'")
+def netcdf_links_pushed_down(spark, d):
+    with _pushdown(spark):  # cached, so planned, while filters are pushed
+        got = netcdf.load(spark, _link_files(spark, d), variables="rsl", steps="6")
+        return got.where("sublink = 7 AND ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-06' AND rsl IS NOT NULL").select("sublink", ntz("ts").alias("ts"), r("rsl").alias("rsl")).cache()
+
+
+@query("SELECT DISTINCT 'rsl' AS object, 'units' AS key, 'dBm' AS value, count(DISTINCT CAST(ts AS DATE)) AS files FROM events")
+def netcdf_attributes(spark, d):
+    got = netcdf.load(spark, _link_files(spark, d), attributes="true")
+    return got.where("object = 'rsl' AND key = 'units'").groupBy("object", "key", "value").agg(F.count(F.lit(1)).alias("files"))

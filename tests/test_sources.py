@@ -1,11 +1,14 @@
 """Landed files in, files out, chunk plans, streams."""
 
+import io
 import json
 from datetime import datetime
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pluvia.sources import generate, netcdf, planning, polling, readers, sinks
+from pluvia.sources import classic, generate, netcdf, planning, polling, readers, sinks
 from pluvia.streaming import series
 
 
@@ -87,26 +90,74 @@ class Thing:
 
 
 def test_netcdf_reads(monkeypatch):
-    import numpy as np
-
     utc = lambda *x: datetime(*x, tzinfo=netcdf.timezone.utc)
     time = Thing(np.array([0, 1, 2]), units="minutes since 2015-06-01 00:00:00")
     rsl = Thing(np.ma.masked_equal(np.array([[1.0, 2.0], [3.0, 1e10], [-1.0, np.nan]]), -1.0), units="dBm")
     group = lambda *names: Thing(variables={n: Thing(np.array([0.5, 0.6, 0.7]) if n != "time" else np.array([0, 3600, 7200])) for n in names})
     file = Thing(variables={"time": time, "rsl": rsl}, groups={"S1": group("time", "rain"), "bad": group("rain")}, contact="nobody")
-    monkeypatch.setattr(netcdf.NetCDFReader, "open", lambda self: file)
+    monkeypatch.setattr(netcdf.NetCDFReader, "open", lambda self, path: file)
+    monkeypatch.setattr(netcdf.NetCDFReader, "files", lambda self: ["x"])
 
     def read(**options):
         reader = netcdf.NetCDFReader({"path": "x", "variables": "rsl", **options})
-        return [r for p in reader.partitions() for r in reader.read(p)]
+        got = [r for p in reader.partitions() for r in reader.read(p)]
+        return [tuple(x.values()) for b in got for x in b.to_pylist()] if got and not isinstance(got[0], tuple) else got
 
     t = [utc(2015, 6, 1, 0, m) for m in range(3)]
     assert read(sentinel="1e10", steps="2") == [(0, t[0], 1.0), (1, t[0], 2.0), (0, t[1], 3.0), (1, t[1], None), (0, t[2], None), (1, t[2], None)]
     assert read(first="1", last="2", at="0") == [(0, t[1], 3.0)]
     assert read(groups="true", variables="rain") == [("S1", utc(1970, 1, 1, h), v) for h, v in enumerate((0.5, 0.6, 0.7))]
     assert read(attributes="true") == [("", "contact", "nobody"), ("time", "units", "minutes since 2015-06-01 00:00:00"), ("rsl", "units", "dBm")]
-    raster = list(netcdf.rows(np.array([0]), "hours since 2020-01-01", [np.arange(6).reshape(1, 2, 3)]))
-    assert raster[4] == (1, 1, utc(2020, 1, 1), 4.0) and len(raster) == 6
+    raster = [x for b in netcdf.cells(netcdf.instants(np.array([0]), "hours since 2020-01-01"), [np.arange(6).reshape(1, 2, 3)], ["y", "x", "ts", "v"]) for x in b.to_pylist()]
+    assert tuple(raster[4].values()) == (1, 1, utc(2020, 1, 1), 4.0) and len(raster) == 6
+
+
+def link_file(n=50, places=3, fill=-999):
+    time = np.arange(n, dtype=np.int32) * 10
+    rsl = (np.arange(n * places).reshape(n, places) - 40).astype(np.int16)
+    rsl[5, 1] = fill
+    return classic.encoded(
+        {"time": None, "sublink": places, "text": 5},
+        {"time": (("time",), time, {"units": "minutes since 2015-06-01 00:00:00"}), "rsl": (("time", "sublink"), rsl, {"_FillValue": np.int16(fill), "scale_factor": 0.5, "add_offset": 1.0}),
+         "tsl": (("time", "sublink"), rsl.astype(np.float32) * 2, {}), "frequency": (("sublink",), np.array([10.5, 20.25, 30.0]), {"units": "GHz"}), "name": (("text",), np.frombuffer(b"links", "S1"), {})},
+        {"title": "été", "version": [1.0, 2.5]},
+    )
+
+
+def test_classic_format():
+    f = classic.Classic(io.BytesIO(link_file()))
+    assert (f.getncattr("title"), f.getncattr("version"), list(f.variables)) == ("été", [1.0, 2.5], ["time", "rsl", "tsl", "frequency", "name"])
+    rsl, tsl = f.variables["rsl"], f.variables["tsl"]
+    assert rsl.shape == (50, 3) and rsl.dimensions == ("time", "sublink") and f.variables["time"].units.startswith("minutes")
+    assert rsl[4:6].tolist() == [[-13.0, -12.5, -12.0], [-11.5, None, -10.5]] and tsl[4:5].tolist() == [[-56.0, -54.0, -52.0]]
+    assert f.variables["frequency"][:].tolist() == [10.5, 20.25, 30.0] and f.variables["time"][48:99].tolist() == [480, 490] and f.variables["name"][:].tobytes() == b"links"
+    one = classic.Classic(io.BytesIO(classic.encoded({"t": None}, {"v": (("t",), np.arange(7, dtype=np.int16), {})})))
+    assert one.record_size == 2 and one.variables["v"][2:5].tolist() == [2, 3, 4]  # a single record variable isn't padded
+    none = classic.Classic(io.BytesIO(classic.encoded({}, {})))
+    assert none.variables == {} and none.ncattrs() == []
+    with pytest.raises(ValueError):
+        classic.Classic(io.BytesIO(b"CDF\x09"))
+
+
+def test_netcdf_files_through_spark(spark, tmp_path):
+    (tmp_path / "a.nc").write_bytes(link_file())
+    read = lambda **o: netcdf.load(spark, str(tmp_path), variables="rsl,tsl", **o)
+    rows = {(r.sublink, r.ts): (r.rsl, r.tsl) for r in read().collect()}
+    assert len(rows) == 150 and sum(v[0] is None for v in rows.values()) == 1 and rows[2, datetime(2015, 6, 1, 0, 40)] == (-12.0, -52.0)
+    assert {(r.object, r.key) for r in read(attributes="true").collect()} >= {("", "title"), ("rsl", "scale_factor"), ("time", "units")}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        part = read(steps="10").where("ts >= timestamp '2015-06-01 03:00:00' and ts < timestamp '2015-06-01 03:30:00' and sublink = 1")
+        assert sorted((r.sublink, r.ts.minute, r.rsl) for r in part.collect()) == [(1, m, -19.5 + 1 + 1.5 * (18 + m // 10)) for m in (0, 10, 20)]
+        assert read(steps="10").where("sublink in (0, 2, 9)").count() == 100 and read().where("ts > timestamp '2016-01-01'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    reader = netcdf.PushingReader({"path": str(tmp_path), "variables": "rsl", "steps": "10"}, read().schema)
+    assert len(reader.partitions()) == 5
+    list(reader.pushFilters([netcdf.GreaterThanOrEqual(("ts",), datetime(2015, 6, 1, 3)), netcdf.LessThan(("ts",), datetime(2015, 6, 1, 3, 20)), netcdf.EqualTo(("sublink",), 1)]))
+    parts = reader.partitions()
+    assert [(p.first, p.last) for p in parts] == [(10, 20), (20, 30)]  # the upper bound is read too, Spark leaves it out
+    assert [b.num_rows for p in parts for b in reader.read(p)] == [2, 1]
 
 
 def test_current_conditions_lose_nothing(spark, tmp_path):
