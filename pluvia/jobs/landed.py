@@ -8,7 +8,7 @@ from pluvia.functions import expressions as x
 from pluvia.jobs.catalog import events, ntz, query, r, table
 from pluvia.operators import stations as st
 from pluvia.operators.timeseries import slice_days
-from pluvia.sources import classic, netcdf, planning, readers, sinks
+from pluvia.sources import archive, classic, netcdf, paths, planning, readers, sinks
 from pluvia.sources.scratch import shared_folder as landing
 
 
@@ -237,16 +237,12 @@ def _link_files(spark, d):
     def write(key, rows):
         import numpy as np
         import pyarrow as pa
-        from pyarrow import fs
 
         day = key[0].as_py()
-        where, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
         level = np.full((24, 20), -999.0)
         level[rows.column("h").to_numpy(), rows.column("link").to_numpy()] = rows.column("v").to_numpy()
         raw = classic.encoded({"time": None, "sublink": 20}, {"time": (("time",), np.arange(24, dtype=np.int32), {"units": f"hours since {day} 00:00:00"}), "rsl": (("time", "sublink"), level, {"_FillValue": -999.0, "units": "dBm"})}, {"day": day})
-        where.create_dir(root, recursive=True)
-        with where.open_output_stream(f"{root}/{day}.nc") as out:
-            out.write(raw)
+        paths.put(f"{path}/{day}.nc", raw)
         return pa.table({"n": pa.array([len(raw)], pa.int64())})
 
     hours.groupBy("day").applyInArrow(write, "n long").collect()  # a row a day
@@ -283,3 +279,41 @@ def netcdf_links_pushed_down(spark, d):
 def netcdf_attributes(spark, d):
     got = netcdf.load(spark, _link_files(spark, d), attributes="true")
     return got.where("object = 'rsl' AND key = 'units'").groupBy("object", "key", "value").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _archives(spark, d):
+    """A zip file a fifth of the stations, with a CSV file a day in it. Tasks write them."""
+    path = landing(spark)
+    rows = events(spark, d).select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "value", (F.col("user_id") % 5).alias("g"))
+
+    def write(key, rows):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        out = io.BytesIO()
+        days: dict[str, list[str]] = {}
+        for i, u, t, v in zip(*(rows.column(c).to_pylist() for c in ("event_id", "user_id", "ts", "value"))):
+            days.setdefault(t[:10], ["event_id,user_id,ts,value"]).append(f"{i},{u},{t},{v!r}")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for day, text in days.items():
+                z.writestr(f"series/{day}.csv", "\n".join(text) + "\n")
+            z.writestr("README.txt", "no data")
+        paths.put(f"{path}/stations-{key[0].as_py()}.zip", out.getvalue())
+        return pa.table({"n": pa.array([len(days)], pa.int64())})
+
+    rows.groupBy("g").applyInArrow(write, "n long").collect()  # five rows
+    return path
+
+
+@query("SELECT event_id, user_id, ts, round(value, 4) AS value, 'series/' || strftime(ts, '%Y-%m-%d') || '.csv' AS member FROM events")
+def archived_series(spark, d):
+    got = archive.csv(spark, _archives(spark, d), "event_id LONG, user_id LONG, ts TIMESTAMP_NTZ, value DOUBLE", "series/*.csv")
+    return got.select("event_id", "user_id", "ts", r("value").alias("value"), "member")
+
+
+@query("""SELECT 'stations-' || (user_id % 5) || '.zip' AS archive, count(DISTINCT CAST(ts AS DATE)) + 1 AS members FROM events GROUP BY ALL""")
+def archive_listing(spark, d):
+    got = archive.members(spark, _archives(spark, d))
+    return got.groupBy(F.element_at(F.split("archive", "/"), -1).alias("archive")).agg(F.count(F.lit(1)).alias("members"))

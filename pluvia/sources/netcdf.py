@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from pluvia.sources.classic import Classic
+from pluvia.sources.paths import listed, opened
 
 #: Cells of a record batch.
 _CELLS = 1 << 18
@@ -106,21 +107,10 @@ class NetCDFReader(DataSourceReader):
         self.places = {int(self.options["at"])} if "at" in self.options else None
 
     def files(self) -> list[str]:
-        from pyarrow import fs
-
-        path = self.options["path"]
-        where, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-        info = where.get_file_info(root)
-        if info.type != fs.FileType.Directory:
-            return [path]
-        scheme = path.split(":")[0] + "://" if ":" in path else ""
-        return sorted(scheme + f.path for f in where.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.base_name[0] not in "_.")
+        return listed(self.options["path"])
 
     def open(self, path: str):
-        from pyarrow import fs
-
-        where, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-        stream = where.open_input_file(root)
+        stream = opened(path)
         if stream.read(3) == b"CDF":
             stream.seek(0)
             return Classic(stream)

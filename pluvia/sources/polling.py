@@ -69,7 +69,7 @@ class PayloadStream(DataSourceStreamReader):
         from pyarrow import fs
 
         where = fs.FileSystem.from_uri(self.path)[0] if ":" in self.path else fs.LocalFileSystem()
-        for name in partition.names:
+        for name in partition.names if partition is not None else ():
             with where.open_input_stream(name) as f:
                 held, lines = b"", []
                 while block := f.read(1 << 20):

@@ -2,13 +2,14 @@
 
 import io
 import json
+import zipfile
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pluvia.sources import classic, generate, netcdf, planning, polling, readers, sinks
+from pluvia.sources import archive, classic, generate, netcdf, planning, polling, readers, sinks
 from pluvia.streaming import series
 
 
@@ -152,7 +153,7 @@ def test_netcdf_files_through_spark(spark, tmp_path):
         assert read(steps="10").where("sublink in (0, 2, 9)").count() == 100 and read().where("ts > timestamp '2016-01-01'").count() == 0
     finally:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
-    reader = netcdf.PushingReader({"path": str(tmp_path), "variables": "rsl", "steps": "10"}, read().schema)
+    reader = netcdf.PushingReader({"path": str(tmp_path), "variables": "rsl,tsl", "steps": "10"}, read().schema)
     assert len(reader.partitions()) == 5
     list(reader.pushFilters([netcdf.GreaterThanOrEqual(("ts",), datetime(2015, 6, 1, 3)), netcdf.LessThan(("ts",), datetime(2015, 6, 1, 3, 20)), netcdf.EqualTo(("sublink",), 1)]))
     parts = reader.partitions()
@@ -160,6 +161,21 @@ def test_netcdf_files_through_spark(spark, tmp_path):
     assert [b.num_rows for p in parts for b in reader.read(p)] == [2, 1]
 
 
+def test_archives(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 20_000)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("x/one.csv", "\ufeffid,v\n" + "".join(f"{i},{i / 2}\n" for i in range(n)))
+            z.writestr("x/two.csv", "id,v")
+            z.writestr("note.txt", "line\r\n\nlast")
+            z.mkdir("empty")
+    got = archive.csv(spark, str(tmp_path), "id INT, v DOUBLE")
+    assert got.rdd.getNumPartitions() == 4  # a member each
+    assert sorted((r.archive[-5:], r.id, r.v) for r in got.collect()) == sorted([("a.zip", i, i / 2) for i in range(3)] + [("b.zip", i, i / 2) for i in range(20_000)])
+    assert sorted((r.member, r.size) for r in archive.members(spark, str(tmp_path / "a.zip")).collect())[0] == ("note.txt", 11)
+    assert sorted((r.line, r.text) for r in archive.lines(spark, str(tmp_path / "a.zip"), "*.txt").collect()) == [(0, "line"), (1, ""), (2, "last")]
+    assert archive.lines(spark, str(tmp_path), "nothing").count() == 0
+
+
 def test_current_conditions_lose_nothing(spark, tmp_path):
     history = {"observations": [{"stationID": "S", "epoch": 1, "metric": {"tempAvg": 2}}]}
     current = {"observations": [{"stationID": "S", "epoch": 2, "humidity": 71.0, "neighborhood": "Pier", "metric": {"temp": 3.5, "windSpeed": 4}}]}
