@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pluvia.functions import expressions as x
 from pluvia.jobs.catalog import events, query, r, table
-from pluvia.operators import joins, spatial
+from pluvia.operators import geostatistics, joins, spatial
 
 
 @query("SELECT s_suppkey, coalesce(n_name, 'Unknown') AS n_name, round(s_acctbal, 2) AS s_acctbal FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON s_nationkey = n_nationkey")
@@ -108,3 +108,53 @@ def virtual_points_keep_link_rain(spark, d):
     ends = rain.select("link").distinct().select("link", (k % 4).cast("double").alias("x0"), (k % 3).cast("double").alias("y0"), (k % 4 + 1.5).alias("x1"), (k % 5).cast("double").alias("y1"))
     points, _ = spatial.refine(rain, spatial.virtual_points(ends, 2), ["step"], 1.1, 3.0, rounds=3)
     return points.groupBy("link", "step").agg(r(F.pow(F.avg(F.pow("rain", F.lit(1.1))), F.lit(1 / 1.1)), 3).alias("rain"), F.count(F.lit(1)).alias("points"))
+
+
+_VARIO = """WITH p AS (SELECT vec_id AS point, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label + vec_id % 7 AS v FROM embeddings),
+q AS (SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS h, pow(a.v - b.v, 2) AS s FROM p a JOIN p b ON a.point < b.point)
+SELECT least(floor(h / 0.1 * 5), 4)::INT AS class, round(avg(h), 5) AS lag, round(avg(s) / 2, 4) AS gamma, count(*) AS n FROM q WHERE h <= 0.1 GROUP BY ALL"""
+
+
+def _gauges(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("point"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), (F.col("label") + F.col("vec_id") % 7).cast("double").alias("rain"))
+
+
+@query(_VARIO)
+def variogram(spark, d):
+    got = geostatistics.variogram(_gauges(spark, d), "rain", 0.1, 5)
+    return got.select("class", r("lag", 5).alias("lag"), r("gamma").alias("gamma"), "n")
+
+
+@query("""WITH p AS (SELECT min(vec_id) AS point, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings GROUP BY 2, 3), e AS (SELECT vec_id AS point, (label + vec_id % 7)::DOUBLE AS v FROM embeddings),
+c AS (SELECT -0.3::DOUBLE + i * 0.05::DOUBLE AS gx, -0.3::DOUBLE + j * 0.05::DOUBLE AS gy FROM range(13) a(i), range(13) b(j)),
+n AS (SELECT gx, gy, point, x, y, sqrt(pow(x - gx, 2) + pow(y - gy, 2)) AS d, row_number() OVER (PARTITION BY gx, gy ORDER BY sqrt(pow(x - gx, 2) + pow(y - gy, 2)), point) AS k FROM p, c WHERE sqrt(pow(x - gx, 2) + pow(y - gy, 2)) <= 0.2 QUALIFY k <= 3),
+t AS (SELECT o.gx, o.gy, o.d AS d1, u.d AS d2, w.d AS d3, sqrt(pow(o.x - u.x, 2) + pow(o.y - u.y, 2)) AS a, sqrt(pow(o.x - w.x, 2) + pow(o.y - w.y, 2)) AS b, sqrt(pow(u.x - w.x, 2) + pow(u.y - w.y, 2)) AS c, ev.v AS v1, eu.v AS v2, ew.v AS v3
+  FROM n o JOIN n u ON u.gx = o.gx AND u.gy = o.gy AND u.k = 2 JOIN n w ON w.gx = o.gx AND w.gy = o.gy AND w.k = 3 JOIN e ev ON ev.point = o.point JOIN e eu ON eu.point = u.point JOIN e ew ON ew.point = w.point WHERE o.k = 1),
+i AS (SELECT *, -c / (2 * a * b) AS i11, -b / (2 * a * c) AS i22, -a / (2 * b * c) AS i33, 1 / (2 * a) AS i12, 1 / (2 * b) AS i13, 1 / (2 * c) AS i23 FROM t),
+m AS (SELECT *, ((i11 + i12 + i13) * d1 + (i12 + i22 + i23) * d2 + (i13 + i23 + i33) * d3 - 1) / (i11 + i22 + i33 + 2 * (i12 + i13 + i23)) AS mu FROM i),
+z AS (SELECT *, i11 * (d1 - mu) + i12 * (d2 - mu) + i13 * (d3 - mu) AS w1, i12 * (d1 - mu) + i22 * (d2 - mu) + i23 * (d3 - mu) AS w2, i13 * (d1 - mu) + i23 * (d2 - mu) + i33 * (d3 - mu) AS w3 FROM m)
+SELECT round(gx, 4) AS gx, round(gy, 4) AS gy, round(w1 * v1 + w2 * v2 + w3 * v3, 3) AS rain, round(greatest(0, w1 * d1 + w2 * d2 + w3 * d3 + mu), 4) AS variance, 3::BIGINT AS n FROM z""")
+def kriged_grid(spark, d):
+    """Three neighbours and a linear variogram, whose system SQL can solve; cells with fewer neighbours are left out on both sides."""
+    points, cells = _gauges(spark, d), spatial.grid(spark, (-0.3, 0.3, 0.05), (-0.3, 0.3, 0.05))
+    w = geostatistics.kriging_weights(points, cells, 0.2, {"kind": "linear", "nugget": 0.0, "sill": 1.0, "reach": 1.0}, 3)
+    got = geostatistics.kriged(points.select("point", "rain"), w, [], "rain").where("n = 3")
+    return got.select(r("gx").alias("gx"), r("gy").alias("gy"), r("rain", 3).alias("rain"), r("variance").alias("variance"), "n")
+
+
+@query("""WITH e AS (SELECT vec_id AS point, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings), t AS (SELECT unnest([0, 1]) AS step),
+c AS (SELECT -0.3::DOUBLE + i * 0.05::DOUBLE AS gx, -0.3::DOUBLE + j * 0.05::DOUBLE AS gy, i, j FROM range(13) a(i), range(13) b(j)), b AS (SELECT step, gx, gy, (i + j * (step + 1))::DOUBLE AS m FROM c, t),
+w AS (SELECT point, gx, gy, 1 / nullif(pow(x - gx, 2) + pow(y - gy, 2), 0) AS w FROM e, c WHERE sqrt(pow(x - gx, 2) + pow(y - gy, 2)) <= 0.1),
+p AS (SELECT step, point, sum(w * m) / sum(w) AS m FROM w JOIN b USING (gx, gy) GROUP BY ALL), o AS (SELECT step, point, label + step * (point % 7) - m AS off FROM p JOIN e USING (point)),
+s AS (SELECT step, gx, gy, sum(w * off) / sum(w) AS c FROM w JOIN o USING (point) GROUP BY ALL)
+SELECT step, round(gx, 4) AS gx, round(gy, 4) AS gy, round(m + coalesce(c, 0), 3) AS rain, round(coalesce(c, 0), 3) AS correction FROM b LEFT JOIN s USING (step, gx, gy)""")
+def merged_map(spark, d):
+    """Gauges merged into a map that rises along both axes, at two times."""
+    e = _gauges(spark, d)
+    step = F.explode(F.array(F.lit(0), F.lit(1)))
+    gauges = table(spark, d, "embeddings").select(F.col("vec_id").alias("point"), "label", step.alias("step")).select("step", "point", (F.col("label") + F.col("step") * (F.col("point") % 7)).cast("double").alias("rain"))
+    at = lambda c: F.round((F.col(c) + 0.3) / 0.05)
+    background = spatial.grid(spark, (-0.3, 0.3, 0.05), (-0.3, 0.3, 0.05)).withColumn("step", step).withColumn("rain", (at("gx") + at("gy") * (F.col("step") + 1)).cast("double"))
+    got = geostatistics.merged(background, gauges, e.select("point", "x", "y"), ["step"], "rain", 0.1)
+    return got.select("step", r("gx").alias("gx"), r("gy").alias("gy"), r("rain", 3).alias("rain"), r("correction", 3).alias("correction"))
