@@ -38,21 +38,15 @@ _SPLIT = regex.compile(PATTERN)
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+")
 
 
-def _unassigned() -> str:
-    """Code points that Python's tables don't know, as ranges of a pattern. Python, the regex module and the tokenizer follow different versions of Unicode, so on these they may disagree."""
-    at = np.flatnonzero(np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]))
-    runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
-    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
-
-
 _MARKS = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)]
 #: The first (oldest) mark of each combining class.
 _CLASSES = list({unicodedata.combining(c): c for c in reversed(_MARKS)}.values())
 
 
 @functools.lru_cache
-def unsure(spec: str) -> re.Pattern:
-    """Characters on which this module's splitting and the tokenizer's may differ: unassigned ones, and marks that the two put in another order."""
+def unsure(spec: str) -> np.ndarray:
+    """Whether this module's splitting and the tokenizer's may differ on a code point. Python, the regex module and the tokenizer follow different versions of Unicode: it may on
+    what Python doesn't know (unassigned code points), and on marks that the two put in another order."""
     from tokenizers import Tokenizer
 
     pairs = [f"a{x}{y}" for x in _MARKS for y in _CLASSES]
@@ -60,7 +54,9 @@ def unsure(spec: str) -> re.Pattern:
     other = np.array([x != y for x, y in zip(theirs, ours)]).reshape(len(_MARKS), len(_CLASSES))
     odd = other.sum(axis=0) > len(_MARKS) // 8  # a mark that comes in another order with very many others has moved itself
     moved = {c for c, x in zip(_MARKS, other[:, ~odd].any(axis=1)) if x} | {c for c, x in zip(_CLASSES, odd) if x}
-    return re.compile(f"[{_unassigned()}{re.escape(''.join(sorted(moved)))}]")
+    out = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+    out[[ord(c) for c in moved]] = True
+    return out
 
 
 
@@ -97,7 +93,7 @@ class Words:
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             return _ASCII.findall(text.lower())
-        if self.unsure.search(text):  # the tokenizer's own tables decide
+        if self.unsure[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():  # the tokenizer's own tables decide
             return [w for w, _ in self.pieces.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
         if "Σ" in text:  # str.lower() knows a final sigma, the tokenizer doesn't
             return _SPLIT.findall(self.tokenizer.normalizer.normalize_str(text))
