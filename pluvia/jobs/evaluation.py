@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pluvia.jobs.catalog import events, query, r, table
-from pluvia.operators import discover, evaluate
+from pluvia.operators import discover, evaluate, resampling
 
 _BOTH = "p AS (SELECT * FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS guess FROM events) WHERE guess IS NOT NULL)"
 
@@ -107,14 +107,25 @@ def symbolic_search(spark, d):
     return discover.symbolic_search(e, "y", ["x"], ["square", "sin"], ["*", "+"]).select("complexity", r("loss", 6).alias("loss"))
 
 
-@query()
+_GRAM = """t AS (SELECT user_id, event_id, epoch_us(ts) / 3.6e9 AS h, value / 100 AS x FROM events),
+w AS (SELECT x, coalesce(lead(x) OVER o, x) - coalesce(lag(x) OVER o, x) AS dv, coalesce(lead(h) OVER o, h) - coalesce(lag(h) OVER o, h) AS dh FROM t WINDOW o AS (PARTITION BY user_id ORDER BY h, event_id)),
+d AS (SELECT x, CASE WHEN dh <> 0 THEN greatest(-10, least(10, dv / dh)) END AS y FROM w),
+g AS (SELECT 1.0::DOUBLE AS a, avg(x) AS b, avg(x * x) AS c, avg(x * x) AS e, avg(x * x * x) AS f, avg(x * x * x * x) AS i, avg(y) AS p, avg(x * y) AS q, avg(x * x * y) AS r FROM d WHERE y IS NOT NULL),
+m AS (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM g)"""
+
+
+@query(f"""WITH {_GRAM}, s AS (SELECT unnest([
+ {{'feature': '1', 'coef': (p * (e * i - f * f) - b * (q * i - f * r) + c * (q * f - e * r)) / det}},
+ {{'feature': 'x', 'coef': (a * (q * i - f * r) - p * (b * i - f * c) + c * (b * r - q * c)) / det}},
+ {{'feature': 'x x', 'coef': (a * (e * r - q * f) - b * (b * r - q * c) + p * (b * f - e * c)) / det}}]) AS z FROM m)
+SELECT 'd_x' AS target, z.feature AS feature, round(z.coef, 4) AS coef FROM s""")
 def sindy_equations(spark, d):
-    """Coefficients that sparse regression keeps for the change of a series, by term; solving is no SQL."""
+    """Coefficients that sparse regression keeps for the change of a series, by term. Where none is below the threshold, as here, Cramer's rule has them too."""
     from pluvia.operators.timeseries import derivative
 
     e = events(spark, d).select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("h"), (F.col("value") / 100).alias("x"))
     e = derivative(e, ["user_id"], "h", ["x"], ("event_id",)).where("d_x IS NOT NULL").withColumn("d_x", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("d_x"))))
-    return discover.sparse_regression(e, ["x"], ["d_x"], degree=2, threshold=0.01)
+    return discover.sparse_regression(e, ["x"], ["d_x"], degree=2, threshold=0.01).withColumn("coef", r("coef"))
 
 
 @query()
@@ -126,3 +137,49 @@ def physics_sweep(spark, d):
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 8.64e10 / 15
     seen = events(spark, d).select(t.alias("t"), (projectile(t, 1.0, 10.0, 9.8) + (F.col("value") - 50) / 100).alias("h"))
     return physics.sweep(seen, [0.0, 1.0, 10.0], epochs=200)
+
+
+_DRAWN = f"""i AS (SELECT unnest(range(20)) AS k), u AS (SELECT *, ('0x' || substr(md5('0:' || event_id || ':' || (k // 4)), (8 * (k % 4) + 1)::INT, 8))::BIGINT AS u FROM e, i),
+p AS (SELECT *, k + 1 AS replicate, list_sum(list_transform({resampling.CUTS}, lambda c: (u >= c)::INT))::BIGINT AS w FROM u UNION ALL SELECT *, NULL, NULL, 0, 1 FROM e)"""
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id % 5 AS model, value - event_id % 100 AS d FROM events), {_DRAWN},
+s AS (SELECT model, replicate, sum(w * d) / sum(w) AS bias, sum(w * abs(d)) / sum(w) AS mae, sqrt(sum(w * d * d) / sum(w)) AS rmse FROM p WHERE w > 0 GROUP BY ALL),
+l AS (UNPIVOT s ON bias, mae, rmse INTO NAME statistic VALUE v)
+SELECT model, statistic, round(max(v) FILTER (replicate = 0), 4) AS value, round(quantile_cont(v, 0.025) FILTER (replicate > 0), 4) AS low, round(quantile_cont(v, 0.975) FILTER (replicate > 0), 4) AS high FROM l GROUP BY ALL""")
+def bootstrap_errors(spark, d):
+    e = events(spark, d).select("event_id", (F.col("user_id") % 5).alias("model"), "value", (F.col("event_id") % 100).cast("double").alias("truth"))
+    got = resampling.error_intervals(e, ["model"], "event_id", "value", "truth", 20)
+    return got.select("model", "statistic", *[r(c).alias(c) for c in ("value", "low", "high")])
+
+
+@query(f"""WITH e AS (SELECT event_id, value > 50 AS a, event_type IN ('click', 'view') AS b FROM events), {_DRAWN},
+s AS (SELECT replicate, sum(w) AS n, coalesce(sum(w) FILTER (a AND b), 0) AS tp, coalesce(sum(w) FILTER (a AND NOT b), 0) AS fp, coalesce(sum(w) FILTER (NOT a AND b), 0) AS fn FROM p WHERE w > 0 GROUP BY ALL),
+t AS (SELECT replicate, (n - fp - fn) / n AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM s), l AS (UNPIVOT t ON accuracy, precision, recall, f1 INTO NAME statistic VALUE v)
+SELECT statistic, round(max(v) FILTER (replicate = 0), 5) AS value, round(quantile_cont(v, 0.025) FILTER (replicate > 0), 5) AS low, round(quantile_cont(v, 0.975) FILTER (replicate > 0), 5) AS high FROM l GROUP BY ALL""")
+def bootstrap_confusion(spark, d):
+    e = events(spark, d).select("event_id", (F.col("value") > 50).alias("a"), F.col("event_type").isin("click", "view").alias("b"))
+    got = resampling.confusion_intervals(e, [], "event_id", "a", "b", 20)
+    return got.select("statistic", *[r(c, 5).alias(c) for c in ("value", "low", "high")])
+
+
+@query(f"""WITH e AS (SELECT event_id, value / 100 AS x, user_id / 100.0::DOUBLE AS y FROM events), {_DRAWN}
+SELECT replicate::INT AS replicate, sum(w)::BIGINT AS n, round(sum(w * x), 3) AS g_0_1, round(sum(w * x * x), 3) AS g_1_1, round(sum(w * y), 3) AS b_0_0, round(sum(w * x * y), 3) AS b_1_0 FROM p GROUP BY replicate""")
+def bootstrap_normal_equations(spark, d):
+    e = events(spark, d).select("event_id", (F.col("value") / 100).alias("x"), (F.col("user_id") / 100).alias("y"))
+    got = resampling.replicated(e, [], "event_id", resampling.moments(["x"], ["y"], 1), 20)
+    return got.select("replicate", "n", *[r(c, 3).alias(c) for c in ("g_0_1", "g_1_1", "b_0_0", "b_1_0")])
+
+
+@query("""WITH t AS (SELECT user_id, event_id, epoch_us(ts) / 3.6e9 - 473352 AS h, value / 100 AS x FROM events),
+n AS (SELECT *, (coalesce(lead(h) OVER o, h) - coalesce(lag(h) OVER o, h)) / 2 AS dt FROM t WINDOW o AS (PARTITION BY user_id ORDER BY h, event_id)),
+w AS (SELECT *, unnest([floor(h / 24), floor(h / 24) - 1])::BIGINT AS k FROM n), s AS (SELECT *, (h - k * 24) / 24 - 1 AS s FROM w),
+g AS (SELECT user_id, k, sum(dt * pow(1 - s * s, 4)) AS g0, sum(dt * pow(1 - s * s, 4) * x) AS g1, sum(dt * pow(1 - s * s, 4) * (x * x)) AS g2, sum(dt * 8 * s * pow(1 - s * s, 3) / 24 * x) AS b, count(*) AS n FROM s GROUP BY ALL),
+b AS (SELECT user_id, min(h) AS lo, max(h) AS hi FROM t GROUP BY 1), c AS (SELECT g.* FROM g JOIN b USING (user_id) WHERE k * 24 >= lo AND k * 24 + 48 <= hi AND n >= 3)
+SELECT round(avg(g0 * g0), 3) AS g_0_0, round(avg(g0 * g1), 3) AS g_0_1, round(avg(g0 * g2), 3) AS g_0_2, round(avg(g1 * g1), 3) AS g_1_1, round(avg(g1 * g2), 3) AS g_1_2, round(avg(g2 * g2), 3) AS g_2_2,
+ round(avg(g0 * b), 3) AS b_0_0, round(avg(g1 * b), 3) AS b_1_0, round(avg(g2 * b), 3) AS b_2_0 FROM c""")
+def weak_form_equations(spark, d):
+    """Normal equations of integrals over windows of two days."""
+    e = events(spark, d).select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 - 473352).alias("h"), (F.col("value") / 100).alias("x"))
+    got = discover.weak_normal_equations(discover.weak_windows(e, ["user_id"], "h", ["x"], 48.0, tie=("event_id",), least=3), 3, 1)
+    return got.select(*[r(c, 3).alias(c) for c in got.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.functions.expressions import BINARY, UNARY
+from pluvia.operators import segments
 
 
 #: Candidates of a search that one plan takes.
@@ -25,7 +26,7 @@ def term_name(term: tuple[str, ...]) -> str:
     return " ".join(term) or "1"
 
 
-def _value(term: tuple[str, ...]) -> Column:
+def term_value(term: tuple[str, ...]) -> Column:
     """The product, the last factors first, so that equal products are equal numbers."""
     out = F.lit(1.0)
     for i, n in enumerate(term):
@@ -35,7 +36,7 @@ def _value(term: tuple[str, ...]) -> Column:
 
 def features(names: list[str], degree: int = 2, bias: bool = True, fourier: int = 0, custom: dict[str, Column] | None = None) -> dict[str, Column]:
     """A general library by name: monomials, sines and cosines of the first `fourier` multiples of each variable, and one's own columns."""
-    out = {term_name(t): _value(t) for t in library(names, degree, bias)}
+    out = {term_name(t): term_value(t) for t in library(names, degree, bias)}
     for k in range(1, fourier + 1):
         out |= {f"{f}({k} {n})": g(F.lit(float(k)) * F.col(n)) for n in names for f, g in (("sin", F.sin), ("cos", F.cos))}
     return out | (custom or {})
@@ -44,38 +45,77 @@ def features(names: list[str], degree: int = 2, bias: bool = True, fourier: int
 def normal_equations(df: DataFrame, names: list[str], targets: list[str], degree: int = 2, bias: bool = True) -> DataFrame:
     """One row: g_i_j, the mean of term i times term j, and b_i_k, the mean of term i times target k. One pass, whatever the number of rows."""
     terms = library(names, degree, bias)
-    sums = [F.avg(_value(terms[i]) * _value(terms[j]) if i else _value(terms[j])).alias(f"g_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
-    sums += [F.avg(_value(t) * F.col(y) if t else F.col(y)).alias(f"b_{i}_{k}") for i, t in enumerate(terms) for k, y in enumerate(targets)]
+    sums = [F.avg(term_value(terms[i]) * term_value(terms[j]) if i else term_value(terms[j])).alias(f"g_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
+    sums += [F.avg(term_value(t) * F.col(y) if t else F.col(y)).alias(f"b_{i}_{k}") for i, t in enumerate(terms) for k, y in enumerate(targets)]
     return df.agg(*sums)
 
 
+def thresholded(gram: np.ndarray, right: np.ndarray, threshold: float, rounds: int = 10) -> np.ndarray:
+    """Coefficients of normal equations by least squares in rounds: what is below the threshold leaves the library for the next one."""
+    live, coef = np.ones(len(right), bool), np.zeros(len(right))
+    for _ in range(rounds):
+        coef = np.zeros(len(right))
+        if live.any():
+            coef[live] = np.linalg.lstsq(gram[np.ix_(live, live)], right[live], rcond=None)[0]
+        keep = live & (np.abs(coef) >= threshold)
+        if (keep == live).all():
+            break
+        live = keep
+    coef[np.abs(coef) < threshold] = 0.0
+    return coef
+
+
+def _solved(row, terms: list[tuple[str, ...]], targets: list[str], threshold: float, rounds: int) -> list[tuple[str, str, float]]:
+    n = len(terms)
+    gram = np.array([[row[f"g_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)], float)
+    right = [np.array([row[f"b_{i}_{k}"] for i in range(n)], float) for k in range(len(targets))]
+    return [(y, term_name(t), float(c)) for y, b in zip(targets, right) for t, c in zip(terms, thresholded(gram, b, threshold, rounds))]
+
+
 def sparse_regression(df: DataFrame, names: list[str], targets: list[str], degree: int = 2, threshold: float = 0.1, rounds: int = 10, bias: bool = True) -> DataFrame:
     """target, feature, coef by sequentially thresholded least squares.
 
     Spark makes the normal equations; the driver solves systems as wide as the library, which doesn't grow with the data.
     """
-    terms = library(names, degree, bias)
-    row = normal_equations(df, names, targets, degree, bias).first()
-    n = len(terms)
-    gram = np.array([[row[f"g_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)], float)
-    out = []
-    for k, y in enumerate(targets):
-        right = np.array([row[f"b_{i}_{k}"] for i in range(n)], float)
-        live = np.ones(n, bool)
-        coef = np.zeros(n)
-        for _ in range(rounds):
-            coef = np.zeros(n)
-            if live.any():
-                coef[live] = np.linalg.lstsq(gram[np.ix_(live, live)], right[live], rcond=None)[0]
-            keep = live & (np.abs(coef) >= threshold)
-            if (keep == live).all():
-                break
-            live = keep
-        coef[np.abs(coef) < threshold] = 0.0
-        out += [(y, term_name(t), float(c)) for t, c in zip(terms, coef)]
+    out = _solved(normal_equations(df, names, targets, degree, bias).first(), library(names, degree, bias), targets, threshold, rounds)
     return df.sparkSession.createDataFrame(out, "target string, feature string, coef double")
 
 
+def weak_windows(df: DataFrame, keys: list[str], t: str, names: list[str], width: float, degree: int = 2, power: int = 4, tie: tuple[str, ...] = (), least: int = 10, bias: bool = True) -> DataFrame:
+    """Integrals of x' = f(x) against bumps (1 - s ** 2) ** power, instead of derivatives, which noise spoils: keys, window, n, g_i (of library term i) and b_k (of variable k's derivative, by parts).
+
+    Windows of `width` (in units of the numeric time t) begin every half width; those that a series doesn't cover, or with fewer than `least` rows, are left out.
+    A row counts as the half ways to its neighbours; it enters two windows, whose sums are formed in parts.
+    """
+    order, half = segments.order_of(t, tie), width / 2
+    rows, w = segments.chunked(df, keys, t, tie, {"__past": (F.max_by(t, order), segments.last_before), "__next": (F.min_by(t, order), segments.first_after)}, 64 * width)
+    at = F.col(t)
+    span = (F.coalesce(F.lead(t).over(w), "__next", at) - F.coalesce(F.lag(t).over(w), "__past", at)) / 2
+    rows = rows.withColumn("__dt", span).withColumn("window", F.explode(F.array(F.floor(at / half), F.floor(at / half) - 1)))
+    s = (at - F.col("window") * half) / half - 1
+    bump, slope = F.pow(1 - s * s, F.lit(float(power))), -2 * power * s * F.pow(1 - s * s, F.lit(float(power - 1))) / half
+    rows = rows.withColumn("__bump", F.col("__dt") * bump).withColumn("__slope", -F.col("__dt") * slope)
+    sums = [F.sum(F.col("__bump") * term_value(x)).alias(f"g_{i}") for i, x in enumerate(library(names, degree, bias))] + [F.sum(F.col("__slope") * F.col(x)).alias(f"b_{k}") for k, x in enumerate(names)]
+    found = rows.groupBy("__k", "window").agg(F.count(F.lit(1)).alias("n"), *sums)
+    bounds = df.withColumn("__k", segments.key_of(keys)).groupBy("__k").agg(F.min(t).alias("__from"), F.max(t).alias("__to"))
+    covered = (F.col("window") * half >= F.col("__from")) & (F.col("window") * half + width <= F.col("__to")) & (F.col("n") >= least)
+    return found.join(bounds, "__k").where(covered).select(*[F.col("__k")[k].alias(k) for k in keys], *found.columns[1:])
+
+
+def weak_normal_equations(windows: DataFrame, n_terms: int, n_targets: int) -> DataFrame:
+    """One row of means over windows: g_i_j and b_i_k, as normal_equations() has them over rows."""
+    g, b = [F.col(f"g_{i}") for i in range(n_terms)], [F.col(f"b_{k}") for k in range(n_targets)]
+    sums = [F.avg(g[i] * g[j]).alias(f"g_{i}_{j}") for i in range(n_terms) for j in range(i, n_terms)]
+    return windows.agg(*sums, *[F.avg(x * y).alias(f"b_{i}_{k}") for i, x in enumerate(g) for k, y in enumerate(b)])
+
+
+def weak_regression(df: DataFrame, keys: list[str], t: str, names: list[str], width: float, degree: int = 2, threshold: float = 0.1, rounds: int = 10, tie: tuple[str, ...] = (), bias: bool = True) -> DataFrame:
+    """target (d_<name>), feature, coef: sparse regression on weak_windows(), for series with noise."""
+    terms = library(names, degree, bias)
+    row = weak_normal_equations(weak_windows(df, keys, t, names, width, degree, tie=tie, bias=bias), len(terms), len(names)).first()
+    return df.sparkSession.createDataFrame(_solved(row, terms, [f"d_{n}" for n in names], threshold, rounds), "target string, feature string, coef double")
+
+
 def equations(coefs: DataFrame) -> DataFrame:
     """target, equation as text; terms in the order of their names."""
     live = coefs.where("coef <> 0").groupBy("target").agg(F.array_sort(F.collect_list(F.struct("feature", "coef"))).alias("t"))

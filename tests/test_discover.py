@@ -59,3 +59,41 @@ def test_the_law_of_motion_helps(spark):
     assert history.count() == 24
     last = {r.lambda_ode: r for r in evaluate.last_losses(history, ["lambda_ode"], "epoch", ["rmse", "ode"]).collect()}
     assert last[1.5].rmse < last[0.0].rmse and last[1.5].ode < last[0.0].ode
+
+
+def test_weak_form_finds_lorenz_in_noise(spark):
+    """Integrals against bumps find the coefficients where derivatives of noisy points don't."""
+    r = np.random.default_rng(4)
+    starts = spark.createDataFrame([(i, *map(float, r.normal(0, 8, 2)), float(r.uniform(15, 30))) for i in range(6)], "id long, x double, y double, z double")
+    clean = discover.lorenz_trajectories(spark, starts, 10.0, 2000)
+    names = ["x", "y", "z"]
+    noisy = spark.createDataFrame([(row.id, row.t, *(row[n] + r.normal(0, 0.2) for n in names)) for row in clean.orderBy("id", "t").collect()], "id long, t double, x double, y double, z double").cache()
+    want = {("d_x", "x"): -10, ("d_x", "y"): 10, ("d_y", "x"): 28, ("d_y", "y"): -1, ("d_y", "x z"): -1, ("d_z", "z"): -8 / 3, ("d_z", "x y"): 1}
+    found = {(c.target, c.feature): c.coef for c in discover.weak_regression(noisy, ["id"], "t", names, 0.5, threshold=0.4).where("coef <> 0").collect()}
+    assert set(found) == set(want) and all(abs(found[k] / v - 1) < 0.05 for k, v in want.items())
+    plain = discover.sparse_regression(derivative(noisy, ["id"], "t", names), names, ["d_x", "d_y", "d_z"], threshold=0.4).where("coef <> 0").collect()
+    assert max(abs(dict(((c.target, c.feature), c.coef) for c in plain).get(k, 0) / v - 1) for k, v in want.items()) > 0.05
+    assert discover.weak_windows(noisy.limit(0), ["id"], "t", names, 0.5).count() == 0
+
+
+def test_bootstrap(spark):
+    """Weights have the moments of a Poisson variable; intervals cover what they are to cover; rows may be dealt in any way."""
+    from pluvia.operators import resampling
+
+    r = np.random.default_rng(1)
+    rows = [(i, i % 2, float(x), float(3 + 2 * x + r.normal(0, 1)), float(r.normal(0.5, 1))) for i, x in enumerate(r.normal(0, 1, 1500))]
+    df = spark.createDataFrame(rows, "id long, k int, x double, y double, e double").withColumn("zero", F.lit(0.0))
+    w = np.array([x.w for x in df.select(resampling.weights(F.col("id"), 40).alias("w")).collect()])
+    assert w.shape == (1500, 41) and (w[:, 0] == 1).all() and abs(w[:, 1:].mean() - 1) < 0.02 and abs(w[:, 1:].var() - 1) < 0.03
+    assert abs(np.corrcoef(w[:, 1], w[:, 2])[0, 1]) < 0.1
+    got = {(x.k, x.statistic): (x.value, x.low, x.high) for x in resampling.error_intervals(df, ["k"], "id", "e", "zero", 200).collect()}
+    for k in (0, 1):
+        e = np.array([x[4] for x in rows if x[1] == k])
+        value, low, high = got[k, "bias"]
+        assert value == np.float64(value) and abs(value - e.mean()) < 1e-9 and low < value < high
+        assert abs((high - low) / (2 * 1.96 * e.std() / np.sqrt(len(e))) - 1) < 0.25
+    again = {(x.k, x.statistic): x.low for x in resampling.error_intervals(df.repartition(7), ["k"], "id", "e", "zero", 200).collect()}
+    assert all(abs(again[k] - v[1]) < 1e-9 for k, v in got.items())
+    coefs = {c.feature: c for c in resampling.coefficient_intervals(df, "id", ["x"], ["y"], 1, 100).collect()}
+    assert coefs["1"].low < 3 < coefs["1"].high and coefs["x"].low < 2 < coefs["x"].high and coefs["x"].high - coefs["x"].low < 0.2
+    assert resampling.error_intervals(df.limit(0), ["k"], "id", "e", "zero", 10).count() == 0
