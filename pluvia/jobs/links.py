@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pluvia.functions import expressions as x
 from pluvia.jobs.catalog import E, events, ntz, query, r
-from pluvia.operators import links
+from pluvia.operators import links, sketches
 
 TIE = ("event_id",)
 W = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -100,3 +100,15 @@ def min_max_15min(spark, d):
 @query("SELECT round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median FROM events")
 def level_stats(spark, d):
     return links.global_stats(events(spark, d), "value").select(*[r(c).alias(c) for c in ("min", "max", "mean", "median")])
+
+
+@query("""WITH p AS (SELECT unnest([0.05, 0.5, 0.95]::DOUBLE[]) AS part), k AS (SELECT user_id % 5 AS station, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY 1)
+SELECT station, part, n, true AS near FROM k CROSS JOIN p""")
+def quantiles_of_merged_days(spark, d):
+    """Sketches by day, those of all days but the first two merged: near says that a quantile's rank among all values is within the sketch's error."""
+    e = events(spark, d).select((F.col("user_id") % 5).alias("station"), "ts", "value")
+    days = sketches.by_day(e, ["station"], "ts", "value").where("day >= DATE '2024-01-03'")
+    asked = sketches.quantiles(sketches.merged(days, ["station"]), ["station"], [0.05, 0.5, 0.95])
+    there = sketches.rank(e.where("ts >= TIMESTAMP_NTZ '2024-01-03'"), ["station"], "value", asked)
+    near = (F.col("below") <= F.col("part") + sketches.ERROR) & (F.col("upto") >= F.col("part") - sketches.ERROR)
+    return there.select("station", "part", "n", near.alias("near"))

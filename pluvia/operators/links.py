@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.expressions import non_negative, rain_power_law
-from pluvia.operators import segments
+from pluvia.operators import segments, sketches
 from pluvia.operators.joins import in_box, join_back, lookup, near_gauges
 from pluvia.operators.timeseries import between_instants, bins
 
@@ -25,9 +25,10 @@ def mask_outliers(df: DataFrame, keys: list[str], value: str, threshold: float =
 
 
 def attenuation(df: DataFrame, keys: list[str], level: str, method: str = "dynamic", baseline: str | None = None, out: str = "attenuation") -> DataFrame:
-    """Baseline minus level, negatives 0. method: 'dynamic' (maximum of the period), 'quantile' (its 95th percentile), 'mean'; or a column as baseline."""
+    """Baseline minus level, negatives 0. method: 'dynamic' (maximum of the period), 'quantile' (its 95th percentile), 'sketch' (that
+    within sketches.ERROR of the rank, without keeping all values of a key), 'mean'; or a column as baseline."""
     if baseline is None:
-        stat = {"dynamic": F.max(level), "quantile": F.percentile(level, 0.95), "mean": F.avg(level)}[method]
+        stat = {"dynamic": F.max(level), "quantile": F.percentile(level, 0.95), "sketch": sketches.quantile(F.kll_sketch_agg_double(F.col(level).cast("double"), sketches.SIZE), 0.95), "mean": F.avg(level)}[method]
         df, baseline = _with_key_stats(df, keys, baseline=stat), "baseline"
     return df.withColumn(out, non_negative(F.col(baseline) - F.col(level)))
 
