@@ -85,11 +85,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are alike. An empty table stays one; all columns pass through.
     """
 
-    def key(t: Column) -> Column:
-        return F.concat_ws("/", _named(F.col("doc_id")), F.hex(t))
+    def key(d: Column) -> Column:
+        return F.concat_ws("/", _named(F.col("doc_id")), F.hex(d))
 
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("first")
-    kept = near_copies(docs).groupBy("component").agg(first).select("first.*").select(key(F.col("t")).alias("__key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "d")).alias("first")
+    kept = near_copies(docs).groupBy("component").agg(first).select("first.*").select(key(F.col("d")).alias("__key"))
     return _keep(docs, key(digest()), kept)
 
 

@@ -262,6 +262,16 @@ def test_near_blocks_of_one_text_find_the_same(spark, monkeypatch):
     assert len(pairs) > 20
 
 
+def test_near_tells_texts_with_one_number_apart(spark, monkeypatch):
+    """Numbers of texts clash nearly always here; components are those of the texts even so."""
+    monkeypatch.setattr(near, "number", lambda d: F.pmod(F.xxhash64(d), F.lit(7)))
+    r = random.Random(14)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if r.random() < 0.985 else r.choice(base) for w in base)) for i in range(25)] + [(100 + i, f"text {i} of its own kind, alone among all of these {i}") for i in range(25)]
+    pairs, _ = check_near(spark, rows)
+    assert pairs
+
+
 def test_near_hot_shards_are_divided(spark, monkeypatch):
     """With nearly every shard counted as hot, all pairs of 0.8 are joined still."""
     r = random.Random(13)
@@ -280,8 +290,8 @@ def test_near_rows_of_a_hot_shard_grow_with_its_size(spark):
     for n in (400, 800):
         r = np.random.default_rng(n)
         # four bands that many have by the passage: each text has each of them with probability 1/2; nodes are components of their own
-        rows = [(int(band + 1), int(band), int(r.integers(-(1 << 62), 1 << 62)), i.to_bytes(16, "big"), i.to_bytes(16, "big"), bytes(360)) for i in range(n) for band in range(4) if r.random() < 0.5]
-        members = spark.createDataFrame(rows, "key long, band int, fp long, node binary, component binary, minima binary")
+        rows = [(int(band + 1), int(band), int(r.integers(-(1 << 62), 1 << 62)), i, i, bytes(360)) for i in range(n) for band in range(4) if r.random() < 0.5]
+        members = spark.createDataFrame(rows, "key long, band int, fp long, node long, component long, minima binary")
         plain = near._dealt(members.withColumn("hot", F.lit(0)), F.lit(1), 20).count()
         made.append((plain, near._dealt(near.cooled(members, members, 50), F.lit(1), 10**6).count()))
     (plain, few), (plain2, more) = made
