@@ -1,5 +1,7 @@
 """Semantic rules on tiny frames with literal results."""
 
+import itertools
+import random
 from datetime import datetime
 
 import pytest
@@ -192,3 +194,44 @@ def test_conform(spark):
 def test_symbolic_functions(spark):
     r = spark.range(1).select(*[f(F.lit(0.5)).alias(n) for n, f in x.UNARY.items()], *[f(F.lit(3.0), F.lit(0.0)).alias(n) for n, f in x.BINARY.items()]).first()
     assert r["/"] is None and r["inv"] == 2.0 and r["cube"] == 0.125
+
+
+def test_refined_points_by_plain_loops(spark):
+    """Virtual points, their losses and the map from them, against loops over the same rules."""
+    import itertools
+    import random
+
+    r = random.Random(5)
+    ends = [(k, r.random() * 4, r.random() * 4, r.random() * 4, r.random() * 4) for k in range(6)]
+    rain = {(k, t): r.random() * 5 + 0.1 for k in range(6) for t in range(2)}
+    b, roi, rounds = 1.1, 2.5, 3
+    links = spark.createDataFrame(ends, "link long, x0 double, y0 double, x1 double, y1 double")
+    points = spatial.virtual_points(links, 3)
+    got, losses = spatial.refine(spark.createDataFrame([(k, t, v) for (k, t), v in rain.items()], "link long, step int, rain double"), points, ["step"], b, roi, rounds=rounds)
+
+    place = {(k, i): (x0 + (i + 0.5) / 3 * (x1 - x0), y0 + (i + 0.5) / 3 * (y1 - y0)) for k, x0, y0, x1, y1 in ends for i in range(3)}
+    now = {(p, t): rain[p[0], t] for p in place for t in range(2)}
+    want = []
+    for _ in range(rounds):
+        new = {}
+        for t in range(2):
+            guess = {}
+            for p, (x, y) in place.items():
+                near = [(max(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 1e-6) ** -2, now[q, t]) for q, (u, v) in place.items() if q[0] != p[0] and ((x - u) ** 2 + (y - v) ** 2) ** 0.5 <= roi]
+                guess[p] = sum(w * v for w, v in near) / sum(w for w, _ in near) if near else now[p, t]
+            for k in range(6):
+                mean = sum(guess[k, i] ** b for i in range(3)) / 3
+                for i in range(3):
+                    new[(k, i), t] = guess[k, i] * (rain[k, t] ** b / mean) ** (1 / b)
+        want.append(sum((new[x] - now[x]) ** 2 for x in now) / len(now))
+        now = new
+    found = {((x.link, int(x.point.split("/")[1])), x.step): x.rain for x in got.collect()}
+    assert found.keys() == now.keys() and all(abs(found[k] - v) < 1e-9 for k, v in now.items())
+    assert [x.loss for x in losses.orderBy("round").collect()] == [pytest.approx(x) for x in want]
+    cells = spatial.grid(spark, (0, 4, 1), (0, 4, 1))
+    shown = {(c.step, c.gx, c.gy): c.rain for c in spatial.interpolate(got.select("point", "step", "rain"), spatial.weights(points, cells, 1.5), ["step"], "rain").collect()}
+    for t, gx, gy in itertools.product(range(2), range(5), range(5)):
+        near = [(((gx - x) ** 2 + (gy - y) ** 2) ** -1, now[p, t]) for p, (x, y) in place.items() if 0 < ((gx - x) ** 2 + (gy - y) ** 2) ** 0.5 <= 1.5]
+        assert ((t, gx, gy) in shown) == bool(near)
+        if near:
+            assert abs(shown[t, gx, gy] - sum(w * v for w, v in near) / sum(w for w, _ in near)) < 1e-9
