@@ -183,3 +183,12 @@ def weak_form_equations(spark, d):
     e = events(spark, d).select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 - 473352).alias("h"), (F.col("value") / 100).alias("x"))
     got = discover.weak_normal_equations(discover.weak_windows(e, ["user_id"], "h", ["x"], 48.0, tie=("event_id",), least=3), 3, 1)
     return got.select(*[r(c, 3).alias(c) for c in got.columns])
+
+
+@query("SELECT count(*) AS n, true AS found, true AS falling, round(var_pop(3.2::DOUBLE / pow(1 + value / 50, 2)), 6) AS spread FROM events")
+def evolved_equation(spark, d):
+    """An inverse square among all events: found says that the front's last loss is nothing against the target's variance, which is its first."""
+    e = events(spark, d).select((1 + F.col("value") / 50).alias("x")).withColumn("y", 3.2 / (F.col("x") * F.col("x")))
+    front = discover.evolved(e, "y", ["x"], ["square", "inv"], ["+", "*"], islands=2, size=20, generations=4)
+    losses = front.agg(F.max("loss").alias("first"), F.min("loss").alias("last"), F.max_by("loss", "complexity").alias("end"))
+    return e.agg(F.count(F.lit(1)).alias("n")).crossJoin(losses).select("n", (F.col("last") < 1e-9).alias("found"), (F.col("end") == F.col("last")).alias("falling"), r("first", 6).alias("spread"))  # one row each

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from itertools import combinations_with_replacement
 
@@ -184,22 +185,133 @@ def symbolic_search(df: DataFrame, target: str, names: list[str], unary: list[st
 
     Another search than an evolutionary one: candidates are enumerated, and only offset and scale are fitted.
     """
-    found = list(candidates(names, unary, binary, depth).items())
+    made = candidates(names, unary, binary, depth)
+    fits = scaled_fits(df, target, {text: x for text, (_, x) in made.items()})
+    out = [(1, fits[""][0], f"{fits[''][1]:.6g}")]
+    out += [(made[text][0] + 2, loss, f"{a:.6g} + {b:.6g} * {text}") for text, (loss, a, b) in fits.items() if text]
+    return df.sparkSession.createDataFrame(out, "complexity int, loss double, equation string")
+
+
+def scaled_fits(df: DataFrame, target: str, columns: dict[str, Column]) -> dict[str, tuple[float, float, float]]:
+    """(loss, a, b) of the least squares a + b f of the target for each column f, in a pass over the data for each BATCH of them; "" is the mean alone. Columns that aren't
+    known and finite on every row, or are constant, are left out."""
+    found = list(columns.items())
     y = F.col(target).cast("double")
     row = df.agg(F.avg(y).alias("my"), F.avg(y * y).alias("sy"), F.count(y).alias("n")).first().asDict()
     for at in range(0, len(found), BATCH):
         stats = []
-        for i, (_, (_, x)) in list(enumerate(found))[at : at + BATCH]:
+        for i, (_, x) in list(enumerate(found))[at : at + BATCH]:
             stats += [F.avg(x).alias(f"m{i}"), F.avg(x * x).alias(f"s{i}"), F.avg(x * y).alias(f"c{i}"), F.count(x).alias(f"n{i}")]
         row |= df.agg(*stats).first().asDict()
     total = row["sy"] - row["my"] ** 2
-    out = [(1, float(total), f"{row['my']:.6g}")]
-    for i, (text, (complexity, _)) in enumerate(found):
+    out = {"": (float(total), float(row["my"]), 0.0)}
+    for i, (text, _) in enumerate(found):
         if row[f"n{i}"] != row["n"] or row[f"s{i}"] is None or not np.isfinite(row[f"s{i}"]):
             continue
         var, cov = row[f"s{i}"] - row[f"m{i}"] ** 2, row[f"c{i}"] - row[f"m{i}"] * row["my"]
-        if var <= 1e-12:
-            continue
-        b = cov / var
-        out.append((complexity + 2, float(max(0.0, total - b * cov)), f"{row['my'] - b * row[f'm{i}']:.6g} + {b:.6g} * {text}"))
+        if var > 1e-12:
+            b = cov / var
+            out[text] = (float(max(0.0, total - b * cov)), float(row["my"] - b * row[f"m{i}"]), float(b))
+    return out
+
+
+# An expression is a tree: a name, or (operator, argument) or (operator, left, right).
+Tree = str | tuple
+
+
+def nodes(tree: Tree) -> int:
+    return 1 if isinstance(tree, str) else 1 + sum(map(nodes, tree[1:]))
+
+
+def written_out(tree: Tree) -> str:
+    if isinstance(tree, str):
+        return tree
+    return f"{tree[0]}({written_out(tree[1])})" if len(tree) == 2 else f"({written_out(tree[1])} {tree[0]} {written_out(tree[2])})"
+
+
+def as_column(tree: Tree) -> Column:
+    if isinstance(tree, str):
+        return F.col(tree).cast("double")
+    return (UNARY[tree[0]] if len(tree) == 2 else BINARY[tree[0]])(*map(as_column, tree[1:])).cast("double")
+
+
+def within_limits(tree: Tree, nested: dict[str, dict[str, int]]) -> bool:
+    """nested: operator -> how often another one may stand inside it, one inside the other."""
+
+    def deepest(t: Tree, op: str) -> int:
+        return 0 if isinstance(t, str) else max(deepest(x, op) for x in t[1:]) + (t[0] == op)
+
+    if isinstance(tree, str):
+        return True
+    own = all(max(deepest(x, op) for x in tree[1:]) <= most for op, most in nested.get(tree[0], {}).items())
+    return own and all(within_limits(x, nested) for x in tree[1:])
+
+
+def evolved(df: DataFrame, target: str, names: list[str], unary: list[str], binary: list[str], islands: int = 4, size: int = 30, generations: int = 10, largest: int = 9, seed: int = 0, nested: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """complexity, loss, equation: the front that an evolutionary search finds, losses falling with complexity (nodes of the tree, and 2 for offset and scale).
+
+    Populations of trees live on islands; each generation takes parents by tournament, swaps or changes subtrees, and sends an island's best to the next one. A generation's new trees are scored together, in a
+    pass over the data for each BATCH of them; the driver holds islands * size trees, whatever the data. The same seed gives the same front.
+    """
+    r = random.Random(seed)
+    nested = nested or {}
+    known: dict[str, tuple[float, float, float]] = {}
+    trees: dict[str, Tree] = {}
+
+    def grown(depth: int) -> Tree:
+        if depth == 0 or r.random() < 0.2:
+            return r.choice(names)
+        op = r.choice([*unary, *binary])
+        return (op, *(grown(depth - 1) for _ in range(1 if op in unary else 2)))
+
+    def places(tree: Tree, at: tuple = ()) -> list[tuple]:
+        return [at] if isinstance(tree, str) else [at, *(p for i, x in enumerate(tree[1:], 1) for p in places(x, (*at, i)))]
+
+    def part(tree: Tree, at: tuple) -> Tree:
+        return part(tree[at[0]], at[1:]) if at else tree
+
+    def put(tree: Tree, at: tuple, new: Tree) -> Tree:
+        return (*tree[: at[0]], put(tree[at[0]], at[1:], new), *tree[at[0] + 1 :]) if at else new
+
+    def score(some: list[Tree]) -> None:
+        fresh = {written_out(t): t for t in some if written_out(t) not in known}
+        fits = scaled_fits(df, target, {k: as_column(t) for k, t in fresh.items()})
+        known.update({k: fits.get(k, (float("inf"), 0.0, 0.0)) for k in ("", *fresh)})
+        trees.update(fresh)
+
+    def loss(tree: Tree) -> tuple[float, int]:
+        return known[written_out(tree)][0], nodes(tree)
+
+    def child(population: list[Tree]) -> Tree:
+        for _ in range(20):
+            mother = min(r.sample(population, min(3, len(population))), key=loss)
+            at = r.choice(places(mother))
+            new = grown(2) if r.random() < 0.5 else part(father := min(r.sample(population, min(3, len(population))), key=loss), r.choice(places(father)))
+            made = put(mother, at, new)
+            if nodes(made) <= largest and within_limits(made, nested):
+                return made
+        return r.choice(names)
+
+    def first() -> Tree:
+        for _ in range(20):
+            made = grown(2)
+            if nodes(made) <= largest and within_limits(made, nested):
+                return made
+        return r.choice(names)
+
+    worlds = [[first() for _ in range(size)] for _ in range(islands)]
+    score([t for w in worlds for t in w])
+    for _ in range(generations):
+        young = [[child(w) for _ in range(size)] for w in worlds]
+        score([t for w in young for t in w])
+        worlds = [list({written_out(t): t for t in sorted(old + new, key=lambda t: (*loss(t), written_out(t)))}.values())[:size] for old, new in zip(worlds, young)]
+        best = [w[0] for w in worlds]
+        worlds = [[*w, best[i - 1]] for i, w in enumerate(worlds)]
+    out = [(1, known[""][0], f"{known[''][1]:.6g}")]
+    for text, tree in sorted(trees.items(), key=lambda x: (nodes(x[1]), known[x[0]][0], x[0])):
+        value, a, b = known[text]
+        if out[-1][1] <= 1e-12 * out[0][1]:  # what is left is rounding
+            break
+        if value < out[-1][1] and nodes(tree) + 2 > out[-1][0]:
+            out.append((nodes(tree) + 2, value, f"{a:.6g} + {b:.6g} * {text}"))
     return df.sparkSession.createDataFrame(out, "complexity int, loss double, equation string")

@@ -97,3 +97,20 @@ def test_bootstrap(spark):
     coefs = {c.feature: c for c in resampling.coefficient_intervals(df, "id", ["x"], ["y"], 1, 100).collect()}
     assert coefs["1"].low < 3 < coefs["1"].high and coefs["x"].low < 2 < coefs["x"].high and coefs["x"].high - coefs["x"].low < 0.2
     assert resampling.error_intervals(df.limit(0), ["k"], "id", "e", "zero", 10).count() == 0
+
+
+def test_evolution_finds_an_inverse_square(spark):
+    df = spark.range(300).select((1 + F.col("id") / 100).alias("x"), (F.col("id") % 7).cast("double").alias("other")).withColumn("y", 2.5 / (F.col("x") * F.col("x")) + 1).cache()
+    names, unary, binary = ["x", "other"], ["square", "inv", "exp"], ["+", "*"]
+    front = discover.evolved(df, "y", names, unary, binary, islands=3, size=20, generations=6, seed=1).collect()
+    assert front[-1].loss < 1e-9 and front[-1].complexity <= 6
+    assert all(a.loss > b.loss and a.complexity < b.complexity for a, b in zip(front, front[1:])) and front[0].complexity == 1
+    assert [tuple(r) for r in front] == [tuple(r) for r in discover.evolved(df, "y", names, unary, binary, islands=3, size=20, generations=6, seed=1).collect()]
+    limited = discover.evolved(df, "y", names, unary, binary, islands=2, size=15, generations=3, nested={"inv": {"square": 0, "inv": 0}, "square": {"inv": 0}}).collect()
+    assert not any("inv(square" in r.equation or "square(inv" in r.equation for r in limited)
+
+
+def test_limits_of_nesting():
+    tree = ("sin", ("+", "x", ("cos", ("sin", "x"))))
+    assert discover.within_limits(tree, {"sin": {"sin": 1}}) and not discover.within_limits(tree, {"sin": {"sin": 0}}) and not discover.within_limits(tree, {"sin": {"cos": 0}})
+    assert discover.within_limits(tree, {"cos": {"cos": 0}}) and discover.nodes(tree) == 6 and discover.written_out(tree) == "sin((x + cos(sin(x))))"
