@@ -3,27 +3,27 @@
 A document is a sequence of units (words, or bytes); a window is so many consecutive units. Each kind of sequence names for
 every window an anchor, a hash that depends on the window's own units alone, and neighbouring windows mostly share theirs:
 
+0. Exact copies need no windows: all but the copy with the smallest identifier lose everything, if a window fits in. What repeats one of
+   them repeats that copy too, so the others take no further part.
 1. An anchor that only one text has can have no repeated window; a grouping tells which anchors several texts have.
 2. For those, segments go out: the units under a stretch of windows with the same anchor. Equal windows have equal
    anchors, so they meet.
 3. Shards of whole anchors compare windows unit by unit (equal segments once) and tell which parts of a segment an earlier
    document has. An anchor with very many segments is no shard: its windows are grouped a row each.
 4. The parts go back to the documents, where their union is removed.
-
-Exact copies need no windows: all but the copy with the smallest identifier lose everything, if a window fits in.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import checkpoint, small_batches
@@ -68,8 +68,16 @@ def _slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [h & np.uint64(bits - 1), h >> np.uint64(64 - bits.bit_length() + 1)]
 
 
+def _in(keys: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Which keys the filter has."""
+    hit = np.ones(len(keys), bool)
+    for s in _slots(keys, bits):
+        hit &= (table[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
+
+
 def _bloom(shared: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A filter of shared anchors; its size is bounded by MOST_BITS. What it lets through wrongly costs work, not results."""
+    """A filter of values (anchor, of which there are n); its size is bounded by MOST_BITS. What it lets through wrongly costs work, not results."""
     bits = min(MOST_BITS, max(1 << 16, 1 << (16 * max(n, 1)).bit_length()))
 
     def place(batches):
@@ -83,29 +91,44 @@ def _bloom(shared: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return table, bits
 
 
-def _segments(docs: DataFrame, kind: Kind, shared: DataFrame, n_shared: int, most_anchors: int) -> DataFrame:
+def _home_bits(spark: SparkSession) -> int:
+    """Anchors are dealt to so many bits' number of homes, of which tasks have several each."""
+    return max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def _shortened(kind: Kind, bits: int) -> Kind:
+    """Anchors of so many bits, mixed. Those that clash share a shard, which compares units, so it costs work, not results."""
+
+    def anchors(seq):
+        for first, count, anchor in kind.anchors(seq):
+            h = anchor.view(np.uint64)
+            yield first, count, (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
+
+    return replace(kind, anchors=anchors)
+
+
+def _segments(docs: DataFrame, kind: Kind, shared: DataFrame, n_shared: int, most_anchors: int, leading) -> DataFrame:
     spark, window = docs.sparkSession, kind.window
     if n_shared <= most_anchors:
         filled = spark.sparkContext.broadcast(_bloom(shared, n_shared))
         source = docs.withColumn("shared", F.lit(None).cast("array<long>"))
     else:
         filled = None
-        own = _anchors(docs, kind, every=True).join(shared, "anchor").groupBy("tkey").agg(F.collect_set("anchor").alias("shared"))
+        own = _anchors(docs, kind, leading, None, every=True).join(shared, "anchor").groupBy("tkey").agg(F.collect_set("anchor").alias("shared"))
         source = docs.join(own, "tkey")
 
     def run(batches):
         table, bits = filled.value if filled is not None else (None, 0)
         for b in batches:
             out, size = [], 0
+            b = b.filter(pa.array(_in(np.asarray(b.column("row")).view(np.uint64), *leading.value)))
             for oid, tkey, text, own in zip(*(b.column(c).to_pylist() for c in ("oid", "tkey", "text", "shared"))):
                 seq = kind.units(text)
                 for first, count, anchor in kind.anchors(seq):
                     if table is None:
                         hit = np.isin(anchor.view(np.int64), np.array(own, np.int64))
                     else:
-                        hit = np.ones(len(anchor), bool)
-                        for s in _slots(anchor, bits):
-                            hit &= (table[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
+                        hit = _in(anchor, table, bits)
                     for i in np.flatnonzero(hit).tolist():
                         at, n = int(first[i]), int(count[i]) + window - 1
                         seg = kind.cut(seq, at, at + n)
@@ -117,7 +140,7 @@ def _segments(docs: DataFrame, kind: Kind, shared: DataFrame, n_shared: int, mos
             if out:
                 yield _batch(out, _SEGMENT)
 
-    return source.select("oid", "tkey", "text", "shared").mapInArrow(run, "oid long, tkey long, anchor long, at long, seg binary")
+    return source.select("row", "oid", "tkey", "text", "shared").mapInArrow(run, "oid long, tkey long, anchor long, at long, seg binary")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -129,12 +152,13 @@ _SPAN = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()),
 _SPANS = "oid long, tkey long, a long, b long"
 
 
-def _anchors(docs: DataFrame, kind: Kind, every: bool = False) -> DataFrame:
-    """bucket, anchor, tkey, k. Of a stretch of texts an anchor's smallest and largest tkey go out alone (all of them: every); k adds up to its segments.
+def _anchors(docs: DataFrame, kind: Kind, leading, twins, every: bool = False) -> DataFrame:
+    """bucket, anchor, tkey, k of the rows that the filter `leading` has. Of a stretch of texts an anchor's smallest and largest tkey go out alone (all of them: every);
+    k adds up to its segments. A text that one row alone has (it isn't in the filter `twins`, or there is none) needs no name to be told from others: its tkey is 0.
 
-    They travel as arrays by bucket, a few bytes an anchor, and are dealt by bucket, so grouping by (bucket, anchor) moves nothing more.
+    They travel as arrays by bucket, four bytes an anchor (the bucket's number is the rest of it), and are dealt by bucket, so grouping by (bucket, anchor) moves nothing more.
     """
-    buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    home_bits = _home_bits(docs.sparkSession)
 
     def packed(anchor: np.ndarray, tkey: np.ndarray, k: np.ndarray):
         if not every:
@@ -147,7 +171,8 @@ def _anchors(docs: DataFrame, kind: Kind, every: bool = False) -> DataFrame:
             last = np.append(new[1:], True)
             edge = new | last
             anchor, tkey, k = anchor[edge], tkey[edge], k[edge]
-        home = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        home = (anchor & ((1 << home_bits) - 1)).astype(np.int32)
+        anchor = (anchor >> home_bits).astype(np.uint32).view(np.int32)
         order = np.lexsort((tkey, home))
         home = home[order]
         cuts = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home)).astype(np.int32)
@@ -156,7 +181,11 @@ def _anchors(docs: DataFrame, kind: Kind, every: bool = False) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for b in batches:
-            for tkey, text in zip(b.column("tkey").to_pylist(), b.column("text").to_pylist()):
+            b = b.filter(pa.array(_in(np.asarray(b.column("row")).view(np.uint64), *leading.value)))
+            names = np.asarray(b.column("tkey"))
+            if not every:
+                names = np.where(_in(names.view(np.uint64), *twins.value), names, 0) if twins is not None else np.zeros_like(names)
+            for tkey, text in zip(names.tolist(), b.column("text").to_pylist()):
                 for _, _, anchor in kind.anchors(kind.units(text)):
                     a, k = np.unique(anchor, return_counts=True)
                     held.append((a.view(np.int64), np.full(len(a), tkey, np.int64), k.astype(np.int32)))
@@ -167,8 +196,10 @@ def _anchors(docs: DataFrame, kind: Kind, every: bool = False) -> DataFrame:
         if held:
             yield packed(*map(np.concatenate, zip(*held)))
 
-    rows = docs.select("tkey", "text").mapInArrow(run, "bucket int, anchors array<long>, tkeys array<long>, ks array<int>").repartition("bucket")
-    return rows.select("bucket", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("tkeys").alias("tkey"), F.col("ks").alias("k"))))
+    rows = docs.select("row", "tkey", "text").mapInArrow(run, "bucket int, anchors array<int>, tkeys array<long>, ks array<int>").repartition("bucket")
+    each = rows.select("bucket", F.inline(F.arrays_zip(F.col("anchors").alias("rest"), F.col("tkeys").alias("tkey"), F.col("ks").alias("k"))))
+    whole = F.shiftleft(F.col("rest").cast("long").bitwiseAND(F.lit((1 << 32) - 1)), home_bits).bitwiseOR(F.col("bucket").cast("long"))
+    return each.select("bucket", whole.alias("anchor"), "tkey", "k")
 
 
 def hashed(kind_windows: Callable, window: int):
@@ -283,12 +314,18 @@ def repeats(docs: DataFrame, kind: Kind, same: Column, most_anchors: int = MOST_
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("oid"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    grouped = _anchors(rows, kind).groupBy("bucket", "anchor").agg(F.min("tkey").alias("x"), F.max("tkey").alias("y"), F.sum("k").alias("k"))
-    shared = checkpoint(grouped.where("x != y").select("anchor", "k"))
+    rows = rows.withColumn("row", F.xxhash64("oid", "tkey"))
+    digests = checkpoint(rows.groupBy("oid", "tkey", same.alias("digest")).agg(F.count(F.lit(1)).alias("n")))
+    sc, twice = docs.sparkSession.sparkContext, digests.where("n > 1")
+    first = digests.groupBy("digest").agg(F.min_by(F.xxhash64("oid", "tkey"), "oid").alias("anchor"))
+    leading, n_twice = sc.broadcast(_bloom(first, digests.count())), twice.count()
+    twins = sc.broadcast(_bloom(twice.select(F.col("tkey").alias("anchor")), n_twice)) if n_twice else None
+    kind = _shortened(kind, 32 + _home_bits(docs.sparkSession))
+    grouped = _anchors(rows, kind, leading, twins).groupBy("bucket", "anchor").agg(F.min("tkey").alias("x"), F.max("tkey").alias("y"), F.count_if(F.col("tkey") == 0).alias("single"), F.sum("k").alias("k"))
+    shared = checkpoint(grouped.where("x != y OR single > 1").select("anchor", "k"))
     hot = shared.where(F.col("k") > most_segments).select("anchor")
-    segments = _segments(rows, kind, shared.select("anchor"), shared.count(), most_anchors)
+    segments = _segments(rows, kind, shared.select("anchor"), shared.count(), most_anchors, leading)
     found = _spans(segments, kind, hot).select("oid", "tkey", F.struct("a", "b").alias("part"))
-    digests = checkpoint(rows.select("oid", "tkey", same.alias("digest")).distinct())
     copies = _not_first(digests, "digest").select("oid", "tkey", F.struct(F.lit(0).cast("long").alias("a"), F.lit(_END).cast("long").alias("b")).alias("part"))
     parts = found.unionByName(copies).groupBy("oid", "tkey").agg(F.collect_list("part").alias("parts"))
 

@@ -745,3 +745,18 @@ def test_pipeline_runs_its_stages_in_order(spark):
     for r in got:
         ids = tk.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == sha(" ".join(map(str, ids)))
+
+
+def test_later_copies_send_no_windows(spark, monkeypatch):
+    """Of a text's copies the first alone goes to the shards, with what else repeats it; rows that share an identifier and a text are no repeats."""
+    r = random.Random(15)
+    text = " ".join(f"word{r.randrange(10**6)}" for _ in range(300))
+    other = " ".join(f"word{r.randrange(10**6)}" for _ in range(300))
+    sent = []
+    plain = repeats._segments
+    monkeypatch.setattr(repeats, "_segments", lambda *a: sent.append((got := plain(*a)).select("oid").distinct().count()) or got)
+    rows = [(i, text) for i in range(40)] + [(50, other), (50, other), (60, " ".join(text.split()[:150] + other.split()[::-1]))]
+    for dedup in (suffix_arrays.dedup, recompression.dedup):
+        sent.clear()
+        got = dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sent[0] < 10 and sorted(x.doc_id for x in got if not x.n_removed) == [0, 50, 50]
