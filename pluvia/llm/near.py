@@ -192,11 +192,23 @@ def _apart(ask: pa.Table, tree: pa.Table, radius: int, twice: bool):
 
 
 def _dealt(members: DataFrame, size: Column, most: int) -> DataFrame:
-    """members dealt to parts of a key whose sizes add up to about `most`: each row once for each pair of parts (a, b) that its own part is in."""
-    parts = members.groupBy("key").agg(F.ceil(F.sum(size) / F.lit(most)).cast("int").alias("parts"), F.count_distinct("component").alias("apart")).where("apart > 1").select("key", "parts")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    spread = members.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("parts", "other")
+    """members dealt to parts of a key whose sizes add up to about `most`: each row once for each pair of parts (a, b) that its own part is in.
+
+    Where a key has several parts, its largest component has parts of its own (the last ones), which don't meet each other.
+    """
+    by_component = members.groupBy("key", "component").agg(F.sum(size).alias("size"))
+    parts = by_component.groupBy("key").agg(F.sum("size").alias("all"), F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("large"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
+
+    def needed(size: Column) -> Column:
+        return F.ceil(size / F.lit(most)).cast("int")
+
+    one = F.col("all") <= most
+    parts = parts.select("key", "main", F.when(one, 1).otherwise(needed(F.col("all") - F.col("large"))).alias("few"), F.when(one, 0).otherwise(needed(F.col("large"))).alias("many"))
+    inside = (F.col("component") == F.col("main")) & (F.col("many") > 0)
+    own = F.when(inside, F.col("few") + F.pmod(F.xxhash64("node"), F.greatest("many", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    spread = members.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(others))
+    spread = spread.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("main", "few", "many", "other")
     return spread.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
 
@@ -270,6 +282,7 @@ def cooled(members: DataFrame, keys: DataFrame, most: int = simhash.TREE) -> Dat
 
     A pair of likeness 0.8 shares 13 of 40 bands on average. If one of those is no hot shard, the pair is met there; else it shares two hot ones, but for a probability of 2.6e-6, and
     meets in the shard of those two. So a node makes a row a pair of its hot shards (780 at most), whatever their size. What is hot even so is dealt in parts.
+    This is a first pass that joins most of a hot shard: near_copies() then deals the divided shards whole, so results don't depend on `most`.
     keys: the shard of each node, which are counted first: mostly none is large.
     """
     counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key")
@@ -306,8 +319,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     inside = members.where("first != t")
     several = inside.join(known.select("t", "component"), "t").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     inside = inside.join(checkpoint(several), "key", "left_semi")
-    rest = cooled(inside.join(known, "t").withColumnRenamed("t", "node").drop("first"), inside.select("key"))
+    whole = inside.join(known, "t").withColumnRenamed("t", "node").drop("first")
+    rest = cooled(whole, inside.select("key"))
     chosen = checkpoint(rest.join(hopeful(rest), ["key", "node"], "left_semi"))
     if not chosen.isEmpty():
-        found = components(edges.unionByName(linked(chosen, texts)))
+        edges = edges.unionByName(linked(chosen, texts))
+        found = components(edges)
+    cold = F.lit(0).cast("long").alias("hot")
+    if not rest.sameSemantics(whole.select("*", cold)):
+        # shards were divided: pairs that share one of them alone are met in it, as far as no component joins them by now
+        left = whole.drop("component").join(rest.select("key").distinct(), "key", "left_anti").join(found, "node", "left")
+        left = checkpoint(left.select("key", "band", "fp", "node", F.coalesce("component", "node").alias("component"), "minima", cold))
+        chosen = checkpoint(left.join(hopeful(left), ["key", "node"], "left_semi"))
+        if not chosen.isEmpty():
+            found = components(edges.unionByName(linked(chosen, texts)))
     return rows.select("doc_id", "d", "t").join(found.withColumnRenamed("node", "t"), "t", "left").select("doc_id", "d", F.coalesce("component", "t").alias("component"))

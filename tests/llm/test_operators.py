@@ -284,6 +284,35 @@ def test_near_hot_shards_are_divided(spark, monkeypatch):
     assert len(pairs) > 20 and sizes[0][1] > 100
 
 
+def test_near_pairs_that_share_one_hot_shard_alone_are_joined(spark, monkeypatch):
+    """All texts share one shard and no other: whether it counts as hot makes no difference."""
+    r = random.Random(16)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w if r.random() < 0.99 else r.choice(base) for w in base)) for i in range(12)] + [(100 + i, " ".join(f"x{r.randrange(9999)}" for _ in range(60))) for i in range(60)]
+    signatures, plain = near.signatures, near.cooled
+    alone = F.concat(F.array(F.lit(7).cast("long")), F.transform(F.sequence(F.lit(1), F.lit(near.BANDS - 1)), lambda i: F.xxhash64("d", i)))
+    monkeypatch.setattr(near, "signatures", lambda docs: signatures(docs).withColumn("keys", alone))
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for most in (4, 10**6):
+        monkeypatch.setattr(near, "cooled", lambda members, keys, most=most: plain(members, keys, most))
+        groups = {}
+        for x in near.near_copies(docs).collect():
+            groups.setdefault(x.component, []).append(x.doc_id)
+        got.append(sorted(sorted(g) for g in groups.values()))
+    assert got[0] == got[1] and max(map(len, got[0])) > 2
+
+
+def test_near_one_large_component_meets_the_few_others_alone(spark):
+    rows = [(1, 0, 0, i, 0 if i % 100 else i + 1) for i in range(1000)]
+    members = spark.createDataFrame(rows, "key long, band int, hot long, node long, component long")
+    got = near._dealt(members, F.lit(1), 100).collect()
+    assert len(got) < 1200
+    blocks = {}
+    for x in got:
+        blocks.setdefault((x.a, x.b), set()).add(x.node)
+    assert all(any({0 if i < 1 else i, j} <= b for b in blocks.values()) for i in range(0, 1000, 100) for j in range(1000))
+
+
 def test_near_rows_of_a_hot_shard_grow_with_its_size(spark):
     """Texts with a passage in common share shards by it, and no others; in how many rows they go to the shards."""
     made = []
