@@ -22,8 +22,9 @@ s AS (SELECT p.user_id, p.bin, coalesce(a.total, 0) AS total, a.mean, a.largest,
 SELECT user_id, bin, round(total, 4) AS total, round(mean, 6) AS mean, round(largest, 4) AS largest, kind,
   round(sum(total) OVER (PARTITION BY user_id ORDER BY bin ROWS UNBOUNDED PRECEDING), 4) AS accumulated FROM s""")
 def resample_hourly_running_total(spark, d):
-    got = ts.resample(events(spark, d), ["user_id"], "ts", 3600, RULES)
+    got = ts.resample(events(spark, d), ["user_id"], "ts", 3600, RULES, spine=False)
     got = ts.running_total(got, ["user_id"], "bin", "total", "accumulated", chunk=7 * 86400)
+    got = ts.spined(got, ["user_id"], 3600, {"total": 0.0}, ("accumulated",))
     return got.select("user_id", ntz("bin").alias("bin"), r("total").alias("total"), r("mean", 6).alias("mean"), r("largest").alias("largest"), "kind", r("accumulated").alias("accumulated"))
 
 

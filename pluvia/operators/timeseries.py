@@ -64,8 +64,13 @@ def resample(df: DataFrame, keys: list[str], ts: str, step: int, rules: dict[str
     steps, so that a stray time decades away makes many rows but no array of them. Rows without a time are left out.
     """
     got = bins(df.where(F.col(ts).isNotNull()), keys, ts, step, out).groupBy(*keys, out).agg(*[aggregate(r, c).alias(n) for n, (r, c) in rules.items()])
-    if not spine:
-        return got
+    return spined(got, keys, step, {n: _EMPTY[r] for n, (r, _) in rules.items() if r in _EMPTY}, out=out) if spine else got
+
+
+def spined(df: DataFrame, keys: list[str], step: int, empty: dict[str, float], carried: tuple[str, ...] = (), out: str = "bin") -> DataFrame:
+    """df (one row a bin of a key) with every step between a key's first and last bin: in those that it hasn't, columns are null, but for those of `empty`,
+    and for carried ones, which stay what they were. What is scanned before this (a running total) is scanned over the bins that are there alone."""
+    got = df
     after, here = F.unix_seconds(F.lead(out).over(Window.partitionBy(*keys).orderBy(out))), F.unix_seconds(out)
     steps = got.withColumn("__n", F.coalesce(F.floor((after - here) / step).cast("long") - 1, F.lit(0).cast("long")))  # that follow in the gap
     parts = steps.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__n") / SPINE))))
@@ -73,11 +78,11 @@ def resample(df: DataFrame, keys: list[str], ts: str, step: int, rules: dict[str
     filled = filled.withColumn("__at", F.timestamp_seconds(here + F.col("__i") * step))
     real = F.col("__at") == F.col(out)
 
-    def value(n: str, rule: str) -> Column:
+    def value(n: str) -> Column:
         kept = F.when(real, F.col(n))
-        return (kept.otherwise(F.lit(_EMPTY[rule])) if rule in _EMPTY else kept).alias(n)
+        return F.col(n) if n in carried else (kept.otherwise(F.lit(empty[n])) if n in empty else kept).alias(n)
 
-    return filled.select(*keys, F.col("__at").alias(out), *[value(n, r) for n, (r, _) in rules.items()])
+    return filled.select(*keys, F.col("__at").alias(out), *[value(n) for n in df.columns if n not in (*keys, out)])
 
 
 def running_total(df: DataFrame, keys: list[str], ts: str, value: str, out: str = "total", nulls: str = "zero", tie: tuple[str, ...] = (), chunk: int = 86400) -> DataFrame:

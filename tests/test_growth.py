@@ -23,3 +23,8 @@ def test_places_are_compared_once(spark, monkeypatch):
     gauges = spark.createDataFrame([(40.01, -74.0)] * 1000, "g_lat double, g_lon double")
     got = joins.near_gauges(links, gauges, "link", ("lat", "lon"), ("g_lat", "g_lon"), 6.0)
     assert sorted(x.link for x in got.collect()) == list(range(0, 50, 2)) and made == [1]
+
+
+def test_totals_are_scanned_before_the_spine(spark):
+    plan = catalog.QUERIES["resample_hourly_running_total"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")  # from the top: the spine comes last
