@@ -284,26 +284,11 @@ def netcdf_attributes(spark, d):
 def _archives(spark, d):
     """A zip file a fifth of the stations, with a CSV file a day in it. Tasks write them."""
     path = landing(spark)
-    rows = events(spark, d).select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "value", (F.col("user_id") % 5).alias("g"))
-
-    def write(key, rows):
-        import io
-        import zipfile
-
-        import pyarrow as pa
-
-        out = io.BytesIO()
-        days: dict[str, list[str]] = {}
-        for i, u, t, v in zip(*(rows.column(c).to_pylist() for c in ("event_id", "user_id", "ts", "value"))):
-            days.setdefault(t[:10], ["event_id,user_id,ts,value"]).append(f"{i},{u},{t},{v!r}")
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for day, text in days.items():
-                z.writestr(f"series/{day}.csv", "\n".join(text) + "\n")
-            z.writestr("README.txt", "no data")
-        paths.put(f"{path}/stations-{key[0].as_py()}.zip", out.getvalue())
-        return pa.table({"n": pa.array([len(days)], pa.int64())})
-
-    rows.groupBy("g").applyInArrow(write, "n long").collect()  # five rows
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    archive.packed(events(spark, d).select(
+        F.concat(F.lit(f"{path}/stations-"), F.coalesce((F.col("user_id") % 5).cast("string"), F.lit("None")), F.lit(".zip")).alias("archive"), F.concat(F.lit("series/"), F.coalesce(F.substring(at, 1, 10), F.lit("None")), F.lit(".csv")).alias("member"),
+        F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("None")) for c in (F.col("event_id"), F.col("user_id"), at, F.col("value"))]).alias("text"),
+    ), "event_id,user_id,ts,value", {"README.txt": "no data"})
     return path
 
 

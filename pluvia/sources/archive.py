@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from fnmatch import fnmatch
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from pluvia.sources.paths import listed, opened
+from pluvia.sources.paths import created, listed, opened
 
 #: Lines of a record batch.
 _LINES = 8192
@@ -74,6 +75,41 @@ class ArchiveReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([part.archive] * n), pa.array([part.name] * n), pa.array(range(at, at + n), pa.int64()), pa.array(lines, pa.string())], ["archive", "member", "line", "text"])
 
 
+def packed(rows: DataFrame, header: str, beside: dict[str, str]) -> None:
+    """Writes zip archives from archive (its path), member, text (a line): a header stands first in each member, the members `beside` last in each archive.
+
+    A task takes whole archives, and their rows stream from a sort into them, so it holds a batch of lines.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = name = out = z = member = None
+
+        def close() -> None:
+            if z is not None:
+                member.close()
+                for n, text in beside.items():
+                    z.writestr(n, text)
+                z.close()
+                out.close()
+
+        for b in batches:
+            for (to, inside), lines in groupby(zip(*(b.column(c).to_pylist() for c in ("archive", "member", "text"))), lambda r: r[:2]):
+                if to != path:
+                    close()
+                    path, name, out = to, None, created(to)
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                if inside != name:
+                    if name is not None:
+                        member.close()
+                    name, member = inside, z.open(inside, "w", force_zip64=True)
+                    member.write(f"{header}\n".encode())
+                member.write("".join(f"{text}\n" for _, _, text in lines).encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([0 if path is None else 1], pa.int64())], ["n"])
+
+    rows.repartition("archive").sortWithinPartitions("archive", "member").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def members(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """archive, member, size (in bytes, unpacked)."""
     spark.dataSource.register(Archives)

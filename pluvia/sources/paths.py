@@ -26,9 +26,14 @@ def opened(path: str):
     return where.open_input_file(root)
 
 
-def put(path: str, raw: bytes) -> None:
-    """Writes a small file, and the folder that it is in."""
+def created(path: str):
+    """A stream to write a file, whose folder is made too."""
     where, root = _located(path)
     where.create_dir(root.rsplit("/", 1)[0], recursive=True)
-    with where.open_output_stream(root) as out:
+    return where.open_output_stream(root)
+
+
+def put(path: str, raw: bytes) -> None:
+    """Writes a small file, and the folder that it is in."""
+    with created(path) as out:
         out.write(raw)

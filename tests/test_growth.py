@@ -28,3 +28,11 @@ def test_places_are_compared_once(spark, monkeypatch):
 def test_totals_are_scanned_before_the_spine(spark):
     plan = catalog.QUERIES["resample_hourly_running_total"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Window")  # from the top: the spine comes last
+
+
+def test_archives_are_packed_by_a_stream(spark, tmp_path):
+    rows = spark.range(30_000).select(F.concat(F.lit(f"{tmp_path}/z/"), F.col("id") % 2, F.lit(".zip")).alias("archive"), F.concat(F.lit("m/"), F.col("id") % 3, F.lit(".csv")).alias("member"), F.concat_ws(",", "id", F.col("id") / 2).alias("text"))
+    archive.packed(rows, "id,half", {"README.txt": "no data"})
+    got = archive.csv(spark, f"{tmp_path}/z", "id LONG, half DOUBLE").agg(F.count("*"), F.countDistinct("id"), F.sum("half"), F.count_if(F.expr("member = concat('m/', id % 3, '.csv')"))).first()
+    assert tuple(got) == (30_000, 30_000, sum(range(30_000)) / 2, 30_000)
+    assert archive.members(spark, f"{tmp_path}/z").count() == 8
