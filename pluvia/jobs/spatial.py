@@ -39,6 +39,14 @@ def _points(spark, d, tag):
     return e.select(F.col("vec_id").alias(f"id{tag}"), F.col("embedding")[0].cast("double").alias(f"x{tag}"), F.col("embedding")[1].cast("double").alias(f"y{tag}"))
 
 
+def _checkpoints(spark):
+    """A folder for checkpoints, where the session has none."""
+    from pluvia.jobs.landed import landing
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(landing(spark))
+
+
 _PAIRS = """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 q AS (SELECT a.vec_id AS ida, b.vec_id AS idb, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id AND abs(a.x - b.x) <= 0.02 AND abs(a.y - b.y) <= 0.02)"""
 
@@ -54,7 +62,8 @@ def distance_join(spark, d):
 
 @query(_PAIRS + " SELECT ida, arg_min(idb, (d, idb)) AS idb, round(min(d), 6) AS distance FROM q WHERE d <= 0.02 GROUP BY ida")
 def nearest_within(spark, d):
-    return joins.nearest(_near(spark, d), "ida", "idb").select("ida", "idb", r("distance", 6).alias("distance"))
+    _checkpoints(spark)
+    return joins.nearest_within(_points(spark, d, "a"), "ida", ("xa", "ya"), 0.02).select("ida", F.col("other").alias("idb"), r("distance", 6).alias("distance"))
 
 
 _KM = """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 200 AS lat, embedding[2]::DOUBLE * 400 AS lon FROM embeddings),
@@ -98,10 +107,7 @@ def most_variable_step(spark, d):
 @query("""SELECT user_id % 10 AS link, event_id % 6 AS step, round(avg(value), 3) AS rain, 2::BIGINT AS points FROM events WHERE value > 0 GROUP BY ALL""")
 def virtual_points_keep_link_rain(spark, d):
     """Whatever points take from other links nearby, the mean of their rain ** b gives the link's rain again."""
-    from pluvia.jobs.landed import landing
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(landing(spark))
+    _checkpoints(spark)
     e = events(spark, d).where("value > 0")
     rain = e.groupBy((F.col("user_id") % 10).alias("link"), (F.col("event_id") % 6).alias("step")).agg(F.avg("value").alias("rain"))
     k = F.col("link")

@@ -36,3 +36,18 @@ def test_archives_are_packed_by_a_stream(spark, tmp_path):
     got = archive.csv(spark, f"{tmp_path}/z", "id LONG, half DOUBLE").agg(F.count("*"), F.countDistinct("id"), F.sum("half"), F.count_if(F.expr("member = concat('m/', id % 3, '.csv')"))).first()
     assert tuple(got) == (30_000, 30_000, sum(range(30_000)) / 2, 30_000)
     assert archive.members(spark, f"{tmp_path}/z").count() == 8
+
+
+
+def test_nearest_within_meets_few_pairs(spark, monkeypatch):
+    made = _counted(monkeypatch, "within")
+    r = random.Random(1)
+    at = [(r.gauss(0, 0.004), r.gauss(0, 0.004)) for _ in range(1500)] + [(0.5, 0.5)] * 3 + [(0.5, 0.515), (0.9, 0.9), (None, 0.0), (float("inf"), 0.0), (float("inf"), 0.0)]
+    got = joins.nearest_within(spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "id int, x double, y double"), "id", ("x", "y"), 0.02).collect()
+    want = {}
+    for i, (x, y) in enumerate(at[:1505]):
+        near = min(((((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, (u, v) in enumerate(at[:1505]) if j != i))
+        if near[0] <= 0.02:
+            want[i] = near[1]
+    assert {x.id: x.other for x in got} == want and len(got) == len(want)
+    assert sum(made) < 40 * len(at)
