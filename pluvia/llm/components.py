@@ -12,7 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     """u, v (long, not null) -> node, component: the smallest node reachable, for each node that has a link.
 
     Each round sends every node's larger neighbours to its smallest one, then its smaller neighbours likewise; links become
-    stars in a few rounds (logarithmic in the length of a chain). A round ends in a checkpoint; nothing is collected but a count and a sum.
+    stars in a few rounds (logarithmic in the length of a chain). Each half of a round ends in a checkpoint, so that its plan stays small; nothing is collected but a count and a sum.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both(edges)
         least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = checkpoint(near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()

@@ -191,10 +191,11 @@ def _apart(ask: pa.Table, tree: pa.Table, radius: int, twice: bool):
                 yield x[there], y[there]
 
 
-def _dealt(members: DataFrame, size: Column, most: int) -> DataFrame:
+def _dealt(members: DataFrame, size: Column, most: int, more: DataFrame | None = None) -> DataFrame:
     """members dealt to parts of a key whose sizes add up to about `most`: each row once for each pair of parts (a, b) that its own part is in.
 
     Where a key has several parts, its largest component has parts of its own (the last ones), which don't meet each other.
+    more: by node, what rows take along. It joins them on their way to the parts, so it moves once a row and isn't in the plan of the parts.
     """
     by_component = members.groupBy("key", "component").agg(F.sum(size).alias("size"))
     parts = by_component.groupBy("key").agg(F.sum("size").alias("all"), F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("large"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
@@ -209,6 +210,8 @@ def _dealt(members: DataFrame, size: Column, most: int) -> DataFrame:
     others = F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
     spread = members.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(others))
     spread = spread.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("main", "few", "many", "other")
+    if more is not None:
+        spread = spread.join(more, "node")
     return spread.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
 
@@ -220,8 +223,9 @@ def _meetings(batches):
         yield (one, one, True) if a[0] == b[0] else (shard.filter(pa.array(own != a)), one, False)
 
 
-def hopeful(members: DataFrame, radius: int = RADIUS, tree: int = simhash.TREE) -> DataFrame:
-    """key, node: the members (key, band, fp, node, component, minima) that _apart() finds a partner for in their shard. Never the pairs, of which a large shard may have very many."""
+def hopeful(members: DataFrame, marks: DataFrame, radius: int = RADIUS, tree: int = simhash.TREE) -> DataFrame:
+    """key, node: the members (key, band, node, component, hot) that _apart() finds a partner for in their shard. Never the pairs, of which a large shard may have very many.
+    marks: node, fp, minima, one row a text."""
     small_batches(members.sparkSession, 10_000)
 
     def run(batches):
@@ -233,15 +237,15 @@ def hopeful(members: DataFrame, radius: int = RADIUS, tree: int = simhash.TREE)
                 if found.any():
                     yield from t.filter(pa.array(found)).select(["key", "node"]).combine_chunks().to_batches()
 
-    return _dealt(members, F.lit(1), tree).select("key", "a", "b", "own", "band", "hot", "fp", "node", "component", "minima").mapInArrow(run, "key long, node long").distinct()
+    dealt = _dealt(members, F.lit(1), tree, marks)
+    return checkpoint(dealt.select("key", "a", "b", "own", "band", "hot", "fp", "node", "component", "minima").mapInArrow(run, "key long, node long").distinct())
 
 
-def linked(members: DataFrame, texts: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def linked(members: DataFrame, marks: DataFrame, texts: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links u, v that join all nodes of a shard that verified pairs of _apart() join. Texts go to the shards, pairs stay in the tasks."""
     small_batches(members.sparkSession, 128)
     ids = written(members.select("node").distinct())
-    texts = texts.withColumnRenamed("t", "node").join(ids, "node", "left_semi").dropDuplicates(["node"])
-    rows = members.join(texts, "node")
+    texts = written(texts.select(F.col("t").alias("node"), "text", (F.char_length("text") + 1024).alias("size")).join(ids, "node", "left_semi").dropDuplicates(["node"]))
 
     def run(batches):
         for ask, other, twice in _meetings(batches):
@@ -271,9 +275,9 @@ def linked(members: DataFrame, texts: DataFrame, radius: int = RADIUS, block: in
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    dealt = _dealt(rows, F.char_length("text") + 1024, 4 * block)
+    dealt = _dealt(members.join(texts.select("node", "size"), "node"), F.col("size"), 4 * block, marks.join(texts.select("node", "text"), "node"))
     found = checkpoint(dealt.select("key", "a", "b", "own", "band", "hot", "fp", "node", "component", "minima", "text").mapInArrow(run, "u long, v long"))
-    discard(ids)
+    discard(ids, texts)
     return found
 
 
@@ -291,11 +295,11 @@ def cooled(members: DataFrame, keys: DataFrame, most: int = simhash.TREE) -> Dat
     large = members.select("key", "component").join(counted, "key", "left_semi").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     large = checkpoint(large.where("x != y").select("key"))
     inside = members.join(large, "key", "left_semi")
-    by_node = inside.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("own"), F.first("fp").alias("fp"), F.first("component").alias("component"), F.first("minima").alias("minima"))
+    by_node = inside.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("own"), F.first("component").alias("component"))
     by_node = checkpoint(by_node.withColumn("hot", F.aggregate("own", F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), y["band"])))))
     pairs = by_node.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("own")))).where(F.col("i") < F.size("own"))
     pairs = pairs.withColumn("other", F.explode(F.slice("own", F.col("i") + 1, F.size("own")))).withColumn("key", F.xxhash64(F.element_at("own", F.col("i"))["key"], F.col("other")["key"]))
-    pairs = pairs.select("key", F.lit(0).alias("band"), "fp", "node", "component", "minima", "hot")  # band 0: nothing is left to an earlier one
+    pairs = pairs.select("key", F.lit(0).alias("band"), "node", "component", "hot")  # band 0: nothing is left to an earlier one
     rest = members.join(large, "key", "left_anti").join(by_node.select("node", "hot"), "node", "left").withColumn("hot", F.coalesce("hot", F.lit(0).cast("long")))
     return rest.select(pairs.columns).unionByName(pairs)
 
@@ -312,25 +316,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
     once = checkpoint(rows.join(members.select("t").distinct(), "t", "left_semi").select("t", "fp", "minima").dropDuplicates(["t"]))
     met = members.where("first < t").groupBy(F.col("first").alias("u"), F.col("t").alias("v")).agg(F.min("key").alias("key"))
     edges = verified(checkpoint(likely(met, once.select("t", "minima"))), texts)
-    found = components(edges)
+    found = checkpoint(components(edges))
     # a shard's first text is settled in it
-    known = once.join(found.withColumnRenamed("node", "t"), "t", "left").select("t", "fp", "minima", F.coalesce("component", "t").alias("component"))
-    # shards that are one component by now need no more, and minima go to the others alone
-    inside = members.where("first != t")
-    several = inside.join(known.select("t", "component"), "t").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    inside = inside.join(checkpoint(several), "key", "left_semi")
-    whole = inside.join(known, "t").withColumnRenamed("t", "node").drop("first")
-    rest = cooled(whole, inside.select("key"))
-    chosen = checkpoint(rest.join(hopeful(rest), ["key", "node"], "left_semi"))
+    inside = members.where("first != t").select("key", "band", F.col("t").alias("node")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # shards that are one component by now need no more. Fingerprints and minima are no part of these rows: they join them on the way to a task, which keeps both rows and plans small
+    several = checkpoint(inside.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"))
+    whole = checkpoint(inside.join(several, "key", "left_semi"))
+    marks = once.withColumnRenamed("t", "node")
+    rest = cooled(whole, whole.select("key"))
+    chosen = checkpoint(rest.join(hopeful(rest, marks), ["key", "node"], "left_semi"))
     if not chosen.isEmpty():
-        edges = edges.unionByName(linked(chosen, texts))
-        found = components(edges)
+        edges = edges.unionByName(linked(chosen, marks, texts))
+        found = checkpoint(components(edges))
     cold = F.lit(0).cast("long").alias("hot")
     if not rest.sameSemantics(whole.select("*", cold)):
         # shards were divided: pairs that share one of them alone are met in it, as far as no component joins them by now
         left = whole.drop("component").join(rest.select("key").distinct(), "key", "left_anti").join(found, "node", "left")
-        left = checkpoint(left.select("key", "band", "fp", "node", F.coalesce("component", "node").alias("component"), "minima", cold))
-        chosen = checkpoint(left.join(hopeful(left), ["key", "node"], "left_semi"))
+        left = checkpoint(left.select("key", "band", "node", F.coalesce("component", "node").alias("component"), cold))
+        chosen = checkpoint(left.join(hopeful(left, marks), ["key", "node"], "left_semi"))
         if not chosen.isEmpty():
-            found = components(edges.unionByName(linked(chosen, texts)))
+            found = components(edges.unionByName(linked(chosen, marks, texts)))
     return rows.select("doc_id", "d", "t").join(found.withColumnRenamed("node", "t"), "t", "left").select("doc_id", "d", F.coalesce("component", "t").alias("component"))

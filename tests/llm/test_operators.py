@@ -302,6 +302,23 @@ def test_near_pairs_that_share_one_hot_shard_alone_are_joined(spark, monkeypatch
     assert got[0] == got[1] and max(map(len, got[0])) > 2
 
 
+def test_near_plans_are_small(spark, monkeypatch):
+    """The driver plans a query anew after each of its stages, so what it holds for that grows with the square of a plan."""
+    r = random.Random(17)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if r.random() < 0.985 else r.choice(base) for w in base)) for i in range(40)]
+    exchanges = []
+    for module in (near, components):
+
+        def counted(df, plain=module.checkpoint):
+            exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+            return plain(df)
+
+        monkeypatch.setattr(module, "checkpoint", counted)
+    near.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(exchanges) > 10 and max(exchanges) <= 16, exchanges
+
+
 def test_near_one_large_component_meets_the_few_others_alone(spark):
     rows = [(1, 0, 0, i, 0 if i % 100 else i + 1) for i in range(1000)]
     members = spark.createDataFrame(rows, "key long, band int, hot long, node long, component long")
