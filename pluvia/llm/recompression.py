@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def kind(window: int = WINDOW, n_rounds: int = ROUNDS) -> Kind:
         ends = np.append(np.flatnonzero(np.frombuffer(seg, np.uint8) == 32), len(seg)).tolist()
         return [(ends[i - 1] + 1 if i else 0, ends[i + window - 1]) for i in range(len(ends) - window + 1)]
 
-    return Kind(window, _units, lambda words: anchors(words, window, n_rounds), lambda words, a, b: b" ".join(words[a:b]), lambda seg: seg.count(b" ") + 1, windows, hashed(windows, window))
+    return Kind(window, _units, lambda words: anchors(words, window, n_rounds), lambda words, a, b: b" ".join(words[a:b]), lambda segs: pc.add(pc.count_substring(segs, " ").cast(pa.int64()), 1), windows, hashed(windows, window))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS, **limits) -> DataFrame:

@@ -21,6 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,13 +42,13 @@ _NULL, _END = (1 << 63) - 1, 1 << 60
 @dataclass
 class Kind:
     """units: text -> sequence; anchors: sequence -> blocks of (first window, number of windows, anchor), all windows covered;
-    cut: sequence, from, to -> bytes; size: segment bytes -> units; windows: segment bytes -> the byte range of each window; compare: see hashed()."""
+    cut: sequence, from, to -> bytes; sizes: array of segments -> array of their numbers of units; windows: segment bytes -> the byte range of each window; compare: see hashed()."""
 
     window: int
     units: Callable
     anchors: Callable
     cut: Callable
-    size: Callable
+    sizes: Callable
     windows: Callable
     compare: Callable
 
@@ -129,11 +130,10 @@ def _segments(docs: DataFrame, kind: Kind, shared: DataFrame, n_shared: int, mos
                         hit = np.isin(anchor.view(np.int64), np.array(own, np.int64))
                     else:
                         hit = _in(anchor, table, bits)
-                    for i in np.flatnonzero(hit).tolist():
-                        at, n = int(first[i]), int(count[i]) + window - 1
-                        seg = kind.cut(seq, at, at + n)
+                    for at, n, name in zip(first[hit].tolist(), count[hit].tolist(), anchor[hit].view(np.int64).tolist()):
+                        seg = kind.cut(seq, at, at + n + window - 1)
                         size += len(seg)
-                        out.append((oid, tkey, int(anchor[i : i + 1].view(np.int64)[0]), at, seg))
+                        out.append((oid, tkey, name, at, seg))
                     if size > 1 << 22:
                         yield _batch(out, _SEGMENT)
                         out, size = [], 0
@@ -152,6 +152,10 @@ _SPAN = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()),
 _SPANS = "oid long, tkey long, a long, b long"
 
 
+def _spans_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_SPAN)
+
+
 def _anchors(docs: DataFrame, kind: Kind, leading, twins, every: bool = False) -> DataFrame:
     """bucket, anchor, tkey, k of the rows that the filter `leading` has. Of a stretch of texts an anchor's smallest and largest tkey go out alone (all of them: every);
     k adds up to its segments. A text that one row alone has (it isn't in the filter `twins`, or there is none) needs no name to be told from others: its tkey is 0.
@@ -173,7 +177,7 @@ def _anchors(docs: DataFrame, kind: Kind, leading, twins, every: bool = False) -
             anchor, tkey, k = anchor[edge], tkey[edge], k[edge]
         home = (anchor & ((1 << home_bits) - 1)).astype(np.int32)
         anchor = (anchor >> home_bits).astype(np.uint32).view(np.int32)
-        order = np.lexsort((tkey, home))
+        order = np.argsort(home.astype(np.uint16) if home_bits <= 16 else home, kind="stable")
         home = home[order]
         cuts = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home)).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(home[cuts[:-1]]), *[pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[order])) for x in (anchor, tkey, k)]], ["bucket", "anchors", "tkeys", "ks"])
@@ -187,7 +191,9 @@ def _anchors(docs: DataFrame, kind: Kind, leading, twins, every: bool = False) -
                 names = np.where(_in(names.view(np.uint64), *twins.value), names, 0) if twins is not None else np.zeros_like(names)
             for tkey, text in zip(names.tolist(), b.column("text").to_pylist()):
                 for _, _, anchor in kind.anchors(kind.units(text)):
-                    a, k = np.unique(anchor, return_counts=True)
+                    a = np.sort(anchor)
+                    new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                    a, k = a[new], np.diff(np.append(new, len(a)))
                     held.append((a.view(np.int64), np.full(len(a), tkey, np.int64), k.astype(np.int32)))
                     size += len(a)
                     if size > 1 << 18:
@@ -238,53 +244,68 @@ def _spans(segments: DataFrame, kind: Kind, hot: DataFrame) -> DataFrame:
     any_hot = bool(hot.take(1))
     cold = segments.join(hot, "anchor", "left_anti") if any_hot else segments
 
-    def shard(batches):
-        rows: list[tuple] = []  # of the anchor at hand, ordered by segment
-        waiting: list[tuple[list, list, list]] = []  # groups to compare: segments with their least identifiers, rows, each row's segment
-        anchor, size = None, 0
-
-        def close():
-            nonlocal size
-            group: list[tuple[int, bytes]] = []
-            which = []
-            for row in rows:
-                if not group or group[-1][1] != row[3]:
-                    group.append((row[0], row[3]))
-                elif row[0] < group[-1][0]:
-                    group[-1] = (row[0], row[3])
-                which.append(len(group) - 1)
-            if len(group) > 1:
-                waiting.append((group, list(rows), which))
-                size += sum(len(s) + 1 for _, s in group)
-                return []
-            return whole(group, rows, which)
-
-        def whole(group, rows, which):
-            return [(oid, tkey, at, at + kind.size(seg)) for (oid, tkey, at, seg), k in zip(rows, which) if oid > group[k][0]]
-
-        def flush():
-            out = []
-            for (group, own, which), parts in zip(waiting, kind.compare([g for g, _, _ in waiting])):
-                out += whole(group, own, which)
-                out += [(oid, tkey, at + a, at + b) for (oid, tkey, at, _), k in zip(own, which) if oid == group[k][0] for a, b in parts[k]]
-            waiting.clear()
-            return out
+    def compared(rows: pa.Table):
+        """Parts of the rows of whole anchors, ordered by anchor and segment."""
+        anchor, oid, tkey, at = (rows.column(c).to_numpy() for c in ("anchor", "oid", "tkey", "at"))
+        segs = rows.column("seg").combine_chunks()
+        new_anchor = np.append(True, anchor[1:] != anchor[:-1])
+        starts = np.flatnonzero(new_anchor | np.append(True, pc.not_equal(segs[1:], segs[:-1]).to_numpy(zero_copy_only=False)))
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(oid))))  # each row's segment
+        least = np.minimum.reduceat(oid, starts)
+        later = oid > least[of]
+        whole = np.flatnonzero(later)
+        if len(whole):
+            yield _spans_batch(oid[whole], tkey[whole], at[whole], at[whole] + kind.sizes(segs.take(pa.array(starts))).to_numpy()[of[whole]])
+        opens = np.flatnonzero(new_anchor[starts])
+        n = np.diff(np.append(opens, len(starts)))  # an anchor's segments
+        several = np.flatnonzero(np.repeat(n > 1, n))
+        if not len(several):
+            return
+        flat = list(zip(least[several].tolist(), segs.take(pa.array(starts[several])).to_pylist()))
+        found: list[tuple[int, int, int]] = []  # segment, from, to
+
+        def flush(since: int, groups: list) -> None:
+            i = since
+            for parts in kind.compare(groups):
+                for each in parts:
+                    found.extend((i, x, y) for x, y in each)
+                    i += 1
+
+        since = upto = size = 0
+        groups: list[list[tuple[int, bytes]]] = []
+        for k in n[n > 1].tolist():
+            groups.append(flat[upto : upto + k])
+            upto += k
+            size += sum(len(s) + 1 for _, s in groups[-1])
+            if size > SHARD_BYTES:
+                flush(since, groups)
+                since, groups, size = upto, [], 0
+        flush(since, groups)
+        if found:
+            which, x, y = np.array(found, np.int64).T
+            which = several[which]
+            own = np.flatnonzero(~later)  # those that are later lose the segment as a whole
+            low = np.searchsorted(of[own], which)
+            times = np.searchsorted(of[own], which, "right") - low
+            row = own[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            yield _spans_batch(oid[row], tkey[row], at[row] + np.repeat(x, times), at[row] + np.repeat(y, times))
 
+    def shard(batches):
+        held, size = [], 0
         for b in batches:
-            out = []
-            for a, *row in zip(*(b.column(c).to_pylist() for c in ("anchor", "oid", "tkey", "at", "seg"))):
-                if a != anchor:
-                    out += close()
-                    anchor, rows = a, []
-                    if size > SHARD_BYTES:
-                        out += flush()
-                        size = 0
-                rows.append(tuple(row))
-            if out:
-                yield _batch(out, _SPAN)
-        out = close() + flush()
-        if out:
-            yield _batch(out, _SPAN)
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.nbytes
+            last = b.column("anchor")[-1]
+            if size > 4 * SHARD_BYTES and held[0].column("anchor")[0] != last:
+                rows = pa.Table.from_batches(held)
+                cut = int(np.searchsorted(rows.column("anchor").to_numpy(), last.as_py()))
+                yield from compared(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+                size = sum(x.nbytes for x in held)
+        if held:
+            yield from compared(pa.Table.from_batches(held))
 
     found = cold.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(shard, _SPANS)
     if not any_hot:

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,56 +161,76 @@ def capped_plcp(raw: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     return found
 
 
+def _recurring(groups: list[list[tuple[int, bytes]]], window: int) -> np.ndarray:
+    """Which segments have a window whose hash recurs in their group. The others hold no repeat, so no suffix array needs them; hashes that clash cost work, not results."""
+    flat = [s for g in groups for _, s in g]
+    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+    n = np.maximum(sizes - window + 1, 0)
+    home = np.repeat(np.arange(len(flat)), n)
+    if not len(home):
+        return np.zeros(len(flat), bool)
+    at = np.arange(len(home)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(n) + n, n)
+    group = np.repeat(np.arange(len(groups), dtype=np.uint64), [len(g) for g in groups])
+    key = _hashes(np.frombuffer(b"".join(flat), np.uint8), window)[at] + (group * np.uint64(0xD6E8FEB86659FD93))[home]
+    order = np.argsort(key)
+    again = np.flatnonzero(np.diff(key[order]) == 0)
+    found = np.zeros(len(flat), bool)
+    found[home[order[again]]] = True
+    found[home[order[again + 1]]] = True
+    return found
+
+
 def compare(groups: list[list[tuple[int, bytes]]], window: int = WINDOW) -> list[list[list[tuple[int, int]]]]:
-    """A comparison for repeats.py: one suffix array over the shard's segments; windows that follow each other in it with a common
+    """A comparison for repeats.py: one suffix array over the shard's segments that _recurring() leaves; windows that follow each other in it with a common
     prefix of `window` bytes are one class, and a class's smallest identifier tells which windows are repeats."""
     if not groups:
         return []
-    flat = [x for g in groups for x in g]
-    sizes = np.fromiter((len(s) for _, s in flat), np.int64, len(flat))
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    raw = np.frombuffer(b"\0".join([s for _, s in flat]) + b"\0", np.uint8)
-    t = raw.astype(np.int16) + 1
-    t[starts + sizes] = 0  # separators are smaller than any byte
-    home = np.repeat(np.arange(len(flat)), sizes + 1)
-    full = np.arange(len(t)) + window <= (starts + sizes)[home]
-    sa = suffix_array(t, window)
-    valid = sa[full[sa]]  # equal windows stand together: what is between two of them begins with the same window
-    ident = np.array([least for least, _ in flat], np.int64)
-    if len(valid):
+    whole = [x for g in groups for x in g]
+    taken = np.flatnonzero(_recurring(groups, window))
+    parts: list[list[tuple[int, int]]] = [[] for _ in whole]
+    if len(taken):
+        flat = [whole[k] for k in taken.tolist()]
+        sizes = np.fromiter((len(s) for _, s in flat), np.int64, len(flat))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        raw = np.frombuffer(b"\0".join([s for _, s in flat]) + b"\0", np.uint8)
+        t = raw.astype(np.int16) + 1
+        t[starts + sizes] = 0  # separators are smaller than any byte
+        home = np.repeat(np.arange(len(flat)), sizes + 1)
+        full = np.arange(len(t)) + window <= (starts + sizes)[home]
+        sa = suffix_array(t, window)
+        valid = sa[full[sa]]  # equal windows stand together: what is between two of them begins with the same window
+        ident = np.array([least for least, _ in flat], np.int64)
         first = np.flatnonzero(capped_plcp(raw, valid, window)[valid] < window)
         low = np.minimum.reduceat(ident[home[valid]], first)
         late = np.sort(valid[np.repeat(low, np.diff(np.append(first, len(valid)))) < ident[home[valid]]])
-    else:
-        late = valid
-    cuts = np.searchsorted(late, np.append(starts, len(t)))
+        cuts = np.searchsorted(late, np.append(starts, len(t)))
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            parts[int(taken[i])] = spans_of(late[cuts[i] : cuts[i + 1]] - starts[i], window)
     out, i = [], 0
     for g in groups:
-        out.append([spans_of(late[cuts[k] : cuts[k + 1]] - starts[k], window) for k in range(i, i + len(g))])
+        out.append(parts[i : i + len(g)])
         i += len(g)
     return out
 
 
-def _spread() -> np.ndarray:
-    return np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+def _hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the string of `size` bytes at each position, from its words of eight bytes; the last word overlaps the one before if it has to."""
+    n = len(raw) - size + 1
+    words = np.ndarray((len(raw),), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,)).copy()
+    if size < 8:
+        words &= np.uint64((1 << 8 * size) - 1)
+    found, factor = np.zeros(n, np.uint64), 0x9E3779B97F4A7C15
+    for off in [*range(0, size - 7, 8), size - 8] if size % 8 and size > 8 else range(0, max(size - 7, 1), 8):
+        found += words[off : off + n] * np.uint64(factor)
+        factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
+    return found
 
 
 def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM):
     """Blocks of (first window, number of windows, anchor): the smallest hash of the window's strings of `gram` bytes."""
-    table, wide = _spread(), window - gram + 1
+    wide = window - gram + 1
     for at in range(0, len(data) - window + 1, _PIECE):
-        h = table[np.frombuffer(data[at : at + _PIECE + window - 1], np.uint8)]
-        # hashes of 1, 2, 4, ... bytes; those whose sizes add up to gram are strung together
-        size, factor, done, whole = 1, 0x9E3779B97F4A7C15, 0, None
-        while size <= gram:
-            if gram & size:
-                whole = h if whole is None else whole[: len(h) - done] * np.uint64(factor) + h[done:]
-                done += size
-            if 2 * size <= gram:
-                h = h[:-size] * np.uint64(factor) + h[size:]
-            factor = factor * factor % (1 << 64)
-            size *= 2
-        h = whole.copy()
+        h = _hashes(np.frombuffer(data[at : at + _PIECE + window - 1], np.uint8), gram)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
@@ -225,7 +246,7 @@ def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM):
 
 def kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
     return Kind(
-        window, lambda text: text.encode("utf-8", "surrogatepass"), lambda data: anchors(data, window, gram), lambda data, a, b: data[a:b], len,
+        window, lambda text: text.encode("utf-8", "surrogatepass"), lambda data: anchors(data, window, gram), lambda data, a, b: data[a:b], lambda segs: pc.binary_length(segs).cast(pa.int64()),
         lambda seg: [(i, i + window) for i in range(len(seg) - window + 1)], lambda groups: compare(groups, window),
     )
 

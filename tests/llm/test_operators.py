@@ -806,3 +806,45 @@ def test_later_copies_send_no_windows(spark, monkeypatch):
         sent.clear()
         got = dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sent[0] < 10 and sorted(x.doc_id for x in got if not x.n_removed) == [0, 50, 50]
+
+
+def test_segments_without_a_repeat_enter_no_suffix_array(monkeypatch):
+    """Segments with one anchor mostly share no window; only those that do are sorted. The classes are the same."""
+    r = random.Random(16)
+    letters = lambda n: bytes(r.choices(b"abcdefghij ", k=n))
+    sizes = []
+    plain = suffix_arrays.suffix_array
+    monkeypatch.setattr(suffix_arrays, "suffix_array", lambda t, *a: sizes.append(len(t)) or plain(t, *a))
+    groups = []
+    for _ in range(40):
+        gram, passage = letters(16), letters(55)
+        groups.append([(i, letters(30) + gram + letters(30)) for i in range(4)] + [(i, letters(r.randint(0, 9)) + passage + letters(9)) for i in (9, 5)])
+    apart = [[(1, groups[0][4][1])], [(0, groups[0][4][1])], [(3, letters(49))]]  # one window in two groups is no repeat
+    assert suffix_arrays.compare(groups + apart) == [brute_classes(g, 50) for g in groups + apart]
+    assert sum(sizes) < 40 * 2 * 80 < sum(len(s) for g in groups for _, s in g) / 2
+    assert suffix_arrays.compare([[(1, b"a" * 50), (2, b"b" * 50)], [(3, b"c" * 20)]]) == [[[], []], [[]]]
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 13, 16, 50])
+def test_hashes_name_strings(size):
+    raw = np.random.default_rng(2).integers(0, 3, 2000).astype(np.uint8)
+    names = suffix_arrays._hashes(raw, size).tolist()
+    strings = [raw[i : i + size].tobytes() for i in range(2000 - size + 1)]
+    assert len(names) == len(strings) and len(set(zip(names, strings))) == len(set(names)) == len(set(strings))
+
+
+@pytest.mark.parametrize("batch", [1, 5])
+def test_shards_are_cut_between_anchors(spark, monkeypatch, batch):
+    """Rows of a shard are compared a few anchors at a time, however the batches fall."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 200)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        rows = made(17, 40)
+        rows += [(0, rows[8][1]), (40, rows[5][1] + " end"), (40, rows[5][1] + " fin"), (None, rows[5][1] * 2)]
+        for dedup, split, join in ((suffix_arrays.dedup, lambda t: (t or "").encode(), bytes), (recompression.dedup, lambda t: (t or "").encode().split(), b" ".join)):
+            got = dedup(frame(spark, rows).coalesce(1)).collect()
+            assert sorted((-1 if x.doc_id is None else x.doc_id, x[1], x.n_removed, x.kept_sha256) for x in got) == brute_repeats(rows, split, join, 50)
+    finally:
+        spark.conf.set(name, before)
