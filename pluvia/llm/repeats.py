@@ -9,7 +9,8 @@ every window an anchor, a hash that depends on the window's own units alone, and
 2. For those, segments go out: the units under a stretch of windows with the same anchor. Equal windows have equal
    anchors, so they meet.
 3. Shards of whole anchors compare windows unit by unit (equal segments once) and tell which parts of a segment an earlier
-   document has. An anchor with very many segments is no shard: its windows are grouped a row each.
+   document has. An anchor with very many segments is no shard: its segments are cut down to windows that recur, then
+   equal pieces are grouped, and only the windows of different pieces are grouped a row each.
 4. The parts go back to the documents, where their union is removed.
 """
 
@@ -24,14 +25,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import checkpoint, small_batches
+from pluvia.llm.common import checkpoint, discard, small_batches, written
 
-#: Bits of the filter of shared anchors that tasks get (32 MB); with more than MOST_ANCHORS, anchors are joined to their documents instead.
-MOST_BITS, MOST_ANCHORS = 1 << 28, 1 << 25
-#: Segments of one anchor that a shard's task takes. Those of an anchor with more are compared a window a row.
+#: Bits of a filter that tasks get (32 MB), and values that one of several takes. With more than MOST_ANCHORS shared anchors, they are joined to their documents instead.
+MOST_BITS, FILTER_VALUES, MOST_ANCHORS = 1 << 28, 1 << 24, 1 << 29
+#: Anchors and characters of text that a task holds before it asks the filters, about.
+HELD_ANCHORS, HELD_TEXT = 1 << 18, 1 << 22
+#: Segments of one anchor that a shard's task takes. Those of an anchor with more are compared in other steps (_hot_spans()).
 MOST_SEGMENTS = 50_000
 #: Bytes of segments that a shard's task compares at a time, about.
 SHARD_BYTES = 1 << 20
@@ -92,6 +96,26 @@ def _bloom(shared: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return table, bits
 
 
+def _filters(values: DataFrame, n: int) -> list[Broadcast]:
+    """Filters of values (anchor, not negative, of which there are n), of about FILTER_VALUES each: the remainder of a value says which one has it."""
+    many, sc = max(1, -(-n // FILTER_VALUES)), values.sparkSession.sparkContext
+    own = [values.where(F.col("anchor") % many == nth) for nth in range(many)] if many > 1 else [values]
+    return [sc.broadcast(_bloom(x, -(-n // many))) for x in own]
+
+
+def _passing(keys: np.ndarray, filters: list[Broadcast]) -> np.ndarray:
+    """Which keys their filters have. Of several filters a task holds one at a time, so its memory doesn't follow their number."""
+    if len(filters) == 1:
+        return _in(keys, *filters[0].value)
+    found, nth = np.zeros(len(keys), bool), keys % np.uint64(len(filters))
+    for i, filled in enumerate(filters):
+        own = np.flatnonzero(nth == i)
+        if len(own):
+            path = getattr(filled, "_path", None)  # .value would keep what it has read
+            found[own] = _in(keys[own], *(filled.load_from_path(path) if path else filled.value))
+    return found
+
+
 def _home_bits(spark: SparkSession) -> int:
     """Anchors are dealt to so many bits' number of homes, of which tasks have several each."""
     return max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
@@ -108,37 +132,59 @@ def _shortened(kind: Kind, bits: int) -> Kind:
     return replace(kind, anchors=anchors)
 
 
-def _segments(docs: DataFrame, kind: Kind, shared: DataFrame, n_shared: int, most_anchors: int, leading) -> DataFrame:
+def _segments(docs: DataFrame, kind: Kind, shared: DataFrame, n_shared: int, most_anchors: int, leading, hot: np.ndarray, only_hot: bool = False) -> DataFrame:
+    """oid, tkey, anchor, at, seg of the shared anchors without those in hot, or of those in hot alone (only_hot)."""
     spark, window = docs.sparkSession, kind.window
-    if n_shared <= most_anchors:
-        filled = spark.sparkContext.broadcast(_bloom(shared, n_shared))
-        source = docs.withColumn("shared", F.lit(None).cast("array<long>"))
-    else:
-        filled = None
+    apart, filters = spark.sparkContext.broadcast(np.sort(hot)), None
+    source = docs.withColumn("shared", F.lit(None).cast("array<long>"))
+    if not only_hot and n_shared <= most_anchors:
+        filters = _filters(shared, n_shared)
+    elif not only_hot:
         own = _anchors(docs, kind, leading, None, every=True).join(shared, "anchor").groupBy("tkey").agg(F.collect_set("anchor").alias("shared"))
         source = docs.join(own, "tkey")
 
+    def wanted(held: list[tuple]) -> np.ndarray:
+        keys, cold = np.concatenate([h[-1] for h in held]), True
+        if len(apart.value):
+            at = np.searchsorted(apart.value, keys.view(np.int64))
+            is_hot = apart.value[np.minimum(at, len(apart.value) - 1)] == keys.view(np.int64)
+            if only_hot:
+                return is_hot
+            cold = ~is_hot
+        if filters is not None:
+            return _passing(keys, filters) & cold
+        return np.concatenate([np.isin(h[-1].view(np.int64), np.array(h[3], np.int64)) for h in held]) & cold
+
+    def cut(held: list[tuple]):
+        out, size, upto = [], 0, 0
+        hit = wanted(held) if held else None
+        for oid, tkey, seq, _, first, count, anchor in held:
+            own = hit[upto : upto + len(anchor)]
+            upto += len(anchor)
+            for at, n, name in zip(first[own].tolist(), count[own].tolist(), anchor[own].view(np.int64).tolist()):
+                seg = kind.cut(seq, at, at + n + window - 1)
+                size += len(seg)
+                out.append((oid, tkey, name, at, seg))
+            if size > 1 << 22:
+                yield _batch(out, _SEGMENT)
+                out, size = [], 0
+        if out:
+            yield _batch(out, _SEGMENT)
+
     def run(batches):
-        table, bits = filled.value if filled is not None else (None, 0)
+        held, n, size = [], 0, 0
         for b in batches:
-            out, size = [], 0
             b = b.filter(pa.array(_in(np.asarray(b.column("row")).view(np.uint64), *leading.value)))
             for oid, tkey, text, own in zip(*(b.column(c).to_pylist() for c in ("oid", "tkey", "text", "shared"))):
                 seq = kind.units(text)
-                for first, count, anchor in kind.anchors(seq):
-                    if table is None:
-                        hit = np.isin(anchor.view(np.int64), np.array(own, np.int64))
-                    else:
-                        hit = _in(anchor, table, bits)
-                    for at, n, name in zip(first[hit].tolist(), count[hit].tolist(), anchor[hit].view(np.int64).tolist()):
-                        seg = kind.cut(seq, at, at + n + window - 1)
-                        size += len(seg)
-                        out.append((oid, tkey, name, at, seg))
-                    if size > 1 << 22:
-                        yield _batch(out, _SEGMENT)
-                        out, size = [], 0
-            if out:
-                yield _batch(out, _SEGMENT)
+                size += len(text)
+                for block in kind.anchors(seq):
+                    held.append((oid, tkey, seq, own, *block))
+                    n += len(block[-1])
+                    if n > HELD_ANCHORS or size > HELD_TEXT:
+                        yield from cut(held)
+                        held, n, size = [], 0, 0
+        yield from cut(held)
 
     return source.select("row", "oid", "tkey", "text", "shared").mapInArrow(run, "oid long, tkey long, anchor long, at long, seg binary")
 
@@ -150,6 +196,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _SEGMENT = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("anchor", pa.int64()), ("at", pa.int64()), ("seg", pa.binary())])
 _SPAN = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _SPANS = "oid long, tkey long, a long, b long"
+_PIECE = pa.schema([("oid", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("seg", pa.binary())])
 
 
 def _spans_batch(*columns: np.ndarray) -> pa.RecordBatch:
@@ -157,7 +204,7 @@ def _spans_batch(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _anchors(docs: DataFrame, kind: Kind, leading, twins, every: bool = False) -> DataFrame:
-    """bucket, anchor, tkey, k of the rows that the filter `leading` has. Of a stretch of texts an anchor's smallest and largest tkey go out alone (all of them: every);
+    """bucket, anchor, tkey, k of the rows that the filter `leading` has (None: all). Of a stretch of texts an anchor's smallest and largest tkey go out alone (all of them: every);
     k adds up to its segments. A text that one row alone has (it isn't in the filter `twins`, or there is none) needs no name to be told from others: its tkey is 0.
 
     They travel as arrays by bucket, four bytes an anchor (the bucket's number is the rest of it), and are dealt by bucket, so grouping by (bucket, anchor) moves nothing more.
@@ -185,7 +232,8 @@ def _anchors(docs: DataFrame, kind: Kind, leading, twins, every: bool = False) -
     def run(batches):
         held, size = [], 0
         for b in batches:
-            b = b.filter(pa.array(_in(np.asarray(b.column("row")).view(np.uint64), *leading.value)))
+            if leading is not None:
+                b = b.filter(pa.array(_in(np.asarray(b.column("row")).view(np.uint64), *leading.value)))
             names = np.asarray(b.column("tkey"))
             if not every:
                 names = np.where(_in(names.view(np.uint64), *twins.value), names, 0) if twins is not None else np.zeros_like(names)
@@ -239,10 +287,8 @@ def hashed(kind_windows: Callable, window: int):
     return compare
 
 
-def _spans(segments: DataFrame, kind: Kind, hot: DataFrame) -> DataFrame:
-    """oid, tkey, a, b: units of a document that a document with a smaller identifier has too, segment by segment. hot: anchors that are no shards."""
-    any_hot = bool(hot.take(1))
-    cold = segments.join(hot, "anchor", "left_anti") if any_hot else segments
+def _spans(segments: DataFrame, kind: Kind) -> DataFrame:
+    """oid, tkey, a, b: units of a document that a document with a smaller identifier has too, segment by segment."""
 
     def compared(rows: pa.Table):
         """Parts of the rows of whole anchors, ordered by anchor and segment."""
@@ -307,19 +353,81 @@ def _spans(segments: DataFrame, kind: Kind, hot: DataFrame) -> DataFrame:
         if held:
             yield from compared(pa.Table.from_batches(held))
 
-    found = cold.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(shard, _SPANS)
-    if not any_hot:
-        return found
+    return segments.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(shard, _SPANS)
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    """A checkpoint of rows as compressed Arrow batches."""
+
+    def pack(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    def unpack(batches):
+        for b in batches:
+            for x in b.column("batch").to_pylist():
+                yield from pa.ipc.open_stream(x)
+
+    return checkpoint(df.mapInArrow(pack, "batch binary")).mapInArrow(unpack, df.schema)
+
+
+def _hot_spans(segments: DataFrame, kind: Kind) -> DataFrame:
+    """What _spans() returns, of anchors with very many segments.
+
+    Most of such a segment's windows are one text's own, around a passage that many have. Hashes of windows, grouped as anchors are, tell which recur; segments are cut down to
+    those, so what is left are the passages, equal for the most part. Of equal pieces all but those with the smallest identifier are repeats as a whole, and add nothing to
+    what the first ones have; the first ones' windows are grouped by SHA-256, a row each.
+    """
+    window = kind.window
+
+    def names(seg: bytes):
+        found = np.array([xxhash.xxh3_64_intdigest(seg[x:y]) for x, y in kind.windows(seg)], np.uint64)
+        yield np.arange(len(found)), np.ones(len(found), np.int64), found
+
+    by_window = _shortened(replace(kind, units=lambda seg: seg, anchors=names), 32 + _home_bits(segments.sparkSession))
+    each = _anchors(segments.select(F.lit(0).cast("long").alias("row"), "tkey", F.col("seg").alias("text")), by_window, None, None)
+    again = written(each.groupBy("bucket", "anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    filters = _filters(again, again.count())
+    discard(again)
+
+    def cut(rows: list[tuple], keys: list[np.ndarray]):
+        hit, upto, out = _passing(np.concatenate(keys), filters) if keys else None, 0, []
+        for (oid, tkey, at, seg), own in zip(rows, keys):
+            there = np.flatnonzero(hit[upto : upto + len(own)])
+            upto += len(own)
+            where = kind.windows(seg) if len(there) else []
+            for x, y in spans_of(there, 1):
+                out.append((oid, tkey, at + x, at + y - 1 + window, seg[where[x][0] : where[y - 1][1]]))
+        if out:
+            yield _batch(out, _PIECE)
+
+    def trim(batches):
+        rows, keys, n = [], [], 0
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("oid", "tkey", "at", "seg"))):
+                rows.append(row)
+                keys += [key for *_, key in by_window.anchors(row[-1])]
+                n += len(keys[-1])
+                if n > HELD_ANCHORS:
+                    yield from cut(rows, keys)
+                    rows, keys, n = [], [], 0
+        yield from cut(rows, keys)
+
+    pieces = _packed(segments.mapInArrow(trim, f"{_SPANS}, seg binary")).withColumn("w", F.unhex(F.sha2("seg", 256)))
+    first = pieces.join(pieces.groupBy("w").agg(F.min("oid").alias("oid")), ["w", "oid"], "left_semi")
 
     def explode(batches):
         for b in batches:
-            for oid, tkey, at, seg in zip(*(b.column(c).to_pylist() for c in ("oid", "tkey", "at", "seg"))):
+            for oid, tkey, a, seg in zip(*(b.column(c).to_pylist() for c in ("oid", "tkey", "a", "seg"))):
                 w = [hashlib.sha256(seg[x:y]).digest() for x, y in kind.windows(seg)]
                 n = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array([oid] * n, pa.int64()), pa.array([tkey] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(w, pa.binary())], ["oid", "tkey", "a", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([oid] * n, pa.int64()), pa.array([tkey] * n, pa.int64()), pa.array(range(a, a + n), pa.int64()), pa.array(w, pa.binary())], ["oid", "tkey", "a", "w"])
 
-    each = segments.join(hot, "anchor", "left_semi").mapInArrow(explode, "oid long, tkey long, a long, w binary")
-    return found.unionByName(_not_first(each, "w").select("oid", "tkey", "a", (F.col("a") + kind.window).alias("b")))
+    each = first.select("oid", "tkey", "a", "seg").mapInArrow(explode, "oid long, tkey long, a long, w binary")
+    return _not_first(pieces, "w").select("oid", "tkey", "a", "b").unionByName(_not_first(each, "w").select("oid", "tkey", "a", (F.col("a") + window).alias("b")))
 
 
 def _not_first(rows: DataFrame, name: str) -> DataFrame:
@@ -343,10 +451,15 @@ def repeats(docs: DataFrame, kind: Kind, same: Column, most_anchors: int = MOST_
     twins = sc.broadcast(_bloom(twice.select(F.col("tkey").alias("anchor")), n_twice)) if n_twice else None
     kind = _shortened(kind, 32 + _home_bits(docs.sparkSession))
     grouped = _anchors(rows, kind, leading, twins).groupBy("bucket", "anchor").agg(F.min("tkey").alias("x"), F.max("tkey").alias("y"), F.count_if(F.col("tkey") == 0).alias("single"), F.sum("k").alias("k"))
-    shared = checkpoint(grouped.where("x != y OR single > 1").select("anchor", "k"))
-    hot = shared.where(F.col("k") > most_segments).select("anchor")
-    segments = _segments(rows, kind, shared.select("anchor"), shared.count(), most_anchors, leading)
-    found = _spans(segments, kind, hot).select("oid", "tkey", F.struct("a", "b").alias("part"))
+    shared = written(grouped.where("x != y OR single > 1").select("anchor", "k"))
+    hot = shared.where(F.col("k") > most_segments).select("anchor").toArrow().column("anchor").to_numpy()
+    n_shared = shared.count()
+    found = _spans(_segments(rows, kind, shared.select("anchor"), n_shared, most_anchors, leading, hot), kind)
+    if n_shared <= most_anchors:
+        discard(shared)
+    if len(hot):
+        found = found.unionByName(_hot_spans(_packed(_segments(rows, kind, shared, 0, most_anchors, leading, hot, True)), kind))
+    found = found.select("oid", "tkey", F.struct("a", "b").alias("part"))
     copies = _not_first(digests, "digest").select("oid", "tkey", F.struct(F.lit(0).cast("long").alias("a"), F.lit(_END).cast("long").alias("b")).alias("part"))
     parts = found.unionByName(copies).groupBy("oid", "tkey").agg(F.collect_list("part").alias("parts"))
 

@@ -848,3 +848,35 @@ def test_shards_are_cut_between_anchors(spark, monkeypatch, batch):
             assert sorted((-1 if x.doc_id is None else x.doc_id, x[1], x.n_removed, x.kept_sha256) for x in got) == brute_repeats(rows, split, join, 50)
     finally:
         spark.conf.set(name, before)
+
+
+def test_shared_anchors_take_several_filters(spark, monkeypatch):
+    """However many anchors are shared, a filter takes so many of them, documents aren't joined to them, and results don't depend on where a task asks the filters."""
+    sizes, plans = [], []
+    plain, cut = repeats._bloom, repeats._segments
+    monkeypatch.setattr(repeats, "_bloom", lambda values, n: (sizes.append(values.count()) if values.columns == ["anchor"] else None) or plain(values, n))
+    monkeypatch.setattr(repeats, "_segments", lambda *a: plans.append((got := cut(*a))._jdf.queryExecution().toString()) or got)
+    for name, value in (("FILTER_VALUES", 15), ("HELD_ANCHORS", 40), ("HELD_TEXT", 3000)):
+        monkeypatch.setattr(repeats, name, value, raising=False)
+    rows = made(18, 50) + [(None, "go " * 900), (50, "go " * 700)]
+    for dedup, split, join in ((suffix_arrays.dedup, lambda t: (t or "").encode(), bytes), (recompression.dedup, lambda t: (t or "").encode().split(), b" ".join)):
+        sizes.clear()
+        got = dedup(frame(spark, rows)).collect()
+        assert sorted((-1 if x.doc_id is None else x.doc_id, x[1], x.n_removed, x.kept_sha256) for x in got) == brute_repeats(rows, split, join, 50)
+        assert max(sizes) < 40 and (dedup is not suffix_arrays.dedup or len(sizes) > 3)
+    assert not any("Join" in p for p in plans)
+
+
+def test_segments_of_a_frequent_anchor_send_few_rows(spark, monkeypatch):
+    """Around a passage that very many texts have, only the passage goes on, once for all texts but the first; no other step deals the segments anew."""
+    r = random.Random(19)
+    passage = "all rights are reserved by those who have written this down, and by nobody else at all"
+    rows = [(i, f"{r.random()} {r.random()} {passage} {r.random()} {r.random()}") for i in range(300)] + [(7, passage * 3), (None, "é" * 90 + passage), (301, "x" * 500), (302, "x" * 400)]
+    sent, hot = [], []
+    plain, cut = repeats._not_first, repeats._segments
+    monkeypatch.setattr(repeats, "_not_first", lambda df, name: (sent.append(df.count()) if name == "w" else None) or plain(df, name))
+    monkeypatch.setattr(repeats, "_segments", lambda *a: hot.append(got := cut(*a)) or got)
+    got = suffix_arrays.dedup(frame(spark, rows), most_segments=100).collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in got) == brute_repeats(rows, lambda t: t.encode(), bytes, 50)
+    assert sent and sum(sent) < 7000  # a row a window: 21,567
+    assert "Join" not in hot[0]._jdf.queryExecution().toString()
